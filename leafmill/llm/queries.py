@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import dartminhash
+from leafmill.llm import dartminhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def part(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), part("id", 5) != 0)
+    held_out = (part("doc_id", 5) == 0).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_minhash": op9_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op9_minhash)}
 ORACLES: dict[str, str] = {}
