@@ -17,6 +17,9 @@ _STEP = U64(0x9E3779B97F4A7C15)
 #: The separators \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All but ASCII letters and digits and bytes of longer characters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -71,13 +74,13 @@ def slices(offs: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of some texts: ``start`` and ``length`` in ``buf``, ``hash``, and ``first``: n + 1 offsets by text."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = True, edges: bool = True):
-        """``edges``: a text's end ends a word, which it always does; texts are joined without separators."""
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = True, between: np.ndarray = SPACE):
+        """``between``: for each byte, whether it separates words; a text's end always does."""
         base = int(offs[0])
         raw = buf[base : int(offs[-1])]
         self.buf = LOWER[raw] if lower else raw
         self.offs = offs - base
-        word = ~SPACE[raw]
+        word = ~between[raw]
         begins = np.empty(len(word), bool)
         if len(word):
             begins[0] = True

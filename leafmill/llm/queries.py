@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, dartminhash, secret_ledger, simple8b, toxicity
+from leafmill.llm import bpe, dartminhash, decontaminate, secret_ledger, simple8b, toxicity
 from leafmill.scratch import Tables
 
 
@@ -39,6 +39,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(table(spark, sf_dir, "documents"), Tables(spark))
 
@@ -55,5 +59,5 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_latent_retrieval, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash)}
 ORACLES: dict[str, str] = {}
