@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, dartminhash, decontaminate, secret_ledger, simple8b, toxicity
+from leafmill.llm import bpe, dartminhash, decontaminate, langid, secret_ledger, simple8b, toxicity
 from leafmill.scratch import Tables
 
 
@@ -59,5 +59,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_latent_retrieval, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, part("id", 5) != 0)
+    held_out = (part("doc_id", 5) == 0).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_latent_retrieval, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
 ORACLES: dict[str, str] = {}
