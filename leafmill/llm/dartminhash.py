@@ -6,9 +6,9 @@ elements' weights; the earliest by rank on each coordinate is its signature, and
 the probability of their weighted Jaccard similarity. Only about k log k darts are thrown per text, however long it is:
 the planes are cut into regions, and a region's hash says how many darts it holds.
 
-Joining: texts that share a band are compared exactly with the band's smallest member first. Where a band then still
-holds several components, all its pairs across components whose signatures agree enough are compared too, so no link
-between different texts that share a band is lost, while a large group of near copies costs one comparison a member.
+Joining: texts that share a band are compared exactly with the band's smallest member first. Where what bands hold
+together still falls into several components, all pairs across components whose signatures agree enough are compared
+too, in blocks, so no link between different texts is lost, while near copies that already link cost one comparison each.
 """
 
 from __future__ import annotations
@@ -172,20 +172,60 @@ def _compare(width: int, threshold: float):
     return run
 
 
-def _agree(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in (2, 3))
-            hit = pa.array(np.flatnonzero(np.array([(x == y).mean() >= least for x, y in zip(a, b, strict=True)], bool)))
-            yield pa.record_batch([batch.column(0).take(hit), batch.column(1).take(hit)], ["a", "b"])
+def _across(width: int, threshold: float):
+    """Links between components inside one pair of blocks: whoever agrees on enough of the signature is compared exactly,
+    unless links found here already join the two. A link for each join comes out, so at most one a row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps, left, right = (table.column(c).to_pylist() for c in ("rep", "comp", "is_left", "is_right"))
+        sig = np.array([np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()])
+        sets = _sets(table.column("text").combine_chunks(), width)
+        root = {c: c for c in comps}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        rights = np.flatnonzero(right)
+        for x in np.flatnonzero(left):
+            agree = (sig[rights] == sig[x]).mean(1)
+            for y in rights[agree >= threshold - 0.16]:
+                if top(comps[x]) != top(comps[y]) and jaccard(sets[x], sets[y]) >= threshold - 1e-12:
+                    root[top(comps[x])] = top(comps[y])
+                    a.append(ids[x])
+                    b.append(ids[y])
+        kind = table.schema.field("rep").type
+        return pa.table([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, tables: Tables, width: int, threshold: float) -> DataFrame:
+def _links_across(members: DataFrame, texts: DataFrame, tables: Tables, width: int, threshold: float) -> DataFrame:
+    """Links (a, b) between components of one group. ``members``: (gid, rep, comp, sig).
+
+    A group's largest component need not be compared with itself. The rest is dealt into blocks, and every block meets
+    every other block of the rest and of the largest component in a task of its own; blocks grow with the root of the
+    group, so a group's rows are copied no more than about the root of its size times.
+    """
+    kind = dict(members.dtypes)["rep"]
+    sizes = members.groupBy("gid", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("gid").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("most"))
+    sizes = sizes.where("parts > 1").withColumn("block", F.least(F.lit(1024), F.greatest(F.lit(96), F.ceil(2 * F.sqrt("n")))))
+    sizes = sizes.selectExpr("gid", "most.comp as main", "cast(ceil((n - most.n) / block) as int) as p", "cast(ceil(most.n / block) as int) as q")
+    sizes = tables.save(sizes, "groups")
+    placed = members.join(sizes, "gid").withColumn("at", F.when(F.col("comp") == F.col("main"), -1 - F.pmod(F.xxhash64("rep"), F.col("q"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("p"))).cast("int"))
+    # block i of the rest is on the left of (i, j) for j >= i and for the blocks -1 .. -q of the largest component, and on the right of (j, i) for j < i
+    own = F.expr("""if(at < 0, transform(sequence(0, p - 1), i -> struct(i as i, at as j)),
+        concat(transform(sequence(0, p - 1), k -> struct(least(k, at) as i, greatest(k, at) as j)), transform(sequence(1, q), k -> struct(at as i, -k as j))))""")
+    dealt = placed.withColumn("cell", F.explode(own)).selectExpr("gid", "cell.i as i", "cell.j as j", "rep", "comp", "sig", "at = cell.i as is_left", "at = cell.j as is_right")
+    dealt = tables.save(dealt, "dealt").join(texts.withColumnRenamed("id", "rep"), "rep")
+    return tables.save(dealt.groupBy("gid", "i", "j").applyInArrow(_across(width, threshold), f"a {kind}, b {kind}"), "across")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more, computed on whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = tables.save(docs.join(ids, "id", "left_semi"), "texts")
     ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
     return tables.save(both.mapInArrow(_compare(width, threshold), f"a {dict(pairs.dtypes)['a']}, b {dict(pairs.dtypes)['b']}, jaccard double"), "links")
@@ -209,21 +249,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = tables.save(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"), "leaders")
     shared = tables.save(banded.join(leaders, "key"), "shared")
     star = tables.save(shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "star")
-    links = verified(star, docs, tables, width, threshold)
+    ids = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
+    texts = tables.save(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    links = verified(star, texts, tables, width, threshold)
     found = components(links, tables)
-    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = tables.save(placed, "placed")
-    mixed = tables.save(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
-    if not mixed.isEmpty():
-        open_ = tables.save(placed.join(mixed, "key"), "open")
-        x, y = (open_.select("key", F.col("rep").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        cross = x.join(y, "key").where("comp_a < comp_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        cross = tables.save(cross.join(star, ["a", "b"], "left_anti"), "cross")
-        sa, sb = (reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        likely = cross.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(threshold - 0.2), f"a {kind}, b {kind}")
-        more = verified(tables.save(likely, "likely"), docs, tables, width, threshold)
-        if not more.isEmpty():
-            found = components(links.select("a", "b").union(more.select("a", "b")), tables)
+    groups = components(star, tables)  # all that share bands, whether they link or not
+    members = groups.join(found.withColumnRenamed("component", "comp"), "node", "left")
+    members = tables.save(members.select(F.col("component").alias("gid"), F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp")), "members")
+    more = _links_across(members.join(reps.select("rep", "sig"), "rep"), texts, tables, width, threshold)
+    if not more.isEmpty():
+        found = components(links.select("a", "b").union(more), tables)
     classes = tables.save(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("class_id")), "classes")
     placed = signed.select("id", "h").join(classes, "h", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     out = placed.groupBy("id").agg(F.min("class_id").alias("class_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, dartminhash, decontaminate, langid, secret_ledger, simple8b, toxicity
+from leafmill.llm import bpe, dartminhash, decontaminate, langid, secret_ledger, shards, simple8b, toxicity
 from leafmill.scratch import Tables
 
 
@@ -39,6 +39,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(table(spark, sf_dir, "documents").select("doc_id"), shards.table(spark, shards.names()), "doc_id")
+
+
 def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,5 +70,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_latent_retrieval, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
+ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle()}
