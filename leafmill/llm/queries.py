@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, dartminhash, decontaminate, langid, secret_ledger, shards, simple8b, toxicity
+from leafmill.llm import bpe, cells, dartminhash, decontaminate, langid, secret_ledger, shards, simple8b, toxicity
 from leafmill.scratch import Tables
 
 
@@ -51,6 +51,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(table(spark, sf_dir, "documents"), Tables(spark))
 
 
+def op6_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file_digest(table(spark, sf_dir, "documents"), Tables(spark), vocabulary("byte_bpe_50k.json"), pattern())
 
@@ -70,5 +74,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op5_secret_ledger, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
 ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle()}
