@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, cells, dartminhash, decontaminate, langid, secret_ledger, shards, simple8b, toxicity
+from leafmill.llm import bpe, cells, dartminhash, decontaminate, langid, maxent, secret_ledger, shards, simple8b, toxicity
 from leafmill.scratch import Tables
 
 
@@ -47,6 +47,12 @@ def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark)
+    model, counts = maxent.learn(docs.where(part("doc_id", 7) != 2), tables, "doc_id", "text")
+    return maxent.score(docs.select("doc_id", "text", (part("doc_id", 7) == 2).alias("held_out")), model, counts, tables)
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(table(spark, sf_dir, "documents"), Tables(spark))
 
@@ -74,5 +80,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op4_maxent, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
 ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle()}
