@@ -1 +1,64 @@
-"""Scalar expressions as Spark columns."""
+"""Scalar expressions as Spark columns; none needs Python on the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: White space of the interface: ASCII white space, no-break and ideographic spaces, byte order mark.
+BLANKS = r"[\s\x{00A0}\x{3000}\x{FEFF}]"
+#: Han characters and compatibility ideographs, which weigh more in a token estimate.
+CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
+
+
+def trimmed(x: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
+def squeezed(x: Column) -> Column:
+    """Lower case, runs of white space as one space, trimmed: the form in which names and quotes are compared."""
+    return F.lower(F.trim(F.regexp_replace(x, f"{BLANKS}+", " ")))
+
+
+def visible_length(x: Column) -> Column:
+    """Code points that are not white space."""
+    return F.length(F.regexp_replace(x, BLANKS, ""))
+
+
+def utf16_length(x: Column) -> Column:
+    return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+
+
+def stable_id(kind: str, value: Column) -> Column:
+    """``kind`` and the first 24 hex digits of the SHA-256 of kind, a zero byte and the value."""
+    return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(F.concat(F.lit(f"{kind}\0"), value), 256), 1, 24))
+
+
+def fnv1a(value: Column) -> Column:
+    """32-bit FNV-1a over UTF-16 code units, as eight hex digits."""
+    wide = F.hex(F.encode(value, "UTF-16BE"))
+    units = F.when(F.length(wide) > 0, F.transform(F.sequence(F.lit(0), (F.length(wide) / 4 - 1).cast("int")), lambda i: F.conv(F.substring(wide, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    folded = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: ((h.bitwiseXOR(u)) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.lpad(F.lower(F.hex(folded)), 8, "0")
+
+
+def estimated_tokens(text: Column) -> Column:
+    """max(1, ceil(Han / 1.5 + other / 4)) over code points."""
+    han = F.regexp_count(text, F.lit(CJK))
+    return F.greatest(F.lit(1), F.ceil(han / 1.5 + (F.length(text) - han) / 4)).cast("int")
+
+
+def unfenced(text: Column) -> Column:
+    """A model's answer without a Markdown code fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+
+
+def or_default(x: Column, default: str) -> Column:
+    """A blank or null text becomes the default."""
+    return F.coalesce(F.nullif(trimmed(x), F.lit("")), F.lit(default))
+
+
+def reasons(*rules: tuple[Column, str]) -> Column:
+    """The names of the rules whose condition holds, as an array."""
+    return F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in rules)), lambda x: x.isNotNull())

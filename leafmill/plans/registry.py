@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from leafmill.plans._base import ORACLES, QUERIES
+from leafmill.plans import canon, cleaning, context, governance, outline, review, search, sources, structure, streams, usage  # noqa: F401  each registers its queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "Callable"]
