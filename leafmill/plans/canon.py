@@ -1 +1,142 @@
-"""Queries."""
+"""Canon queries over analyses that are derived from documents and their labels: a book's names are the first words of
+its chapters, the evidence is their first lines, and labels decide the review."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.operators import canon
+from leafmill.plans._base import query, table
+
+ANALYSES = """
+docs AS (SELECT source AS book, doc_id AS chapter, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, text, n_chars, string_split(text, ' ') AS ws, string_split(text, chr(10)) AS ls FROM documents),
+analyses AS (
+  SELECT d.*, CASE WHEN l.quality = 1 THEN 'accepted' WHEN l.quality = 0 THEN 'rejected' ELSE 'draft' END AS status, (n_chars % 100) / 100.0 AS confidence
+  FROM docs d LEFT JOIN labels l ON l.doc_id = d.chapter
+),
+accepted AS (SELECT * FROM analyses WHERE status = 'accepted'),
+mentions AS (
+  SELECT book, chapter, ordinal, confidence, ls, 0 AS o, 'character' AS kind, i, ws[i + 1] AS name FROM accepted, range(4) r(i) WHERE i < len(ws)
+  UNION ALL SELECT book, chapter, ordinal, confidence, ls, 1, 'location', i, ws[i + 5] FROM accepted, range(2) r(i) WHERE i + 4 < len(ws)
+),
+named AS (SELECT *, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS clean, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS norm FROM mentions)
+"""
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    words, lines = F.split("text", " ", -1), F.split("text", "\n", -1)
+    claims = F.transform(F.slice(lines, 1, 3), lambda x, i: F.struct(x.alias("claim"), F.array(F.concat_ws(":", F.col("doc_id").cast("string"), i.cast("string"))).alias("segment_ids")))
+    return docs.select(
+        F.col("source").alias("book"),
+        F.col("doc_id").alias("chapter"),
+        (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"),
+        F.when(F.col("quality") == 1, "accepted").when(F.col("quality") == 0, "rejected").otherwise("draft").alias("status"),
+        F.slice(words, 1, 4).alias("characters"),
+        F.slice(words, 5, 2).alias("locations"),
+        F.array().cast("array<string>").alias("world_terms"),
+        F.transform(F.slice(words, 1, 2), lambda w: F.struct(w.alias("source"), F.element_at(words, -1).alias("target"), F.col("lang").alias("type"), F.element_at(lines, 1).alias("description"))).alias("relationships"),
+        F.transform(F.slice(words, 1, 3), lambda w: F.struct(w.alias("name"), F.element_at(lines, -1).alias("description"))).alias("world_rules"),
+        F.transform(F.slice(lines, 1, 2), lambda x: F.struct(x.alias("title"), F.col("lang").alias("description"), F.col("source").alias("time_marker"))).alias("timeline_events"),
+        F.transform(F.slice(lines, 2, 2), lambda x: F.struct(x.alias("setup"), F.lit(None).cast("string").alias("possible_payoff"))).alias("foreshadowing"),
+        claims.alias("evidence"),
+        ((F.col("n_chars") % 100) / 100.0).alias("confidence"),
+        F.slice(lines, -1, 1).alias("uncertainties"),
+    )
+
+
+def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses(spark, sf_dir).where("status = 'accepted'")
+
+
+@query(f"""
+WITH {ANALYSES}, ev AS (
+  SELECT book, kind, norm, ordinal, chapter, o, i, k, chapter || ':' || k AS seg FROM named, range(3) e(k)
+  WHERE clean <> '' AND k < len(ls) AND len(list_filter(string_split(norm, ' '), lambda t: t <> '' AND contains(lower(ls[k + 1]), t))) > 0
+), evs AS (
+  SELECT book, kind, norm, string_agg(seg, ',' ORDER BY ordinal, chapter, o, i, k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY book, kind, norm, seg ORDER BY ordinal, chapter, o, i, k) AS rn FROM ev) WHERE rn = 1 GROUP BY ALL
+), chs AS (SELECT book, kind, norm, string_agg(chapter::VARCHAR, ',' ORDER BY ordinal) AS chapters FROM (SELECT DISTINCT book, kind, norm, chapter, ordinal FROM named WHERE clean <> '') GROUP BY ALL)
+SELECT g.book, g.kind, g.name, g.mentions, c.chapters, coalesce(e.evidence, '') AS evidence, g.confidence FROM (
+  SELECT book, kind, norm, arg_min(clean, (ordinal, chapter, o, i)) AS name, count(*) AS mentions, round(max(confidence), 6)::DOUBLE AS confidence FROM named WHERE clean <> '' GROUP BY book, kind, norm
+) g JOIN chs c USING (book, kind, norm) LEFT JOIN evs e USING (book, kind, norm)
+""")
+def canon_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canon.entities(accepted(spark, sf_dir))
+    return found.select("book", "kind", "name", "mentions", F.array_join(F.transform("chapters", lambda c: c.cast("string")), ",").alias("chapters"), F.array_join("evidence", ",").alias("evidence"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""
+WITH {ANALYSES}, rels AS (SELECT book, chapter, ordinal, confidence, i, ws[i + 1] AS s, ws[len(ws)] AS t, (SELECT lang FROM documents d WHERE d.doc_id = chapter) AS ty FROM accepted, range(2) r(i) WHERE i < len(ws)),
+n AS (SELECT *, lower(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS sn, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS tn FROM rels)
+SELECT book, arg_min(s, (ordinal, chapter, i)) AS source, arg_min(t, (ordinal, chapter, i)) AS target, ty AS type, count(DISTINCT chapter) AS chapters, round(max(confidence), 6)::DOUBLE AS confidence
+FROM n WHERE sn <> '' AND tn <> '' GROUP BY book, sn, tn, ty
+""")
+def canon_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canon.relationships(accepted(spark, sf_dir))
+    return found.select("book", "source", "target", "type", F.size("chapters").cast("long").alias("chapters"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""
+WITH {ANALYSES}, r AS (SELECT book, chapter, ordinal, i, ws[i + 1] AS name, ls[len(ls)] AS d FROM accepted, range(3) r(i) WHERE i < len(ws)),
+n AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS norm FROM r)
+SELECT book, arg_min(name, (ordinal, chapter, i)) AS name, count(DISTINCT chapter) AS chapters, count(DISTINCT regexp_replace(d, '^\\s+|\\s+$', '', 'g')) FILTER (WHERE trim(d) <> '') AS descriptions FROM n WHERE norm <> '' GROUP BY book, norm
+""")
+def canon_world_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canon.world_rules(accepted(spark, sf_dir))
+    return found.select("book", "name", F.size("chapters").cast("long").alias("chapters"), F.size("descriptions").cast("long").alias("descriptions"))
+
+
+@query(f"""
+WITH {ANALYSES}
+SELECT book, chapter, ordinal, i::INT AS i, md5(ls[i + 1]) AS title, least(len(ls), 3) AS evidence FROM accepted, range(2) r(i) WHERE i < len(ls) AND regexp_replace(ls[i + 1], '\\s', '', 'g') <> ''
+""")
+def canon_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.timeline(accepted(spark, sf_dir)).select("book", "chapter", F.col("ordinal").cast("long").alias("ordinal"), "i", F.md5("title").alias("title"), F.size("evidence").cast("long").alias("evidence"))
+
+
+@query(f"""
+WITH {ANALYSES}
+SELECT book, chapter, i::INT AS i, md5(ls[i + 2]) AS setup FROM accepted, range(2) r(i) WHERE i + 1 < len(ls) AND regexp_replace(ls[i + 2], '\\s', '', 'g') <> ''
+""")
+def canon_foreshadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.foreshadowing(accepted(spark, sf_dir)).select("book", "chapter", "i", F.md5("setup").alias("setup"))
+
+
+@query(f"""
+WITH {ANALYSES} SELECT book, chapter, md5(ls[len(ls)]) AS note FROM accepted WHERE regexp_replace(ls[len(ls)], '\\s', '', 'g') <> ''
+""")
+def canon_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.uncertainties(accepted(spark, sf_dir)).select("book", "chapter", F.md5("note").alias("note"))
+
+
+@query("""
+SELECT doc_id AS chapter, doc_id || ':' || k AS segment_id FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(3) r(k) WHERE k < len(ls) AND length(ls[k + 1]) < 20
+""")
+def foreign_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that cites a line under 20 characters, which counts as no segment here."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter"), F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    segments = lines.where("length(line) >= 20").select("chapter", F.concat_ws(":", F.col("chapter").cast("string"), F.col("k").cast("string")).alias("segment_id"))
+    return canon.foreign_evidence(analyses(spark, sf_dir), segments)
+
+
+@query("""
+SELECT d.source AS book, d.doc_id AS chapter FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality = 0
+""")
+def pending_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analyses(spark, sf_dir).select("book", "chapter", "status")
+    return canon.pending(rows.select("book", "chapter"), rows, ["book", "chapter"])
+
+
+@query(f"""
+WITH {ANALYSES}, rels AS (SELECT book, ws[i + 1] AS source, ws[len(ws)] AS target FROM accepted, range(2) r(i) WHERE i < len(ws)),
+n AS (SELECT *, lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS s, lower(trim(regexp_replace(target, '\\s+', ' ', 'g'))) AS t FROM rels),
+names AS (SELECT DISTINCT book, norm FROM named WHERE kind = 'character' AND clean <> ''),
+bad AS (SELECT book, reason FROM n, (SELECT unnest(list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM names m WHERE m.book = n.book AND m.norm = s) THEN 'unknown_source' END, CASE WHEN NOT EXISTS (SELECT 1 FROM names m WHERE m.book = n.book AND m.norm = t) THEN 'unknown_target' END, CASE WHEN s = t THEN 'self_loop' END], lambda x: x IS NOT NULL)) AS reason))
+SELECT book, reason, count(*) AS n FROM bad GROUP BY ALL
+""")
+def relation_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = accepted(spark, sf_dir)
+    relations = rows.select("book", F.explode("relationships").alias("r")).select("book", "r.source", "r.target")
+    names = rows.select("book", F.explode("characters").alias("name")).where("trim(name) <> ''")
+    return canon.unlinked_relations(relations, names).groupBy("book", "reason").agg(F.count("*").alias("n"))

@@ -1 +1,92 @@
-"""Queries."""
+"""Version and impact queries: conversations are chapter versions; parts are records of which a new version doubles the
+size and renames the brand of every seventh."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.operators import governance
+from leafmill.plans._base import query, table
+
+CHANGES = """
+changes AS (
+  SELECT p_partkey, unnest(['p_brand', 'p_size', 'p_type']) AS field, unnest([p_brand, p_size::VARCHAR, p_type]) AS before,
+         unnest([CASE WHEN p_partkey % 7 = 0 THEN 'Brand new' ELSE p_brand END, (p_size * 2)::VARCHAR, p_type]) AS after FROM part
+), changed AS (SELECT *, field = 'p_size' AND p_partkey % 3 = 0 AS locked FROM changes WHERE coalesce(before, '') <> coalesce(after, ''))
+"""
+
+
+@query()
+def version_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy line diffs of successive versions, held against brute force in the tests."""
+    versions = table(spark, sf_dir, "conversations").withColumn("content", F.regexp_replace("text", r"\. ", ".\n"))
+    rows = governance.diffs(governance.version_pairs(versions, "conv_id", "turn", "content"), ["conv_id", "turn"])
+    return rows.groupBy("conv_id", "turn", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT conv_id, turn, length(before)::INT AS size_before, length(after)::INT AS size_after FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, text AS after FROM conversations) WHERE before IS NOT NULL
+""")
+def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = governance.version_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return pairs.select("conv_id", "turn", F.length("before").alias("size_before"), F.length("after").alias("size_after"))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    fields = ["p_brand", "p_size", "p_type"]
+    after = part.withColumn("p_brand", F.when(F.col("p_partkey") % 7 == 0, "Brand new").otherwise(F.col("p_brand"))).withColumn("p_size", F.col("p_size") * 2)
+    locks = part.where("p_partkey % 3 = 0").select("p_partkey", F.lit("p_size").alias("field"))
+    return governance.field_changes(governance.unpivoted(part, "p_partkey", fields, "value"), governance.unpivoted(after, "p_partkey", fields, "value"), "p_partkey", locks)
+
+
+@query(f"WITH {CHANGES} SELECT p_partkey, field, before, after, locked, CASE WHEN locked THEN before ELSE after END AS value FROM changed")
+def locked_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.merged(changes(spark, sf_dir))
+
+
+@query("SELECT p_partkey, field, sha256(coalesce(value, '')) AS sha256 FROM (SELECT p_partkey, unnest(['p_brand', 'p_type']) AS field, unnest([p_brand, p_type]) AS value FROM part)")
+def field_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.locks(governance.unpivoted(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"], "value"), "p_partkey")
+
+
+TERMS = r"""
+terms AS (
+  SELECT DISTINCT source, term FROM (SELECT source, unnest(list_filter(list_transform(regexp_split_to_array(text[:60], '[\s,.;:!?，。；：！？、（）()\[\]【】《》“”"'']+'), lambda t: lower(trim(t))), lambda t: length(t) >= 2)) AS term FROM documents WHERE doc_id % 97 = 0)
+), lists AS (SELECT source, list(term ORDER BY term) AS ts FROM terms GROUP BY source),
+hits AS (SELECT d.source, d.doc_id, d.lang, list_filter(ts, lambda t: contains(lower(d.text), t)) AS hit FROM documents d JOIN lists USING (source))
+"""
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 97th chapter's opening as a changed value of its book."""
+    return table(spark, sf_dir, "documents").where("doc_id % 97 = 0").select("source", F.substring("text", 1, 60).alias("before"), F.lit("").alias("after"))
+
+
+@query(f"WITH {TERMS} SELECT source, doc_id, array_to_string(hit[:3], ',') AS reason, len(hit) AS n_terms FROM hits WHERE len(hit) > 0")
+def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = governance.changed_terms(change_log(spark, sf_dir), "source")
+    return governance.mentions(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), terms, "source", "text").drop("text")
+
+
+@query(f"""
+WITH {TERMS}, own AS (SELECT DISTINCT source AS book, 'direct' AS own FROM documents WHERE doc_id % 97 = 0 AND lang = 'de'), kids AS (SELECT source AS book, count(*) AS n FROM hits WHERE len(hit) > 2 GROUP BY 1)
+SELECT book, coalesce(own, n || ' affected') AS reason FROM own FULL JOIN kids USING (book)
+""")
+def volume_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = governance.mentions(docs.select("source", "doc_id", "text"), governance.changed_terms(change_log(spark, sf_dir), "source"), "source", "text").where("n_terms > 2")
+    direct = docs.where("doc_id % 97 = 0 and lang = 'de'").select(F.col("source").alias("book"), F.lit("direct").alias("reason")).distinct()
+    return governance.parent_impact(found.withColumnRenamed("source", "book"), direct, "book")
+
+
+@query("SELECT event_id, replace(props, 'page', 'leaf') AS props FROM events")
+def json_id_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", governance.remapped_json(F.col("props"), F.lit("page"), F.lit("leaf")).alias("props"))
+
+
+@query("SELECT doc_id, md5(text[:least(5, length(text))] || '[rewritten]' || text[least(12, length(text)) + 1:]) AS digest FROM documents")
+def selection_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(governance.spliced(F.col("text"), F.least(F.lit(5), n), F.least(F.lit(12), n), F.lit("[rewritten]"))).alias("digest"))
