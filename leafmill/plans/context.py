@@ -1 +1,109 @@
-"""Queries."""
+"""Context queries: a customer is a project, its orders in time are chapters; facts hold from the order on, summaries for
+ten chapters, line items are passages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.operators import context
+from leafmill.plans._base import query, table
+
+CH = """
+ch AS (SELECT o_custkey AS project, o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS number, o_orderpriority, o_orderstatus, o_totalprice FROM orders),
+targets AS (SELECT project, number AS target FROM ch WHERE number % 4 = 0),
+facts AS (SELECT project, id, o_orderpriority || ' of ' || id AS text, number AS valid_from, CASE WHEN number % 3 = 0 THEN number + 5 END AS valid_through, number + (id % 2)::INT AS revealed_at, number % 50 AS priority FROM ch),
+sums AS (SELECT project, id, CASE WHEN number % 2 = 0 THEN 'volume' ELSE 'chapter' END AS layer, 'summary ' || o_orderstatus || ' ' || id AS text, number + 1 AS valid_from, number + 10 AS valid_through, 1 AS priority FROM ch),
+pass AS (SELECT project, id, number AS chapter, repeat('passage ', (1 + id % 5)::INT) || id AS text, (number % 10) / 10.0 AS score FROM ch),
+pool AS (
+  SELECT project, target, 'fact' AS kind, id, text, 1000 + priority AS priority FROM facts JOIN targets USING (project) WHERE valid_from <= target AND revealed_at <= target AND (valid_through IS NULL OR valid_through >= target)
+  UNION ALL SELECT project, target, layer, id, text, CASE layer WHEN 'volume' THEN 400 ELSE 300 END + priority FROM sums JOIN targets USING (project) WHERE target BETWEEN valid_from AND valid_through
+  UNION ALL SELECT project, target, 'passage', id, text, round(score * 100)::INT FROM pass JOIN targets USING (project) WHERE chapter <= target
+)"""
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"), number.alias("number"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+
+
+def targets(ch: DataFrame) -> DataFrame:
+    return ch.where("number % 4 = 0").select("project", F.col("number").alias("target"))
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = chapters(spark, sf_dir)
+    id_text = F.col("id").cast("string")
+    facts = ch.select("project", "id", F.concat("o_orderpriority", F.lit(" of "), id_text).alias("text"), F.col("number").alias("valid_from"), F.when(F.col("number") % 3 == 0, F.col("number") + 5).alias("valid_through"), (F.col("number") + (F.col("id") % 2).cast("int")).alias("revealed_at"), (F.col("number") % 50).alias("priority"))
+    sums = ch.select("project", "id", F.when(F.col("number") % 2 == 0, "volume").otherwise("chapter").alias("layer"), F.concat(F.lit("summary "), "o_orderstatus", F.lit(" "), id_text).alias("text"), (F.col("number") + 1).alias("valid_from"), (F.col("number") + 10).alias("valid_through"), F.lit(1).alias("priority"))
+    passages = ch.select("project", "id", F.col("number").alias("chapter"), F.concat(F.expr("repeat('passage ', cast(1 + id % 5 as int))"), id_text).alias("text"), ((F.col("number") % 10) / 10.0).alias("score"))
+    t = targets(ch)
+    return context.pooled(context.visible_facts(facts, t), context.visible_summaries(sums, t), context.visible_passages(passages, t))
+
+
+@query(f"WITH {CH} SELECT project, target, kind, count(*) AS n, sum(priority)::BIGINT AS priority FROM pool GROUP BY ALL")
+def context_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir).groupBy("project", "target", "kind").agg(F.count("*").alias("n"), F.sum("priority").alias("priority"))
+
+
+@query(f"""
+WITH RECURSIVE {CH}, c AS (SELECT *, greatest(1, ceil(length(text) / 4.0))::INT AS tokens, row_number() OVER (PARTITION BY project, target ORDER BY priority DESC, id, kind, text) AS rn FROM pool),
+fold AS (
+  SELECT project, target, 0::BIGINT AS rn, 0 AS used, '' AS kept, '' AS prompt FROM targets
+  UNION ALL
+  SELECT f.project, f.target, c.rn, CASE WHEN used + tokens <= 60 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 60 THEN kept || CASE WHEN kept = '' THEN '' ELSE ',' END || c.id ELSE kept END,
+         CASE WHEN used + tokens <= 60 THEN prompt || CASE WHEN prompt = '' THEN '' ELSE chr(10) END || '[' || kind || '] ' || text ELSE prompt END
+  FROM fold f JOIN c ON c.project = f.project AND c.target = f.target AND c.rn = f.rn + 1
+)
+SELECT project, target, used, kept, 'context_' || substr(sha256('context' || chr(0) || project || '|' || target || '|' || prompt), 1, 24) AS context_id FROM fold WHERE (project, target, rn) IN (SELECT (project, target, max(rn)) FROM c GROUP BY project, target)
+""")
+def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context of at most 60 tokens for every fourth chapter, all at once."""
+    return context.assembled(pool(spark, sf_dir), 60).drop("prompt")
+
+
+@query(f"WITH {CH} SELECT t.project, target, count(*) AS n, sum(round(number / target * 100))::BIGINT AS priority FROM ch JOIN targets t USING (project) WHERE number < target GROUP BY ALL")
+def prior_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = chapters(spark, sf_dir)
+    found = context.prior_drafts(ch.withColumn("content", F.col("o_orderpriority")), targets(ch))
+    return found.groupBy("project", "target").agg(F.count("*").alias("n"), F.sum("priority").alias("priority"))
+
+
+@query(f"WITH {CH} SELECT project, target, count(*) AS n FROM ch JOIN targets USING (project) WHERE o_orderstatus = 'F' AND coalesce(CASE WHEN number % 5 = 0 THEN number + 3 END, number) < target GROUP BY ALL")
+def visible_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = chapters(spark, sf_dir)
+    memories = ch.select("project", "id", F.col("number").alias("ordinal"), F.when(F.col("number") % 5 == 0, F.col("number") + 3).alias("visible_through"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("draft").alias("status"))
+    return context.visible_memories(memories, targets(ch)).groupBy("project", "target").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CH} SELECT project, target, o_orderpriority AS subject, arg_max(o_orderstatus, number) AS state FROM ch JOIN targets USING (project) WHERE number < target GROUP BY ALL")
+def states_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = chapters(spark, sf_dir)
+    return context.state_before(ch.select("project", "id", F.col("number").alias("ordinal"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("state")), targets(ch))
+
+
+@query(f"WITH {CH} SELECT project, count(*) AS n FROM ch WHERE number > 3 + project % 7 GROUP BY 1")
+def future_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = chapters(spark, sf_dir).select("project", F.col("number").alias("ordinal"), (F.lit(3) + F.col("project") % 7).alias("visible"))
+    return context.leaks(used).groupBy("project").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {CH}, t AS (SELECT project, max(target) AS target FROM targets GROUP BY 1)
+SELECT project, kind, count(*) AS n FROM (
+  SELECT c.project, 'chapter' AS kind FROM ch c JOIN t ON t.project = c.project AND number = target
+  UNION ALL SELECT c.project, 'plan' FROM ch c JOIN t ON t.project = c.project AND number = target
+  UNION ALL SELECT c_custkey, 'canon' FROM customer JOIN t ON project = c_custkey
+  UNION ALL SELECT c.project, 'prior' FROM ch c JOIN t USING (project) WHERE number < target AND o_orderstatus <> 'P'
+  UNION ALL SELECT c.project, 'future' FROM ch c JOIN t USING (project) WHERE number > target AND o_orderstatus <> 'P'
+) GROUP BY ALL
+""")
+def consistency_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch = chapters(spark, sf_dir)
+    last = targets(ch).groupBy("project").agg(F.max("target").alias("target"))
+    own = ch.join(last, "project").where("number = target")
+    chapter = own.select("project", "target", "id", F.lit("text").alias("text"))
+    plan = own.select("project", "target", "id", F.col("o_orderpriority").alias("text"))
+    canon = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
+    drafts = ch.select("project", "id", "number", F.when(F.col("o_orderstatus") == "P", "{}").otherwise("draft").alias("text"))
+    return context.chapter_sources(chapter, plan, canon, drafts).groupBy("project", "kind").agg(F.count("*").alias("n"))

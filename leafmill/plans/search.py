@@ -1 +1,65 @@
-"""Queries."""
+"""Search queries: benchmark items are queries, documents segments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.operators import search
+from leafmill.plans._base import query, table
+
+INDEX = r"""
+tok AS (SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS token FROM documents),
+size AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS size FROM documents),
+post AS (SELECT token, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[:3], ' ')), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS token FROM benchmark),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY 1), st AS (SELECT count(*) AS docs, avg(size) AS mean FROM size)
+"""
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ").alias("text"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return search.postings(docs, "doc_id", "text"), docs.select("doc_id", "source", F.size(search.tokens(F.col("text"))).alias("size"))
+
+
+@query(f"""
+WITH {INDEX}, s AS (
+  SELECT item_id, doc_id, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score, count(*) AS got
+  FROM post JOIN df USING (token) JOIN q USING (token) JOIN size USING (doc_id), st GROUP BY 1, 2
+), r AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s JOIN (SELECT item_id, count(*) AS need FROM q GROUP BY 1) USING (item_id) WHERE got = need)
+SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20
+""")
+def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty segments of each query."""
+    posts, sizes = index(spark, sf_dir)
+    found = search.search(posts, sizes, queries(spark, sf_dir), "doc_id", "item_id", 20)
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {INDEX}, s AS (
+  SELECT item_id, doc_id, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score, count(*) AS got
+  FROM post JOIN df USING (token) JOIN q USING (token) JOIN size USING (doc_id), st GROUP BY 1, 2
+), r AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s JOIN (SELECT item_id, count(*) AS need FROM q GROUP BY 1) USING (item_id) JOIN size USING (doc_id) WHERE got = need AND source = 'src3')
+SELECT item_id, doc_id, round(score, 6) AS score, d.lang FROM r JOIN documents d USING (doc_id) WHERE rank <= 5
+""")
+def project_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of one project, joined to their documents; statistics are the whole index's."""
+    posts, sizes = index(spark, sf_dir)
+    found = search.search(posts, sizes, queries(spark, sf_dir), "doc_id", "item_id", 5, F.col("source") == "src3")
+    return found.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "lang")
+
+
+@query(f"WITH {INDEX} SELECT doc_id % 10 AS shard, count(*) AS n, sum(tf)::BIGINT AS tf FROM post WHERE doc_id % 10 <> 3 GROUP BY 1 UNION ALL SELECT 10, count(*), sum(tf)::BIGINT FROM (SELECT conv_id, turn, token, count(*) AS tf FROM (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS token FROM conversations) GROUP BY ALL)")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document leaves the index and the conversations' turns come in."""
+    posts, _ = index(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").select((-(F.col("conv_id") * 100 + F.col("turn")) - 1).alias("doc_id"), "text")
+    removed = table(spark, sf_dir, "documents").where("doc_id % 10 = 3")
+    kept = search.maintained(posts, "doc_id", removed, search.postings(turns, "doc_id", "text"))
+    shard = F.when(F.col("doc_id") < 0, 10).otherwise(F.col("doc_id") % 10)
+    return kept.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
