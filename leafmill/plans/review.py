@@ -1 +1,160 @@
-"""Queries."""
+"""Review queries: events are task, decision and write logs; conversations are saves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.functions import or_default, reasons, unfenced
+from leafmill.operators import context, review
+from leafmill.plans._base import query, table
+
+STATES = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END"
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "click", "paused").when(F.col("event_type") == "purchase", "succeeded").otherwise("failed")
+    return table(spark, sf_dir, "events").withColumn("status", status)
+
+
+@query("SELECT user_id, event_type, props, min(event_id) AS event_id FROM events GROUP BY ALL")
+def idempotent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.first_by_key(table(spark, sf_dir, "events").select("user_id", "event_type", "props", "event_id"), ["user_id", "event_type", "props"], ["event_id"])
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, {STATES} AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+SELECT status, before, CASE WHEN before IS NULL THEN status = 'queued' ELSE list_contains(CASE before WHEN 'queued' THEN ['running', 'cancelled'] WHEN 'running' THEN ['paused', 'succeeded', 'failed', 'cancelled'] WHEN 'paused' THEN ['queued', 'running', 'cancelled'] WHEN 'failed' THEN ['queued'] ELSE [] END, status) END AS legal, count(*) AS n
+FROM b GROUP BY ALL
+""")
+def task_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.transitions(log(spark, sf_dir), "user_id", "event_id", "status").groupBy("status", "before", "legal").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY event_id % 4000 ORDER BY event_id) AS nth FROM events)
+SELECT user_id, event_type, count(*) AS revision, round(arg_max(value, event_id), 6) AS value FROM d WHERE nth = 1 AND value > 50 GROUP BY ALL
+""")
+def candidate_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = table(spark, sf_dir, "events").withColumn("candidate", F.col("event_id") % 4000).withColumn("decision", F.when(F.col("value") > 50, "accepted").otherwise("rejected"))
+    entries, _ = review.reviewed(decisions, "candidate", ["user_id", "event_type"], "event_id")
+    return entries.withColumn("value", F.round("value", 6))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def latest_review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.latest_status(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT user_id, event_id, (event_id % 3)::INT AS gap, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0 AS rev, false AS accepted FROM (SELECT DISTINCT user_id FROM w)
+  UNION ALL SELECT f.user_id, w.rn, w.event_id, CASE WHEN least(w.rn - 1, 5) - w.gap = f.rev THEN f.rev + 1 ELSE f.rev END::INT, least(w.rn - 1, 5) - w.gap = f.rev FROM f JOIN w ON w.user_id = f.user_id AND w.rn = f.rn + 1)
+SELECT user_id, event_id, rev AS revision, accepted FROM f WHERE rn > 0
+""")
+def optimistic_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    writes = table(spark, sf_dir, "events").withColumn("expected", (F.least(rn - 1, F.lit(5)) - F.col("event_id") % 3).cast("int")).select("user_id", "event_id", "expected")
+    return review.optimistic(writes, ["user_id"], "event_id", "expected").select("user_id", "event_id", "revision", "accepted")
+
+
+@query("""
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type
+""")
+def draft_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = review.versions(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    return rows.select("user_id", "event_id", F.col("revision").cast("long").alias("revision"))
+
+
+@query("""
+SELECT source, sha, doc_id FROM (SELECT source, sha256(text) AS sha, doc_id, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id DESC) AS rn FROM documents WHERE doc_id % 2 = 1) WHERE rn = 1
+UNION ALL SELECT source, sha, doc_id FROM (SELECT source, sha256(text) AS sha, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) WHERE (source, sha) NOT IN (SELECT (source, sha256(text)) FROM documents WHERE doc_id % 2 = 1)
+""")
+def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd documents come in over even ones, by book and content."""
+    docs = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("sha"), "doc_id")
+    current = review.first_by_key(docs.where("doc_id % 2 = 0"), ["source", "sha"], ["doc_id"])
+    return review.upserted(current, docs.where("doc_id % 2 = 1"), ["source", "sha"], ["doc_id"])
+
+
+@query("""
+SELECT o.o_orderkey || '-copy' AS o_orderkey, c.c_custkey || '-copy' AS o_custkey, count(*) AS scenes FROM customer c JOIN orders o ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 3 GROUP BY ALL
+""")
+def project_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"customer": table(spark, sf_dir, "customer").where("c_nationkey = 3"), "orders": table(spark, sf_dir, "orders"), "lineitem": table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))}
+    own = tables["orders"].join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    copy = review.copied(tables | {"orders": own}, {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "line_id"}, {"orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders"}}, "-copy")
+    lines = copy["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("scenes"))
+    return copy["orders"].join(lines, "o_orderkey").select("o_orderkey", "o_custkey", "scenes")
+
+
+@query("SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey <> 2 GROUP BY 1")
+def trash_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").withColumn("trashed_at", F.when(F.col("n_regionkey") == 2, F.lit(1)))
+    kept = review.alive(nations.withColumnRenamed("n_nationkey", "c_nationkey"), table(spark, sf_dir, "customer"), "c_nationkey")
+    return kept.join(nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) FILTER (WHERE ok) AS admitted, count(*) FILTER (WHERE NOT ok) AS refused FROM (SELECT source, coalesce(quality = 1, false) AS ok FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1")
+def rights_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    confirmations = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("confirmed"), F.lit(1).alias("version"))
+    yes, no = review.rights_gate(docs, confirmations, "doc_id")
+    rows = yes.withColumn("ok", F.lit(1)).unionByName(no.withColumn("ok", F.lit(0)))
+    return rows.groupBy("source").agg(F.sum("ok").alias("admitted"), F.sum(1 - F.col("ok")).alias("refused"))
+
+
+@query("SELECT o_orderstatus, count(*) FILTER (WHERE good) AS owned, count(*) FILTER (WHERE NOT good) AS offenders FROM (SELECT o_orderstatus, o_orderkey % 5 <> 0 AS good FROM orders) GROUP BY 1")
+def ownership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on orders, every fifth by a customer that does not have it."""
+    orders = table(spark, sf_dir, "orders")
+    claims = orders.select(F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(F.col("o_custkey")).alias("document"), F.lit("p").alias("project"), F.col("o_orderkey").alias("chapter"), "o_orderstatus")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document"), F.lit("p").alias("project"))
+    good, bad = review.owned(claims, orders.select(F.col("o_orderkey").alias("chapter"), F.col("o_custkey").alias("document")), customers)
+    rows = good.withColumn("ok", F.lit(1)).unionByName(bad.withColumn("ok", F.lit(0)))
+    return rows.groupBy("o_orderstatus").agg(F.sum("ok").alias("owned"), F.sum(1 - F.col("ok")).alias("offenders"))
+
+
+@query("""
+WITH c AS (SELECT b.item_id, d.doc_id, d.text AS src, b.text AS quote FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)
+SELECT item_id, count(*) FILTER (WHERE contains(lower(trim(regexp_replace(src, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))))) AS verified, count(*) AS cited FROM c GROUP BY 1
+""")
+def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    cited = docs.select("source_id", (F.col("source_id") % 40).alias("item_id")).join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "item_id")
+    return review.quotes(cited, docs).groupBy("item_id").agg(F.count_if(F.col("verdict") == "verified").alias("verified"), F.count("*").alias("cited"))
+
+
+@query(f"""
+WITH r AS (SELECT user_id AS project, event_type AS kind, props AS input_hash, value AS result, event_id AS seq, {STATES} AS status FROM events)
+SELECT q.project, q.seq, round(d.reuse, 6) AS reuse FROM r q LEFT JOIN (SELECT project, kind, input_hash, arg_max(result, seq) AS reuse FROM r WHERE status = 'succeeded' GROUP BY ALL) d USING (project, kind, input_hash) WHERE q.seq % 10 = 0
+""")
+def result_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = log(spark, sf_dir).select(F.col("user_id").alias("project"), F.col("event_type").alias("kind"), F.col("props").alias("input_hash"), F.col("value").alias("result"), F.col("event_id").alias("seq"), "status")
+    return review.reusable(runs.where("seq % 10 = 0").drop("result", "status"), runs).select("project", "seq", F.round("reuse", 6).alias("reuse"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3")
+def latest_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 3).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT event_type, reason, count(*) AS n FROM (SELECT event_type, unnest(list_filter([CASE WHEN value IS NULL OR value < 10 THEN 'value' END, CASE WHEN event_type NOT IN ('view', 'click', 'signup', 'purchase') THEN 'event_type' END, CASE WHEN try_cast(props AS JSON) IS NULL THEN 'props' END], lambda x: x IS NOT NULL)) AS reason FROM events) GROUP BY ALL")
+def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = reasons((F.col("value").isNull() | (F.col("value") < 10), "value"), (~F.col("event_type").isin("view", "click", "signup", "purchase"), "event_type"), (F.try_parse_json("props").isNull(), "props"))
+    _, bad = review.validated(table(spark, sf_dir, "events"), rules)
+    return bad.select("event_type", F.explode("reasons").alias("reason")).groupBy("event_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, props ->> '$.page' AS page FROM events")
+def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in a code fence, read as JSON with a schema."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")).alias("answer"))
+    return rows.select("event_id", F.get_json_object(unfenced(F.col("answer")), "$.page").alias("page"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE lang END AS lang FROM documents")
+def defaulted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", or_default(F.when(F.col("doc_id") % 5 == 0, F.lit("  ")).otherwise(F.col("lang")), "unknown").alias("lang"))
