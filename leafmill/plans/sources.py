@@ -1 +1,98 @@
-"""Queries."""
+"""Source and sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.operators.infer import generated
+from leafmill.plans._base import query, table
+from leafmill.plans.structure import books
+from leafmill.scratch import Tables
+from leafmill.sources import exports, files
+
+
+@query("SELECT url AS path, octet_length(encode(html))::BIGINT AS size, sha256(html) AS sha256, CASE WHEN regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) IN ('txt', 'md') THEN 'text' END AS format FROM pages")
+def binary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    return files.described(rows).select("path", "size", "sha256", "format")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8-bom' WHEN 1 THEN 'utf-16le' ELSE 'utf-8' END AS encoding, md5(text) AS digest FROM documents")
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in three encodings and read again."""
+    m = F.col("doc_id") % 3
+    content = F.when(m == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).when(m == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
+    return files.decoded(table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))).select("doc_id", "encoding", F.md5("text").alias("digest"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and text of every page, held against brute force in the tests."""
+    return files.pages_text(table(spark, sf_dir, "pages"), "page_id").select("page_id", "title", F.length("text").alias("size"))
+
+
+@query()
+def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page packed into an archive of its own and read again by its spine."""
+    from leafmill.sources.packing import packed
+
+    archives = packed(table(spark, sf_dir, "pages"), "url", "html")
+    return files.epub_chapters(archives).select("path", "position", "href", "title", F.length("text").alias("size"), "issue")
+
+
+@query("SELECT source, sha256(text) AS sha256, min(doc_id)::VARCHAR AS path, count(*) AS copies FROM documents GROUP BY ALL")
+def preserved_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"))
+    return files.preserved(rows, "source").select("source", "sha256", F.col("path").cast("long").cast("string").alias("path"), "copies")
+
+
+TEXT = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""
+SELECT source, md5(source || chr(10) || chr(10) || string_agg('第' || n || '章 ' || lang || chr(10) || chr(10) || {TEXT}, chr(10) || chr(10) ORDER BY n)) AS plain,
+       md5('# ' || source || chr(10) || chr(10) || string_agg('## 第' || n || '章 ' || lang || chr(10) || chr(10) || {TEXT}, chr(10) || chr(10) ORDER BY n) || chr(10)) AS markdown
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) WHERE doc_id % 3 > 0 GROUP BY source
+""")
+def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sinks over the chapters that have a draft."""
+    plan = books(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").drop("text")
+    drafts = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "text")
+    rows = exports.selected(plan, drafts, ["doc_id"], "text")
+    plain = exports.manuscripts(rows, "source", "ordinal", "lang", "text").select("source", F.md5("manuscript").alias("plain"))
+    marked = exports.manuscripts(rows, "source", "ordinal", "lang", "text", True).select("source", F.md5("manuscript").alias("markdown"))
+    return plain.join(marked, "source")
+
+
+@query("""
+SELECT c_custkey || '-r' AS project_id, status, count(*) AS n FROM (SELECT c_custkey, CASE o_orderstatus WHEN 'O' THEN 'paused' ELSE o_orderstatus END AS status FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 5) GROUP BY ALL
+""")
+def bundle_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects written as a bundle, read again and restored under new ids."""
+    projects = table(spark, sf_dir, "customer").where("c_nationkey = 5").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
+    orders = table(spark, sf_dir, "orders").join(projects, F.col("o_custkey") == F.col("project_id"), "left_semi")
+    tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise(F.col("o_orderstatus")).alias("status"))
+    chapters = orders.select(F.col("o_orderkey").alias("chapter_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("title"))
+    path = Tables(spark).path("bundle")
+    exports.write_bundle({"projects": projects, "chapters": chapters, "task_runs": tasks}, path)
+    back = exports.restored(exports.read_bundle(spark, path), "-r")
+    return back["task_runs"].groupBy("project_id", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, upper(lang) AS result, 'ok' AS outcome FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def batch_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inference hook with a deterministic stand-in, for chapters that have no accepted answer."""
+    done = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    requests = table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").select("doc_id", F.col("lang").alias("prompt"))
+    return generated(requests, "doc_id", "prompt", str.upper).select("doc_id", "result", "outcome")
+
+
+@query("SELECT doc_id, count(*) AS chapters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1")
+def line_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function from SQL, with a lateral join."""
+    from leafmill.operators.infer import register_functions
+
+    register_functions(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("leafmill_documents")
+    return spark.sql("SELECT doc_id, count(*) AS chapters FROM leafmill_documents d, LATERAL text_pieces(d.text, char(10)) GROUP BY doc_id")

@@ -1 +1,50 @@
-"""Queries."""
+"""Stream queries, drained over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.plans._base import query, table
+from leafmill.plans.review import STATES
+from leafmill.scratch import Tables
+from leafmill.streaming import jobs
+
+
+@query("SELECT conv_id AS task, md5(string_agg(text, '' ORDER BY turn)) AS digest, sum(length(text))::BIGINT AS tokens FROM conversations GROUP BY 1")
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as text deltas of one task each, with a done event behind them."""
+    tables = Tables(spark)
+    turns = table(spark, sf_dir, "conversations")
+    deltas = turns.select(F.col("conv_id").alias("task"), F.col("turn").cast("long").alias("seq"), F.lit("text_delta").alias("kind"), "text", F.length("text").cast("long").alias("tokens"))
+    done = turns.groupBy(F.col("conv_id").alias("task")).agg((F.max("turn") + 1).cast("long").alias("seq")).select("task", "seq", F.lit("done").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("tokens"))
+    path = tables.path("events")
+    deltas.unionByName(done).write.parquet(path)
+    found = jobs.drained(jobs.assembled_answers(jobs.opened(spark, path)), tables, "answers")
+    return found.select("task", F.md5("text").alias("digest"), "tokens")
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, {STATES} AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+SELECT user_id AS task, event_id AS seq, status, before, CASE WHEN before IS NULL THEN status = 'queued' ELSE list_contains(CASE before WHEN 'queued' THEN ['running', 'cancelled'] WHEN 'running' THEN ['paused', 'succeeded', 'failed', 'cancelled'] WHEN 'paused' THEN ['queued', 'running', 'cancelled'] WHEN 'failed' THEN ['queued'] ELSE [] END, status) END AS legal FROM b
+""")
+def stream_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs.opened(spark, f"{sf_dir}/events.parquet")
+    status = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END")
+    return jobs.drained(jobs.task_states(rows.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), status.alias("status"))), Tables(spark), "states")
+
+
+@query("""
+SELECT user_id AS project, strftime(ts::DATE, '%Y-%m-%d') AS day, sum(floor(value)::BIGINT)::BIGINT AS tokens, sum(floor(value)) > 200 AS over FROM events
+GROUP BY user_id, ts::DATE HAVING (ts::DATE + 1)::TIMESTAMP <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR
+""")
+def stream_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs.opened(spark, f"{sf_dir}/events.parquet")
+    events = rows.select(F.col("user_id").alias("project"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("tokens"))
+    return jobs.drained(jobs.daily_usage(events, "6 hours", 200), Tables(spark), "usage")
+
+
+@query("SELECT DISTINCT source, sha256(text) AS sha256 FROM documents")
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs.opened(spark, f"{sf_dir}/documents.parquet").select("source", F.sha2("text", 256).alias("sha256"))
+    return jobs.intake(rows, Tables(spark), ["source", "sha256"])
