@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BYTE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
-_STEP = U64(0x9E3779B97F4A7C15)
+#: Masks of the first n bytes of a little-endian word of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 #: The separators \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,15 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _STEP, U64)
-    out[0] = U64(1)
-    return np.multiply.accumulate(out)
-
-
-_POW = powers(4096)
-
-
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its n + 1 offsets into them; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -80,20 +71,17 @@ class Words:
         raw = buf[base : int(offs[-1])]
         self.buf = LOWER[raw] if lower else raw
         self.offs = offs - base
-        word = ~between[raw]
-        begins = np.empty(len(word), bool)
-        if len(word):
-            begins[0] = True
-            begins[1:] = ~word[:-1]
-            inner = self.offs[:-1]
-            begins[inner[inner < len(word)]] = True
-            begins &= word
+        n = len(raw)
+        word = np.zeros(n + 1, bool)
+        np.logical_not(between[raw], out=word[:n])
+        opens = np.zeros(n + 1, bool)  # a text begins here
+        opens[self.offs] = True
+        begins, ends = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1] | opens[1:]
+        ends[:-1] &= ~word[1:] | opens[1:]
         self.start = np.flatnonzero(begins)
-        at = np.flatnonzero(word)
-        first = np.searchsorted(at, self.start)
-        self.length = np.diff(np.append(first, len(at)))
+        self.length = np.flatnonzero(ends) + 1 - self.start
         self.first = np.searchsorted(self.start, self.offs)
-        self.at, self.at_first = at, first
 
     @property
     def count(self) -> int:
@@ -104,12 +92,19 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), np.diff(self.first))
 
     def hash(self) -> np.ndarray:
+        """Eight bytes at a time, so work grows with the words rather than their bytes."""
         if not self.count:
             return np.zeros(0, U64)
-        place = self.at - np.repeat(self.start, self.length)
-        longest = int(self.length.max())
-        table = _POW if longest <= len(_POW) else powers(longest)
-        return mix(np.add.reduceat(_BYTE[self.buf[self.at]] * table[place], self.at_first) + self.length.astype(U64))
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
+        out = mix((eights[self.start] & _FIRST[np.minimum(self.length, 8)]) + self.length.astype(U64))
+        left, k = np.flatnonzero(self.length > 8), 8
+        while len(left):
+            part = eights[self.start[left] + k] & _FIRST[np.minimum(self.length[left] - k, 8)]
+            out[left] = mix(out[left] * U64(31) + part)
+            k += 8
+            left = left[self.length[left] > k]
+        return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,8 @@ Documents are cut into passages of PASSAGE words over FEATURES hashed words. One
 more gathers the product of the passages' TF-IDF Gram matrix with a random test matrix, summed over tasks in Spark, from
 which a Nystroem step takes the leading singular vectors (Halko, Martinsson and Tropp, 2011; Tropp et al., 2017). The
 last pass folds every window of every document into the latent space and compares it with all benchmark items by cosine,
-in blocks; candidates are decided by the longest common subsequence of words, and paraphrases also by their answer, the
-item's last words.
+in blocks; a candidate must share WEIGHT of the IDF weight of the item's HEAVY weightiest words, and is decided by the longest common subsequence of
+words, a paraphrase also by its answer, the item's last words.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from leafmill.llm._words import PUNCTUATION, Words, column_bytes, slices
 from leafmill.scratch import Tables
 
-FEATURES, RANK, EXTRA, PASSAGE, STRIDE = 8192, 48, 16, 64, 16
-COSINE, SHARE, PARAPHRASE, ANSWER, LEAST_WORDS = 0.38, 0.75, 0.5, 5, 5
+FEATURES, RANK, EXTRA, PASSAGE, STRIDE = 8192, 40, 8, 64, 16
+COSINE, WEIGHT, SHARE, PARAPHRASE, ANSWER, LEAST_WORDS, HEAVY = 0.4, 0.5, 0.75, 0.5, 5, 5, 8
 #: Items whose latent vectors are compared in one pass; more make more passes.
 ITEMS_AT_ONCE = 20_000
 _CHUNKS, _SALTS = 128, 16
@@ -74,9 +74,10 @@ def _summed(rows: DataFrame, dtype: str) -> bytes:
 
 @dataclass
 class Latent:
-    """``fold``: a word's feature to its weighted latent row, (FEATURES, rank) in single precision."""
+    """``fold``: a word's feature to its weighted latent row, (FEATURES, rank) in single precision; ``idf`` by feature."""
 
     fold: np.ndarray
+    idf: np.ndarray
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         total = self.fold[_feature(hashes)].sum(0, dtype=np.float64)
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Latent:
                 norm = np.sqrt(np.add.reduceat(weight**2, begin))
                 weight /= np.maximum(norm, 1e-12)[passage]
                 y = np.add.reduceat(omega[feature] * weight[:, None], begin, axis=0)
-                order = np.argsort(feature, kind="stable")
+                order = np.argsort(feature.astype(np.uint16), kind="stable")
                 f = feature[order]
                 first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
                 out[f[first]] += np.add.reduceat(y[passage[order]] * weight[order, None], first, axis=0)
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Latent:
     u, s, _ = np.linalg.svd(shifted @ (vectors / np.sqrt(values)), full_matrices=False)
     sigma = np.sqrt(np.maximum(s**2 - shift, 1e-12))[:RANK]
     keep = sigma > 1e-3 * sigma[0]
-    return Latent((idf[:, None] * u[:, :RANK][:, keep] / sigma[keep]).astype(np.float32))
+    return Latent((idf[:, None] * u[:, :RANK][:, keep] / sigma[keep]).astype(np.float32), idf)
 
 
 @dataclass
@@ -143,6 +144,7 @@ class Item:
     words: np.ndarray
 
     def __post_init__(self):
+        self.features = _feature(self.words)
         self.masks: dict[int, int] = {}
         for k, w in enumerate(self.words.tolist()):
             self.masks[w] = self.masks.get(w, 0) | 1 << k
@@ -166,6 +168,16 @@ class Item:
         return any(window[i : i + k] == self.answer for i in range(len(window) - k + 1))
 
 
+def _shared_weight(windows: np.ndarray, item: Item, idf: np.ndarray) -> np.ndarray:
+    """The share of the IDF weight of an item's HEAVY weightiest words that a window has, for rows of window features."""
+    heavy = item.features[np.argsort(-idf[item.features], kind="stable")[:HEAVY]]
+    weight = idf[heavy]
+    out = np.zeros(len(windows))
+    for f, w in zip(heavy.astype(np.uint16), weight, strict=True):
+        out += w * (windows == f).any(1)
+    return out / max(float(weight.sum()), 1e-12)
+
+
 def _found(column: pa.Array, latent: Latent, groups: list[tuple[int, list[Item], np.ndarray]]) -> Iterator[tuple[int, Item, float, float, bool]]:
     """(row, item, cosine, share, answered) of every item that a text holds; the best window of each."""
     for i, j, words, hashes in _words(column):
@@ -177,24 +189,29 @@ def _found(column: pa.Array, latent: Latent, groups: list[tuple[int, list[Item],
         end = np.cumsum(per)
         nth = np.arange(end[-1]) - np.repeat(end - per, per)
         begin = words.first[text] + nth * STRIDE
-        blocks = np.add.reduceat(latent.fold[_feature(hashes)], begin, axis=0)
+        features = _feature(hashes)
+        blocks = np.add.reduceat(latent.fold[features], begin, axis=0)
+        padded = np.concatenate([features.astype(np.uint16), np.full(STRIDE * max((g[0] for g in groups), default=1), FEATURES, np.uint16)])
         running = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
         best: dict[tuple[int, int], tuple] = {}
         for size, items, vectors in groups:
             stop = np.minimum(np.arange(len(text)) + size, end[text])
             windows = (running[stop] - running[:-1]).astype(np.float32)
             windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
+            last = np.minimum(begin + size * STRIDE, words.first[text + 1])
             for at in range(0, len(windows), 4096):  # blocks of windows against all items of a size
                 near = windows[at : at + 4096] @ vectors.T
-                for x, y in zip(*np.nonzero(near >= COSINE), strict=True):
-                    w, item = at + x, items[y]
-                    last = min(begin[w] + size * STRIDE, words.first[text[w] + 1])
-                    window = hashes[begin[w] : last].tolist()
-                    share = item.common(window)
-                    if share >= PARAPHRASE:
-                        answered = item.answered(window)
-                        if (share >= SHARE or answered) and share > best.get((text[w], item.id), (0, 0, -1.0))[2]:
-                            best[(text[w], item.id)] = (item, float(near[x, y]), share, answered)
+                for y in np.flatnonzero((near >= COSINE).any(0)):
+                    item, rows = items[y], at + np.flatnonzero(near[:, y] >= COSINE)
+                    # a window at a text's end also shows the next text's words here; the subsequence does not
+                    shown = padded[begin[rows][:, None] + np.arange(size * STRIDE)]
+                    for w in rows[_shared_weight(shown, item, latent.idf) >= WEIGHT]:
+                        window = hashes[begin[w] : last[w]].tolist()
+                        share = item.common(window)
+                        if share >= PARAPHRASE:
+                            answered = item.answered(window)
+                            if (share >= SHARE or answered) and share > best.get((text[w], item.id), (0, 0, -1.0))[2]:
+                                best[(text[w], item.id)] = (item, float(near[w - at, y]), share, answered)
         for (t, _), (item, cosine, share, answered) in best.items():
             yield i + int(t), item, cosine, share, answered
 
