@@ -18,10 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmill.llm._words import PUNCTUATION, Words, column_bytes, slices
-from leafmill.scratch import Tables
 
 FEATURES, RANK, EXTRA, PASSAGE, STRIDE = 8192, 40, 8, 64, 16
 COSINE, WEIGHT, SHARE, PARAPHRASE, ANSWER, LEAST_WORDS, HEAVY = 0.4, 0.5, 0.75, 0.5, 5, 5, 8

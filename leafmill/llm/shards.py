@@ -67,33 +67,25 @@ def names(n: int = SHARDS) -> list[str]:
     return [f"shard-{i:05d}" for i in range(n)]
 
 
-#: The same placement in DuckDB: one step a turn.
-ORACLE = f"""
+def oracle(n: int = SHARDS, slots: int = SLOTS) -> str:
+    """The placement of documents in DuckDB: one step a turn."""
+    h = lambda x: f"(('0x' || md5({x})[:15])::BIGINT)"
+    return f"""
 WITH RECURSIVE shards AS (
-  SELECT i::INT AS i, name, (h(('offset:' || name)) % {SLOTS})::INT AS o, (h(('skip:' || name)) % {SLOTS - 1} + 1)::INT AS s
-  FROM (SELECT i, 'shard-' || lpad(i::VARCHAR, 5, '0') AS name FROM range({SHARDS}) t(i))
+  SELECT i::INT AS i, name, ({h("'offset:' || name")} % {slots})::INT AS o, ({h("'skip:' || name")} % {slots - 1} + 1)::INT AS s
+  FROM (SELECT i, 'shard-' || lpad(i::VARCHAR, 5, '0') AS name FROM range({n}) t(i))
 ), orders AS (
-  SELECT i, name, list_transform(range({SLOTS}), lambda k: ((o + k * s) % {SLOTS})::INT) AS slots FROM shards
+  SELECT i, name, list_transform(range({slots}), lambda k: ((o + k * s) % {slots})::INT) AS slots FROM shards
 ), fill(turn, owner) AS (
-  SELECT 0, list_transform(range({SLOTS}), lambda k: -1)
+  SELECT 0, list_transform(range({slots}), lambda k: -1)
   UNION ALL
-  SELECT turn + 1, list_concat(owner[:pick], [turn % {SHARDS}], owner[pick + 2:])
-  FROM (SELECT turn, owner, list_filter(slots, lambda x: owner[x + 1] < 0)[1] AS pick FROM fill JOIN orders ON i = turn % {SHARDS} WHERE turn < {SLOTS})
+  SELECT turn + 1, list_concat(owner[:pick], [turn % {n}], owner[pick + 2:])
+  FROM (SELECT turn, owner, list_filter(slots, lambda x: owner[x + 1] < 0)[1] AS pick FROM fill JOIN orders ON i = turn % {n} WHERE turn < {slots})
 ), filled AS (
-  SELECT slot::INT AS slot, owner[slot + 1] AS i FROM fill, range({SLOTS}) r(slot) WHERE turn = {SLOTS}
+  SELECT slot::INT AS slot, owner[slot + 1] AS i FROM fill, range({slots}) r(slot) WHERE turn = {slots}
 )
 SELECT doc_id, f.slot, s.name AS shard
 FROM documents d
-JOIN filled f ON f.slot = h(coalesce(d.doc_id::VARCHAR, '')) % {SLOTS}
+JOIN filled f ON f.slot = {h("coalesce(d.doc_id::VARCHAR, '')")} % {slots}
 JOIN shards s ON s.i = f.i
 """
-
-
-def oracle() -> str:
-    """DuckDB has no MD5 to long of one name, so ``h`` is written out."""
-    import re
-
-    def out(m: re.Match) -> str:
-        return f"(('0x' || md5({m[1]})[:15])::BIGINT)"
-
-    return re.sub(r"\bh\(((?:[^()]|\([^()]*\))*)\)", out, ORACLE)
