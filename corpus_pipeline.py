@@ -36,8 +36,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked where they stand, so no document goes; n_chars follows the text."""
-    masked = secret_ledger.redacted(docs)
+    """Secrets that the ledger has of a text are masked where they stand, so no document goes; n_chars follows the text."""
+    masked = secret_ledger.redacted(docs, Tables(spark))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

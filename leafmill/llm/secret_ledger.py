@@ -44,6 +44,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 FINDING = "struct<start:int,end:int>"
+LEDGER = f"blob string, kind string, version int, found array<{FINDING}>"
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -90,7 +91,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     due = versions
     if ledger is not None:
         current = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-        wanted = ledger.where(reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules]))
+        wanted = ledger.where(_current(rules))
         have = wanted.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))
         due = versions.join(have, "blob", "left").where(F.size(F.array_except(current, F.coalesce("have", F.array().cast("array<struct<kind:string,version:int>>")))) > 0)
         known = [F.coalesce(F.array_contains("have", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.lit(False)) for r in rules]
@@ -107,8 +108,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, n_<kind> ..., base_list, all_list) of blobs with a finding under the current rules: lists of kind:start:end."""
     order = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.order))))
-    wanted = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
-    hits = ledger.where((F.size("found") > 0) & wanted).select("blob", F.transform("found", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("order"), F.concat_ws(":", "kind", s["start"], s["end"]).alias("name"), F.col("kind").alias("kind"))).alias("spans"))
+    hits = ledger.where((F.size("found") > 0) & _current(rules)).select("blob", F.transform("found", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("order"), F.concat_ws(":", "kind", s["start"], s["end"]).alias("name"), F.col("kind").alias("kind"))).alias("spans"))
     merged = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     names = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: s["name"]), ",")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -116,6 +116,19 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return merged.select("blob", *counts, names(lambda s: s["kind"].isin(*BASE)).alias("base"), names(lambda s: F.lit(True)).alias("spans"))
 
 
+def _current(rules: tuple[Rule, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
+
+
+def scanned(versions: DataFrame, tables: Tables, ledger_path: str | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger after a scan of (blob, text), which appends what it lacks; a run without a path has a ledger of its own."""
+    spark = versions.sparkSession
+    before = spark.read.schema(LEDGER).parquet(ledger_path) if ledger_path is not None and _exists(spark, ledger_path) else None
+    path = ledger_path or tables.path("ledger")
+    scan(versions, before, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def report(docs: DataFrame, tables: Tables, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per version: id, n_assign, n_access, n_hex, base_sha256, spans (of all rules), from the ledger.
 
@@ -123,14 +136,7 @@ def report(docs: DataFrame, tables: Tables, ledger_path: str | None = None, id_c
     empty texts are the empty blob, which has no findings; repeated rows give a row each; an empty table gives none.
     """
     versions = addressed(docs, id_col, text_col)
-    spark = docs.sparkSession
-    before = None
-    if ledger_path is not None:
-        before = spark.createDataFrame([], f"blob string, kind string, version int, found array<{FINDING}>")
-        before = spark.read.schema(before.schema).parquet(ledger_path) if _exists(spark, ledger_path) else None
-    path = ledger_path or tables.path("ledger")
-    scan(versions, before, rules).write.mode("append").parquet(path)
-    found = tables.save(findings(spark.read.parquet(path), rules), "findings")
+    found = tables.save(findings(scanned(versions, tables, ledger_path, rules), rules), "findings")
     joined = versions.select("path", "blob").join(found, "blob", "left")
     counts = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE]
     return joined.select(F.col("path").alias(id_col), *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
@@ -141,13 +147,25 @@ def _exists(spark, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with every finding in their text replaced by ``mask``; overlapping findings become one mask. Null texts
-    stay null; no row goes."""
-    found = F.array_sort(F.concat(*(spans(F.col(text_col), r) for r in rules)))
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["out"], F.when(x["start"] >= s["at"], F.concat(F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("out"))
-    )
+def masked(text: Column, found: Column, mask: str) -> Column:
+    """A text with its spans, in order of their starts, replaced by ``mask``; overlapping ones become one mask."""
+
+    def step(s: Column, x: Column) -> Column:
+        before = F.when(x["start"] >= s["at"], F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(F.lit(""))
+        return F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], before).alias("out")))
+
     done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    tail = F.substring(F.col(text_col), done["at"] + 1, F.length(text_col))
-    return docs.withColumn(text_col, F.when(F.size(found) > 0, F.concat(done["out"], tail)).otherwise(F.col(text_col)))
+    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+
+def redacted(docs: DataFrame, tables: Tables, ledger_path: str | None = None, text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows with every finding in their text masked, by the ledger as in ``report``: a text is scanned once however
+    many rows hold it. Null texts stay null; no row goes and no other column changes. The join is the same at every size."""
+    key = "__blob"
+    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    ledger = scanned(docs.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), tables, ledger_path, rules)
+    hits = ledger.where((F.size("found") > 0) & _current(rules)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("__found"))
+    hits = tables.save(hits.withColumnRenamed("blob", key), "spans")
+    joined = docs.withColumn(key, blob).join(hits.hint("merge"), key, "left")
+    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("__found"), mask))
+    return joined.withColumn(text_col, text).select(*docs.columns)

@@ -232,7 +232,7 @@ def test_secret_ledger(spark, tmp_path):
     after = spark.read.parquet(path)
     assert after.where("kind = 'assign' and version = 2").count() == after.where("kind = 'assign' and version = 1").count()
     assert after.groupBy("blob", "kind", "version").count().where("count > 1").count() == 0
-    masked = {r["doc_id"]: r["text"] for r in secret_ledger.redacted(table).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_ledger.redacted(table, Tables(spark)).collect()}
     assert masked[10] == "🙂 [secret]' [secret]" and masked[1] is None and masked[6] == prose(2, 50)
 
 
