@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,12 +24,13 @@ def byte_letters() -> list[str]:
 
 
 _LETTERS = byte_letters()
-_ASCII = {b: _LETTERS[b] for b in range(128)}
+#: The letters of every character of one or two bytes.
+_SHORT = {c: "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(0x800)}
 
 
 def lettered(piece: str) -> str:
     """A string's UTF-8 bytes, each as its letter."""
-    return piece.translate(_ASCII) if piece.isascii() else "".join([_LETTERS[b] for b in piece.encode()])
+    return piece.translate(_SHORT) if max(piece, default="") < "\u0800" else "".join([_LETTERS[b] for b in piece.encode()])
 
 
 class PretokenEncoder:
@@ -46,16 +48,25 @@ class PretokenEncoder:
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _matches(self, stretch: str, bare: str) -> list[str] | None:
+        """The pattern's matches; letters alone are one, a comma or full stop behind them another. None: special."""
+        if bare.isalpha():
+            return [stretch]
+        if bare[-1:] in (",", ".") and bare[:-1].isalpha():
+            return [stretch[:-1], bare[-1]]
+        return None if self.special and self.special in bare else self.find(stretch)
+
     def _learn(self, where: dict[str, int], stretches: list[str], lead: str) -> None:
-        cut = [None if self.special and self.special in s else self.find(lead + s) for s in stretches]
+        cut = [self._matches(lead + s, s) for s in stretches]
         new = list({p for c in cut if c for p in c if p not in self.pieces})
         self.pieces.update(zip(new, self.encode([lettered(p) for p in new]), strict=True))
-        ids = [self.whole(lead + s) if c is None else [i for p in c for i in self.pieces[p]] for s, c in zip(stretches, cut, strict=True)]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        of = self.pieces.__getitem__
+        ids = [self.whole(lead + s) if c is None else of(c[0]) if len(c) == 1 else list(chain.from_iterable(map(of, c))) for s, c in zip(stretches, cut, strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         where.update(zip(stretches, range(len(self.starts), len(self.starts) + len(ids)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and n + 1 offsets by text; null is empty."""

@@ -28,7 +28,7 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 240
 ESCAPE = 2**15 - 1
 #: A segment closes with the document that brings it to so many ids.
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 18
 ROWS_AT_ONCE = 500
 U64 = np.uint64
 
