@@ -4,8 +4,9 @@ Documents are cut into passages of PASSAGE words over FEATURES hashed words. One
 more gathers the product of the passages' TF-IDF Gram matrix with a random test matrix, summed over tasks in Spark, from
 which a Nystroem step takes the leading singular vectors (Halko, Martinsson and Tropp, 2011; Tropp et al., 2017). The
 last pass folds every window of every document into the latent space and compares it with all benchmark items by cosine,
-in blocks; a candidate must share WEIGHT of the IDF weight of the item's HEAVY weightiest words, and is decided by the longest common subsequence of
-words, a paraphrase also by its answer, the item's last words.
+in blocks; candidates are decided by the longest common subsequence of words, and paraphrases also by their answer, the
+item's last words. Only candidates whose common words, counted with repeats, are too few for that, or that miss an answer
+they need, are left out before: no subsequence is longer than the common words.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm._words import PUNCTUATION, Words, column_bytes, slices
 
-FEATURES, RANK, EXTRA, PASSAGE, STRIDE = 8192, 40, 8, 64, 16
-COSINE, WEIGHT, SHARE, PARAPHRASE, ANSWER, LEAST_WORDS, HEAVY = 0.4, 0.5, 0.75, 0.5, 5, 5, 8
+FEATURES, RANK, EXTRA, PASSAGE, STRIDE = 8192, 48, 16, 64, 16
+COSINE, SHARE, PARAPHRASE, ANSWER, LEAST_WORDS = 0.38, 0.75, 0.5, 5, 5
 #: Items whose latent vectors are compared in one pass; more make more passes.
 ITEMS_AT_ONCE = 20_000
 _CHUNKS, _SALTS = 128, 16
@@ -72,10 +73,9 @@ def _summed(rows: DataFrame, dtype: str) -> bytes:
 
 @dataclass
 class Latent:
-    """``fold``: a word's feature to its weighted latent row, (FEATURES, rank) in single precision; ``idf`` by feature."""
+    """``fold``: a word's feature to its weighted latent row, (FEATURES, rank) in single precision."""
 
     fold: np.ndarray
-    idf: np.ndarray
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         total = self.fold[_feature(hashes)].sum(0, dtype=np.float64)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Latent:
     u, s, _ = np.linalg.svd(shifted @ (vectors / np.sqrt(values)), full_matrices=False)
     sigma = np.sqrt(np.maximum(s**2 - shift, 1e-12))[:RANK]
     keep = sigma > 1e-3 * sigma[0]
-    return Latent((idf[:, None] * u[:, :RANK][:, keep] / sigma[keep]).astype(np.float32), idf)
+    return Latent((idf[:, None] * u[:, :RANK][:, keep] / sigma[keep]).astype(np.float32))
 
 
 @dataclass
@@ -142,7 +142,11 @@ class Item:
     words: np.ndarray
 
     def __post_init__(self):
-        self.features = _feature(self.words)
+        features = _feature(self.words)
+        own, self.times = np.unique(features, return_counts=True)
+        self.place = np.full(FEATURES + 1, len(own), np.int32)  # of a feature among the item's own; the last for others
+        self.place[own] = np.arange(len(own))
+        self.last = features[-ANSWER:]
         self.masks: dict[int, int] = {}
         for k, w in enumerate(self.words.tolist()):
             self.masks[w] = self.masks.get(w, 0) | 1 << k
@@ -161,21 +165,25 @@ class Item:
                 v = ((v + u) | (v - u)) & full
         return 1 - v.bit_count() / n
 
+    def possible(self, windows: np.ndarray) -> np.ndarray:
+        """The rows of window features that may hold the item: equal words have equal features, so none is lost."""
+        n, k = len(self.words), len(self.times)
+        place = self.place[windows]
+        rows = np.flatnonzero((place < k).sum(1) >= PARAPHRASE * n - 1e-9)
+        count = np.bincount((place[rows] + (k + 1) * np.arange(len(rows))[:, None]).ravel(), minlength=(k + 1) * len(rows))
+        common = np.minimum(count.reshape(-1, k + 1)[:, :k], self.times).sum(1)
+        rows, common = rows[common >= PARAPHRASE * n - 1e-9], common[common >= PARAPHRASE * n - 1e-9]
+        fits = common >= SHARE * n - 1e-9
+        few = windows[rows[~fits]]
+        width = few.shape[1] - len(self.last) + 1
+        fits[~fits] = np.logical_and.reduce([few[:, i : i + width] == w for i, w in enumerate(self.last)]).any(1)
+        return rows[fits]
+
     def answered(self, window: list[int]) -> bool:
         k = len(self.answer)
         return any(window[i : i + k] == self.answer for i in range(len(window) - k + 1))
 
 
-def _shared_weight(windows: np.ndarray, item: Item, idf: np.ndarray) -> np.ndarray:
-    """The share of the IDF weight of an item's HEAVY weightiest words that a window has, for rows of window features."""
-    heavy = item.features[np.argsort(-idf[item.features], kind="stable")[:HEAVY]]
-    weight = idf[heavy]
-    out = np.zeros(len(windows))
-    for f, w in zip(heavy.astype(np.uint16), weight, strict=True):
-        out += w * (windows == f).any(1)
-    return out / max(float(weight.sum()), 1e-12)
-
-
 def _found(column: pa.Array, latent: Latent, groups: list[tuple[int, list[Item], np.ndarray]]) -> Iterator[tuple[int, Item, float, float, bool]]:
     """(row, item, cosine, share, answered) of every item that a text holds; the best window of each."""
     for i, j, words, hashes in _words(column):
@@ -202,8 +210,9 @@ def _found(column: pa.Array, latent: Latent, groups: list[tuple[int, list[Item],
                 for y in np.flatnonzero((near >= COSINE).any(0)):
                     item, rows = items[y], at + np.flatnonzero(near[:, y] >= COSINE)
                     # a window at a text's end also shows the next text's words here; the subsequence does not
-                    shown = padded[begin[rows][:, None] + np.arange(size * STRIDE)]
-                    for w in rows[_shared_weight(shown, item, latent.idf) >= WEIGHT]:
+                    room = max(1, (1 << 20) // (size * STRIDE))
+                    parts = (rows[r : r + room] for r in range(0, len(rows), room))
+                    for w in (w for part in parts for w in part[item.possible(padded[begin[part][:, None] + np.arange(size * STRIDE)])]):
                         window = hashes[begin[w] : last[w]].tolist()
                         share = item.common(window)
                         if share >= PARAPHRASE:

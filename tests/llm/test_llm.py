@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,41 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_paraphrases_equals_brute_force(spark):
+    """Items with their rarest words replaced, and with up to half of their words replaced before the answer."""
+    words = lambda t: [w for w in re.split("[^0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 8000").orderBy("doc_id").limit(80).collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").collect()]
+    seen, rng, planted = {}, random.Random(11), set()
+    for _, t in rows:
+        for w in set(words(t)):
+            seen[w] = seen.get(w, 0) + 1
+    for n, (i, t) in enumerate(items):
+        w = words(t)
+        rare = sorted(range(len(w) - 5), key=lambda k: seen.get(w[k], 0))[: max(1, len(w) // 7)]
+        some = rng.sample(range(len(w) - 5), int(len(w) * 0.4))
+        for m, changed in enumerate((rare, some)):
+            spoiled = [f"zq{k}{n}" if k in changed else x for k, x in enumerate(w)]
+            d, before = 1000 + 2 * n + m, words(rows[n % 80][1])[:200]
+            rows.append((d, " ".join(before[:100] + spoiled + before[100:])))
+            planted.add((d, i))
+    hashed = {i: next(decontaminate._words(pa.array([t])))[3] for i, t in items}
+    want = set()
+    for d, t in rows:
+        text = next(decontaminate._words(pa.array([t])))[3].tolist() if t else []
+        for i, h in hashed.items():
+            item = decontaminate.Item(i, h)
+            for at in range(0, len(text), decontaminate.STRIDE):
+                window = text[at : at + item.blocks * decontaminate.STRIDE]
+                share = item.common(window)
+                if share >= 0.75 or share >= 0.5 and item.answered(window):
+                    want.add((d, i))
+    assert planted <= want
+    table = docs(spark, rows)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(50):
