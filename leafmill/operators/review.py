@@ -124,6 +124,27 @@ def quotes(citations: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("verdict", F.when(F.col("_text").isNull(), "unknown_source").when(held, "verified").otherwise("unverified")).drop("_text")
 
 
+def citations(sources: DataFrame, quoted: DataFrame, width: int = 5) -> DataFrame:
+    """(source_id, quote_id, quote) of every source that may hold a quote: ``sources`` (source_id, text) and ``quoted``
+    (quote_id, quote) that share ``width`` words one after another inside the quote. A quote begins and ends within words
+    of a source at most, so the words between are whole there and no source that holds it is missed; quotes too short for
+    that go with every source, blank ones with none."""
+    from leafmill.functions import squeezed
+
+    def hashes(words: Column, first: int, last: int) -> Column:
+        starts = F.when(F.size(words) >= width + first + last - 1, F.sequence(F.lit(first), F.size(words) - width - last + 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width))))
+
+    words = quoted.select("quote_id", "quote", F.split(squeezed(F.col("quote")), " ").alias("_words"))
+    long = F.size("_words") >= width + 2
+    keys = words.where(long).select("quote_id", F.explode(hashes(F.col("_words"), 2, 1)).alias("_key"))
+    texts = sources.select("source_id", F.split(squeezed(F.col("text")), " ").alias("_words"))
+    shared = texts.select("source_id", F.explode(hashes(F.col("_words"), 1, 0)).alias("_key")).join(keys, "_key").select("source_id", "quote_id").distinct()
+    short = words.where(~long & (squeezed(F.col("quote")) != "")).select("quote_id")
+    each = shared.unionByName(sources.select("source_id").distinct().crossJoin(short))
+    return each.join(quoted.select("quote_id", "quote"), "quote_id").select("source_id", "quote_id", "quote")
+
+
 def reusable(requests: DataFrame, runs: DataFrame) -> DataFrame:
     """Requests (project, kind, input_hash) with ``reuse``: the result of the latest succeeded run of the same input."""
     done = runs.where("status = 'succeeded'").groupBy("project", "kind", "input_hash").agg(F.max_by("result", "seq").alias("reuse"))

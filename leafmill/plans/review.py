@@ -127,6 +127,16 @@ def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.quotes(cited, docs).groupBy("item_id").agg(F.count_if(F.col("verdict") == "verified").alias("verified"), F.count("*").alias("cited"))
 
 
+@query()
+def all_quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item against every document, held against brute force in the tests; cited: the documents that share five
+    words one after another with the item."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    found = review.quotes(review.citations(docs, items), docs).withColumnRenamed("quote_id", "item_id").groupBy("item_id").agg(F.count_if(F.col("verdict") == "verified").alias("verified"), F.count("*").alias("cited"))
+    return items.select(F.col("quote_id").alias("item_id")).join(found, "item_id", "left").na.fill(0, ["verified", "cited"])
+
+
 @query(f"""
 WITH r AS (SELECT user_id AS project, event_type AS kind, props AS input_hash, value AS result, event_id AS seq, {STATES} AS status FROM events)
 SELECT q.project, q.seq, round(d.reuse, 6) AS reuse FROM r q LEFT JOIN (SELECT project, kind, input_hash, arg_max(result, seq) AS reuse FROM r WHERE status = 'succeeded' GROUP BY ALL) d USING (project, kind, input_hash) WHERE q.seq % 10 = 0

@@ -193,3 +193,26 @@ def test_streams_keep_unfinished_tasks(spark, tmp_path):
     spark.createDataFrame(rows, "task long, seq long, kind string, text string, tokens long").write.parquet(str(tmp_path / "events"))
     got = jobs.drained(jobs.assembled_answers(jobs.opened(spark, str(tmp_path / "events"))), Tables(spark), "out").collect()
     assert [(r["task"], r["text"], r["tokens"], r["outcome"]) for r in got] == [(1, "ab", 2, "ok")]
+
+
+def test_every_quote_of_every_source_is_cited(spark):
+    words = [f"w{i}" for i in range(400)]
+    quotes = [(i, " ".join(words[i : i + 7 + i % 3])) for i in range(60)] + [(100, "w1 w2"), (101, "1 w2 W3  w4\nw5 w6 w"), (102, "never there at all in any of them"), (103, " "), (104, None)]
+    texts = [(n, " ".join(words[7 * n : 7 * n + 40]).replace(" w2 ", "\n W2  ")) for n in range(12)] + [(50, None), (51, ""), (52, "xw3 w4 w5 w6 w7 w8 w99")]
+    sources, items = spark.createDataFrame(texts, "source_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string")
+    flat = lambda t: re.sub(r"\s+", " ", t or "").strip().lower()
+    want = {(s, q) for s, t in texts for q, x in quotes if flat(x) and flat(x) in flat(t)}
+    rows = review.quotes(review.citations(sources, items), sources).where("verdict = 'verified'").collect()
+    assert len(rows) == len(want) and {(r["source_id"], r["quote_id"]) for r in rows} == want
+    assert {q for _, q in want} >= {*range(60), 100, 101}
+
+
+def test_all_items_are_verified(spark):
+    from leafmill.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    flat = lambda t: re.sub(r"\s+", " ", t or "").strip().lower()
+    texts = [flat(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {r["item_id"]: sum(flat(r["text"]) in t for t in texts) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = registry.QUERIES["all_quote_verification"](spark, sf).collect()
+    assert {r["item_id"]: r["verified"] for r in got} == want and all(r["cited"] >= r["verified"] for r in got)
