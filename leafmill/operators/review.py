@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Legal moves of a task; done and cancelled ones move no more.
 TRANSITIONS = {"queued": ["running", "cancelled"], "running": ["paused", "succeeded", "failed", "cancelled"], "paused": ["queued", "running", "cancelled"], "failed": ["queued"], "succeeded": [], "cancelled": []}
@@ -37,19 +41,26 @@ def latest_status(decisions: DataFrame, keys: list[str], order: str, status: str
 
 def optimistic(writes: DataFrame, keys: list[str], order: str, expected: str) -> DataFrame:
     """Each write with ``revision`` and ``accepted``: a write counts if it expects the revision that the accepted ones
-    before it have made. One fold a key over its log."""
+    before it have made. The sorted log is read in batches; a key and its revision are all that is carried along."""
     columns = [c for c in writes.columns if c not in keys]
-    log = writes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *columns))).alias("log"))
-    kind = log.schema["log"].dataType.elementType.simpleString()
-    start = F.struct(F.lit(0).alias("rev"), F.array().cast(f"array<struct<w:{kind},revision:int,accepted:boolean>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = F.coalesce(x[expected] == s["rev"], F.lit(False))
-        after = F.when(fits, s["rev"] + 1).otherwise(s["rev"])
-        return F.struct(after.alias("rev"), F.concat(s["out"], F.array(F.struct(x.alias("w"), after.alias("revision"), fits.alias("accepted")))).alias("out"))
-
-    rows = log.select(*keys, F.explode(F.aggregate("log", start, step)["out"]).alias("r"))
-    return rows.select(*keys, *(F.col(f"r.w.{c}").alias(c) for c in columns), "r.revision", "r.accepted")
+    rows = writes.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, order, *columns)
+    at = len(keys) + columns.index(expected)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, revision = None, 0
+        for batch in batches:
+            revisions, accepted = [], []
+            own = zip(*(["NaN" if v != v else v for v in batch.column(k).to_pylist()] for k in range(len(keys))), strict=True)
+            for key, wanted in zip(own, batch.column(at).to_pylist(), strict=True):
+                if key != last:
+                    last, revision = key, 0
+                accepted.append(wanted == revision)
+                revision += accepted[-1]
+                revisions.append(revision)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(revisions, pa.int32()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "revision", "accepted"])
+
+    kinds = T.StructType([*rows.schema.fields, T.StructField("revision", T.IntegerType()), T.StructField("accepted", T.BooleanType())])
+    return rows.mapInArrow(run, kinds)
 
 
 def transitions(events: DataFrame, task: str, order: str, status: str, error: str | None = None) -> DataFrame:

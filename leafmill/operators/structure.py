@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +128,38 @@ def backfilled(chapters_: DataFrame, doc: str, order: str, title: str, content:
     return chapters_.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))), lambda s: s["p"]), "\n\n").alias("raw_text"))
 
 
+def joined_digests(parts: DataFrame, key: str, order: str, part: str, between: str = "\n\n", head: Column | None = None, tail: str = "") -> DataFrame:
+    """(key, digest): the MD5 of ``head``, a key's parts in order and ``tail``. The sorted parts are read in batches and a
+    text is never held whole; null parts are left out."""
+    rows = parts.select(key, (F.lit("") if head is None else head).alias("_head"), F.col(order).alias("_order"), F.col(part).alias("_part"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "_order", "_part").select(key, "_head", "_part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, joined, kind = None, None, False, None
+        for batch in batches:
+            kind, done = batch.schema.types[0], []
+            for own, start, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if total is None or own != last:
+                    if total is not None:
+                        total.update(tail.encode())
+                        done.append((last, total.hexdigest()))
+                    last, total, joined = own, hashlib.md5((start or "").encode()), False
+                if text is not None:
+                    total.update(((between if joined else "") + text).encode())
+                    joined = True
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string())], [key, "digest"])
+        if total is not None:
+            total.update(tail.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([total.hexdigest()], pa.string())], [key, "digest"])
+
+    return ordered.mapInArrow(run, f"{key} {dict(parts.dtypes)[key]}, digest string")
+
+
+def backfilled_digests(chapters_: DataFrame, doc: str, order: str, title: str, content: str) -> DataFrame:
+    """(doc, digest): the MD5 of each text of ``backfilled``, which need not fit into one value."""
+    return joined_digests(chapters_.withColumn("_text", F.concat_ws("\n", F.col(title), F.col(content))), doc, order, "_text")
+
+
 def import_issues(docs: DataFrame, key: str, text: str = "text", heading: Column | None = None) -> DataFrame:
     """(key, code): what an import reports of each text."""
     headed = F.col(text).rlike("(?m)" + HEADING) if heading is None else heading

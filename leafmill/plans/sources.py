@@ -60,8 +60,8 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = books(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").drop("text")
     drafts = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "text")
     rows = exports.selected(plan, drafts, ["doc_id"], "text")
-    plain = exports.manuscripts(rows, "source", "ordinal", "lang", "text").select("source", F.md5("manuscript").alias("plain"))
-    marked = exports.manuscripts(rows, "source", "ordinal", "lang", "text", True).select("source", F.md5("manuscript").alias("markdown"))
+    plain = exports.manuscript_digests(rows, "source", "ordinal", "lang", "text").withColumnRenamed("digest", "plain")
+    marked = exports.manuscript_digests(rows, "source", "ordinal", "lang", "text", True).withColumnRenamed("digest", "markdown")
     return plain.join(marked, "source")
 
 

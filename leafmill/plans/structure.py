@@ -144,7 +144,7 @@ SELECT source, md5(string_agg(concat_ws(chr(10), lang, text), chr(10) || chr(10)
 def raw_text_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = docs.groupBy("source").agg(F.sum(F.length("text")).alias("size"))
-    return structure.backfilled(docs, "source", "doc_id", "lang", "text").select("source", F.md5("raw_text").alias("digest")).join(size, "source")
+    return structure.backfilled_digests(docs, "source", "doc_id", "lang", "text").join(size, "source")
 
 
 @query(r"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.structure import joined_digests
+
 FORMAT, VERSION = "leafmill-bundle", 1
 REQUIRED = ("projects", "chapters")
 
@@ -14,10 +16,14 @@ def selected(plan: DataFrame, drafts: DataFrame, keys: list[str], content: str)
     return plan.join(drafts, keys).where(F.trim(content) != "")
 
 
+def _part(number: str, title: str, content: str, markdown: bool) -> Column:
+    head = F.concat(F.lit("## " if markdown else ""), F.lit("第"), F.col(number).cast("string"), F.lit("章 "), F.col(title))
+    return F.concat(head, F.lit("\n\n"), F.regexp_replace(content, r"^\s+|\s+$", ""))
+
+
 def manuscripts(chapters: DataFrame, book: str, number: str, title: str, content: str, markdown: bool = False) -> DataFrame:
     """(book, manuscript): a heading and the trimmed content of each chapter, in order, blank lines between."""
-    head = F.concat(F.lit("## " if markdown else ""), F.lit("第"), F.col(number).cast("string"), F.lit("章 "), F.col(title))
-    part = F.concat(head, F.lit("\n\n"), F.regexp_replace(content, r"^\s+|\s+$", ""))
+    part = _part(number, title, content, markdown)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), part.alias("p")))), lambda s: s["p"]), "\n\n")
     grouped = chapters.groupBy(book).agg(body.alias("body"))
     name = F.col(book).cast("string")
@@ -25,6 +31,12 @@ def manuscripts(chapters: DataFrame, book: str, number: str, title: str, content
     return grouped.select(book, whole.alias("manuscript"))
 
 
+def manuscript_digests(chapters: DataFrame, book: str, number: str, title: str, content: str, markdown: bool = False) -> DataFrame:
+    """(book, digest): the MD5 of each of ``manuscripts``, which need not fit into one value."""
+    head = F.concat(F.lit("# " if markdown else ""), F.col(book).cast("string"), F.lit("\n\n"))
+    return joined_digests(chapters.withColumn("_text", _part(number, title, content, markdown)), book, number, "_text", head=head, tail="\n" if markdown else "")
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """A folder with JSON lines of each table and a manifest of their schemas."""
     spark = next(iter(tables.values())).sparkSession

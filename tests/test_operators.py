@@ -216,3 +216,35 @@ def test_all_items_are_verified(spark):
     want = {r["item_id"]: sum(flat(r["text"]) in t for t in texts) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = registry.QUERIES["all_quote_verification"](spark, sf).collect()
     assert {r["item_id"]: r["verified"] for r in got} == want and all(r["cited"] >= r["verified"] for r in got)
+
+
+def test_optimistic_carries_its_state_along_a_hot_log(spark):
+    writes = spark.range(60_000).select(F.when(F.col("id") % 7 == 0, "b").otherwise("a").alias("doc"), F.col("id").alias("seq"), (F.col("id") % 5).cast("int").alias("expected"))
+    rows = review.optimistic(writes.repartition(5), ["doc"], "seq", "expected")
+    assert "collect_list" not in rows._jdf.queryExecution().toString()  # a log is never one value
+    at, want = {"a": 0, "b": 0}, []
+    for i in range(60_000):
+        k = "b" if i % 7 == 0 else "a"
+        fits = i % 5 == at[k]
+        at[k] += fits
+        want.append((k, i, at[k], fits))
+    assert [(r["doc"], r["seq"], r["revision"], r["accepted"]) for r in rows.orderBy("seq").collect()] == want
+
+
+def test_whole_texts_are_digested_in_parts(spark):
+    rows = [(b, n, f"t{n}" if n % 4 else None, f"  text {b} {n}\n") for b in ("x", "y", "z") for n in range(9)] + [("only", 0, None, None)]
+    table = spark.createDataFrame(rows, "book string, n int, title string, content string").repartition(4)
+    md5 = lambda df, c: {r["book"]: hashlib.md5(r[c].encode()).hexdigest() for r in df.collect()}
+    for markdown in (False, True):
+        got = exports.manuscript_digests(table, "book", "n", "title", "content", markdown)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+        assert {r["book"]: r["digest"] for r in got.collect()} == md5(exports.manuscripts(table, "book", "n", "title", "content", markdown), "manuscript")
+    got = structure.backfilled_digests(table, "book", "n", "title", "content")
+    assert {r["book"]: r["digest"] for r in got.collect()} == md5(structure.backfilled(table, "book", "n", "title", "content"), "raw_text")
+
+
+def test_registered_texts_are_never_one_value(spark):
+    from leafmill.plans import registry
+
+    for name in ("manuscripts", "raw_text_backfill"):
+        assert "collect_list" not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
