@@ -1,19 +1,30 @@
-"""Byte-level BPE over many texts: each distinct stretch between spaces is encoded once per worker and then looked up."""
+"""Byte-level BPE over many texts: each distinct stretch between spaces is encoded once per slice and worker.
+
+A slice's texts stay bytes: cuts are found on the bytes and Arrow numbers the distinct stretches between them, so only
+those that a worker has not met become Python strings. A stretch is a list of pre-tokens and a pre-token a list of ids;
+both are spread over all occurrences with numpy.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: White space other than the space and the newline, as str.isspace has it (a superset of what the pattern calls \s).
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Stretches and pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+from leafmill.llm._words import column_bytes, slices
+
+#: White space of one byte, as str.isspace has it, and of more (together a superset of what the pattern calls \s).
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bytes of a slice of whole texts; bytes of stretches and ids after which a worker forgets them, about 100 each with
+#: their keys; longer stretches are not remembered.
+SLICE, REMEMBERED, LONGEST = 1 << 23, 96 << 20, 64
+_ENTRY = 100
 
 
 def byte_letters() -> list[str]:
@@ -23,77 +34,130 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-_LETTERS = byte_letters()
-#: The letters of every character of one or two bytes.
-_SHORT = {c: "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(0x800)}
+_CODES = np.array([ord(c) for c in byte_letters()], "<u2")
+
+
+def lettered(data: bytes) -> str:
+    """Each byte as its letter."""
+    return _CODES[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le")
+
+
+def lettered_list(pieces: list[str]) -> str:
+    """All pieces lettered, the letter of the byte 255 between them, which no UTF-8 has."""
+    return lettered(b"\xff".join(map(str.encode, pieces)))
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of all ranges, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Lists:
+    """Growing lists of numbers by key."""
 
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.row.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+
+    def missing(self, keys: list[str]) -> list[str]:
+        has = self.row
+        return [k for k in keys if k not in has]
 
-def lettered(piece: str) -> str:
-    """A string's UTF-8 bytes, each as its letter."""
-    return piece.translate(_SHORT) if max(piece, default="") < "\u0800" else "".join([_LETTERS[b] for b in piece.encode()])
+    def rows(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all rows' lists, their sizes)."""
+        sizes = self.sizes[rows]
+        return self.flat[spread(self.starts[rows], sizes)], sizes
 
 
 class PretokenEncoder:
     """Ids of whole texts. A match of ``pattern`` never reaches over a space between two visible characters, so texts are
-    cut there and equal stretches have equal ids. ``encode``: lettered pre-tokens to one id list each; ``whole``: encodes
-    a stretch that holds ``special`` in another way."""
+    cut there and equal stretches have equal ids. ``encode``: pre-tokens to (all ids, number of each); ``special``: what
+    makes a stretch one to be encoded by ``whole`` as it is."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], special: str | None = None, whole: Callable[[str], list[int]] | None = None):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], special: re.Pattern | None = None, whole: Callable[[str], list[int]] | None = None):
         self.find, self.encode, self.special, self.whole = regex.compile(pattern).findall, encode, special, whole
         self.reset()
 
     def reset(self) -> None:
-        self.heads: dict[str, int] = {}  # stretches at a text's start
-        self.tails: dict[str, int] = {}  # stretches after a space, without it
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.stretches, self.pieces, self.held = Lists(), Lists(), 0
 
-    def _matches(self, stretch: str, bare: str) -> list[str] | None:
-        """The pattern's matches; letters alone are one, a comma or full stop behind them another. None: special."""
-        if bare.isalpha():
-            return [stretch]
+    def _cut(self, stretch: str) -> list[str]:
+        """The pattern's matches; a comma or full stop behind letters alone is one. What is special stays."""
+        bare = stretch[1:] if stretch[0] == " " else stretch
         if bare[-1:] in (",", ".") and bare[:-1].isalpha():
             return [stretch[:-1], bare[-1]]
-        return None if self.special and self.special in bare else self.find(stretch)
-
-    def _learn(self, where: dict[str, int], stretches: list[str], lead: str) -> None:
-        cut = [self._matches(lead + s, s) for s in stretches]
-        new = list({p for c in cut if c for p in c if p not in self.pieces})
-        self.pieces.update(zip(new, self.encode([lettered(p) for p in new]), strict=True))
-        of = self.pieces.__getitem__
-        ids = [self.whole(lead + s) if c is None else of(c[0]) if len(c) == 1 else list(chain.from_iterable(map(of, c))) for s, c in zip(stretches, cut, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        where.update(zip(stretches, range(len(self.starts), len(self.starts) + len(ids)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and n + 1 offsets by text; null is empty."""
-        if len(self.tails) + len(self.pieces) > REMEMBERED:
+        return [stretch] if self.special and self.special.search(stretch) else self.find(stretch)
+
+    def _learn(self, stretches: list[str], letters: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of all their pre-tokens, number of each); ``letters``: those that are one pre-token for sure."""
+        cut = [[s] if a else self._cut(s) for s, a in zip(stretches, letters, strict=True)]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = [p for c in cut for p in c]
+        new = self.pieces.missing(list(dict.fromkeys(flat)))
+        if self.special:
+            for p in (p for p in new if self.special.search(p)):
+                ids = np.array(self.whole(p), np.uint32)
+                self.pieces.add([p], ids, np.array([len(ids)]))
+            new = self.pieces.missing(new)
+        if new:
+            ids, each = self.encode(new)
+            self.pieces.add(new, ids, each)
+            self.held += 4 * len(ids) + _ENTRY * len(new) + sum(map(len, new))
+        return self.pieces.rows(flat), sizes
+
+    def _slice(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.held > REMEMBERED:
             self.reset()
-        heads, tails, counts = [], [], []
-        for t in texts:
-            t = t or ""
-            if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _RARE.search(t):
-                cut = _CUT.split(t)
-                cut[1:] = [c[1:] for c in cut[1:]]
-            else:
-                cut = t.split(" ")
-            heads.append(cut[0])
-            tails += cut[1:]
-            counts.append(len(cut) - 1)
-        for where, stretches, lead in ((self.heads, heads, ""), (self.tails, tails, " ")):
-            if new := [s for s in set(stretches) if s not in where]:
-                self._learn(where, new, lead)
-        counts = np.array(counts, np.int64)
-        order = np.empty(len(heads) + len(tails), np.int64)
-        first = np.concatenate([[0], np.cumsum(counts + 1)])
-        at_head = np.zeros(len(order), bool)
-        at_head[first[:-1]] = True
-        order[at_head] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
-        order[~at_head] = np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))
-        sizes = self.sizes[order]
-        ends = np.cumsum(sizes)
-        out = self.flat[np.repeat(self.starts[order] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return out, np.concatenate([[0], ends])[first]
+        raw = np.ascontiguousarray(buf[int(offs[0]) : int(offs[-1])])
+        offs, n = offs - offs[0], len(raw)
+        blank = _BLANK[raw]
+        if (raw >= 0x80).any():
+            for m in _WIDE.finditer(raw.tobytes()):
+                blank[m.start() : m.end()] = True
+        first = np.zeros(n + 1, bool)
+        first[1 : n - 1] = (raw[1:-1] == 0x20) & ~blank[:-2] & ~blank[2:]
+        first[np.maximum(offs - 1, 0)] = False  # a text's last character has none behind it
+        first[offs] = True
+        starts = np.flatnonzero(first[:n])
+        per_text = np.searchsorted(starts, offs)
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n)), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = column.dictionary.cast(pa.large_string())
+        letters = pc.utf8_is_alpha(pc.if_else(pc.starts_with(distinct, " "), pc.utf8_slice_codeunits(distinct, 1), distinct)).to_numpy(zero_copy_only=False)
+        found = distinct.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        row = self.stretches.row
+        new = np.fromiter((k not in row for k in found), bool, len(found))
+        fresh = [k for k, x in zip(found, new.tolist(), strict=True) if x]
+        rows, counts = self._learn(fresh, letters[new].tolist())
+        mine = self.stretches.rows([k for k, x in zip(found, new.tolist(), strict=True) if not x])
+        sizes, at = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        sizes[new], at[new] = counts, np.cumsum(counts) - counts
+        sizes[~new], at[~new] = self.stretches.sizes[mine], len(rows) + self.stretches.starts[mine]
+        which = column.indices.to_numpy()
+        pieces = np.concatenate([rows, self.stretches.flat])[spread(at[which], sizes[which])]
+        short = np.fromiter(map(len, fresh), np.int64, len(fresh)) <= LONGEST
+        keep = [s for s, k in zip(fresh, short.tolist(), strict=True) if k]
+        self.stretches.add(keep, rows[np.repeat(short, counts)], counts[short])
+        self.held += _ENTRY * len(keep) + sum(map(len, keep)) + 4 * int(counts[short].sum())
+        ids, lengths = self.pieces.of(pieces)
+        stops = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, stops[np.concatenate([[0], np.cumsum(sizes[which])])[per_text]]
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts and n + 1 offsets by text; null is empty."""
+        buf, offs = column_bytes(column)
+        ids, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for i, j in slices(offs, SLICE):
+            own, stop = self._slice(buf, offs[i : j + 1])
+            ids.append(own)
+            ends.append(ends[-1][-1] + stop[1:])
+        return np.concatenate(ids), np.concatenate(ends)

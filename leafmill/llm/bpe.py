@@ -11,6 +11,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as pb2
 
-from leafmill.llm._pretokens import PretokenEncoder, byte_letters
-
-ROWS_AT_ONCE = 500
+from leafmill.llm._pretokens import PretokenEncoder, byte_letters, lettered_list, spread
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,15 +51,22 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
         self.token = {rank: token for token, rank in ranks.items()}
-        of = [0, *sorted(self.token)]
+        by_rank = [self.token.get(r, b"") for r in range(max(self.token, default=-1) + 1)]
+        self.bytes, self.sizes = np.frombuffer(b"".join(by_rank), np.uint8), np.array([len(t) for t in by_rank], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        of = np.array([0, *sorted(self.token)], np.uint32)
         processor = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
-        self.encoder = PretokenEncoder(pattern, lambda pieces: [[of[i] for i in x] for x in processor.encode(pieces, num_threads=1)] if pieces else [])
+        between = byte_letters()[255]
+
+        def pieces(these: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = processor.encode(lettered_list(these).split(between), num_threads=1)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return of[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))], sizes
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encoder.ids(texts)
+        self.encode = PretokenEncoder(pattern, pieces).ids
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+        return self.bytes[spread(self.starts[ids], self.sizes[ids])].tobytes()
 
 
 @functools.lru_cache(2)
@@ -69,11 +75,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def pieces(batch: pa.RecordBatch, n: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, n):
-        yield batch.slice(i, n)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """The rows with the ids of the whole text in ``out_col`` (array<int>; a column of that name is replaced) instead of
     nothing else. Null and empty texts have no ids; an empty table stays empty. ``path`` is a vocabulary file that every
@@ -82,11 +83,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                ids, offs = codec(path, pattern).encode(batch.column(place).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
+        for batch in batches:
+            ids, offs = codec(path, pattern).encode(batch.column(place))
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
@@ -97,10 +97,9 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
     place = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                found = [codec(path, pattern).decode(np.asarray(x.values)) if x.is_valid else b"" for x in batch.column(place)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, out_col])
+        for batch in batches:
+            found = [codec(path, pattern).decode(np.asarray(x.values)) if x.is_valid else b"" for x in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, out_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
@@ -111,20 +110,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     docs = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                own = codec(path, pattern)
-                ids, offs = own.encode(batch.column(1).to_pylist())
-                ids = ids.astype("<u4")
-                each = [ids[i:j] for i, j in zip(offs[:-1], offs[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(np.diff(offs)),
-                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each], pa.string()),
-                        pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in each], pa.string()),
-                    ],
-                    [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        own = codec(path, pattern)
+        for batch in batches:
+            ids, offs = own.encode(batch.column(1))
+            each = [ids[i:j] for i, j in zip(offs[:-1], offs[1:], strict=True)]
+            hashes = [pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()) for data in ((x.astype("<u4").tobytes() for x in each), map(own.decode, each))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), *hashes], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))]))

@@ -9,8 +9,9 @@ whole documents and the offset of each of its blocks; a table of segments in doc
 from __future__ import annotations
 
 import functools
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm._pretokens import PretokenEncoder
+from leafmill.llm._pretokens import PretokenEncoder, byte_letters, lettered_list
 from leafmill.scratch import Tables
 
 #: Ids a word and bits an id, by selector: fixed values of the format.
@@ -29,7 +30,6 @@ BLOCK = 240
 ESCAPE = 2**15 - 1
 #: A segment closes with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
-ROWS_AT_ONCE = 500
 U64 = np.uint64
 
 
@@ -95,15 +95,34 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int)
     return ids
 
 
+#: Pre-tokens that one call of the library encodes.
+_AT_ONCE = 2000
+
+
 @functools.lru_cache(2)
-def _tokenizer(path: str, pattern: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def _tokenizer(path: str, pattern: str) -> PretokenEncoder:
+    """The library's model over pre-tokens that are cut already; a text that holds one of its added tokens goes through
+    the library whole, from space to space."""
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import Split
 
     own = Tokenizer.from_file(path)
-    special = next((t.content for t in own.get_added_tokens_decoder().values()), None)
-    tokenize = own.model.tokenize
-    encoder = PretokenEncoder(pattern, lambda pieces: [[t.id for t in tokenize(p)] for p in pieces], special, lambda s: own.encode(s, add_special_tokens=False).ids)
-    return encoder.ids
+    added = list(own.get_added_tokens_decoder().values())
+    if any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added):
+        raise ValueError("added tokens that look beyond themselves are not supported")
+    bare = Tokenizer(own.model)
+    between = byte_letters()[255]
+    bare.pre_tokenizer = Split(between, "isolated")
+    mark = bare.token_to_id(between)
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [lettered_list(pieces[i : i + _AT_ONCE]) for i in range(0, len(pieces), _AT_ONCE)]
+        ids = np.concatenate([np.append(np.array(x.ids, np.uint32), np.uint32(mark)) for x in bare.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == mark)
+        return ids[ids != mark], np.diff(ends, prepend=-1) - 1
+
+    special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+    return PretokenEncoder(pattern, encode, special, lambda s: own.encode(s, add_special_tokens=False).ids)
 
 
 SEGMENTS = T.StructType(
@@ -131,26 +150,25 @@ def _segment(part: int, seq: int, doc_ids: list, parts: list[np.ndarray]) -> pa.
 def write_tokens(docs: DataFrame, tables: Tables, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Encode every whole text with the tokenizers library, append ``end_id``, and write segments in ascending id order.
 
-    Null and empty texts have the end id alone; null ids come first; repeated ids follow one another by text. An empty
-    table gives an empty file. ``part`` is the range partition, ``seq`` a segment's place in it.
+    Null and empty texts have the end id alone; null ids come first; repeated ids follow one another by a hash of their
+    text, so that their rows are split over ranges too. An empty table gives an empty file. ``part`` is the range
+    partition, ``seq`` a segment's place in it. Texts are shuffled rather than ids: ids would have to be written first.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", "text")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ordered = docs.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, doc_ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        encode = _tokenizer(path, pattern)
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(i, ROWS_AT_ONCE)
-                ids, offs = encode(batch.column(1).to_pylist())
-                for k, doc in enumerate(batch.column(0).to_pylist()):
-                    doc_ids.append(doc)
-                    parts.append(np.append(ids[offs[k] : offs[k + 1]], np.uint32(end_id)))
-                    size += len(parts[-1])
-                    if size >= SEGMENT_IDS:
-                        yield _segment(part, seq, doc_ids, parts)
-                        seq, doc_ids, parts, size = seq + 1, [], [], 0
+        encoder = _tokenizer(path, pattern)
+        for batch in batches:
+            ids, offs = encoder.ids(batch.column(1))
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                doc_ids.append(doc)
+                parts.append(np.append(ids[offs[k] : offs[k + 1]], np.uint32(end_id)))
+                size += len(parts[-1])
+                if size >= SEGMENT_IDS:
+                    yield _segment(part, seq, doc_ids, parts)
+                    seq, doc_ids, parts, size = seq + 1, [], [], 0
         if parts:
             yield _segment(part, seq, doc_ids, parts)
 
