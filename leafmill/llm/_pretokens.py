@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Bytes of a slice of whole texts; bytes of stretches and ids after which a worker forgets them, about 100 each with
 #: their keys; longer stretches are not remembered.
-SLICE, REMEMBERED, LONGEST = 1 << 23, 96 << 20, 64
+SLICE, REMEMBERED, LONGEST = 1 << 22, 112 << 20, 64
 _ENTRY = 100
 
 
@@ -50,7 +51,17 @@ def lettered_list(pieces: list[str]) -> str:
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places start .. start + size - 1 of all ranges, one range after another."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    total, reach = (int(ends[-1]), int((starts + sizes).max())) if len(ends) else (0, 0)
+    kind = np.int32 if max(total, reach) < 2**31 else np.int64
+    return np.repeat((starts - (ends - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)
+
+
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` behind its used part; its room doubles, so that growth costs no more than its result."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros(max(len(array), len(more)), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
 
 
 class Lists:
@@ -58,13 +69,15 @@ class Lists:
 
     def __init__(self):
         self.row: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.lists = 0
 
     def add(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.row.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.row.update(zip(keys, range(self.lists, self.lists + len(keys)), strict=True))
+        self.starts = _grown(self.starts, self.lists, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = _grown(self.sizes, self.lists, sizes)
+        self.flat = _grown(self.flat, self.used, flat)
+        self.lists, self.used = self.lists + len(keys), self.used + len(flat)
 
     def missing(self, keys: list[str]) -> list[str]:
         has = self.row
@@ -136,21 +149,16 @@ class PretokenEncoder:
         found = distinct.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         row = self.stretches.row
         new = np.fromiter((k not in row for k in found), bool, len(found))
-        fresh = [k for k, x in zip(found, new.tolist(), strict=True) if x]
-        rows, counts = self._learn(fresh, letters[new].tolist())
-        mine = self.stretches.rows([k for k, x in zip(found, new.tolist(), strict=True) if not x])
-        sizes, at = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        sizes[new], at[new] = counts, np.cumsum(counts) - counts
-        sizes[~new], at[~new] = self.stretches.sizes[mine], len(rows) + self.stretches.starts[mine]
-        which = column.indices.to_numpy()
-        pieces = np.concatenate([rows, self.stretches.flat])[spread(at[which], sizes[which])]
-        short = np.fromiter(map(len, fresh), np.int64, len(fresh)) <= LONGEST
-        keep = [s for s, k in zip(fresh, short.tolist(), strict=True) if k]
-        self.stretches.add(keep, rows[np.repeat(short, counts)], counts[short])
-        self.held += _ENTRY * len(keep) + sum(map(len, keep)) + 4 * int(counts[short].sum())
+        fresh = list(compress(found, new))
+        self.stretches.add(fresh, *self._learn(fresh, letters[new].tolist()))
+        self.held += _ENTRY * len(fresh) + sum(map(len, fresh))
+        pieces, sizes = self.stretches.of(self.stretches.rows(found)[column.indices.to_numpy()])
+        for k in fresh:
+            if len(k) > LONGEST:
+                del row[k]
         ids, lengths = self.pieces.of(pieces)
         stops = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, stops[np.concatenate([[0], np.cumsum(sizes[which])])[per_text]]
+        return ids, stops[np.concatenate([[0], np.cumsum(sizes)])[per_text]]
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts and n + 1 offsets by text; null is empty."""
