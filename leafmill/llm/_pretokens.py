@@ -24,7 +24,7 @@ _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Bytes of a slice of whole texts; bytes of stretches and ids after which a worker forgets them, about 100 each with
 #: their keys; longer stretches are not remembered.
-SLICE, REMEMBERED, LONGEST = 1 << 22, 112 << 20, 64
+SLICE, REMEMBERED, LONGEST = 3 << 20, 96 << 20, 64
 _ENTRY = 100
 
 

@@ -9,6 +9,7 @@ whole documents and the offset of each of its blocks; a table of segments in doc
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,47 +34,46 @@ SEGMENT_IDS = 1 << 18
 U64 = np.uint64
 
 
+def _widest(bits: np.ndarray) -> np.ndarray:
+    """The selector of the most ids that fit into a word from each place on. ``bits``: a row a block, zeros behind it."""
+    runs, best = {1: bits}, np.full((len(bits), BLOCK), 12, np.int8)
+    for s in range(11, -1, -1):
+        n, width = int(COUNTS[s]), 1 << (int(COUNTS[s]).bit_length() - 1)
+        w = max(runs)
+        while w < width:  # the most bits of any two, four ... ids in a row
+            runs[2 * w] = np.maximum(runs[w][:, :-w], runs[w][:, w:])
+            w *= 2
+        most = np.maximum(runs[width][:, :BLOCK], runs[width][:, n - width : n - width + BLOCK])
+        best[most <= BITS[s]] = s
+    return best
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, offset of each block in words and their end, escaped ids in order). All blocks are packed in step."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     escaped = ids[ids >= ESCAPE]
-    v = np.zeros((blocks + 2) * BLOCK, U64)
-    v[:n] = np.minimum(ids, ESCAPE)
-    bits = np.zeros(len(v), np.int8)
-    bits[:n] = np.frexp(v[:n].astype(np.float64))[1]
-    at = np.arange(blocks) * BLOCK
-    end = np.minimum(at + BLOCK, n)
-    rows, words = [], []
-    while len(live := np.flatnonzero(at < end)):
-        pos = at[live]
-        most = np.maximum.accumulate(bits[pos[:, None] + np.arange(8)], axis=1)
-        left = end[live] - pos
-        selector = np.full(len(live), 12)
-        for s in (11, 10, 9, 8):  # the widest that fits is packed; past a block's end nothing counts
-            last = np.minimum(COUNTS[s], left) - 1
-            selector[most[np.arange(len(live)), np.minimum(last, 7)] <= BITS[s]] = s
-        small = np.flatnonzero(most[:, 7] <= BITS[7])
-        if len(small):
-            wide = np.maximum.accumulate(bits[pos[small][:, None] + np.arange(BLOCK)], axis=1)
-            for s in range(7, -1, -1):
-                last = np.minimum(COUNTS[s], left[small]) - 1
-                selector[small[wide[np.arange(len(small)), last] <= BITS[s]]] = s
-        take = np.minimum(COUNTS[selector], left)
-        word = selector.astype(U64) << U64(60)
-        width = BITS[selector].astype(U64)
-        for k in range(int(take[width > 0].max(initial=0))):
-            some = np.flatnonzero((take > k) & (width > 0))
-            word[some] |= v[pos[some] + k] << (width[some] * U64(k))
-        rows.append(live)
-        words.append(word)
-        at[live] += take
-    if not rows:
+    if not n:
         return np.zeros(0, U64), np.zeros(1, np.int64), escaped
-    rows = np.concatenate(rows)
-    order = np.argsort(rows, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=blocks))])
-    return np.concatenate(words)[order], offsets, escaped
+    v = np.zeros(blocks * BLOCK, U64)
+    v[:n] = np.minimum(ids, ESCAPE)
+    bits = np.zeros((blocks, 2 * BLOCK), np.int8)
+    bits[:, :BLOCK] = np.frexp(v.astype(np.float32))[1].reshape(blocks, BLOCK)
+    selector = _widest(bits).ravel()
+    end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
+    steps = COUNTS[selector]
+    at, live, heads = np.arange(blocks) * BLOCK, np.arange(blocks), []
+    while len(live):  # a word of every block that has ids left
+        heads.append(at[live])
+        at[live] += steps[at[live]]
+        live = live[at[live] < end[live]]
+    head = np.sort(np.concatenate(heads))
+    selector, take = selector[head], np.minimum(steps[head], end[head // BLOCK] - head)
+    words, width = selector.astype(U64) << U64(60), BITS[selector].astype(U64)
+    for k in range(int(take[width > 0].max(initial=0))):
+        some = np.flatnonzero((take > k) & (width > 0))
+        words[some] |= v[head[some] + k] << (width[some] * U64(k))
+    return words, np.searchsorted(head, np.arange(blocks + 1) * BLOCK), escaped
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
@@ -103,6 +103,7 @@ _AT_ONCE = 2000
 def _tokenizer(path: str, pattern: str) -> PretokenEncoder:
     """The library's model over pre-tokens that are cut already; a text that holds one of its added tokens goes through
     the library whole, from space to space."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import Split
 
