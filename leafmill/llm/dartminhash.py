@@ -27,6 +27,8 @@ from leafmill.llm._words import U64, Words, column_bytes, distinct_by_text, mix,
 from leafmill.scratch import Tables
 
 BANDS, ROWS, WIDTH, THRESHOLD = 20, 5, 5, 0.8
+#: Texts of a block at most, two of which a task holds.
+BLOCK = 4096
 
 
 def _poisson_cdf(mean: float) -> np.ndarray:
@@ -114,6 +116,8 @@ def _sign(width: int, bands: int, rows: int, weighting: str):
                     change = np.flatnonzero(np.r_[True, (elements[1:] != elements[:-1]) | (np.diff(text) != 0)][: len(elements)])
                     weights = np.diff(np.append(change, len(elements))).astype(float)
                     elements, first = elements[change], np.searchsorted(text[change], np.arange(j - i + 1))
+                else:  # a shingle that a text repeats throws its darts once
+                    elements, first = distinct_by_text(elements, first)
                 sig = signatures(elements, first, bands * rows, weights)
                 some = np.diff(first) > 0
                 keys = band_keys(sig, bands, rows)
@@ -206,13 +210,13 @@ def _links_across(members: DataFrame, texts: DataFrame, tables: Tables, width: i
     """Links (a, b) between components of one group. ``members``: (gid, rep, comp, sig).
 
     A group's largest component need not be compared with itself. The rest is dealt into blocks, and every block meets
-    every other block of the rest and of the largest component in a task of its own; blocks grow with the root of the
-    group, so a group's rows are copied no more than about the root of its size times.
+    every other block of the rest and of the largest component in a task of its own. Blocks grow with the root of the
+    group, so that a row is copied about as often, up to the rows that a task can hold; beyond that copies grow with the
+    group.
     """
-    kind = dict(members.dtypes)["rep"]
     sizes = members.groupBy("gid", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("gid").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("most"))
-    sizes = sizes.where("parts > 1").withColumn("block", F.least(F.lit(1024), F.greatest(F.lit(96), F.ceil(2 * F.sqrt("n")))))
+    sizes = sizes.where("parts > 1").withColumn("block", F.least(F.lit(BLOCK), F.greatest(F.lit(96), F.ceil(2 * F.sqrt("n")))))
     sizes = sizes.selectExpr("gid", "most.comp as main", "cast(ceil((n - most.n) / block) as int) as p", "cast(ceil(most.n / block) as int) as q")
     sizes = tables.save(sizes, "groups")
     placed = members.join(sizes, "gid").withColumn("at", F.when(F.col("comp") == F.col("main"), -1 - F.pmod(F.xxhash64("rep"), F.col("q"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("p"))).cast("int"))
@@ -221,14 +225,14 @@ def _links_across(members: DataFrame, texts: DataFrame, tables: Tables, width: i
         concat(transform(sequence(0, p - 1), k -> struct(least(k, at) as i, greatest(k, at) as j)), transform(sequence(1, q), k -> struct(at as i, -k as j))))""")
     dealt = placed.withColumn("cell", F.explode(own)).selectExpr("gid", "cell.i as i", "cell.j as j", "rep", "comp", "sig", "at = cell.i as is_left", "at = cell.j as is_right")
     dealt = tables.save(dealt, "dealt").join(texts.withColumnRenamed("id", "rep"), "rep")
-    return tables.save(dealt.groupBy("gid", "i", "j").applyInArrow(_across(width, threshold), f"a {kind}, b {kind}"), "across")
+    return tables.save(dealt.groupBy("gid", "i", "j").applyInArrow(_across(width, threshold), "a long, b long"), "across")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, width: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more, computed on whole texts."""
     ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
-    return tables.save(both.mapInArrow(_compare(width, threshold), f"a {dict(pairs.dtypes)['a']}, b {dict(pairs.dtypes)['b']}, jaccard double"), "links")
+    return tables.save(both.mapInArrow(_compare(width, threshold), "a long, b long, jaccard double"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", tables: Tables | None = None) -> DataFrame:
@@ -236,30 +240,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of bytes other than ASCII white space, with A-Z in lower case; shingles are ``width`` words, or all
     words of a shorter text. Equal texts always share a class. Null, empty and blank texts have no shingles and equal
-    nothing: each is its own class. Repeated ids give one row (the smallest class of their texts); rows with a null id
-    give one row with a null class, kept. An empty table gives none; other columns are not read.
+    nothing: each is its own class. Repeated ids give one row, and all texts of an id are in its class; rows with a null
+    id give one row with a null class, kept. An empty table gives none; other columns are not read.
     ``weighting``: "set" counts a shingle once, "count" signs by how often it occurs; the exact check is on sets.
     """
     tables = tables or Tables(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = tables.save(docs.mapInArrow(_sign(width, bands, rows, weighting), f"id {kind}, h binary, sig binary, bands array<bigint>"), "signed")
-    reps = tables.save(signed.where("bands is not null and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
+    some = signed.where("bands is not null and id is not null")
+    # a distinct text is a node; its number is any that no other has and is fixed by writing it
+    found = some.groupBy("h").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = tables.save(found.withColumn("rep", F.monotonically_increasing_id()), "reps")
     banded = reps.select("rep", F.explode("bands").alias("key"))
     leaders = tables.save(banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader"), "leaders")
     shared = tables.save(banded.join(leaders, "key"), "shared")
     star = tables.save(shared.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "star")
-    ids = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    texts = tables.save(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    needed = star.select(F.col("a").alias("rep")).union(star.select("b")).distinct().join(reps.select("rep", "id", "h"), "rep")
+    addressed = docs.where("id is not null").withColumn("h", F.unhex(F.md5("text")))
+    texts = tables.save(addressed.join(needed.hint("merge"), ["id", "h"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"]), "texts")
     links = verified(star, texts, tables, width, threshold)
-    found = components(links, tables)
+    # an id with several texts holds them together
+    several = some.select("id", "h").join(some.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("last")).where("one < last").select("id", "one"), "id").where("h <> one").select("h", "one").distinct()
+    node = reps.select("rep", "h")
+    same = tables.save(several.join(node.withColumnRenamed("rep", "a"), "h").join(node.select(F.col("rep").alias("b"), F.col("h").alias("one")), "one").select("a", "b"), "same_id")
+    joined = tables.save(links.select("a", "b").union(same), "joined")
+    found = components(joined, tables)
     groups = components(star, tables)  # all that share bands, whether they link or not
     members = groups.join(found.withColumnRenamed("component", "comp"), "node", "left")
     members = tables.save(members.select(F.col("component").alias("gid"), F.col("node").alias("rep"), F.coalesce("comp", "node").alias("comp")), "members")
     more = _links_across(members.join(reps.select("rep", "sig"), "rep"), texts, tables, width, threshold)
     if not more.isEmpty():
-        found = components(links.select("a", "b").union(more), tables)
-    classes = tables.save(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("component", "rep").alias("class_id")), "classes")
-    placed = signed.select("id", "h").join(classes, "h", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    out = placed.groupBy("id").agg(F.min("class_id").alias("class_id"))
+        found = components(joined.union(more), tables)
+    placed = tables.save(reps.select("rep", "h", "id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "id", F.coalesce("component", "rep").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("id").alias("class_id"))
+    classes = tables.save(placed.join(least, "component").select("h", "class_id"), "classes")
+    each = signed.select("id", "h").join(classes, "h", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    out = each.groupBy("id").agg(F.min("class_id").alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
