@@ -40,7 +40,7 @@ RULES = (
     Rule("github", 1, 3, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", 1, 4, r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, ("xox",)),
     Rule("jwt", 1, 5, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, ("eyj",)),
-    Rule("pem", 1, 6, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 60, ("private key-----",)),
+    Rule("pem", 2, 6, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=:,.\s-]*?-----END [A-Z ]*PRIVATE KEY-----", 0, 60, ("private key-----",)),
 )
 BASE = ("assign", "access", "hex")
 FINDING = "struct<start:int,end:int>"
@@ -83,33 +83,40 @@ def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, version, found) for each distinct blob and rule version that ``ledger`` lacks; nothing twice.
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, tables: Tables | None = None) -> DataFrame | None:
+    """(blob, kind, version, found) for each distinct blob and rule version that ``ledger`` lacks; nothing twice. None if
+    it lacks none.
 
-    A blob is due if the ledger lacks one of its pairs; only that text is shuffled, after one copy a task is kept.
+    With a ledger the blobs that are due are found first, from content addresses alone, so a scan of what is known
+    already moves no text; else texts are shuffled, after one copy a task is kept.
     """
-    due = versions
-    if ledger is not None:
-        current = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-        wanted = ledger.where(_current(rules))
-        have = wanted.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("have"))
-        due = versions.join(have, "blob", "left").where(F.size(F.array_except(current, F.coalesce("have", F.array().cast("array<struct<kind:string,version:int>>")))) > 0)
-        known = [F.coalesce(F.array_contains("have", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.lit(False)) for r in rules]
-        due = due.select("blob", "text", *(k.alias(f"known_{r.order}") for k, r in zip(known, rules, strict=True)))
-    blobs = due.drop("path").dropDuplicates(["blob"])
-    found = []
-    for r in rules:
-        one = F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("found"))
-        found.append(F.when(~F.col(f"known_{r.order}"), one) if ledger is not None else one)
-    each = blobs.select("blob", F.explode(F.array(*found)).alias("row")).where("row is not null")
+    if ledger is None:
+        blobs = versions.select("blob", "text").dropDuplicates(["blob"])
+        each = blobs.select("blob", F.explode(F.array(*(_scanned(r) for r in rules))).alias("row"))
+        return each.select("blob", "row.*")
+    have = ledger.where(_current(rules)).groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("have"))
+    known = F.coalesce("have", F.array().cast("array<string>"))
+    wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
+    due = versions.select("blob").distinct().join(have, "blob", "left").select("blob", known.alias("have")).where(F.size(F.array_except(wanted, F.col("have"))) > 0)
+    due = (tables or Tables(versions.sparkSession)).save(due, "due")
+    if due.isEmpty():
+        return None
+    blobs = versions.select("blob", "text").dropDuplicates(["blob"]).join(due, "blob")
+    rows = [F.when(~F.array_contains("have", f"{r.kind}:{r.version}"), _scanned(r)) for r in rules]
+    each = blobs.select("blob", F.explode(F.array(*rows)).alias("row")).where("row is not null")
     return each.select("blob", "row.*")
 
 
+def _scanned(rule: Rule) -> Column:
+    return F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), spans(F.col("text"), rule).alias("found"))
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, n_<kind> ..., base_list, all_list) of blobs with a finding under the current rules: lists of kind:start:end."""
+    """(blob, n_<kind> ..., base_list, all_list) of blobs with a finding under the current rules: lists of kind:start:end.
+    A pair that two runs have appended at once counts once."""
     order = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.order))))
     hits = ledger.where((F.size("found") > 0) & _current(rules)).select("blob", F.transform("found", lambda s: F.struct(s["start"].alias("start"), order[F.col("kind")].alias("order"), F.concat_ws(":", "kind", s["start"], s["end"]).alias("name"), F.col("kind").alias("kind"))).alias("spans"))
-    merged = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     names = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: s["name"]), ",")
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(k) for k in BASE]
@@ -125,7 +132,9 @@ def scanned(versions: DataFrame, tables: Tables, ledger_path: str | None, rules:
     spark = versions.sparkSession
     before = spark.read.schema(LEDGER).parquet(ledger_path) if ledger_path is not None and _exists(spark, ledger_path) else None
     path = ledger_path or tables.path("ledger")
-    scan(versions, before, rules).write.mode("append").parquet(path)
+    new = scan(versions, before, rules, tables)
+    if new is not None:
+        new.write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
 
@@ -161,11 +170,11 @@ def masked(text: Column, found: Column, mask: str) -> Column:
 def redacted(docs: DataFrame, tables: Tables, ledger_path: str | None = None, text_col: str = "text", mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows with every finding in their text masked, by the ledger as in ``report``: a text is scanned once however
     many rows hold it. Null texts stay null; no row goes and no other column changes. The join is the same at every size."""
-    key = "__blob"
+    key = "__leafmill_blob"
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     ledger = scanned(docs.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), tables, ledger_path, rules)
-    hits = ledger.where((F.size("found") > 0) & _current(rules)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("__found"))
+    hits = ledger.where((F.size("found") > 0) & _current(rules)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("found"))).alias("__leafmill_found"))
     hits = tables.save(hits.withColumnRenamed("blob", key), "spans")
     joined = docs.withColumn(key, blob).join(hits.hint("merge"), key, "left")
-    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("__found"), mask))
+    text = F.when(F.col("__leafmill_found").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("__leafmill_found"), mask))
     return joined.withColumn(text_col, text).select(*docs.columns)
