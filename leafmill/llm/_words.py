@@ -97,7 +97,8 @@ class Words:
             return np.zeros(0, U64)
         padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
         eights = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
-        out = mix((eights[self.start] & _FIRST[np.minimum(self.length, 8)]) + self.length.astype(U64))
+        # the length is mixed in apart, so that a word and the same word with NUL bytes behind it differ
+        out = mix(mix(eights[self.start] & _FIRST[np.minimum(self.length, 8)]) * U64(0x9E3779B97F4A7C15) + self.length.astype(U64))
         left, k = np.flatnonzero(self.length > 8), 8
         while len(left):
             part = eights[self.start[left] + k] & _FIRST[np.minimum(self.length[left] - k, 8)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from leafmill.llm._words import U64, Words, column_bytes, mix, slices
 from leafmill.scratch import Tables
 
-#: Words of the table at most; symbols: 0 the end, then HEADS words, then endings; hashed rows of the three features.
+#: Words of the table at most (all from some count on); symbols: 0 the end, then HEADS words, then endings; hashed rows of the three features.
 TABLE, HEADS, SYMBOLS, ROWS, ROUNDS, RATE, STEP = 200_000, 31, 64, (2048, 1024, 1024), 2, 0.15, 8192
 CLASSES, RARE = SYMBOLS + 1, SYMBOLS
 _CHUNKS, _SALTS = 64, 8
@@ -171,18 +171,34 @@ class Model:
     unknown: float  # log10 of the unknown word's share of the rare class
 
 
+def _frequent(counts: DataFrame) -> int:
+    """The least count, 2 or more, that at most TABLE words have; counts are taken in steps of about 9 %, so that what is
+    gathered to find it does not grow with the words."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = counts.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, words = 2**62, 0
+    for r in steps:
+        words += r["words"]
+        if words > TABLE:
+            break
+        least = r["least"]
+    return least
+
+
 def learn(training: DataFrame, tables: Tables, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
-    """(model, counts of all words). ``training``: all documents to learn from; null texts are empty."""
+    """(model, counts of all words). ``training``: all documents to learn from; null texts are empty. An empty table gives
+    a model whose words are all unknown."""
     texts = training.select(text_col)
     counted = texts.mapInArrow(_count, "hash long, ending int, n long").groupBy("hash").agg(F.sum("n").alias("n"), F.min("ending").alias("ending"))
     counts = tables.save(counted, "counts")
     ends = training.count()
     s = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
     n, v = (s["n"] or 0) + ends, s["v"] + (ends > 0)
-    top = counts.where("n > 1").orderBy(F.desc("n"), "hash").limit(TABLE).collect()  # at most TABLE rows
-    hashes = np.array([r["hash"] for r in top], np.int64).view(U64)
-    c = np.array([r["n"] for r in top], np.int64)
-    symbols = np.array([k + 1 if k < HEADS else r["ending"] for k, r in enumerate(top)], np.int64)
+    top = counts.where(F.col("n") >= _frequent(counts)).select("hash", "n", "ending").toArrow()  # at most TABLE rows
+    hashes, c, ending = (top.column(x).to_numpy() for x in ("hash", "n", "ending"))
+    rank = np.lexsort((hashes, -c))
+    hashes, c, symbols = hashes[rank].view(U64), c[rank].astype(np.int64), ending[rank].astype(np.int64)
+    symbols[:HEADS] = np.arange(1, len(symbols[:HEADS]) + 1)
     order = np.argsort(hashes)
     table = Table(hashes[order], c[order], symbols[order])
     of_class = np.maximum(np.bincount(table.symbols, table.counts, SYMBOLS), 1)
