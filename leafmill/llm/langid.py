@@ -9,23 +9,21 @@ predictions whose calibrated probability is low are marked as rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm._words import LOWER, PUNCTUATION, column_bytes, slices
 
-#: Bound of the labelled sample: rows of each language, and characters from the middle of each of them.
-ROWS, ROW_CHARS = 1500, 300
+#: Bound of the labelled sample: about so many rows of each language.
+ROWS = 1500
 BUCKETS, WIDTH, EPOCHS, RATE, BATCH = 1 << 15, 16, 6, 1.0, 64
 REJECT_SHARE = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def subwords(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,75 +65,101 @@ class Model:
             n = np.maximum(np.bincount(text, minlength=j - i), 1)
             for c in range(len(self.langs)):
                 out[i:j, c] = np.bincount(text, self.table[:, c][bucket], j - i) / n
-        z = (out + self.bias) / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        return _softmax((out + self.bias) / self.temperature)
 
 
-def train(texts: list[str], langs: list[str]) -> Model | None:
+@dataclass
+class Example:
+    """A labelled text as the distinct buckets of its subwords and how often each occurs."""
+
+    lang: str
+    buckets: np.ndarray
+    counts: np.ndarray
+
+
+def _by_bucket(buckets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct buckets, sums of their rows)."""
+    order = np.argsort(buckets, kind="stable")
+    b = buckets[order]
+    begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
+    return b[begin], np.add.reduceat(rows[order], begin, axis=0) if len(b) else rows
+
+
+def train(examples: list[Example]) -> Model | None:
     """None without labelled text. One language has probability one."""
-    names = sorted(set(langs))
+    examples = [e for e in examples if len(e.buckets)]
+    names = sorted({e.lang for e in examples})
     if not names:
         return None
-    y = np.array([names.index(x) for x in langs])
+    y = np.array([names.index(e.lang) for e in examples])
     rng = np.random.default_rng(11)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(examples))
     held = order[: len(order) // 5] if len(order) >= 50 else order[:0]
     fitted = order[len(held) :]
-    buf, offs = column_bytes(pa.array(texts, pa.large_string()))
-    owner, bucket = subwords(buf, offs)
-    sort = np.argsort(owner, kind="stable")
-    owner, bucket = owner[sort], bucket[sort]
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    emb = rng.normal(0, 0.1, (BUCKETS, WIDTH))
+    emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
     weight = len(fitted) / (len(names) * np.maximum(np.bincount(y[fitted], minlength=len(names)), 1))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for rows in np.array_split(rng.permutation(fitted), max(1, len(fitted) // BATCH)):
-            grams = np.concatenate([bucket[first[r] : first[r + 1]] for r in rows]) if len(rows) else bucket[:0]
-            sizes = first[rows + 1] - first[rows]
-            which = np.repeat(np.arange(len(rows)), sizes)
-            mean = np.zeros((len(rows), WIDTH))
-            np.add.at(mean, which, emb[grams])
-            mean /= np.maximum(sizes, 1)[:, None]
+            buckets = np.concatenate([examples[r].buckets for r in rows])
+            share = np.concatenate([examples[r].counts / examples[r].counts.sum() for r in rows]).astype(np.float32)
+            sizes = np.array([len(examples[r].buckets) for r in rows])
+            mean = np.add.reduceat(emb[buckets] * share[:, None], np.cumsum(sizes) - sizes, axis=0).astype(np.float64)
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             p *= weight[y[rows]][:, None] / len(rows)
-            back = p @ out.T / np.maximum(sizes, 1)[:, None]
+            back = (p @ out.T).astype(np.float32)
             out -= 10 * rate * mean.T @ p
             bias -= rate * p.sum(0)
             # rows of the table are rescaled by the batch, as every text's share of a row is small
-            np.add.at(emb, grams, -rate * len(rows) * 10 * back[which])
-    model = Model(names, emb @ out, bias)
+            own, total = _by_bucket(buckets, np.repeat(back, sizes, axis=0) * share[:, None])
+            emb[own] -= np.float32(rate * len(rows) * 10) * total
+    model = Model(names, emb.astype(np.float64) @ out, bias)
     if len(held):
-        # half of the texts cut short, as short ones are where the model errs
-        col = pa.array([texts[x][: 40 if n % 2 else None] for n, x in enumerate(held)], pa.large_string())
+        z = np.array([(model.table[examples[x].buckets] * (examples[x].counts / examples[x].counts.sum())[:, None]).sum(0) for x in held]) + bias
         best = []
         for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 5.0):
-            model.temperature = t
-            p = model.probabilities(col)
-            best.append((-np.log(np.maximum(p[np.arange(len(held)), y[held]], 1e-12)).mean(), t))
-        model.temperature = min(best)[1]
-        model.least = float(np.quantile(model.probabilities(col).max(1), REJECT_SHARE))
+            p = _softmax(z / t)
+            best.append((-np.log(np.maximum(p[np.arange(len(held)), y[held]], 1e-12)).mean(), t, float(np.quantile(p.max(1), REJECT_SHARE))))
+        _, model.temperature, model.least = min(best)
     return model
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, buckets, counts) of whole texts."""
+    for batch in batches:
+        buf, offs = column_bytes(batch.column(2))
+        for i, j in slices(offs):
+            text, bucket = subwords(buf, offs[i : j + 1])
+            key, count = np.unique(text * BUCKETS + bucket, return_counts=True)
+            first = np.searchsorted(key, np.arange(j - i + 1) * BUCKETS).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x.astype(np.int32))) for x in (key % BUCKETS, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], ["id", "lang", "buckets", "counts"])
+
+
 def learn(docs: DataFrame, learn_from=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on at most ROWS rows of each language, those with the smallest hash of their id, and ROW_CHARS characters
-    of each. ``learn_from``: a condition on the id column ``id``. Null languages, ids and texts are left out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.length(text_col).alias("n")).where("id is not null and lang is not null and n > 0")
+    """Train on about ROWS rows of each language, chosen by a hash of id and text below the share that gives so many, each
+    as the subword counts of its whole text: at most BUCKETS numbers a row, whatever the text's length. ``learn_from``: a
+    condition on the id column ``id``. Null languages, ids and texts and empty texts are left out; equal rows count once.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text <> ''")
     rows = rows.where(learn_from) if learn_from is not None else rows
-    some = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt"), F.xxhash64("id").alias("h"))
-    # the smallest within salts first, so that no language's rows meet in one task
-    first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))).where(F.col("n") <= ROWS)
-    kept = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= ROWS)
-    middle = F.expr(f"substring(text, greatest(1, cast((length(text) - {ROW_CHARS}) / 2 as int)), {ROW_CHARS})")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = texts.join(F.broadcast(kept.select("id")), "id").select("id", "lang", middle.alias("text")).dropDuplicates(["id"]).orderBy("id").collect()
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(2**31)) / F.lit(float(2**31))
+    some = rows.join(F.broadcast(sizes), "lang").where(share * F.col("n") < ROWS).select("id", "lang", "text").dropDuplicates()
+    kind = dict(rows.dtypes)["id"]
+    got = some.mapInArrow(_examples, f"id {kind}, lang string, buckets array<int>, counts array<int>").toArrow()
+    each = zip(got.column("id").to_pylist(), got.column("lang").to_pylist(), got.column("buckets").combine_chunks(), got.column("counts").combine_chunks(), strict=True)
+    ordered = sorted(((lang, str(i), b.values.to_numpy(), c.values.to_numpy()) for i, lang, b, c in each), key=lambda e: (*e[:2], e[2].tobytes(), e[3].tobytes()))
+    return train([Example(lang, b, c) for lang, _, b, c in ordered])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -150,7 +174,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            known = np.array([bool(t) and _LETTER.search(t) is not None and model is not None for t in texts], bool)
+            known = np.array([bool(t) and any(map(str.isalpha, t)) and model is not None for t in texts], bool)
             p = model.probabilities(batch.column(place)) if model is not None else np.zeros((len(texts), 1))
             top = p.argmax(1)
             score = np.where(known, p.max(1), 0.0)
