@@ -20,14 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm._words import Words, column_bytes, mix, shingles, slices
 
-#: Bounds of the labelled sample: rows of either label, the smallest by hash of id, and characters of a row that is used.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 3000, 6000, 8000
+#: Bounds of the labelled sample: rows of either label, the smallest by hash of id, and characters of all of either.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 20_000_000
+#: What the toxic dictionary has room for.
 TOXIC_WORDS = 400
 WINDOW, ORDINARY_BYTES = 80, 112 * 1024
 #: Matches from four bytes on, all candidates followed: what a dictionary knows is found whatever else it holds.
@@ -141,22 +142,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """``share``: of toxic rows among all labelled ones, which the sample need not keep."""
-    toxic_kept, ordinary_kept = _unlike(toxic), _unlike(ordinary)
-    pieces = [w for t in ordinary_kept for w in windows(t)]
-    if not toxic_kept or len(pieces) < 100:
-        return Model(base=share)
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    pieces = [w for t in ordinary for w in windows(t)]
     step = max(1, len(pieces) // 100_000)
     try:
         content = zstandard.train_dictionary(ORDINARY_BYTES, pieces[::step]).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         content = b"".join(pieces)[-ORDINARY_BYTES:]
-    added, control = toxic_content(toxic_kept, ordinary_kept)
-    model = Model(control + content, added)
-    x = model.features(toxic_kept + ordinary_kept)
-    y = np.r_[np.ones(len(toxic_kept)), np.zeros(len(ordinary_kept))]
-    weight = np.where(y == 1, share / len(toxic_kept), (1 - share) / max(len(ordinary_kept), 1))
+    added, control = toxic_content(toxic, ordinary)
+    return Model(control + content, added)
+
+
+def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
+    """``share``: of toxic rows among all labelled ones, which the sample need not keep. The calibration sees each text's
+    features by dictionaries that were learned without it: from the other half of the texts."""
+    toxic, ordinary = _unlike(toxic), _unlike(ordinary)
+    if len(toxic) < 2 or len(ordinary) < 2 or sum(map(len, ordinary)) < 100 * WINDOW:
+        return Model(base=share)
+    parts = []
+    for half in (0, 1):
+        model = _dictionaries(toxic[1 - half :: 2], ordinary[1 - half :: 2])
+        parts += [(model.features(toxic[half::2]), 1.0), (model.features(ordinary[half::2]), 0.0)]
+    x = np.concatenate([f for f, _ in parts])
+    y = np.concatenate([np.full(len(f), label) for f, label in parts])
+    model = _dictionaries(toxic, ordinary)
+    weight = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
@@ -171,17 +181,20 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of labelled rows: at most TOXIC_ROWS and ORDINARY_ROWS, those with the smallest hash of
-    their id, without texts over ROW_CHARS. ``learn_from``: a condition on the id column ``id``. An id labelled twice
-    counts as toxic if one label says so; null labels and ids are left out."""
-    known = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).alias("toxic"))
+    """Fit on a bounded sample of labelled rows: of either label those with the smallest hash of their id, at most
+    TOXIC_ROWS and ORDINARY_ROWS of them and SAMPLE_CHARS characters together, whole texts of every length. ``learn_from``:
+    a condition on the id column ``id``. An id labelled twice counts as toxic if one label says so, an id with several
+    texts has the least of them; null labels and ids and null and empty texts are left out."""
+    known = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(toxic_col) > 0).alias("toxic"))
     known = known.where(learn_from) if learn_from is not None else known
-    counts = {bool(r["toxic"]): r["n"] for r in known.groupBy(F.col("toxic") > 0).agg(F.count("*").alias("n")).withColumnRenamed("(toxic > 0)", "toxic").collect()}
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(True, 0) / max(sum(counts.values()), 1)
-    some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in (("toxic > 0", TOXIC_ROWS), ("toxic <= 0", ORDINARY_ROWS))]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, ROW_CHARS))
-    rows = texts.join(F.broadcast(some[0].union(some[1])), "id").dropDuplicates(["id"]).orderBy("id").collect()  # at most 9,000 ids
-    return fit([r["text"] for r in rows if r["toxic"] > 0], [r["text"] for r in rows if r["toxic"] <= 0], share)
+    some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in (("toxic", TOXIC_ROWS), ("not toxic", ORDINARY_ROWS))]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
+    rows = texts.join(F.broadcast(some[0].union(some[1])), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))  # over the sample's rows
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("id", "toxic", "text").orderBy("id").collect()
+    return fit([r["text"] for r in got if r["toxic"]], [r["text"] for r in got if not r["toxic"]], share)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
