@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of the interface: ASCII white space, no-break and ideographic spaces, byte order mark.
-BLANKS = r"[\s\x{00A0}\x{3000}\x{FEFF}]"
+#: White space of the interface, fixed values: ASCII white space, the space separators, line separators, byte order mark.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANKS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Han characters and compatibility ideographs, which weigh more in a token estimate.
 CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
@@ -21,20 +22,26 @@ def squeezed(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, f"{BLANKS}+", " ")))
 
 
+def packed(x: Column) -> Column:
+    """Lower case without any white space: the form in which a quote is looked for in its source."""
+    return F.lower(F.regexp_replace(x, BLANKS, ""))
+
+
 def visible_length(x: Column) -> Column:
     """Code points that are not white space."""
     return F.length(F.regexp_replace(x, BLANKS, ""))
 
 
-def utf16_length(x: Column) -> Column:
-    return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
-
-
 def stable_id(kind: str, value: Column) -> Column:
     """``kind`` and the first 24 hex digits of the SHA-256 of kind, a zero byte and the value."""
     return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(F.concat(F.lit(f"{kind}\0"), value), 256), 1, 24))
 
 
+def short_id(kind: str, value: Column) -> Column:
+    """``kind`` and the FNV-1a hash of the value."""
+    return F.concat(F.lit(f"{kind}_"), fnv1a(value))
+
+
 def fnv1a(value: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, as eight hex digits."""
     wide = F.hex(F.encode(value, "UTF-16BE"))
@@ -51,7 +58,22 @@ def estimated_tokens(text: Column) -> Column:
 
 def unfenced(text: Column) -> Column:
     """A model's answer without a Markdown code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(trimmed(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object that an answer holds, in a code fence or not, as text; null for arrays, other values and what is
+    no JSON."""
+    bare = unfenced(text)
+    # a field behind it is found only if the object ends where the answer does
+    whole = F.try_parse_json(F.concat(F.lit('{"x":'), bare, F.lit(',"leafmill_end":0}')))
+    return F.when(bare.startswith("{") & (F.try_variant_get(whole, "$.leafmill_end", "int") == 0), bare)
+
+
+def string_fields(payload: Column, fields: list[str]) -> Column:
+    """The fields that an object lacks or holds as something other than a string."""
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{f}", "variant"))
+    return F.filter(F.array(*(F.when(~F.coalesce(kind(f), F.lit("")).eqNullSafe("STRING"), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
 
 
 def or_default(x: Column, default: str) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import squeezed, trimmed
+from leafmill.functions import short_id, squeezed, trimmed
 
 MENTIONS = (("character", "characters"), ("location", "locations"), ("world_term", "world_terms"))
 
@@ -44,18 +44,20 @@ def _in_order(key: Column, values: Column) -> Column:
 
 
 def entities(accepted: DataFrame) -> DataFrame:
-    """(book, kind, name, mentions, chapters, evidence, confidence): mentions grouped by kind and squeezed name; the name
+    """(book, kind, norm, name, mentions, chapters, evidence, confidence, id): mentions grouped by kind and squeezed name; the name
     as first seen; every mention counts; lists by first appearance."""
     each = F.flatten(F.array(*(_mentions(k, c, o) for o, (k, c) in enumerate(MENTIONS))))
     rows = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.explode(each).alias("m")).where("m.name <> ''")
     pos = F.struct("ordinal", "chapter", "m.o", "m.i")
-    return rows.groupBy("book", F.col("m.kind").alias("kind"), squeezed(F.col("m.name")).alias("norm")).agg(
+    norm = squeezed(F.col("m.name"))
+    found = rows.groupBy("book", F.col("m.kind").alias("kind"), norm.alias("norm")).agg(
         F.min_by("m.name", pos).alias("name"),
         F.count("*").alias("mentions"),
         _in_order(pos, F.array("chapter")).alias("chapters"),
         _in_order(pos, evidence_for(F.col("m.name"), F.col("evidence"))).alias("evidence"),
         F.max("confidence").alias("confidence"),
     )
+    return found.withColumn("id", short_id("entity", F.concat_ws(":", "kind", "norm")))
 
 
 def _mentions(kind: str, column: str, order: int) -> Column:
@@ -68,37 +70,50 @@ def _all_evidence(claim: Column) -> Column:
 
 
 def relationships(accepted: DataFrame) -> DataFrame:
-    """(book, source, target, type, descriptions, chapters, evidence, confidence) by the three squeezed parts."""
-    rows = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("relationships").alias("i", "r")).where((trimmed(F.col("r.source")) != "") & (trimmed(F.col("r.target")) != ""))
+    """(book, source, target, type, descriptions, chapters, evidence, confidence, id) by the three squeezed parts, none of
+    which may be blank."""
+    parts = ("source", "target", "type")
+    each = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("relationships").alias("i", "r"))
+    rows = each.select("*", *(trimmed(F.coalesce(f"r.{c}", F.lit(""))).alias(c) for c in parts), trimmed(F.coalesce("r.description", F.lit(""))).alias("said")).where("source <> '' and target <> '' and type <> ''")
     pos = F.struct("ordinal", "chapter", "i")
-    keys = [squeezed(F.col(f"r.{c}")).alias(f"{c}_key") for c in ("source", "target", "type")]
-    said = F.when(trimmed(F.col("r.description")) != "", F.array(trimmed(F.col("r.description")))).otherwise(F.array().cast("array<string>"))
-    return rows.groupBy("book", *keys).agg(*(F.min_by(f"r.{c}", pos).alias(c) for c in ("source", "target", "type")), _in_order(pos, said).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(F.concat_ws(" ", "r.source", "r.target"))).alias("evidence"), F.max("confidence").alias("confidence")).drop("source_key", "target_key", "type_key")
+    keys = [squeezed(F.col(c)).alias(f"{c}_key") for c in parts]
+    found = rows.groupBy("book", *keys).agg(*(F.min_by(c, pos).alias(c) for c in parts), _in_order(pos, _said("said")).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(F.concat_ws(" ", *parts))).alias("evidence"), F.max("confidence").alias("confidence"))
+    return found.withColumn("id", short_id("relation", F.concat_ws(":", *(f"{c}_key" for c in parts)))).drop(*(f"{c}_key" for c in parts))
+
+
+def _said(column: str) -> Column:
+    return F.when(F.col(column) != "", F.array(column)).otherwise(F.array().cast("array<string>"))
 
 
 def world_rules(accepted: DataFrame) -> DataFrame:
-    """(book, name, descriptions, chapters, evidence, confidence) by squeezed name."""
-    rows = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("world_rules").alias("i", "r")).where(trimmed(F.col("r.name")) != "")
+    """(book, name, descriptions, chapters, evidence, confidence, id) by squeezed name."""
+    each = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("world_rules").alias("i", "r"))
+    rows = each.select("*", trimmed(F.coalesce("r.name", F.lit(""))).alias("name"), trimmed(F.coalesce("r.description", F.lit(""))).alias("said")).where("name <> ''")
     pos = F.struct("ordinal", "chapter", "i")
-    said = F.when(trimmed(F.col("r.description")) != "", F.array(trimmed(F.col("r.description")))).otherwise(F.array().cast("array<string>"))
-    return rows.groupBy("book", squeezed(F.col("r.name")).alias("norm")).agg(F.min_by("r.name", pos).alias("name"), _in_order(pos, said).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(F.col("r.name"))).alias("evidence"), F.max("confidence").alias("confidence")).drop("norm")
+    claim = F.concat_ws(" ", "name", "r.description")
+    found = rows.groupBy("book", squeezed(F.col("name")).alias("norm")).agg(F.min_by("name", pos).alias("name"), _in_order(pos, _said("said")).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(claim)).alias("evidence"), F.max("confidence").alias("confidence"))
+    return found.withColumn("id", short_id("rule", F.col("norm"))).drop("norm")
 
 
 def timeline(accepted: DataFrame) -> DataFrame:
-    """(book, chapter, ordinal, i, title, description, time_marker, evidence): events with a title, in order."""
-    rows = accepted.select("book", "chapter", "ordinal", "evidence", F.posexplode("timeline_events").alias("i", "e")).where(trimmed(F.col("e.title")) != "")
-    return rows.select("book", "chapter", "ordinal", "i", "e.title", "e.description", "e.time_marker", F.array_distinct(_all_evidence(F.col("e.title"))).alias("evidence"))
+    """(book, chapter, ordinal, i, title, description, time_marker, evidence, confidence, id): events with a title or a
+    description, in order."""
+    text = lambda c: F.coalesce(f"e.{c}", F.lit(""))
+    rows = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("timeline_events").alias("i", "e")).where((trimmed(text("title")) != "") | (trimmed(text("description")) != ""))
+    named = short_id("event", F.concat_ws(":", F.col("chapter").cast("string"), F.col("i").cast("string"), text("title")))
+    return rows.select("book", "chapter", "ordinal", "i", *(trimmed(text(c)).alias(c) for c in ("title", "description", "time_marker")), F.array_distinct(_all_evidence(F.concat_ws(" ", text("title"), text("description")))).alias("evidence"), "confidence", named.alias("id"))
 
 
 def foreshadowing(accepted: DataFrame) -> DataFrame:
-    """(book, chapter, ordinal, i, setup, possible_payoff, evidence): setups that are not blank."""
-    rows = accepted.select("book", "chapter", "ordinal", "evidence", F.posexplode("foreshadowing").alias("i", "f")).where(trimmed(F.col("f.setup")) != "")
-    return rows.select("book", "chapter", "ordinal", "i", "f.setup", "f.possible_payoff", F.array_distinct(_all_evidence(F.col("f.setup"))).alias("evidence"))
+    """(book, chapter, ordinal, i, setup, possible_payoff, evidence, confidence, id): setups that are not blank."""
+    rows = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("foreshadowing").alias("i", "f")).where(trimmed(F.coalesce("f.setup", F.lit(""))) != "")
+    named = short_id("setup", F.concat_ws(":", F.col("chapter").cast("string"), F.col("i").cast("string"), "f.setup"))
+    return rows.select("book", "chapter", "ordinal", "i", trimmed(F.col("f.setup")).alias("setup"), trimmed(F.col("f.possible_payoff")).alias("possible_payoff"), F.array_distinct(_all_evidence(F.col("f.setup"))).alias("evidence"), "confidence", named.alias("id"))
 
 
 def uncertainties(accepted: DataFrame) -> DataFrame:
-    """(book, chapter, ordinal, note): notes that are not blank."""
-    return accepted.select("book", "chapter", "ordinal", F.explode("uncertainties").alias("note")).where(trimmed(F.col("note")) != "")
+    """(book, chapter, ordinal, note): notes that are not empty."""
+    return accepted.select("book", "chapter", "ordinal", F.explode("uncertainties").alias("note")).where("note <> ''")
 
 
 def foreign_evidence(analyses: DataFrame, segments: DataFrame) -> DataFrame:
@@ -112,6 +127,11 @@ def pending(chapters: DataFrame, analyses: DataFrame, key: list[str]) -> DataFra
     return chapters.join(analyses.where("status <> 'rejected'").select(*key).distinct(), key, "left_anti")
 
 
+def foreign_analyses(chapters: DataFrame, analyses: DataFrame, key: list[str]) -> DataFrame:
+    """Finished analyses of chapters that the run does not have, with which it must not be resumed."""
+    return analyses.where("status <> 'rejected'").join(chapters.select(*key), key, "left_anti")
+
+
 def unlinked_relations(relations: DataFrame, names: DataFrame) -> DataFrame:
     """(book, source, target, reason): relations with an end that no name of the book has, or both ends the same."""
     known = names.select("book", squeezed(F.col("name")).alias("n")).distinct()

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.functions import trimmed
+from leafmill.functions import SPACES, trimmed
 
-#: Fixed patterns: a number between dashes or with a page word, and a line that is only a number.
-PAGE_NUMBER = (r"^\s*(?:[-—–]\s*\d{1,5}\s*[-—–]|第\s*\d{1,5}\s*页|(?i:page)\s*\d{1,5})\s*$", r"^\s*\d{1,5}\s*$")
-#: Characters that end a sentence, so that the next line does not belong to it.
-ENDS = r"[。！？!?…」』”’.;；:：)）\]】]$"
+#: What a trimmed page-number line looks like, and the characters that end a sentence, so that the next
+#: line does not belong to it.
+PAGE_NUMBER = (r"\s*(?:第\s*)?[0-9]+\s*页\s*", r"[-—–]?\s*[0-9]+\s*[-—–]?")
+ENDS = "。！？!?；;：:“”」』）)"
+_PAGE = re.compile("|".join(f"(?:{p})" for p in PAGE_NUMBER).replace(r"\s", f"[{SPACES}]"))
 
 
 def edge_lines(text: Column) -> Column:
     """The distinct first two and last two non-blank trimmed lines of 2 to 80 characters."""
-    kept = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), trimmed), lambda s: s != "")
+    kept = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1), trimmed), lambda s: s != "")
     edges = F.concat(F.slice(kept, 1, 2), F.slice(kept, F.greatest(F.lit(1), F.size(kept) - 1), F.lit(2)))
     return F.filter(F.array_distinct(edges), lambda s: F.length(s).between(2, 80))
 
@@ -29,56 +33,65 @@ def repeated_edges(chapters: DataFrame, book: str, text: str, min_share: float =
     return counts.join(total, book).where(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("chapters") * min_share))).select(book, "line", "n")
 
 
-def folded(lines: Column, repeated: Column | None = None, blocked: list[str] | None = None, pages: bool = True, duplicates: bool = True, unwrap: bool = True) -> Column:
-    """One fold over a chapter's lines: struct<out, removed, joined>. A line goes if its trimmed form is a repeated edge,
-    a page number, holds a blocked fragment, or equals the accumulated line before it; a line is joined to the one before
-    if that is not blank and does not end a sentence and the line has no white space in front."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("removed"), F.lit(0).alias("joined"))
-
-    def step(s: Column, line: Column) -> Column:
-        bare, last = trimmed(line), F.when(F.size(s["out"]) > 0, F.element_at(s["out"], -1))
-        go = F.lit(False)
-        if repeated is not None:
-            go = go | F.coalesce(F.array_contains(repeated, bare), F.lit(False))
-        if pages:
-            go = go | bare.rlike(PAGE_NUMBER[0]) | bare.rlike(PAGE_NUMBER[1])
-        for fragment in blocked or []:
-            go = go | F.contains(bare, F.lit(fragment))
-        if duplicates:
-            go = go | ((bare != "") & F.coalesce(trimmed(last) == bare, F.lit(False)))
-        join = F.coalesce((bare != "") & (trimmed(last) != "") & ~trimmed(last).rlike(ENDS) & ~line.rlike(r"^\s"), F.lit(False)) if unwrap else F.lit(False)
-        most = F.slice(s["out"], 1, F.greatest(F.size(s["out"]) - 1, F.lit(0)))
-        return (
-            F.when(go, F.struct(s["out"].alias("out"), (s["removed"] + 1).alias("removed"), s["joined"].alias("joined")))
-            .when(join, F.struct(F.concat(most, F.array(F.concat(last, bare))).alias("out"), s["removed"].alias("removed"), (s["joined"] + 1).alias("joined")))
-            .otherwise(F.struct(F.concat(s["out"], F.array(line)).alias("out"), s["removed"].alias("removed"), s["joined"].alias("joined")))
-        )
-
-    return F.aggregate(lines, start, step)
+def clean_text(text: str | None, repeated: set[str], blocked: list[str], pages: bool = True, duplicates: bool = True, unwrap: bool = True) -> tuple[str, bool, int, int, int]:
+    """(clean, changed, removed lines, joined lines, characters of removed lines) of one chapter, line after line.
+
+    A line goes if its trimmed form is a page number or a repeated edge, holds a blocked fragment, or equals the line that
+    stands before it by then; a line is joined to that one if it is not blank, does not end a sentence and the new line
+    has no white space in front. White space behind a line goes, more than one blank line becomes one.
+    """
+    whole = re.sub(r"\r\n?", "\n", text or "")
+    out: list[list[str]] = []  # lines as the pieces that were joined
+    size, end, removed, joined, characters = 0, "", 0, 0, 0  # ``size`` and ``end``: of the line before, trimmed
+    for raw in whole.split("\n"):
+        line = raw.rstrip(SPACES)
+        bare = line.lstrip(SPACES)
+        again = duplicates and bare and size == len(bare) and "".join(out[-1]).lstrip(SPACES) == bare
+        if pages and _PAGE.fullmatch(bare) or bare in repeated or any(f in bare for f in blocked) or again:
+            removed, characters = removed + 1, characters + len(raw)
+        elif unwrap and bare and size and end not in ENDS and raw[0] not in SPACES:
+            out[-1].append(bare)
+            size, end, joined = size + len(bare), bare[-1], joined + 1
+        else:
+            out.append([line])
+            size, end = len(bare), bare[-1:]
+    clean = re.sub(r"\n{3,}", "\n\n", "\n".join(map("".join, out))).strip(SPACES)
+    return clean, clean != whole.strip(SPACES), removed, joined, characters
 
 
 def cleaned(chapters: DataFrame, book: str, text: str, *, min_share: float = 0.6, repeated: bool = True, blocked: list[str] | None = None, pages: bool = True, duplicates: bool = True, unwrap: bool = True) -> DataFrame:
-    """The chapters with ``clean``, ``removed_lines`` and ``joined_lines``; the raw text stays as it is."""
+    """The chapters with ``clean``, ``changed``, ``removed_lines``, ``joined_lines`` and ``removed_characters`` (code
+    points of removed lines) of ``clean_text``; the raw text stays as it is, null counts as empty."""
     rows = chapters
     if repeated:  # a book's repeated lines are few: one array a book
-        edges = repeated_edges(chapters, book, text, min_share).groupBy(book).agg(F.array_sort(F.collect_set("line")).alias("edges"))
+        edges = repeated_edges(chapters, book, text, min_share).groupBy(book).agg(F.array_sort(F.collect_set("line")).alias("_edges"))
         rows = rows.join(edges, book, "left")
-    done = folded(F.split(F.coalesce(text, F.lit("")), "\n", -1), F.col("edges") if repeated else None, blocked, pages, duplicates, unwrap)
-    out = rows.withColumn("fold", done)
-    clean = F.trim(F.regexp_replace(F.array_join("fold.out", "\n"), r"\n{3,}", "\n\n"))
-    return out.withColumn("clean", clean).withColumn("removed_lines", F.col("fold.removed")).withColumn("joined_lines", F.col("fold.joined")).drop("fold", "edges")
-
-
-def report(cleaned_: DataFrame, book: str, text: str) -> DataFrame:
-    """Per book: changed chapters, removed and joined lines, removed characters."""
+    else:
+        rows = rows.withColumn("_edges", F.array().cast("array<string>"))
+    at, edge_at = rows.columns.index(text), rows.columns.index("_edges")
+    fragments = [f.strip(SPACES) for f in blocked or [] if f.strip(SPACES)]
+    kinds = [("clean", T.StringType()), ("changed", T.BooleanType()), ("removed_lines", T.IntegerType()), ("joined_lines", T.IntegerType()), ("removed_characters", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, set[str]] = {}
+        for batch in batches:
+            found = []
+            for one, lines in zip(batch.column(at).to_pylist(), batch.column(edge_at).to_pylist(), strict=True):
+                key = tuple(lines or ())
+                if key not in known:
+                    known = {key: set(key)}
+                found.append(clean_text(one, known[key], fragments, pages, duplicates, unwrap))
+            new = [pa.array(list(v), k) for v, k in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(n for n, _ in kinds)])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, k) for n, k in kinds)])).drop("_edges")
+
+
+def report(cleaned_: DataFrame, book: str) -> DataFrame:
+    """Per book: changed chapters, removed and joined lines, characters of removed lines."""
     return cleaned_.groupBy(book).agg(
-        F.count_if(~F.col("clean").eqNullSafe(F.col(text))).alias("changed_chapters"),
+        F.count_if("changed").alias("changed_chapters"),
         F.sum("removed_lines").cast("long").alias("removed_lines"),
         F.sum("joined_lines").cast("long").alias("joined_lines"),
-        F.sum(F.length(text) - F.length("clean")).cast("long").alias("removed_characters"),
+        F.sum("removed_characters").alias("removed_characters"),
     )
-
-
-def any_of(fragments: list[str]) -> str:
-    """One pattern for many fragments."""
-    return "|".join(re.escape(f) for f in fragments)

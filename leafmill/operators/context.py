@@ -2,42 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions import estimated_tokens, stable_id
+from leafmill.functions import estimated_tokens, json_object, reasons, stable_id, trimmed
+
+#: Priorities of the pool, fixed values: facts, then summaries by layer, then passages by score.
+FACT, LAYERS = 1000, {"project": 500, "volume": 400, "chapter": 300, "scene": 200, "recent": 100}
+#: Priorities within facts and summaries by where they come from, fixed values.
+FACT_PARTS = {"character": 100, "relation": 80, "timeline": 75, "location": 70, "worldbuilding": 120, "fact": 95, "state": 100, "entity-state": 115}
+SUMMARY_PARTS = {"synopsis": ("project", 100), "volume": ("volume", 80), "plan": ("chapter", 100), "memory": ("chapter", 90)}
+#: A candidate carries its size, not its text, which joins those that are kept.
+CANDIDATE = ["project", "target", "kind", "id", "tokens", "priority"]
+
 
-#: Priorities of the pool: facts, then summaries by layer, then passages by score.
-LAYERS = {"order": 500, "volume": 400, "chapter": 300, "scene": 200, "draft": 100}
-CANDIDATE = ["project", "target", "kind", "id", "text", "priority"]
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tokens", estimated_tokens(F.coalesce("text", F.lit("")))).drop("text")
 
 
 def visible_facts(facts: DataFrame, targets: DataFrame) -> DataFrame:
     """Facts valid and revealed at a project's targets. ``facts``: (project, id, text, valid_from, valid_through,
     revealed_at, priority); ``targets``: (project, target)."""
-    joined = facts.join(targets, "project").where((F.col("valid_from") <= F.col("target")) & (F.col("revealed_at") <= F.col("target")) & (F.col("valid_through").isNull() | (F.col("valid_through") >= F.col("target"))))
-    return joined.withColumn("kind", F.lit("fact")).withColumn("priority", F.lit(1000) + F.col("priority")).select(CANDIDATE)
+    joined = _sized(facts).join(targets, "project").where((F.col("valid_from") <= F.col("target")) & (F.col("revealed_at") <= F.col("target")) & (F.col("valid_through").isNull() | (F.col("valid_through") >= F.col("target"))))
+    return joined.withColumn("kind", F.lit("fact")).withColumn("priority", F.lit(FACT) + F.coalesce("priority", F.lit(0))).select(CANDIDATE)
 
 
 def visible_summaries(summaries: DataFrame, targets: DataFrame) -> DataFrame:
     """Summaries whose interval holds the target. ``summaries``: (project, id, layer, text, valid_from, valid_through,
-    priority)."""
-    joined = summaries.join(targets, "project").where("target between valid_from and valid_through")
+    priority); without ``valid_through`` they hold from then on."""
+    joined = _sized(summaries).join(targets, "project").where((F.col("valid_from") <= F.col("target")) & (F.coalesce("valid_through", "target") >= F.col("target")))
     base = F.create_map(*(F.lit(x) for kv in LAYERS.items() for x in kv))
-    return joined.withColumn("kind", F.col("layer")).withColumn("priority", F.coalesce(base[F.col("layer")], F.lit(100)) + F.col("priority")).select(CANDIDATE)
+    return joined.withColumn("kind", F.lit("summary")).withColumn("priority", base[F.col("layer")] + F.coalesce("priority", F.lit(0))).select(CANDIDATE)
 
 
 def visible_passages(passages: DataFrame, targets: DataFrame) -> DataFrame:
     """Passages up to and including the target. ``passages``: (project, id, chapter, text, score)."""
-    joined = passages.join(targets, "project").where("chapter <= target")
-    return joined.withColumn("kind", F.lit("passage")).withColumn("priority", F.round(F.col("score") * 100).cast("int")).select(CANDIDATE)
+    joined = _sized(passages).join(targets, "project").where("chapter <= target")
+    return joined.withColumn("kind", F.lit("passage")).withColumn("priority", F.floor(F.col("score") * 100 + 0.5).cast("int")).select(CANDIDATE)
+
+
+def draft_passages(drafts: DataFrame, tail: int = 6000) -> DataFrame:
+    """(project, id, number, text) of drafts that are not blank: their last ``tail`` characters."""
+    return drafts.where(trimmed(F.coalesce("content", F.lit(""))) != "").select("project", "id", "number", F.expr(f"right(content, {tail})").alias("text"))
+
+
+def prior_drafts(passages: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each target's earlier drafts (of ``draft_passages``) as candidates, scored by how near they are."""
+    joined = _sized(passages).join(targets, "project").where("number < target")
+    score = F.col("number") / F.greatest(F.lit(1), F.col("target"))
+    return joined.withColumn("kind", F.lit("passage")).withColumn("priority", F.floor(score * 100 + 0.5).cast("int")).select(CANDIDATE)
+
+
+def fact_union(parts: dict[str, DataFrame]) -> DataFrame:
+    """(project, id, kind, text, valid_from, valid_through, revealed_at, priority) of all a project knows. Parts by name in
+    FACT_PARTS: (project, id, text), those of accepted memories also ``visible_through``, whose facts hold from the next
+    chapter on."""
+    kinds = {"character": "character", "relation": "relationship", "timeline": "timeline", "location": "world", "worldbuilding": "world", "fact": "world", "state": "timeline", "entity-state": "character"}
+    out = None
+    for name, df in parts.items():
+        seen = F.coalesce("visible_through", F.lit(0)) if "visible_through" in df.columns else None
+        since, shown = (seen + 1, seen) if seen is not None else (F.lit(0), F.lit(0))
+        own = F.concat(F.lit(f"{name}:"), F.col("id").cast("string")) if name != "worldbuilding" else F.lit(name)
+        part = df.select("project", own.alias("id"), F.lit(kinds[name]).alias("kind"), "text", since.cast("int").alias("valid_from"), F.lit(None).cast("int").alias("valid_through"), shown.cast("int").alias("revealed_at"), F.lit(FACT_PARTS[name]).alias("priority"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def prior_drafts(drafts: DataFrame, targets: DataFrame, tail: int = 6000) -> DataFrame:
-    """Each target's earlier drafts as passages: the last ``tail`` characters, scored by how near they are."""
-    joined = drafts.join(targets, "project").where("number < target")
-    text = F.expr(f"right(content, {tail})")
-    return joined.select("project", "target", F.lit("passage").alias("kind"), "id", text.alias("text"), F.round(F.col("number") / F.col("target") * 100).cast("int").alias("priority"))
+def summary_union(parts: dict[str, DataFrame]) -> DataFrame:
+    """(project, id, layer, text, valid_from, valid_through, priority). Parts by name in SUMMARY_PARTS: (project, id, text);
+    a chapter's plan has ``number`` and holds there only, a volume's ``first`` and ``last`` chapter, other parts hold
+    everywhere (memories reach a target by ``visible_memories``). Blank memories are left out."""
+    out = None
+    for name, df in parts.items():
+        layer, priority = SUMMARY_PARTS[name]
+        since, until = {"plan": ("number", "number"), "volume": ("first", "last")}.get(name, (None, None))
+        df = df.where(trimmed(F.coalesce("text", F.lit(""))) != "") if name == "memory" else df
+        part = df.select("project", F.concat(F.lit(f"{name}:"), F.col("id").cast("string")).alias("id"), F.lit(layer).alias("layer"), "text", (F.col(since) if since else F.lit(0)).cast("int").alias("valid_from"), (F.col(until) if until else F.lit(None)).cast("int").alias("valid_through"), F.lit(priority).alias("priority"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def visible_memories(memories: DataFrame, targets: DataFrame) -> DataFrame:
@@ -45,6 +89,35 @@ def visible_memories(memories: DataFrame, targets: DataFrame) -> DataFrame:
     return memories.join(targets, "project").where((F.col("status") == "accepted") & (F.coalesce("visible_through", "ordinal") < F.col("target")))
 
 
+#: A chapter's memory as JSON.
+MEMORY = "struct<summary:string,stateChanges:array<string>,entityStates:array<struct<category:string,subject:string,state:string>>,newFacts:array<struct<category:string,subject:string,fact:string>>,unresolvedThreads:array<string>>"
+
+
+def chapter_memories(rows: DataFrame, answer: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``memory``, quarantine with ``reasons``) of answers that hold a chapter's memory: a summary, state
+    changes, new facts and unresolved threads are needed, entity states may be missing; facts and states need all their
+    fields. Texts are trimmed and blank ones left out."""
+    blank = lambda x: trimmed(F.coalesce(x, F.lit(""))) == ""
+    m = F.from_json(json_object(F.col(answer)), MEMORY)
+    lacks = lambda field, *names: F.coalesce(F.exists(m[field], lambda e: reduce(lambda a, n: a | blank(e[n]), names, e.isNull())), F.lit(False))
+    nulls = lambda field: m[field].isNull() | F.coalesce(F.exists(m[field], lambda x: x.isNull()), F.lit(False))
+    why = reasons(
+        (m.isNull(), "no_object"),
+        (blank(m["summary"]), "summary"),
+        (nulls("stateChanges"), "stateChanges"),
+        (m["newFacts"].isNull(), "newFacts"),
+        (nulls("unresolvedThreads"), "unresolvedThreads"),
+        (lacks("entityStates", "category", "subject", "state"), "state_fields"),
+        (lacks("newFacts", "category", "subject", "fact"), "fact_fields"),
+    )
+    kept = lambda field: F.filter(F.transform(m[field], trimmed), lambda x: x != "")
+    record = lambda field, *names: F.transform(m[field], lambda e: F.struct(*(trimmed(e[n]).alias(n) for n in names)))
+    states = F.coalesce(record("entityStates", "category", "subject", "state"), F.array().cast("array<struct<category:string,subject:string,state:string>>"))
+    memory = F.struct(trimmed(m["summary"]).alias("summary"), kept("stateChanges").alias("stateChanges"), states.alias("entityStates"), record("newFacts", "category", "subject", "fact").alias("newFacts"), kept("unresolvedThreads").alias("unresolvedThreads"))
+    tagged = rows.withColumn("reasons", why)
+    return tagged.where(F.size("reasons") == 0).drop("reasons").withColumn("memory", memory), tagged.where(F.size("reasons") > 0)
+
+
 def state_before(states: DataFrame, targets: DataFrame) -> DataFrame:
     """(project, target, subject, state): each subject's latest state before the target; ties by the greater id."""
     joined = states.join(targets, "project").where("ordinal < target")
@@ -63,21 +136,34 @@ def pooled(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def assembled(pool: DataFrame, budget: int = 18_000, most: int | None = None) -> DataFrame:
-    """(project, target, used, kept, context_id, prompt): candidates by priority, then id; each is taken if it still fits,
-    and smaller ones behind one that does not are tried. The id is that of the content."""
-    sized = pool.withColumn("tokens", estimated_tokens(F.col("text")))
-    rows = sized.groupBy("project", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "id", "kind", "text", "tokens"))).alias("c"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<id:string,kind:string,text:string>>").alias("kept"))
+def assembled(pool: DataFrame, targets: DataFrame, budget: int = 18_000) -> DataFrame:
+    """(project, target, used, sources, context_id) of every target, candidates or not: candidates by priority, then id;
+    each is taken if it still fits, and smaller ones behind one that does not are tried. ``sources``: array<struct<kind,id,
+    tokens>> in that order; the id is that of project, target, budget and the sources' ids."""
+    rows = pool.groupBy("project", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id").cast("string").alias("id"), "kind", "tokens"))).alias("c"))
+    one = "struct<kind:string,id:string,tokens:int>"
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<{one}>").alias("kept"))
 
-    def step(s, x):
-        one = F.array(F.struct(x["id"].cast("string").alias("id"), x["kind"].alias("kind"), x["text"].alias("text")))
-        return F.when(s["used"] + x["tokens"] <= budget, F.struct((s["used"] + x["tokens"]).alias("used"), F.concat(s["kept"], one).alias("kept"))).otherwise(s)
+    def step(s: Column, x: Column) -> Column:
+        own = F.array(F.struct(x["kind"].alias("kind"), x["id"].alias("id"), x["tokens"].cast("int").alias("tokens")))
+        return F.when(x["tokens"] <= budget - s["used"], F.struct((s["used"] + x["tokens"]).cast("int").alias("used"), F.concat(s["kept"], own).alias("kept"))).otherwise(s)
 
     done = rows.select("project", "target", F.aggregate("c", start, step).alias("s"))
-    prompt = F.array_join(F.transform("s.kept", lambda x: F.concat(F.lit("["), x["kind"], F.lit("] "), x["text"])), "\n")
+    every = targets.select("project", "target").distinct().join(done, ["project", "target"], "left").withColumn("s", F.coalesce("s", start))
     ids = F.array_join(F.transform("s.kept", lambda x: x["id"]), ",")
-    return done.select("project", "target", F.col("s.used").alias("used"), ids.alias("kept"), stable_id("context", F.concat_ws("|", F.col("project").cast("string"), F.col("target").cast("string"), prompt)).alias("context_id"), prompt.alias("prompt"))
+    fingerprint = F.concat_ws(":", F.col("project").cast("string"), F.col("target").cast("string"), F.lit(str(budget)), ids)
+    return every.select("project", "target", F.col("s.used").alias("used"), F.col("s.kept").alias("sources"), stable_id("ctx", fingerprint).alias("context_id"))
+
+
+def prompts(contexts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(project, target, context_id, prompt): the sources' texts with their kind and id, blank lines between.
+    ``texts``: (project, kind, id, text)."""
+    kept = contexts.select("project", "target", F.posexplode("sources").alias("n", "s")).select("project", "target", "n", "s.kind", "s.id")
+    named = texts.select("project", "kind", F.col("id").cast("string").alias("id"), "text").dropDuplicates(["project", "kind", "id"])
+    part = F.concat(F.lit("["), F.col("kind"), F.lit(":"), F.col("id"), F.lit("]\n"), F.coalesce("text", F.lit("")))
+    each = kept.join(named, ["project", "kind", "id"], "left").select("project", "target", F.struct("n", part.alias("part")).alias("p"))
+    joined = each.groupBy("project", "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n\n").alias("prompt"))
+    return contexts.select("project", "target", "context_id").join(joined, ["project", "target"], "left").na.fill("", ["prompt"])
 
 
 def new_snapshots(contexts: DataFrame, existing: DataFrame, key: str = "context_id") -> DataFrame:
@@ -98,7 +184,7 @@ def chapter_sources(chapter: DataFrame, plan: DataFrame, canon: DataFrame, draft
         drafts.join(same, "project").where("number > target").withColumn("kind", F.lit("future")),
     ]
     out = pooled(*(p.select("project", "target", "kind", "id", "text") for p in parts))
-    return out.where(~F.trim("text").isin("", "{}", "[]"))
+    return out.where(~trimmed(F.coalesce("text", F.lit(""))).isin("", "{}", "[]"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str, tie: str, n: int = 1) -> DataFrame:

@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What separates the terms of a changed value.
-SEPARATORS = r"[\s,.;:!?，。；：！？、（）()\[\]【】《》“”\"']+"
+#: What separates the terms of a changed value, a fixed value; white space as everywhere.
+SEPARATORS = r"""[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}，。；、：,.!?！？;:"“”'‘’（）()《》]+"""
+#: How an impact is told, fixed values.
+MENTIONS, CHILDREN, BETWEEN = "引用了变更内容：", " 个章节引用了变更内容", "、"
+#: Terms are looked for by so many of their first characters, then checked whole.
+PREFIX = 64
 
 
 def line_diff(before: list[str], after: list[str]) -> list[tuple[str, str]]:
@@ -19,12 +23,12 @@ def line_diff(before: list[str], after: list[str]) -> list[tuple[str, str]]:
         if i < len(before) and j < len(after) and before[i] == after[j]:
             out.append(("same", before[i]))
             i, j = i + 1, j + 1
-        elif j + 1 < len(after) and i < len(before) and before[i] == after[j + 1]:
-            out.append(("added", after[j]))
-            j += 1
         elif i + 1 < len(before) and j < len(after) and before[i + 1] == after[j]:
             out.append(("removed", before[i]))
             i += 1
+        elif j + 1 < len(after) and i < len(before) and before[i] == after[j + 1]:
+            out.append(("added", after[j]))
+            j += 1
         else:
             if i < len(before):
                 out.append(("removed", before[i]))
@@ -77,30 +81,56 @@ def locks(fields: DataFrame, key: str) -> DataFrame:
 
 
 def terms_of(*values: Column) -> Column:
-    """Distinct lower-case terms of two characters or more."""
-    parts = F.split(F.concat_ws(" ", *values), SEPARATORS)
-    return F.array_distinct(F.filter(F.transform(parts, lambda t: F.lower(F.trim(t))), lambda t: F.length(t) >= 2))
-
-
-def changed_terms(changes: DataFrame, scope: str | None = None) -> DataFrame:
-    """(scope, term) of all changes, before and after; a scope keeps projects apart."""
-    each = changes.select(*([scope] if scope else []), F.explode(terms_of(F.col("before"), F.col("after"))).alias("term"))
-    return each.distinct()
-
-
-def mentions(items: DataFrame, terms: DataFrame, scope: str, haystack: str, first: int = 3) -> DataFrame:
-    """The items whose haystack holds a term of their scope, with the ``first`` of those terms as ``reason`` and their
-    number. Terms are gathered by scope, so an item is read once however many there are."""
-    lists = terms.groupBy(scope).agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    hit = items.join(lists, scope).withColumn("hit", F.filter("terms", lambda t: F.contains(F.lower(F.col(haystack)), t)))
-    return hit.where(F.size("hit") > 0).withColumn("reason", F.array_join(F.slice("hit", 1, first), ",")).withColumn("n_terms", F.size("hit").cast("long")).drop("hit", "terms")
+    """Distinct lower-case terms of two characters or more, in order."""
+    parts = F.flatten(F.array(*(F.split(v, SEPARATORS) for v in values)))
+    return F.array_distinct(F.filter(F.transform(parts, lambda t: F.lower(t)), lambda t: F.length(t) >= 2))
+
+
+def changed_terms(changes: DataFrame, scope: str, order: str) -> DataFrame:
+    """(scope, term, place) of all changes, before and after: ``place`` is where a term comes first, by the changes'
+    order and then within the change. A scope keeps projects apart."""
+    each = changes.select(scope, order, F.posexplode(terms_of(F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))).alias("i", "term"))
+    return each.groupBy(scope, "term").agg(F.min(F.struct(order, "i")).alias("place"))
+
+
+def mentions(items: DataFrame, terms: DataFrame, scope: str, key: str, haystack: str, first: int = 3) -> DataFrame:
+    """(scope, key, terms, n_terms, reason) of items whose haystack holds a term of their scope, anywhere and in any case:
+    the ``first`` terms by their place, their number, and how that is told.
+
+    A term has no separators, so it stands inside one stretch between separators. Items are cut into distinct stretches;
+    each stretch of a scope is looked up once by its substrings, which meet the terms in an equi-join, and what it holds
+    goes back to the items. Nothing is compared with everything, and no scope is a group.
+    """
+    cut = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(haystack, F.lit(""))), SEPARATORS), lambda t: F.length(t) >= 2))
+    stretches = items.select(scope, key, F.explode(cut).alias("stretch"))
+    wanted = terms.select(scope, "term", "place", F.substring("term", 1, PREFIX).alias("_part"))
+    starts = F.sequence(F.lit(1), F.length("stretch") - 1)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(PREFIX), F.length("stretch") - i + 1)), lambda n: F.substring(F.col("stretch"), i, n))))
+    known = stretches.select(scope, "stretch").distinct().select(scope, "stretch", F.explode(F.array_distinct(parts)).alias("_part"))
+    held = known.join(wanted, [scope, "_part"]).where(F.contains("stretch", F.col("term"))).select(scope, "stretch", "term", "place")
+    found = stretches.join(held, [scope, "stretch"]).groupBy(scope, key).agg(F.array_sort(F.collect_set(F.struct("place", "term"))).alias("_found"))
+    names = F.transform(F.slice("_found", 1, first), lambda x: x["term"])
+    return found.select(scope, key, names.alias("terms"), F.size("_found").cast("long").alias("n_terms"), F.concat(F.lit(MENTIONS), F.array_join(names, BETWEEN)).alias("reason"))
 
 
 def parent_impact(children: DataFrame, direct: DataFrame, parent: str) -> DataFrame:
     """(parent, reason): what is mentioned itself, or has affected children."""
     counts = children.groupBy(parent).agg(F.count("*").alias("n"))
     both = direct.select(parent, F.col("reason").alias("own")).join(counts, parent, "full")
-    return both.select(parent, F.coalesce("own", F.concat(F.col("n").cast("string"), F.lit(" affected"))).alias("reason"))
+    return both.select(parent, F.coalesce("own", F.concat(F.col("n").cast("string"), F.lit(CHILDREN))).alias("reason"))
+
+
+def impact_report(terms: DataFrame, scope: str, volumes: DataFrame, chapters: DataFrame, characters: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(scope, kind, id, title, reason) of all that changed terms touch. Every table has (scope, id, title, text), text being
+    the values that are looked through, without key names; chapters and drafts have ``number``, chapters ``volume_id``."""
+    hit = lambda df: df.drop("text").join(mentions(df, terms, scope, "id", "text").select(scope, "id", "reason"), [scope, "id"])
+    numbered = F.concat(F.lit("第 "), F.coalesce(F.col("number").cast("string"), F.lit("?")), F.lit(" 章 · "), F.col("title"))
+    chaptered = hit(chapters)
+    reasons_ = parent_impact(chaptered.select(F.struct(scope, F.col("volume_id").alias("id")).alias("p")), hit(volumes).select(F.struct(scope, "id").alias("p"), "reason"), "p")
+    owners = volumes.select(F.struct(scope, "id").alias("p"), "title").join(reasons_, "p").select(F.col(f"p.{scope}").alias(scope), "p.id", "title", "reason")
+    tag = lambda df, kind, title: df.select(scope, F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), title.alias("title"), "reason")
+    out = tag(owners, "volume", F.col("title")).unionByName(tag(chaptered, "chapter", numbered))
+    return out.unionByName(tag(hit(characters), "character", F.col("title"))).unionByName(tag(hit(drafts), "draft", numbered))
 
 
 def remapped_json(payload: Column, old: Column, new: Column) -> Column:

@@ -77,5 +77,5 @@ def static_pairs(chapters: DataFrame, project: str, order: str, same: list[str],
 def quality_report(gaps: DataFrame, deviations: DataFrame, rhythm: DataFrame, static: DataFrame, project: str) -> DataFrame:
     """(project, rule, severity, n) of the four rules together."""
     tag = lambda df, rule, severity: df.select(project, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
-    rows = tag(gaps, "number_gap", "error").unionByName(tag(deviations, "word_deviation", "warning")).unionByName(tag(rhythm, "weak_rhythm", "warning")).unionByName(tag(static, "static_pair", "warning"))
+    rows = tag(gaps, "number_gap", "error").unionByName(tag(deviations, "word_deviation", "warning")).unionByName(tag(rhythm, "weak_rhythm", "warning")).unionByName(tag(static, "static_pair", "info"))
     return rows.groupBy(project, "rule", "severity").agg(F.count("*").alias("n"))

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Legal moves of a task; done and cancelled ones move no more.
-TRANSITIONS = {"queued": ["running", "cancelled"], "running": ["paused", "succeeded", "failed", "cancelled"], "paused": ["queued", "running", "cancelled"], "failed": ["queued"], "succeeded": [], "cancelled": []}
+from leafmill.functions import packed, reasons, short_id, squeezed, trimmed
+from leafmill.operators._fold import folded
+
+#: Moves of a task, fixed values; succeeded and cancelled ones move no more.
+TRANSITIONS = {
+    "queued": ["running", "paused", "cancelled"],
+    "running": ["paused", "cancelling", "succeeded", "failed"],
+    "paused": ["queued", "cancelled"],
+    "cancelling": ["cancelled", "failed"],
+    "cancelled": [],
+    "succeeded": [],
+    "failed": ["queued"],
+}
+FINAL = ("succeeded", "failed", "cancelled")
+#: Where a version comes from, fixed values.
+VERSION_SOURCES = ("manual", "ai", "restore", "finalize")
+
+
+def moved(before: str | None, status: str, error: str | None = None) -> bool:
+    """Whether a task in the state ``before`` (None: not there yet) may go on to ``status``: the first state is queued, a
+    failure needs an error and nothing else may have one."""
+    known = status == "queued" if before is None else status in TRANSITIONS.get(before, [])
+    return known and (status == "failed") == (error is not None)
 
 
 def upserted(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -41,45 +61,59 @@ def latest_status(decisions: DataFrame, keys: list[str], order: str, status: str
 
 def optimistic(writes: DataFrame, keys: list[str], order: str, expected: str) -> DataFrame:
     """Each write with ``revision`` and ``accepted``: a write counts if it expects the revision that the accepted ones
-    before it have made. The sorted log is read in batches; a key and its revision are all that is carried along."""
-    columns = [c for c in writes.columns if c not in keys]
-    rows = writes.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, order, *columns)
-    at = len(keys) + columns.index(expected)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, revision = None, 0
-        for batch in batches:
-            revisions, accepted = [], []
-            own = zip(*(["NaN" if v != v else v for v in batch.column(k).to_pylist()] for k in range(len(keys))), strict=True)
-            for key, wanted in zip(own, batch.column(at).to_pylist(), strict=True):
-                if key != last:
-                    last, revision = key, 0
-                accepted.append(wanted == revision)
-                revision += accepted[-1]
-                revisions.append(revision)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(revisions, pa.int32()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "revision", "accepted"])
-
-    kinds = T.StructType([*rows.schema.fields, T.StructField("revision", T.IntegerType()), T.StructField("accepted", T.BooleanType())])
-    return rows.mapInArrow(run, kinds)
-
-
-def transitions(events: DataFrame, task: str, order: str, status: str, error: str | None = None) -> DataFrame:
-    """Each event with ``before`` and ``legal``: a move from the state before it (queued at first) that TRANSITIONS has;
-    an error message may come with a failure only. The state before is that of the event before."""
-    before = F.lag(status).over(Window.partitionBy(task).orderBy(order))
-    allowed = F.create_map(*(x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)).cast("array<string>"))))
-    moved = F.coalesce(F.array_contains(allowed[F.col("before")], F.col(status)), F.lit(False))
-    legal = F.when(F.col("before").isNull(), F.col(status) == "queued").otherwise(moved)
-    if error:
-        legal = legal & (F.col(error).isNull() | (F.col(status) == "failed"))
-    return events.withColumn("before", before).withColumn("legal", legal)
-
-
-def versions(saves: DataFrame, doc: str, order: str, content: str) -> DataFrame:
-    """Saves that change the content, numbered from 1."""
-    w = Window.partitionBy(doc).orderBy(order)
-    changed = saves.withColumn("_before", F.lag(content).over(w)).where(~F.col("_before").eqNullSafe(F.col(content)) | F.col("_before").isNull()).drop("_before")
-    return changed.withColumn("revision", F.row_number().over(w))
+    before it have made."""
+
+    def step(revision, wanted):
+        revision = revision or 0
+        fits = wanted == revision
+        return revision + fits, (revision + fits, fits)
+
+    return folded(writes, keys, [order], [expected], step, [T.StructField("revision", T.IntegerType()), T.StructField("accepted", T.BooleanType())])
+
+
+def transitions(events: DataFrame, task: str, order: str, status: str, error: str | None = None, at: str | None = None) -> DataFrame:
+    """Each event with ``before``, the task's state when it comes (null: not there yet), ``legal`` and ``after``; only a
+    legal event changes the state. With ``at``, a timestamp column, also ``started_at``, the first time it ran, and
+    ``finished_at``, null unless it rests in a final state."""
+
+    def step(state, new, message=None, when=None):
+        before, started, finished = state or (None, None, None)
+        legal = moved(before, new, message)
+        if legal:
+            started = when if new == "running" and started is None else started
+            state = (new, started, when if new in FINAL else None)
+        after = state or (None, None, None)
+        return state, (before, legal, *after)[: 3 if at is None else 5]
+
+    columns = [status, *([error] if error else []), *([at] if at else [])]
+    fold = (lambda s, new, when: step(s, new, None, when)) if at and not error else step
+    times = [T.StructField("started_at", T.TimestampType()), T.StructField("finished_at", T.TimestampType())] if at else []
+    return folded(events, [task], [order], columns, fold, [T.StructField("before", T.StringType()), T.StructField("legal", T.BooleanType()), T.StructField("after", T.StringType()), *times])
+
+
+def versions(saves: DataFrame, doc: str, order: str, content: str, title: str | None = None, source: str | None = None, expected: str | None = None) -> DataFrame:
+    """Saves that change the content or the title, numbered from 1. ``source``: a column that must hold one of
+    VERSION_SOURCES; ``expected``: the revision that a save expects, or null for any; saves that break either rule, or
+    change nothing, make no version."""
+
+    def step(state, text, name=None, origin="manual", wanted=None):
+        revision, kept = state or (0, None)
+        if origin not in VERSION_SOURCES or wanted is not None and wanted != revision or revision and kept == (text, name):
+            return state, (None,)
+        return (revision + 1, (text, name)), (revision + 1,)
+
+    given = [("name", title), ("origin", source), ("wanted", expected)]
+    names = [n for n, c in given if c]
+    fold = lambda state, text, *rest: step(state, text, **dict(zip(names, rest, strict=True)))
+    rows = saves.withColumn("_text", F.md5(content)).withColumn("_name", F.trim(title) if title else F.lit(None).cast("string"))
+    reads = ["_text", *("_name" if n == "name" else c for n, c in given if c)]
+    done = folded(rows, [doc], [order], reads, fold, [T.StructField("revision", T.IntegerType())])
+    return done.where("revision is not null").drop("_text", "_name")
+
+
+def analyses_upserted(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``upserted`` for analyses: what comes in is a draft again, whatever its review was."""
+    return upserted(current, incoming.withColumn("status", F.lit("draft")), keys, order)
 
 
 def copied(tables: dict[str, DataFrame], ids: dict[str, str], foreign: dict[str, dict[str, str]], suffix: str) -> dict[str, DataFrame]:
@@ -125,13 +159,11 @@ def validated(rows: DataFrame, found: Column) -> tuple[DataFrame, DataFrame]:
     return tagged.where(F.size("reasons") == 0).drop("reasons"), tagged.where(F.size("reasons") > 0)
 
 
-def quotes(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Citations (source_id, quote, ...) with ``verdict``: verified if the source's squeezed text holds the squeezed
-    quote, else unverified, or unknown_source."""
-    from leafmill.functions import squeezed
-
+def quotes(citations: DataFrame, sources: DataFrame, form: Callable[[Column], Column] = packed) -> DataFrame:
+    """Citations (source_id, quote, ...) with ``verdict``: verified if the source's text holds the quote, both in
+    ``form`` (white space and case do not count by default), else unverified, or unknown_source."""
     joined = citations.join(sources.select("source_id", F.col("text").alias("_text")), "source_id", "left")
-    held = F.contains(squeezed(F.col("_text")), squeezed(F.col("quote"))) & (squeezed(F.col("quote")) != "")
+    held = F.contains(form(F.col("_text")), form(F.col("quote"))) & (form(F.col("quote")) != "")
     return joined.withColumn("verdict", F.when(F.col("_text").isNull(), "unknown_source").when(held, "verified").otherwise("unverified")).drop("_text")
 
 
@@ -140,7 +172,6 @@ def citations(sources: DataFrame, quoted: DataFrame, width: int = 5) -> DataFram
     (quote_id, quote) that share ``width`` words one after another inside the quote. A quote begins and ends within words
     of a source at most, so the words between are whole there and no source that holds it is missed; quotes too short for
     that go with every source, blank ones with none."""
-    from leafmill.functions import squeezed
 
     def hashes(words: Column, first: int, last: int) -> Column:
         starts = F.when(F.size(words) >= width + first + last - 1, F.sequence(F.lit(first), F.size(words) - width - last + 1))
@@ -160,3 +191,83 @@ def reusable(requests: DataFrame, runs: DataFrame) -> DataFrame:
     """Requests (project, kind, input_hash) with ``reuse``: the result of the latest succeeded run of the same input."""
     done = runs.where("status = 'succeeded'").groupBy("project", "kind", "input_hash").agg(F.max_by("result", "seq").alias("reuse"))
     return requests.join(done, ["project", "kind", "input_hash"], "left")
+
+
+#: Kinds and severities of a consistency issue and kinds of required text, fixed values.
+ISSUE_KINDS = ("character", "timeline", "world", "relationship", "item", "foreshadowing", "future_leak", "plan")
+SEVERITIES = ("info", "warning", "error")
+TASK_FIELDS = ("id", "project_id", "kind", "provider_id", "model", "idempotency_key", "input_hash")
+#: An analysis as JSON.
+ANALYSIS = "struct<summary:string,confidence:double,stateChanges:array<struct<subject:string,field:string,before:string,after:string>>,evidence:array<struct<claim:string,segmentIds:array<string>>>,characters:array<string>,locations:array<string>,worldTerms:array<string>,goals:array<string>,conflicts:array<string>,outcomes:array<string>,uncertainties:array<string>>"
+
+
+def _blank(x: Column) -> Column:
+    return trimmed(F.coalesce(x, F.lit(""))) == ""
+
+
+def task_violations() -> Column:
+    """Reasons why a task row (TASK_FIELDS, status, input_tokens, output_tokens, cached_tokens) is refused: blank fields,
+    an unknown status, token counts below zero."""
+    tokens = [F.coalesce(F.col(c) < 0, F.lit(False)) for c in ("input_tokens", "output_tokens", "cached_tokens")]
+    return reasons(*((_blank(F.col(f)), f"blank_{f}") for f in TASK_FIELDS), (~F.coalesce(F.col("status").isin(*TRANSITIONS), F.lit(False)), "status"), (tokens[0] | tokens[1] | tokens[2], "negative_tokens"))
+
+
+def analysis_violations(payload: Column) -> Column:
+    """Reasons why an analysis (ANALYSIS as JSON) is refused: no object, no summary, a confidence outside 0 to 1, missing
+    arrays, incomplete state changes, evidence without a claim or segments."""
+    a = F.from_json(payload, ANALYSIS)
+    lists = ("characters", "locations", "worldTerms", "goals", "conflicts", "outcomes", "uncertainties")
+    has_null = lambda x, fields: F.coalesce(F.exists(x, lambda e: e.isNull() | F.lit(False) if not fields else _any_null(e, fields)), F.lit(False))
+    return reasons(
+        (F.try_parse_json(payload).isNull() | ~F.coalesce(trimmed(payload).startswith("{"), F.lit(False)), "no_object"),
+        (a["summary"].isNull(), "summary"),
+        (~F.coalesce(a["confidence"].between(0, 1), F.lit(False)), "confidence"),
+        *((a[f].isNull() | F.coalesce(F.exists(a[f], lambda x: x.isNull()), F.lit(False)), f) for f in lists),
+        (a["stateChanges"].isNull() | has_null(a["stateChanges"], ("subject", "field", "before", "after")), "stateChanges"),
+        (a["evidence"].isNull() | has_null(a["evidence"], ("claim", "segmentIds")), "evidence"),
+    )
+
+
+def _any_null(e: Column, fields: tuple[str, ...]) -> Column:
+    out = e.isNull()
+    for f in fields:
+        out = out | e[f].isNull()
+    return out
+
+
+def consistency_issues(issues: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid issues with ``issue_id`` and status open, quarantine with ``reasons``). ``issues``: (chapter_id, i, kind,
+    severity, title, description, suggestion, repair, evidence: array<struct<source_id,quote>>); every piece of evidence
+    must be a quote of a known source. ``sources``: (source_id, text)."""
+    key = ["chapter_id", "i"]
+    cited = issues.select(*key, F.explode("evidence").alias("e")).select(*key, "e.source_id", "e.quote")
+    blank = cited.where(_blank(F.col("quote"))).select(*key, F.lit("evidence").alias("why"))
+    bad = quotes(cited.where(~_blank(F.col("quote"))), sources).where("verdict <> 'verified'").select(*key, F.when(F.col("verdict") == "unknown_source", "unknown_source").otherwise("quote").alias("why"))
+    why = blank.unionByName(bad).groupBy(*key).agg(F.array_sort(F.collect_set("why")).alias("_why"))
+    texts = [(F.col(c).isNull(), c) for c in ("title", "description", "suggestion", "repair")]
+    own = reasons((~F.coalesce(F.col("kind").isin(*ISSUE_KINDS), F.lit(False)), "kind"), (~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)), "severity"), *texts, (F.coalesce(F.size("evidence"), F.lit(0)) <= 0, "no_evidence"))
+    tagged = issues.join(why, key, "left").withColumn("reasons", F.concat(own, F.coalesce("_why", F.array().cast("array<string>")))).drop("_why")
+    good = tagged.where(F.size("reasons") == 0).drop("reasons")
+    named = short_id("consistency", F.concat_ws(":", F.col("chapter_id").cast("string"), F.col("i").cast("string"), "title"))
+    return good.withColumn("issue_id", named).withColumn("status", F.lit("open")), tagged.where(F.size("reasons") > 0)
+
+
+#: Listings: what is shown in which order, fixed values: (column, whether the greatest comes first).
+LISTINGS = {
+    "sources": (("updated_at", True), ("id", False)),
+    "trash": (("trashed_at", True), ("id", False)),
+    "checkpoints": (("created_at", True), ("id", True)),
+    "bible": (("kind", False),),
+    "versions": (("revision", True),),
+}
+
+
+def listed(rows: DataFrame, project: str, listing: str, last: str = "id") -> DataFrame:
+    """The rows of each project with ``place``, from 1, in a listing's order; ``last`` settles ties."""
+    order = [F.desc(c) if down else F.asc(c) for c, down in LISTINGS[listing]]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(project).orderBy(*order, F.asc(last))))
+
+
+def by_name(rows: DataFrame, book: str, name: str, locale: str = "zh") -> DataFrame:
+    """The rows with ``place`` in their book by a language's collation, equal names by code point."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy(F.collate(F.col(name), locale), F.col(name))))

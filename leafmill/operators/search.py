@@ -38,15 +38,17 @@ def search(index: DataFrame, sizes: DataFrame, queries: DataFrame, key: str, que
     """
     limit = max(1, min(100, limit))
     wanted = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    need = wanted.groupBy(query_key).agg(F.count("*").alias("need"))
     stats = sizes.agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).withColumn("all", F.lit(True))  # one row
     live = index.join(wanted.select("token").distinct(), "token", "left_semi")
     df = live.groupBy("token").agg(F.count("*").alias("df"))
-    hits = live.join(df, "token").join(wanted, "token").withColumn("all", F.lit(True)).join(F.broadcast(stats), "all")
+    known = wanted.join(df, "token", "left")
+    need = known.groupBy(query_key).agg(F.count("*").alias("need"), F.count("df").alias("have"), F.min_by("token", F.struct("df", "token")).alias("rarest")).where("need = have")
+    # a segment with all tokens has the rarest one, so only that one's postings make candidates
+    pairs = need.select(query_key, "need", F.col("rarest").alias("token")).join(index.select("token", key), "token").drop("token")
+    hits = pairs.join(known, query_key).join(live, ["token", key]).withColumn("all", F.lit(True)).join(F.broadcast(stats), "all")
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = hits.groupBy(query_key, key).agg(F.sum(gain).alias("score"), F.count("*").alias("got"))
-    found = scored.join(need, query_key).where("got = need")
+    found = hits.groupBy(query_key, key, "need").agg(F.sum(gain).alias("score"), F.count("*").alias("got")).where("got = need")
     if owner is not None:
         found = found.join(sizes.where(owner).select(key), key, "left_semi")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key))

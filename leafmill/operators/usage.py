@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafmill.operators._fold import folded
 
 TASK_CAP, DAY_CAP = 120_000, 1_000_000
 
@@ -28,10 +33,16 @@ def request_estimate(prompt: Column, max_output: Column) -> Column:
 
 
 def budget_gate(requests: DataFrame, project: str, ts: str, seq: str, estimate: str, task_cap: int = TASK_CAP, day_cap: int = DAY_CAP) -> DataFrame:
-    """Requests with ``used`` (what the project's earlier ones of the day would take) and ``allowed``."""
-    w = Window.partitionBy(project, F.to_date(ts)).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = requests.withColumn("used", F.coalesce(F.sum(estimate).over(w), F.lit(0)))
-    return rows.withColumn("allowed", (F.col(estimate) <= task_cap) & (F.col("used") + F.col(estimate) <= day_cap))
+    """Requests with ``used``, what the project's admitted ones of the day take before it, and ``allowed``; a refused
+    request takes nothing. A cap of 0 does not limit."""
+
+    def step(used, tokens):
+        used, tokens = used or 0, max(0, math.ceil(tokens or 0))
+        fits = not (task_cap > 0 and tokens > task_cap or day_cap > 0 and used + tokens > day_cap)
+        return used + fits * tokens, (used, fits)
+
+    rows = requests.withColumn("_day", F.to_date(ts))
+    return folded(rows, [project, "_day"], [ts, seq], [estimate], step, [T.StructField("used", T.LongType()), T.StructField("allowed", T.BooleanType())]).drop("_day")
 
 
 def generation_budget(scenes: DataFrame, chapter: str, target_words: str, context_tokens: Column) -> DataFrame:

@@ -60,7 +60,7 @@ def static_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {CHAPTERS}, {GAPS}, {DEVIATION}, {RHYTHM}, {STATIC}
 SELECT project, rule, severity, count(*) AS n FROM (
   SELECT project, 'number_gap' AS rule, 'error' AS severity FROM gaps UNION ALL SELECT project, 'word_deviation', 'warning' FROM dev
-  UNION ALL SELECT project, 'weak_rhythm', 'warning' FROM rhythm UNION ALL SELECT project, 'static_pair', 'warning' FROM static
+  UNION ALL SELECT project, 'weak_rhythm', 'warning' FROM rhythm UNION ALL SELECT project, 'static_pair', 'info' FROM static
 ) GROUP BY ALL
 """)
 def plan_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

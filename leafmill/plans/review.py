@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import or_default, reasons, unfenced
+from leafmill.functions import json_object, or_default, reasons, squeezed
 from leafmill.operators import context, review
 from leafmill.plans._base import query, table
 
-STATES = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END"
+STATES = "CASE WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'view' THEN 'running' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'cancelled' WHEN event_type = 'click' THEN 'paused' WHEN event_type = 'purchase' THEN 'succeeded' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'cancelling' END"
+ERRORS = "CASE WHEN event_type = 'error' AND event_id % 2 = 0 AND event_id % 8 > 0 OR event_type = 'purchase' AND event_id % 11 = 0 THEN 'e' END"
+#: The moves that tasks make, folded event by event: an illegal one changes nothing.
+MOVES = f"""
+e AS (SELECT user_id, event_id, {STATES} AS status, {ERRORS} AS error, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+fold AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS status, NULL::VARCHAR AS before, false AS legal, NULL::VARCHAR AS now FROM e
+  UNION ALL
+  SELECT f.user_id, e.rn, e.event_id, e.status, f.now, ok, CASE WHEN ok THEN e.status ELSE f.now END
+  FROM fold f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1, (SELECT (e.status = 'failed') = (e.error IS NOT NULL) AND CASE coalesce(f.now, '')
+    WHEN '' THEN e.status = 'queued' WHEN 'queued' THEN e.status IN ('running', 'paused', 'cancelled') WHEN 'running' THEN e.status IN ('paused', 'cancelling', 'succeeded', 'failed')
+    WHEN 'paused' THEN e.status IN ('queued', 'cancelled') WHEN 'cancelling' THEN e.status IN ('cancelled', 'failed') WHEN 'failed' THEN e.status = 'queued' ELSE false END AS ok)
+)"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "click", "paused").when(F.col("event_type") == "purchase", "succeeded").otherwise("failed")
-    return table(spark, sf_dir, "events").withColumn("status", status)
+    return table(spark, sf_dir, "events").withColumn("status", F.expr(STATES)).withColumn("error", F.expr(ERRORS))
 
 
 @query("SELECT user_id, event_type, props, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -22,13 +33,22 @@ def idempotent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.first_by_key(table(spark, sf_dir, "events").select("user_id", "event_type", "props", "event_id"), ["user_id", "event_type", "props"], ["event_id"])
 
 
+@query(f"WITH RECURSIVE {MOVES} SELECT status, before, legal, count(*) AS n FROM fold WHERE rn > 0 GROUP BY ALL")
+def task_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.transitions(log(spark, sf_dir), "user_id", "event_id", "status", "error").groupBy("status", "before", "legal").agg(F.count("*").alias("n"))
+
+
 @query(f"""
-WITH e AS (SELECT user_id, event_id, {STATES} AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
-SELECT status, before, CASE WHEN before IS NULL THEN status = 'queued' ELSE list_contains(CASE before WHEN 'queued' THEN ['running', 'cancelled'] WHEN 'running' THEN ['paused', 'succeeded', 'failed', 'cancelled'] WHEN 'paused' THEN ['queued', 'running', 'cancelled'] WHEN 'failed' THEN ['queued'] ELSE [] END, status) END AS legal, count(*) AS n
-FROM b GROUP BY ALL
+WITH RECURSIVE {MOVES}, t AS (SELECT fold.*, ts FROM fold JOIN events USING (event_id) WHERE legal)
+SELECT user_id, arg_max(status, rn) AS status, strftime(min(ts) FILTER (WHERE status = 'running'), '%Y-%m-%d %H:%M:%S') AS started_at,
+       CASE WHEN arg_max(status, rn) IN ('succeeded', 'failed', 'cancelled') THEN strftime(arg_max(ts, rn), '%Y-%m-%d %H:%M:%S') END AS finished_at FROM t GROUP BY 1
 """)
-def task_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.transitions(log(spark, sf_dir), "user_id", "event_id", "status").groupBy("status", "before", "legal").agg(F.count("*").alias("n"))
+def task_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every task stands, when it first ran and when it came to rest."""
+    done = review.transitions(log(spark, sf_dir), "user_id", "event_id", "status", "error", "ts").where("after is not null")
+    last = done.groupBy("user_id").agg(F.max_by(F.struct("after", "started_at", "finished_at"), "event_id").alias("t"))
+    text = lambda c: F.date_format(f"t.{c}", "yyyy-MM-dd HH:mm:ss").alias(c)
+    return last.select("user_id", F.col("t.after").alias("status"), text("started_at"), text("finished_at"))
 
 
 @query("""
@@ -80,10 +100,10 @@ def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o.o_orderkey || '-copy' AS o_orderkey, c.c_custkey || '-copy' AS o_custkey, count(*) AS scenes FROM customer c JOIN orders o ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 3 GROUP BY ALL
+SELECT o.o_orderkey || '-copy' AS o_orderkey, c.c_custkey || '-copy' AS o_custkey, count(*) AS scenes FROM customer c JOIN orders o ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
 """)
 def project_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {"customer": table(spark, sf_dir, "customer").where("c_nationkey = 3"), "orders": table(spark, sf_dir, "orders"), "lineitem": table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))}
+    tables = {"customer": table(spark, sf_dir, "customer"), "orders": table(spark, sf_dir, "orders"), "lineitem": table(spark, sf_dir, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))}
     own = tables["orders"].join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     copy = review.copied(tables | {"orders": own}, {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "line_id"}, {"orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders"}}, "-copy")
     lines = copy["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("scenes"))
@@ -118,12 +138,13 @@ def ownership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT b.item_id, d.doc_id, d.text AS src, b.text AS quote FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id)
-SELECT item_id, count(*) FILTER (WHERE contains(lower(trim(regexp_replace(src, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))))) AS verified, count(*) AS cited FROM c GROUP BY 1
+WITH c AS (SELECT b.item_id, d.doc_id, d.text AS src, b.text AS quote FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
+SELECT item_id, count(*) FILTER (WHERE contains(lower(regexp_replace(src, '\\s+', '', 'g')), lower(regexp_replace(quote, '\\s+', '', 'g')))) AS verified, count(*) AS cited FROM c GROUP BY 1
 """)
 def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    cited = docs.select("source_id", (F.col("source_id") % 40).alias("item_id")).join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "item_id")
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote")
+    cited = docs.select("source_id", (F.col("source_id") % items.count()).alias("item_id")).join(items, "item_id")
     return review.quotes(cited, docs).groupBy("item_id").agg(F.count_if(F.col("verdict") == "verified").alias("verified"), F.count("*").alias("cited"))
 
 
@@ -133,17 +154,17 @@ def all_quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     words one after another with the item."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    found = review.quotes(review.citations(docs, items), docs).withColumnRenamed("quote_id", "item_id").groupBy("item_id").agg(F.count_if(F.col("verdict") == "verified").alias("verified"), F.count("*").alias("cited"))
+    found = review.quotes(review.citations(docs, items), docs, squeezed).withColumnRenamed("quote_id", "item_id").groupBy("item_id").agg(F.count_if(F.col("verdict") == "verified").alias("verified"), F.count("*").alias("cited"))
     return items.select(F.col("quote_id").alias("item_id")).join(found, "item_id", "left").na.fill(0, ["verified", "cited"])
 
 
 @query(f"""
 WITH r AS (SELECT user_id AS project, event_type AS kind, props AS input_hash, value AS result, event_id AS seq, {STATES} AS status FROM events)
-SELECT q.project, q.seq, round(d.reuse, 6) AS reuse FROM r q LEFT JOIN (SELECT project, kind, input_hash, arg_max(result, seq) AS reuse FROM r WHERE status = 'succeeded' GROUP BY ALL) d USING (project, kind, input_hash) WHERE q.seq % 10 = 0
+SELECT q.project, q.seq, round(d.reuse, 6) AS reuse FROM r q LEFT JOIN (SELECT project, kind, input_hash, arg_max(result, seq) AS reuse FROM r WHERE status = 'succeeded' GROUP BY ALL) d USING (project, kind, input_hash)
 """)
 def result_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = log(spark, sf_dir).select(F.col("user_id").alias("project"), F.col("event_type").alias("kind"), F.col("props").alias("input_hash"), F.col("value").alias("result"), F.col("event_id").alias("seq"), "status")
-    return review.reusable(runs.where("seq % 10 = 0").drop("result", "status"), runs).select("project", "seq", F.round("reuse", 6).alias("reuse"))
+    return review.reusable(runs.drop("result", "status"), runs).select("project", "seq", F.round("reuse", 6).alias("reuse"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3")
@@ -158,13 +179,92 @@ def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("event_type", F.explode("reasons").alias("reason")).groupBy("event_type", "reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, props ->> '$.page' AS page FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 < 3 THEN props ->> '$.page' END AS page, event_id % 5 < 3 AS valid FROM events")
 def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in a code fence, read as JSON with a schema."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("```json\n"), "props", F.lit("\n```")).alias("answer"))
-    return rows.select("event_id", F.get_json_object(unfenced(F.col("answer")), "$.page").alias("page"))
+    """Answers in a code fence or not, of which arrays and broken JSON are no objects."""
+    props, k = F.col("props"), F.col("event_id") % 5
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(k == 1, F.concat(F.lit(" \n```\n"), props, F.lit("\n``` "))).when(k == 2, props).when(k == 3, F.concat(F.lit("["), props, F.lit("]"))).otherwise(F.concat(props, F.lit("}")))
+    rows = table(spark, sf_dir, "events").select("event_id", json_object(answer).alias("found"))
+    return rows.select("event_id", F.get_json_object("found", "$.page").alias("page"), F.col("found").isNotNull().alias("valid"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE lang END AS lang FROM documents")
 def defaulted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", or_default(F.when(F.col("doc_id") % 5 == 0, F.lit("  ")).otherwise(F.col("lang")), "unknown").alias("lang"))
+
+
+@query("""
+SELECT why, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN event_id % 10 = 1 THEN 'blank_model' END, CASE WHEN event_id % 15 = 2 THEN 'blank_input_hash' END, CASE WHEN event_type = 'error' THEN 'status' END, CASE WHEN event_id % 7 = 3 THEN 'negative_tokens' END], lambda x: x IS NOT NULL)) AS why FROM events) GROUP BY 1
+""")
+def task_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of which some lack a model or a hash, have an unknown state or token counts below zero."""
+    e = F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "lost").otherwise("queued")
+    rows = table(spark, sf_dir, "events").select(e.alias("id"), F.col("user_id").alias("project_id"), F.col("event_type").alias("kind"), F.lit("p").alias("provider_id"), F.when(e % 10 == 1, " ").otherwise("m").alias("model"), F.lit("k").alias("idempotency_key"), F.when(e % 15 == 2, None).otherwise(F.col("props")).alias("input_hash"), status.alias("status"), F.when(e % 7 == 3, -1).otherwise(5).alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), F.lit(0).alias("cached_tokens"))
+    texts = rows.select(*(F.col(c).cast("string").alias(c) if c in review.TASK_FIELDS else F.col(c) for c in rows.columns))
+    _, bad = review.validated(texts, review.task_violations())
+    return bad.select(F.explode("reasons").alias("why")).groupBy("why").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT why, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN doc_id % 9 = 8 THEN 'no_object' END, CASE WHEN doc_id % 5 = 1 OR doc_id % 9 = 8 THEN 'summary' END, CASE WHEN n_chars % 130 > 100 OR doc_id % 9 = 8 THEN 'confidence' END,
+  CASE WHEN doc_id % 7 = 2 OR doc_id % 9 = 8 THEN 'evidence' END, CASE WHEN doc_id % 11 = 3 OR doc_id % 9 = 8 THEN 'stateChanges' END, CASE WHEN doc_id % 13 = 4 OR doc_id % 9 = 8 THEN 'goals' END,
+  CASE WHEN doc_id % 9 = 8 THEN 'characters' END, CASE WHEN doc_id % 9 = 8 THEN 'locations' END, CASE WHEN doc_id % 9 = 8 THEN 'worldTerms' END, CASE WHEN doc_id % 9 = 8 THEN 'conflicts' END, CASE WHEN doc_id % 9 = 8 THEN 'outcomes' END, CASE WHEN doc_id % 9 = 8 THEN 'uncertainties' END], lambda x: x IS NOT NULL)) AS why FROM documents) GROUP BY 1
+""")
+def analysis_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses as JSON answers, of which some are no object, lack fields or hold values out of bounds."""
+    d = F.col("doc_id")
+    some = lambda c: F.array(F.lit(c))
+    evidence = F.when(d % 7 == 2, F.array(F.struct(F.lit(None).cast("string").alias("claim"), some("s").alias("segmentIds")))).otherwise(F.array(F.struct(F.lit("c").alias("claim"), some("s").alias("segmentIds"))))
+    changes = F.when(d % 11 != 3, F.array(F.struct(*(F.lit("x").alias(f) for f in ("subject", "field", "before", "after")))))
+    answer = F.struct(F.when(d % 5 != 1, F.lit("s")).alias("summary"), ((F.col("n_chars") % 130) / 100).alias("confidence"), changes.alias("stateChanges"), evidence.alias("evidence"), F.when(d % 13 != 4, some("g")).alias("goals"), *(some("v").alias(f) for f in ("characters", "locations", "worldTerms", "conflicts", "outcomes", "uncertainties")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(d % 9 == 8, "[1, 2]").otherwise(F.to_json(answer)).alias("payload"))
+    _, bad = review.validated(rows, review.analysis_violations(F.col("payload")))
+    return bad.select(F.explode("reasons").alias("why")).groupBy("why").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH i AS (SELECT *, doc_id % 6 = 0 AS bad_kind, doc_id % 10 = 1 AS bad_severity, doc_id % 7 = 2 AS empty, doc_id % 8 = 3 AS unknown, doc_id % 9 = 4 AND length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) > 0 AS wrong, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) = 0 AS blank FROM documents)
+SELECT why, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT (bad_kind OR bad_severity OR empty OR (unknown OR wrong OR blank)) THEN 'open' END, CASE WHEN bad_kind THEN 'kind' END, CASE WHEN bad_severity THEN 'severity' END, CASE WHEN empty THEN 'no_evidence' END,
+  CASE WHEN NOT empty AND unknown AND NOT blank THEN 'unknown_source' END, CASE WHEN NOT empty AND NOT unknown AND wrong THEN 'quote' END, CASE WHEN NOT empty AND blank THEN 'evidence' END], lambda x: x IS NOT NULL)) AS why FROM i) GROUP BY 1
+""")
+def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues that quote a document's first line with its spaces doubled; some name unknown sources or quote what is not
+    there."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    quote = F.when(d % 9 == 4, F.concat(F.lit("zq"), "text", F.lit("qz"))).otherwise(F.replace("text", F.lit(" "), F.lit("  ")))
+    cited = F.array(F.struct(F.when(d % 8 == 3, -1).otherwise(d).alias("source_id"), F.coalesce(F.when(F.length(F.regexp_replace("text", r"\s", "")) > 0, quote), F.lit("")).alias("quote")))
+    texts = [F.lit("t").alias(c) for c in ("title", "description", "suggestion", "repair")]
+    issues = docs.select(d.alias("chapter_id"), F.lit(0).alias("i"), F.when(d % 6 == 0, "mood").otherwise("plan").alias("kind"), F.when(d % 10 == 1, "fatal").otherwise("error").alias("severity"), *texts, F.when(d % 7 == 2, F.array().cast("array<struct<source_id:bigint,quote:string>>")).otherwise(cited).alias("evidence"))
+    good, bad = review.consistency_issues(issues, docs.select(d.alias("source_id"), F.replace("text", F.lit("\n"), F.lit(" \n ")).alias("text")))
+    return good.select(F.col("status").alias("why")).unionByName(bad.select(F.explode("reasons").alias("why"))).groupBy("why").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS place FROM orders
+""")
+def project_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project's sources, the latest first."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
+    return review.listed(rows, "o_custkey", "sources").select("o_custkey", F.col("id").alias("o_orderkey"), "place")
+
+
+@query()
+def names_by_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct first words of the documents of each language in that language's order."""
+    word = F.element_at(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), 1)
+    rows = table(spark, sf_dir, "documents").select("lang", word.alias("name")).where("lang is not null and name <> ''").distinct()
+    return review.by_name(rows, "lang", "name", "zh")
+
+
+@query("""
+SELECT source, chapter, status FROM (
+  SELECT d.source, d.doc_id AS chapter, CASE WHEN d.doc_id % 3 = 0 THEN 'draft' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM documents d JOIN labels l USING (doc_id)
+  UNION ALL SELECT source, doc_id, 'draft' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels))
+""")
+def analysis_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third chapter is analysed again, so its review starts anew."""
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chapter"))
+    current = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status")), "chapter")
+    incoming = docs.where("chapter % 3 = 0").withColumn("status", F.lit("accepted"))
+    return review.analyses_upserted(current, incoming, ["chapter"], ["source"]).select("source", "chapter", "status")

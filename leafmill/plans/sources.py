@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.infer import generated
+from leafmill.functions import reasons
+from leafmill.operators.infer import audited
 from leafmill.plans._base import query, table
-from leafmill.plans.structure import books
+from leafmill.plans.structure import books, trim
 from leafmill.scratch import Tables
 from leafmill.sources import exports, files
 
@@ -66,11 +67,11 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey || '-r' AS project_id, status, count(*) AS n FROM (SELECT c_custkey, CASE o_orderstatus WHEN 'O' THEN 'paused' ELSE o_orderstatus END AS status FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 5) GROUP BY ALL
+SELECT c_custkey || '-r' AS project_id, status, count(*) AS n FROM (SELECT c_custkey, CASE o_orderstatus WHEN 'O' THEN 'paused' ELSE o_orderstatus END AS status FROM customer JOIN orders ON o_custkey = c_custkey) GROUP BY ALL
 """)
 def bundle_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects written as a bundle, read again and restored under new ids."""
-    projects = table(spark, sf_dir, "customer").where("c_nationkey = 5").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
+    projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
     orders = table(spark, sf_dir, "orders").join(projects, F.col("o_custkey") == F.col("project_id"), "left_semi")
     tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise(F.col("o_orderstatus")).alias("status"))
     chapters = orders.select(F.col("o_orderkey").alias("chapter_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("title"))
@@ -80,19 +81,29 @@ def bundle_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back["task_runs"].groupBy("project_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, upper(lang) AS result, 'ok' AS outcome FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("""
+WITH p AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, upper(coalesce(text, '')[1:1] || length(coalesce(text, ''))) AS made FROM documents), known AS (SELECT h FROM p WHERE doc_id % 3 = 0)
+SELECT doc_id, CASE WHEN h IN (FROM known) THEN 'kept' WHEN length(made) % 4 <> 0 THEN made END AS result, CASE WHEN h IN (FROM known) THEN 'reused' WHEN length(made) % 4 = 0 THEN 'invalid: size' ELSE 'ok' END AS outcome FROM p
+""")
 def batch_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inference hook with a deterministic stand-in, for chapters that have no accepted answer."""
-    done = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    requests = table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").select("doc_id", F.col("lang").alias("prompt"))
-    return generated(requests, "doc_id", "prompt", str.upper).select("doc_id", "result", "outcome")
+    """The inference hook with a deterministic stand-in: a third of the inputs was answered before, some answers are
+    refused."""
+    docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    requests = docs.select("doc_id", F.lit("p").alias("project"), F.lit("k").alias("kind"), F.sha2(text, 256).alias("input_hash"), text.alias("prompt"))
+    runs = requests.where("doc_id % 3 = 0").select("project", "kind", "input_hash", F.lit("succeeded").alias("status"), F.lit("kept").alias("result"), F.col("doc_id").alias("seq"))
+    results, _ = audited(requests, runs, lambda t: f"{t[:1]}{len(t)}".upper(), reasons((F.length("result") % 4 == 0, "size")))
+    return results.select("doc_id", "result", "outcome")
 
 
-@query("SELECT doc_id, count(*) AS chapters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1")
-def line_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table function from SQL, with a lateral join."""
+@query(f"""
+WITH lines AS (SELECT doc_id, i, line, regexp_matches(line, '^\\s*(?:第[〇零一二三四五六七八九十百千万两0-9]+[卷部篇章节回])(?:[\\s　:：、.-]+.*)?\\s*$') AS head FROM (SELECT doc_id, i, ls[i + 1] AS line FROM (SELECT doc_id, string_split('第1章 a' || chr(10) || coalesce(text, '') || chr(10) || '第2章' || chr(10) || 'end', chr(10)) AS ls FROM documents), range(len(ls)) r(i)))
+SELECT doc_id, count(*) FILTER (WHERE head)::INT AS chapters, (SELECT length({trim("coalesce(text, '')")}) FROM documents d WHERE d.doc_id = l.doc_id)::INT AS first_size FROM lines l GROUP BY doc_id
+""")
+def chapter_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function from SQL, with a lateral join, over documents with a heading before and behind them."""
     from leafmill.operators.infer import register_functions
 
     register_functions(spark)
-    table(spark, sf_dir, "documents").createOrReplaceTempView("leafmill_documents")
-    return spark.sql("SELECT doc_id, count(*) AS chapters FROM leafmill_documents d, LATERAL text_pieces(d.text, char(10)) GROUP BY doc_id")
+    text = F.concat(F.lit("第1章 a\n"), F.coalesce("text", F.lit("")), F.lit("\n第2章\nend"))
+    table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).createOrReplaceTempView("leafmill_documents")
+    return spark.sql("SELECT doc_id, cast(count(*) AS int) AS chapters, cast(max(CASE WHEN ordinal = 0 THEN length(content) END) AS int) AS first_size FROM leafmill_documents d, LATERAL text_chapters(d.text) GROUP BY doc_id")

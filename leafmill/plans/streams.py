@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.plans._base import query, table
-from leafmill.plans.review import STATES
+from leafmill.plans.review import ERRORS, MOVES, STATES
 from leafmill.scratch import Tables
 from leafmill.streaming import jobs
 
@@ -24,14 +24,11 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("task", F.md5("text").alias("digest"), "tokens")
 
 
-@query(f"""
-WITH e AS (SELECT user_id, event_id, {STATES} AS status FROM events), b AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
-SELECT user_id AS task, event_id AS seq, status, before, CASE WHEN before IS NULL THEN status = 'queued' ELSE list_contains(CASE before WHEN 'queued' THEN ['running', 'cancelled'] WHEN 'running' THEN ['paused', 'succeeded', 'failed', 'cancelled'] WHEN 'paused' THEN ['queued', 'running', 'cancelled'] WHEN 'failed' THEN ['queued'] ELSE [] END, status) END AS legal FROM b
-""")
+@query(f"WITH RECURSIVE {MOVES} SELECT user_id AS task, event_id AS seq, status, before, legal FROM fold WHERE rn > 0")
 def stream_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.opened(spark, f"{sf_dir}/events.parquet")
-    status = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END")
-    return jobs.drained(jobs.task_states(rows.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), status.alias("status"))), Tables(spark), "states")
+    events = rows.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), F.expr(STATES).alias("status"), F.expr(ERRORS).alias("error"))
+    return jobs.drained(jobs.task_states(events), Tables(spark), "states")
 
 
 @query("""

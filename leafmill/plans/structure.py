@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import estimated_tokens, fnv1a, stable_id, visible_length
-from leafmill.operators import structure
+from leafmill.operators import cleaning, structure
 from leafmill.plans._base import query, table
 
 #: In DuckDB: the lines of every document with offsets, and a trim that knows the same white space.
@@ -16,21 +16,34 @@ lines AS (
          (list_sum(list_transform(ls[:i], lambda x: length(x) + 1)))::BIGINT AS before
   FROM (SELECT doc_id, source, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents), range(len(ls)) r(i)
 )"""
-TRIM = r"regexp_replace({0}, '^[\s\x{{00A0}}\x{{3000}}\x{{FEFF}}]+|[\s\x{{00A0}}\x{{3000}}\x{{FEFF}}]+$', '', 'g')"
-TOKENS = r"greatest(1, ceil(len(regexp_extract_all({0}, '[\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]')) / 1.5 + (length({0}) - len(regexp_extract_all({0}, '[\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]'))) / 4))"
+WS = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+HAN = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
+
+
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def visible(x: str) -> str:
+    return f"length(regexp_replace({x}, '[{WS}]', '', 'g'))"
+
+
+def tokens(x: str) -> str:
+    return f"greatest(1, ceil(len(regexp_extract_all({x}, '{HAN}')) / 1.5 + (length({x}) - len(regexp_extract_all({x}, '{HAN}'))) / 4))"
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, doc_id, text, ordinal)."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return docs.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    """(source, doc_id, text, ordinal). Only ids go through the window of a book."""
+    docs = table(spark, sf_dir, "documents")
+    numbered = docs.select("source", "doc_id").withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    return numbered.join(docs.select("doc_id", "text"), "doc_id").select("source", "doc_id", "text", "ordinal")
 
 
 @query(f"""
 WITH segs AS (
-  SELECT source, doc_id, {TRIM.format('line')} AS content
+  SELECT source, doc_id, {trim('line')} AS content
   FROM (SELECT source, doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM documents)
-), kept AS (SELECT source, count(*) AS segments, sum({TOKENS.format('content')})::BIGINT AS tokens FROM segs WHERE content <> '' GROUP BY source)
+), kept AS (SELECT source, count(*) AS segments, sum({tokens('content')})::BIGINT AS tokens FROM segs WHERE content <> '' GROUP BY source)
 SELECT d.source, d.chapters, coalesce(k.segments, 0) AS segments, coalesce(k.tokens, 0) AS estimated_tokens, d.chapters AS model_calls
 FROM (SELECT source, count(DISTINCT doc_id) AS chapters FROM documents GROUP BY source) d LEFT JOIN kept k USING (source)
 """)
@@ -40,24 +53,22 @@ def analysis_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {LINES}, s AS (
-  SELECT doc_id, line_no, line, coalesce(before, 0) AS before, {TRIM.format('line')} AS content FROM lines
+  SELECT doc_id, line_no, line, coalesce(before, 0) AS before, {trim('line')} AS content FROM lines
 )
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INT AS ordinal,
        'segment_' || substr(sha256('segment' || chr(0) || doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)), 1, 24) AS segment_id,
-       (before + length(line) - length(regexp_replace(line, '^[\\s\\x{{00A0}}\\x{{3000}}\\x{{FEFF}}]+', '')))::INT AS start_at,
-       (before + length(line) - length(regexp_replace(line, '^[\\s\\x{{00A0}}\\x{{3000}}\\x{{FEFF}}]+', '')) + length(content))::INT AS end_at
+       (before + length(line) - length(regexp_replace(line, '^[{WS}]+', '')))::INT AS start_at,
+       (before + length(line) - length(regexp_replace(line, '^[{WS}]+', '')) + length(content))::INT AS end_at
 FROM s WHERE content <> ''
 """)
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = structure.segments(table(spark, sf_dir, "documents"), "doc_id")
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")) - 1
-    rows = rows.withColumn("ordinal", ordinal)
     return rows.select("doc_id", "ordinal", stable_id("segment", F.concat_ws(":", "doc_id", "ordinal")).alias("segment_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 @query(f"""
 WITH s AS (
-  SELECT doc_id, i, {TRIM.format('p')} AS content
+  SELECT doc_id, i, {trim('p')} AS content
   FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '。([^\\S\\n]*\\n)', '。' || chr(10) || '\\1', 'g'), '\\n\\s*\\n') AS ps FROM documents), range(len(ps)) r(i), (SELECT ps[i + 1] AS p)
 )
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ordinal, length(content)::INT AS size, md5(content) AS digest FROM s WHERE content <> ''
@@ -67,25 +78,51 @@ def paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", F.length("content").alias("size"), F.md5("content").alias("digest"))
 
 
-@query(f"""
-WITH {LINES}, m AS (
+CHAPTERS = f"""
+{LINES}, m AS (
   SELECT doc_id, line_no, line, coalesce(before, 0) AS before, length(trim(line)) BETWEEN 1 AND 15 AS head FROM lines
 ), n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS no FROM m),
 g AS (
-  SELECT doc_id, no, bool_or(head) AS headed, min(before) AS start_at, max(before + length(line)) AS end_at, max(CASE WHEN head THEN trim(line) END) AS heading,
+  SELECT doc_id, no, bool_or(head) AS headed, min(before) AS start_at, max(before + length(line)) AS end_at, max(CASE WHEN head THEN {trim('line')} END) AS heading,
          coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY line_no), '') AS body
   FROM n GROUP BY doc_id, no
-), k AS (SELECT *, bool_or(headed) OVER (PARTITION BY doc_id) AS "any" FROM g)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::INT AS ordinal,
-       CASE WHEN headed THEN heading WHEN "any" THEN '章节前内容' ELSE '正文' END AS title, md5({TRIM.format('body')}) AS digest, start_at::INT AS start_at, end_at::INT AS end_at
-FROM k WHERE headed OR {TRIM.format('body')} <> ''
-""")
+), k AS (SELECT *, bool_or(headed) OVER (PARTITION BY doc_id) AS "any" FROM g), chapters AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::INT AS ordinal, CASE WHEN headed THEN heading WHEN "any" THEN '章节前内容' ELSE '正文' END AS title,
+         {trim('body')} AS content, start_at::INT AS start_at, end_at::INT AS end_at
+  FROM k WHERE headed OR NOT "any" OR {trim('body')} <> ''
+)"""
+
+
+def short_line_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of documents that have no headings of the usual kind: a line of up to 15 characters is one here."""
+    return structure.chapters(table(spark, sf_dir, "documents"), "doc_id", is_heading=F.length(F.trim("line")).between(1, 15))
+
+
+@query(f"WITH {CHAPTERS} SELECT doc_id, ordinal, title, md5(content) AS digest, start_at, end_at FROM chapters")
 def chapter_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.length(F.trim("line")).between(1, 15)
-    rows = structure.chapters(table(spark, sf_dir, "documents"), "doc_id", is_heading=short)
+    rows = short_line_chapters(spark, sf_dir)
     return rows.select("doc_id", "ordinal", "title", F.md5("content").alias("digest"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
+HEADS = ["第一章 雨夜", "第12回", "章三", "卷二 - 北", "序章", "前言", "番外篇三", "番外2", "终章：完", "第3篇", "不是章", "第章", "  尾声  ", "后记", "第二集"]
+
+
+@query(r"""
+WITH texts AS (SELECT doc_id, string_split(array_to_string(list_transform(range(len(ls)), lambda i: CASE WHEN i % 4 = 0 THEN HEADS[(i // 4) % 15 + 1] || chr(10) || ls[i + 1] ELSE ls[i + 1] END), chr(10)), chr(10)) AS ls FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+SELECT doc_id, count(*) AS headings, md5(string_agg(trim(line), '|' ORDER BY i)) AS titles
+FROM (SELECT doc_id, i, ls[i + 1] AS line FROM texts, range(len(ls)) r(i))
+WHERE regexp_matches(line, '^\s*(?:(第[〇零一二三四五六七八九十百千万两\d]+[卷部篇章节回])|(?:卷|章)[〇零一二三四五六七八九十百千万两\d]+|(?:序章|楔子|引子|前言|后记|尾声|终章|番外(?:篇)?(?:[一二三四五六七八九十\d]+)?))(?:[\s　:：、.-]+.*)?\s*$')
+GROUP BY doc_id
+""".replace("HEADS", str(HEADS)))
+def default_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of the usual kind, and lines that nearly are, put before every fourth line of the documents."""
+    heads = F.array(*map(F.lit, HEADS))
+    put = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, i: F.when(i % 4 == 0, F.concat(F.element_at(heads, (F.floor(i / 4) % len(HEADS) + 1).cast("int")), F.lit("\n"), x)).otherwise(x))
+    rows = structure.chapters(table(spark, sf_dir, "documents").select("doc_id", F.array_join(put, "\n").alias("text")), "doc_id").where(F.col("title") != structure.PREFIX)
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "title"))), lambda s: s["title"]), "|")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("headings"), F.md5(titles).alias("titles"))
+
+
 @query("""
 SELECT source, doc_id, (sum(length(text) + 2) OVER w - 2 - length(text))::BIGINT AS start_at, (sum(length(text) + 2) OVER w - 2)::BIGINT AS end_at
 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)
@@ -94,38 +131,69 @@ def offset_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.cumulative_offsets(books(spark, sf_dir), "source", "ordinal", "text", 2).select("source", "doc_id", "start_at", "end_at")
 
 
-@query("""
-SELECT source, (row_number() OVER (PARTITION BY source ORDER BY place) - 1)::INT AS ordinal, title, length(content)::INT AS size
-FROM (
-  SELECT source, o * 2 + h AS place, CASE WHEN o % 10 = 3 THEN 'renamed' ELSE doc_id::VARCHAR END || CASE WHEN h = 1 THEN ' (2)' ELSE '' END AS title,
-         trim(CASE WHEN cut AND h = 0 THEN text[:length(text) // 2] WHEN cut THEN text[length(text) // 2 + 1:] ELSE text END, ' ' || chr(9) || chr(10) || chr(13)) AS content
-  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS o FROM documents) d, range(2) r(h), (SELECT o % 7 = 1 AND length(text) // 2 > 0 AS cut)
-  WHERE h = 0 OR cut
-)
+@query(f"""
+WITH d AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS o, count(*) OVER (PARTITION BY source) - 1 AS last FROM documents),
+halves AS (
+  SELECT source, o, h, o % 10 = 6 AND o < last AND (NOT cut OR h = 1) AS merge, CASE WHEN o % 10 = 8 AND o < last THEN 1 ELSE 0 END AS move,
+         CASE WHEN o % 10 = 3 THEN 'renamed' ELSE doc_id::VARCHAR END || CASE WHEN h = 1 THEN '（下）' ELSE '' END AS title,
+         {trim("CASE WHEN cut AND h = 0 THEN text[:length(text) // 2] WHEN cut THEN text[length(text) // 2 + 1:] ELSE text END")} AS content
+  FROM d, range(2) r(h), (SELECT o % 7 = 1 AND length(text) // 2 > 0 AS cut) WHERE h = 0 OR cut
+), grouped AS (SELECT *, sum(CASE WHEN before THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY o, h) AS g FROM (SELECT *, coalesce(lag(merge) OVER (PARTITION BY source ORDER BY o, h), false) AS before FROM halves)),
+joined AS (SELECT source, g, max(move) AS move, arg_min(title, o * 2 + h) AS title, {trim("string_agg(content, chr(10) || chr(10) ORDER BY o, h)")} AS content FROM grouped GROUP BY source, g),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY g + move * 1.5, g) - 1 AS n FROM joined)
+SELECT source, n::INT AS ordinal, title, length(content)::INT AS size, (sum(length(content) + 2) OVER (PARTITION BY source ORDER BY n) - 2 - length(content))::BIGINT AS start_at,
+       'chapter_' || substr(sha256('chapter' || chr(0) || source || ':edited:' || n || ':' || title || ':' || content), 1, 24) AS chapter_id
+FROM placed
 """)
 def chapter_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = books(spark, sf_dir).select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("chapter_id"), "ordinal", F.col("doc_id").cast("string").alias("title"), structure.trimmed(F.col("text")).alias("content"), "text")
-    half = (F.length("text") / 2).cast("int")
-    renames = rows.where("ordinal % 10 = 3").select("chapter_id", F.lit("rename").alias("op"), F.lit(None).cast("int").alias("offset"), F.lit("renamed").alias("title"))
-    splits = rows.where("ordinal % 7 = 1").select("chapter_id", F.lit("split").alias("op"), half.alias("offset"), F.lit(None).cast("string").alias("title"))
-    done = structure.edit_batch(rows.withColumn("content", F.col("text")).drop("text"), renames.unionByName(splits))
-    return done.select(F.col("book").alias("source"), "ordinal", "title", F.length(structure.trimmed(F.col("content"))).alias("size"))
+    """Renames, splits in the middle, merges and moves over all books; those of a book's last chapter cannot be made."""
+    rows = books(spark, sf_dir).select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("chapter_id"), "ordinal", F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
+    edit = lambda where, op, offset, title: rows.where(where).select("chapter_id", F.lit(op).alias("op"), offset.cast("int").alias("offset"), F.lit(title).cast("string").alias("title"))
+    none = F.lit(None)
+    edits = edit("ordinal % 10 = 3", "rename", none, "renamed").unionByName(edit("ordinal % 7 = 1", "split", F.floor(F.length("content") / 2), None))
+    edits = edits.unionByName(edit("ordinal % 10 = 6", "merge", none, None)).unionByName(edit("ordinal % 10 = 8", "move", F.lit(1), None))
+    done = structure.edit_batch(rows, edits)
+    return done.select(F.col("book").alias("source"), "ordinal", "title", F.length("content").alias("size"), F.col("start").alias("start_at"), "chapter_id")
+
+
+@query(f"""
+WITH c AS (SELECT source, doc_id, {trim("string_split(coalesce(text, ''), chr(10))[1]")} AS title, coalesce(text, '') AS t, {visible("coalesce(text, '')")} AS v FROM documents)
+SELECT source, code, severity, count(*) AS n FROM (
+  SELECT source, unnest([CASE WHEN v = 0 THEN 'EMPTY_CHAPTER' WHEN v < 100 THEN 'VERY_SHORT_CHAPTER' END, CASE WHEN many > 1 THEN 'DUPLICATE_CHAPTER_TITLE' END, CASE WHEN contains(t, chr(65533)) THEN 'REPLACEMENT_CHARACTER' END]) AS code, unnest([CASE WHEN v = 0 THEN 'warning' ELSE 'info' END, 'warning', 'warning']) AS severity
+  FROM (SELECT *, count(*) OVER (PARTITION BY source, title) AS many FROM c)
+  UNION ALL SELECT source, 'CLEANING_REMOVED_CONTENT', 'info' FROM (SELECT DISTINCT source FROM (SELECT source, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE contains(line, 'License'))
+) WHERE code IS NOT NULL GROUP BY ALL
+""")
+def snapshot_issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of books whose chapters are titled by their first lines, after a cleaning that takes licence lines."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("source", "doc_id", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n", -1), 1).alias("title"), F.col("text").alias("content"))
+    done = cleaning.cleaned(docs.select("source", "text"), "source", "text", repeated=False, blocked=["License"], pages=False, duplicates=False, unwrap=False)
+    issues = structure.snapshot_issues(rows, "source", "doc_id", cleaning.report(done, "source"))
+    return issues.groupBy("source", "code", "severity").agg(F.count("*").alias("n"))
 
 
 @query("""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS o FROM documents)
 SELECT source, rule, count(*) AS n FROM (
   SELECT source, unnest(list_filter([CASE WHEN rn <> o THEN 'chapter_ordinal' END, CASE WHEN title = '' THEN 'blank_title' END], lambda x: x IS NOT NULL)) AS rule
-  FROM (SELECT source, o, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS title, row_number() OVER (PARTITION BY source ORDER BY o) - 1 AS rn
-        FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS o FROM documents) WHERE o <> 5)
+  FROM (SELECT source, o, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS title, row_number() OVER (PARTITION BY source ORDER BY o) - 1 AS rn FROM d WHERE o <> 5)
+  UNION ALL SELECT source, 'segment_ordinal' FROM d WHERE o <> 5 AND doc_id % 13 = 0
+  UNION ALL SELECT source, 'blank_segment' FROM d WHERE o <> 5 AND doc_id % 17 = 0
+  UNION ALL SELECT source, 'segment_id' FROM d WHERE o <> 5 AND doc_id % 19 IN (0, 1) GROUP BY source, doc_id // 19 HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT source, 'hash' FROM d WHERE source LIKE '%3'
 ) GROUP BY source, rule
 UNION ALL
-SELECT NULL, 'unknown_chapter', count(*) FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS o FROM documents) WHERE o = 5 HAVING count(*) > 0
+SELECT NULL, 'unknown_chapter', count(*) FROM d WHERE o = 5 HAVING count(*) > 0
 """)
 def snapshot_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots in which the sixth chapter is lost, so the rules have something to find."""
+    """Snapshots in which the sixth chapter is lost, and titles, segments and hashes of some are wrong."""
     rows = books(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     chapters = rows.where("ordinal <> 5").select("source", F.col("doc_id").alias("chapter"), "ordinal", F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("lang")).alias("title"), F.col("text").alias("content"))
-    return structure.snapshot_violations(chapters, rows.select(F.col("doc_id").alias("chapter"), F.lit(0).alias("ordinal")), "source", "chapter")
+    named = F.when((F.col("doc_id") % 19).isin(0, 1), F.floor(F.col("doc_id") / 19)).otherwise(-F.col("doc_id") - 1)
+    segments = rows.select(F.col("doc_id").alias("chapter"), F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0).alias("ordinal"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise("x").alias("content"), named.alias("segment_id"))
+    hashes = rows.select("source").distinct().select("source", F.sha2("source", 256).alias("sha256"), F.when(F.col("source").endswith("3"), "changed").otherwise(F.sha2("source", 256)).alias("stored"))
+    return structure.snapshot_violations(chapters, segments, "source", "chapter", hashes)
 
 
 @query("""
@@ -147,17 +215,19 @@ def raw_text_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.backfilled_digests(docs, "source", "doc_id", "lang", "text").join(size, "source")
 
 
-@query(r"""
-SELECT source, code, count(*) AS n FROM (
-  SELECT source, unnest(list_filter([CASE WHEN v = 0 THEN 'EMPTY_DOCUMENT' END, CASE WHEN NOT headed THEN 'NO_CHAPTER_HEADINGS' END, CASE WHEN v BETWEEN 1 AND 99 THEN 'VERY_SHORT_CHAPTER' END, CASE WHEN contains(t, chr(65533)) THEN 'REPLACEMENT_CHARACTER' END], lambda x: x IS NOT NULL)) AS code
-  FROM (SELECT source, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[\s\x{00A0}\x{3000}\x{FEFF}]', '', 'g')) AS v, len(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) BETWEEN 1 AND 15)) > 0 AS headed FROM documents)
-) GROUP BY source, code
+@query(f"""
+WITH {CHAPTERS}
+SELECT source, code, severity, count(*) AS n FROM (
+  SELECT source, unnest([CASE WHEN v = 0 THEN 'EMPTY_DOCUMENT' WHEN NOT headed THEN 'NO_CHAPTER_HEADINGS' END, CASE WHEN contains(t, chr(65533)) THEN 'REPLACEMENT_CHARACTER' END]) AS code, unnest([CASE WHEN v = 0 THEN 'error' ELSE 'warning' END, 'warning']) AS severity
+  FROM (SELECT source, coalesce(text, '') AS t, {visible("coalesce(text, '')")} AS v, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: length(trim(l)) BETWEEN 1 AND 15)) > 0 AS headed FROM documents)
+  UNION ALL SELECT source, CASE WHEN v = 0 THEN 'EMPTY_CHAPTER' WHEN v < 100 THEN 'VERY_SHORT_CHAPTER' END, CASE WHEN v = 0 THEN 'warning' ELSE 'info' END FROM (SELECT source, {visible('content')} AS v FROM chapters JOIN documents USING (doc_id))
+) WHERE code IS NOT NULL GROUP BY ALL
 """)
 def import_issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     headed = F.exists(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)).between(1, 15))
     docs = table(spark, sf_dir, "documents")
-    issues = structure.import_issues(docs.select("doc_id", "text"), "doc_id", heading=headed)
-    return issues.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "code").agg(F.count("*").alias("n"))
+    issues = structure.import_issues(docs.select("doc_id", "text"), short_line_chapters(spark, sf_dir), "doc_id", heading=headed)
+    return issues.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "code", "severity").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -168,7 +238,7 @@ def fnv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT lang, count(*) AS n, sum({TOKENS.format('text')})::BIGINT AS tokens, sum(length(regexp_replace(text, '[\\s\\x{{00A0}}\\x{{3000}}\\x{{FEFF}}]', '', 'g')))::BIGINT AS visible FROM documents GROUP BY lang
+SELECT lang, count(*) AS n, sum({tokens('text')})::BIGINT AS tokens, sum({visible('text')})::BIGINT AS visible FROM documents GROUP BY lang
 """)
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(estimated_tokens(F.col("text"))).alias("tokens"), F.sum(visible_length(F.col("text"))).alias("visible"))

@@ -32,14 +32,16 @@ def task_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, event_id, (used <= 9000) AS first_part, est <= 6000 AND used + est <= 12000 AS allowed FROM (
-  SELECT user_id, event_id, est, coalesce(sum(est) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (SELECT *, ceil(length(props) / 4.0)::BIGINT + floor(value * 100)::BIGINT AS est FROM events)
-)
+WITH RECURSIVE r AS (SELECT user_id, event_id, ts::DATE AS day, ceil(length(props) / 4.0)::BIGINT + floor(value * 100)::BIGINT AS est, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS rn FROM events),
+fold AS (
+  SELECT DISTINCT user_id, day, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0::BIGINT AS used, 0::BIGINT AS now, false AS allowed FROM r
+  UNION ALL SELECT r.user_id, r.day, r.rn, r.event_id, f.now, CASE WHEN est <= 6000 AND f.now + est <= 12000 THEN f.now + est ELSE f.now END, est <= 6000 AND f.now + est <= 12000
+  FROM fold f JOIN r ON r.user_id = f.user_id AND r.day = f.day AND r.rn = f.rn + 1
+) SELECT user_id, event_id, used, allowed FROM fold WHERE rn > 0
 """)
 def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = calls(spark, sf_dir).withColumn("est", usage.request_estimate(F.col("props"), F.col("tokens")))
-    gated = usage.budget_gate(rows, "user_id", "ts", "event_id", "est", 6000, 12000)
-    return gated.select("user_id", "event_id", (F.col("used") <= 9000).alias("first_part"), "allowed")
+    return usage.budget_gate(rows, "user_id", "ts", "event_id", "est", 6000, 12000).select("user_id", "event_id", "used", "allowed")
 
 
 @query("SELECT l_orderkey, (3 * (max(l_orderkey % 900) + sum(least(5000, greatest(1200, l_quantity * 60 * 2)))))::DOUBLE AS budget FROM lineitem GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from leafmill.operators.review import TRANSITIONS
+from leafmill.operators.review import moved
 from leafmill.scratch import Tables
 
 
@@ -21,39 +21,53 @@ def drained(stream: DataFrame, tables: Tables, name: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def assembled_answers(events: DataFrame) -> DataFrame:
+def assembled_answers(events: DataFrame, idle: str = "1 hour") -> DataFrame:
     """(task, text, tokens, outcome) of streams of (task, seq, kind, text, tokens) once ``done`` has come: deltas joined
-    in order, usage summed; a blank result is "empty". Kinds are text_delta, usage and done."""
+    in order, usage summed; a blank result is "empty". Kinds are text_delta, usage and done.
+
+    What comes after a task's done event is left out. A task without events for ``idle`` ends: unfinished ones come out
+    as "abandoned" with what there is, and the memory of finished ones goes."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def row(task: int, parts: list[str], seqs: list[int], tokens: int, outcome: str | None = None) -> pd.DataFrame:
+        text = "".join(p for _, p in sorted(zip(seqs, parts, strict=True)))
+        return pd.DataFrame({"task": [task], "text": [text], "tokens": [tokens], "outcome": [outcome or ("ok" if text.strip() else "empty")]})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts, seqs, tokens, done = (list(state.get[0]), list(state.get[1]), state.get[2], state.get[3]) if state.exists else ([], [], 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield row(key[0], parts, seqs, tokens, "abandoned")
+            return
+        closed = done
         for pdf in frames:
-            for r in pdf.itertuples():
+            for r in () if closed else pdf.itertuples():
                 if r.kind == "text_delta":
                     parts.append(r.text or "")
                     seqs.append(int(r.seq))
                 tokens += 0 if pd.isna(r.tokens) else int(r.tokens)
                 done = done or r.kind == "done"
-        if done:
-            text = "".join(p for _, p in sorted(zip(seqs, parts, strict=True)))
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"task": [key[0]], "text": [text], "tokens": [tokens], "outcome": ["ok" if text.strip() else "empty"]})
-        else:
-            state.update((parts, seqs, tokens, done))
+        state.update(([], [], 0, True) if done else (parts, seqs, tokens, done))
+        state.setTimeoutDuration(wait)
+        if done and not closed:
+            yield row(key[0], parts, seqs, tokens)
 
-    return events.groupBy("task").applyInPandasWithState(step, "task long, text string, tokens long, outcome string", "parts array<string>, seqs array<long>, tokens long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("task").applyInPandasWithState(step, "task long, text string, tokens long, outcome string", "parts array<string>, seqs array<long>, tokens long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def task_states(events: DataFrame) -> DataFrame:
-    """(task, seq, status, before, legal) of each event (task, seq, status); the state before is that of the event
-    before, also across batches."""
+    """(task, seq, status, before, legal) of each event (task, seq, status, error): the batch job's rule, with the state
+    that the legal events so far have made, also across batches."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("seq")
-        before = [state.get[0] if state.exists else None, *rows["status"].tolist()[:-1]]
-        legal = [s == "queued" if b is None else s in TRANSITIONS.get(b, []) for b, s in zip(before, rows["status"], strict=True)]
-        state.update((rows["status"].iloc[-1],))
+        now, before, legal = state.get[0] if state.exists else None, [], []
+        for status, error in zip(rows["status"], rows["error"], strict=True):
+            before.append(now)
+            legal.append(moved(now, status, None if pd.isna(error) else error))
+            now = status if legal[-1] else now
+        state.update((now,))
         yield pd.DataFrame({"task": key[0], "seq": rows["seq"], "status": rows["status"], "before": before, "legal": legal})
 
     return events.groupBy("task").applyInPandasWithState(step, "task long, seq long, status string, before string, legal boolean", "status string", "append", GroupStateTimeout.NoTimeout)
