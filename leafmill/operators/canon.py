@@ -74,11 +74,11 @@ def relationships(accepted: DataFrame) -> DataFrame:
     which may be blank."""
     parts = ("source", "target", "type")
     each = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("relationships").alias("i", "r"))
-    rows = each.select("*", *(trimmed(F.coalesce(f"r.{c}", F.lit(""))).alias(c) for c in parts), trimmed(F.coalesce("r.description", F.lit(""))).alias("said")).where("source <> '' and target <> '' and type <> ''")
-    pos = F.struct("ordinal", "chapter", "i")
-    keys = [squeezed(F.col(c)).alias(f"{c}_key") for c in parts]
-    found = rows.groupBy("book", *keys).agg(*(F.min_by(c, pos).alias(c) for c in parts), _in_order(pos, _said("said")).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(F.concat_ws(" ", *parts))).alias("evidence"), F.max("confidence").alias("confidence"))
-    return found.withColumn("id", short_id("relation", F.concat_ws(":", *(f"{c}_key" for c in parts)))).drop(*(f"{c}_key" for c in parts))
+    rows = each.select("*", *(trimmed(F.coalesce(f"r.{c}", F.lit(""))).alias(f"_{c}") for c in parts), trimmed(F.coalesce("r.description", F.lit(""))).alias("_said")).where("_source <> '' and _target <> '' and _type <> ''")
+    pos, own = F.struct("ordinal", "chapter", "i"), [f"_{c}" for c in parts]
+    found = rows.groupBy("book", *(squeezed(F.col(c)).alias(f"{c}_key") for c in own)).agg(*(F.min_by(f"_{c}", pos).alias(c) for c in parts), _in_order(pos, _said("_said")).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(F.concat_ws(" ", *own))).alias("evidence"), F.max("confidence").alias("confidence"))
+    keys = [f"{c}_key" for c in own]
+    return found.withColumn("id", short_id("relation", F.concat_ws(":", *keys))).drop(*keys)
 
 
 def _said(column: str) -> Column:
@@ -88,10 +88,10 @@ def _said(column: str) -> Column:
 def world_rules(accepted: DataFrame) -> DataFrame:
     """(book, name, descriptions, chapters, evidence, confidence, id) by squeezed name."""
     each = accepted.select("book", "chapter", "ordinal", "confidence", "evidence", F.posexplode("world_rules").alias("i", "r"))
-    rows = each.select("*", trimmed(F.coalesce("r.name", F.lit(""))).alias("name"), trimmed(F.coalesce("r.description", F.lit(""))).alias("said")).where("name <> ''")
+    rows = each.select("*", trimmed(F.coalesce("r.name", F.lit(""))).alias("_name"), trimmed(F.coalesce("r.description", F.lit(""))).alias("_said")).where("_name <> ''")
     pos = F.struct("ordinal", "chapter", "i")
-    claim = F.concat_ws(" ", "name", "r.description")
-    found = rows.groupBy("book", squeezed(F.col("name")).alias("norm")).agg(F.min_by("name", pos).alias("name"), _in_order(pos, _said("said")).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(claim)).alias("evidence"), F.max("confidence").alias("confidence"))
+    claim = F.concat_ws(" ", "_name", "r.description")
+    found = rows.groupBy("book", squeezed(F.col("_name")).alias("norm")).agg(F.min_by("_name", pos).alias("name"), _in_order(pos, _said("_said")).alias("descriptions"), _in_order(pos, F.array("chapter")).alias("chapters"), _in_order(pos, _all_evidence(claim)).alias("evidence"), F.max("confidence").alias("confidence"))
     return found.withColumn("id", short_id("rule", F.col("norm"))).drop("norm")
 
 

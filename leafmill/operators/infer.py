@@ -50,7 +50,7 @@ def audited(requests: DataFrame, runs: DataFrame, generate: Callable[[str], str]
     made = fresh.drop("prompt").join(generated(fresh, "_k", "prompt", generate), "_k").drop("_k").withColumn("_why", violations)
     wrong = (F.col("outcome") == "ok") & (F.size("_why") > 0)
     outcome = F.when(wrong, F.concat(F.lit("invalid: "), F.array_join("_why", ","))).otherwise(F.col("outcome"))
-    made = made.withColumn("outcome", outcome).withColumn("result", F.when(~wrong, F.col("result"))).drop("_why")
+    made = made.withColumn("result", F.when(~wrong, F.col("result"))).withColumn("outcome", outcome).drop("_why")
     results = known.join(made.withColumnRenamed("result", "_made"), key, "left")
     results = results.withColumn("result", F.coalesce("reuse", "_made")).withColumn("outcome", F.when(F.col("reuse").isNotNull(), "reused").otherwise(F.col("outcome"))).drop("reuse", "_made")
     audit = made.select(*key, F.when(F.col("outcome") == "ok", "succeeded").otherwise("failed").alias("status"), "result", F.when(F.col("outcome") != "ok", F.col("outcome")).alias("error"))

@@ -72,8 +72,8 @@ FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(
 #: Segments of a chapter's evidence: those whose claim holds a term first, then all of the chapter.
 EVIDENCE = """
 cited AS (SELECT DISTINCT k.*, chapter || ':' || n AS seg, n, len(list_filter(string_split(lower(trim(regexp_replace(claim, '\\s+', ' ', 'g'))), ' '), lambda t: t <> '' AND contains(lower(ls[n + 1]), t))) = 0 AS later FROM keyed k, range(3) r(n) WHERE n < len(ls)),
-firsts AS (SELECT book, key, seg, min((ordinal, chapter, i, later, n)) AS at FROM cited GROUP BY 1, 2, 3),
-evidence AS (SELECT book, key, string_agg(seg, ',' ORDER BY at) AS evidence FROM firsts GROUP BY 1, 2)
+firsts AS (SELECT book, key, seg, min((ordinal, chapter, i, later, n)) AS place FROM cited GROUP BY 1, 2, 3),
+evidence AS (SELECT book, key, string_agg(seg, ',' ORDER BY place) AS evidence FROM firsts GROUP BY 1, 2)
 """
 
 
@@ -156,7 +156,7 @@ def foreign_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished analyses of chapters that a run without every third chapter does not have."""
     chapters = table(spark, sf_dir, "documents").where("doc_id % 3 <> 1").select(F.col("doc_id").alias("chapter"))
     rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"))
-    return canon.foreign_analyses(chapters, rows, ["chapter"])
+    return canon.foreign_analyses(chapters, rows, ["chapter"]).select("chapter")
 
 
 @query("""

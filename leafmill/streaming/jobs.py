@@ -21,13 +21,14 @@ def drained(stream: DataFrame, tables: Tables, name: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def assembled_answers(events: DataFrame, idle: str = "1 hour") -> DataFrame:
+def assembled_answers(events: DataFrame, idle: str | None = None) -> DataFrame:
     """(task, text, tokens, outcome) of streams of (task, seq, kind, text, tokens) once ``done`` has come: deltas joined
     in order, usage summed; a blank result is "empty". Kinds are text_delta, usage and done.
 
-    What comes after a task's done event is left out. A task without events for ``idle`` ends: unfinished ones come out
-    as "abandoned" with what there is, and the memory of finished ones goes."""
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    What comes after a task's done event is left out. With ``idle``, for streams that do not end by themselves, a task
+    without events for so long ends: unfinished ones come out as "abandoned" with what there is, and the memory of
+    finished ones goes. A stream that is drained has no use for it: with a timeout Spark keeps waiting for it."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def row(task: int, parts: list[str], seqs: list[int], tokens: int, outcome: str | None = None) -> pd.DataFrame:
         text = "".join(p for _, p in sorted(zip(seqs, parts, strict=True)))
@@ -49,11 +50,12 @@ def assembled_answers(events: DataFrame, idle: str = "1 hour") -> DataFrame:
                 tokens += 0 if pd.isna(r.tokens) else int(r.tokens)
                 done = done or r.kind == "done"
         state.update(([], [], 0, True) if done else (parts, seqs, tokens, done))
-        state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(wait)
         if done and not closed:
             yield row(key[0], parts, seqs, tokens)
 
-    return events.groupBy("task").applyInPandasWithState(step, "task long, text string, tokens long, outcome string", "parts array<string>, seqs array<long>, tokens long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("task").applyInPandasWithState(step, "task long, text string, tokens long, outcome string", "parts array<string>, seqs array<long>, tokens long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def task_states(events: DataFrame) -> DataFrame:
