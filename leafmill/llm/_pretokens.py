@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Bytes of a slice of whole texts; bytes of stretches and ids after which a worker forgets them, about 100 each with
 #: their keys; longer stretches are not remembered.
-SLICE, REMEMBERED, LONGEST = 3 << 20, 96 << 20, 64
+SLICE, REMEMBERED, LONGEST = 4 << 20, 160 << 20, 64
 _ENTRY = 100
 
 
@@ -111,12 +111,15 @@ class PretokenEncoder:
             return [stretch[:-1], bare[-1]]
         return [stretch] if self.special and self.special.search(stretch) else self.find(stretch)
 
-    def _learn(self, stretches: list[str], letters: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, stretches: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows of all their pre-tokens, number of each); ``letters``: those that are one pre-token for sure."""
-        cut = [[s] if a else self._cut(s) for s, a in zip(stretches, letters, strict=True)]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = [p for c in cut for p in c]
-        new = self.pieces.missing(list(dict.fromkeys(flat)))
+        one = letters.astype(bool)
+        alone, other = list(compress(stretches, one)), list(compress(stretches, ~one))
+        cut = list(map(self._cut, other))
+        sizes = np.ones(len(stretches), np.int64)
+        sizes[~one] = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = list(chain.from_iterable(cut))
+        new = self.pieces.missing(list(dict.fromkeys(chain(alone, flat))))
         if self.special:
             for p in (p for p in new if self.special.search(p)):
                 ids = np.array(self.whole(p), np.uint32)
@@ -126,7 +129,11 @@ class PretokenEncoder:
             ids, each = self.encode(new)
             self.pieces.add(new, ids, each)
             self.held += 4 * len(ids) + _ENTRY * len(new) + sum(map(len, new))
-        return self.pieces.rows(flat), sizes
+        starts = np.cumsum(sizes) - sizes
+        rows = np.zeros(int(sizes.sum()), np.int64)
+        rows[starts[one]] = self.pieces.rows(alone)
+        rows[spread(starts[~one], sizes[~one])] = self.pieces.rows(flat)
+        return rows, sizes
 
     def _slice(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.held > REMEMBERED:
@@ -150,7 +157,7 @@ class PretokenEncoder:
         row = self.stretches.row
         new = np.fromiter((k not in row for k in found), bool, len(found))
         fresh = list(compress(found, new))
-        self.stretches.add(fresh, *self._learn(fresh, letters[new].tolist()))
+        self.stretches.add(fresh, *self._learn(fresh, letters[new]))
         self.held += _ENTRY * len(fresh) + sum(map(len, fresh))
         pieces, sizes = self.stretches.of(self.stretches.rows(found)[column.indices.to_numpy()])
         for k in fresh:
