@@ -77,6 +77,16 @@ class Chapters:
             yield n, t if len(out) > 1 else WHOLE, content
 
 
+@udtf(returnType="ordinal int, content string")
+class TextPieces:
+    """A text cut at a separator, one row a piece."""
+
+    def eval(self, text: str, separator: str):
+        for n, piece in enumerate((text or "").split(separator)):
+            yield n, piece
+
+
 def register_functions(spark: SparkSession) -> None:
-    """``text_chapters(text)`` for SQL."""
+    """``text_chapters(text)`` and ``text_pieces(text, separator)`` for SQL."""
     spark.udtf.register("text_chapters", Chapters)
+    spark.udtf.register("text_pieces", TextPieces)

@@ -107,3 +107,13 @@ def chapter_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("第1章 a\n"), F.coalesce("text", F.lit("")), F.lit("\n第2章\nend"))
     table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).createOrReplaceTempView("leafmill_documents")
     return spark.sql("SELECT doc_id, cast(count(*) AS int) AS chapters, cast(max(CASE WHEN ordinal = 0 THEN length(content) END) AS int) AS first_size FROM leafmill_documents d, LATERAL text_chapters(d.text) GROUP BY doc_id")
+
+
+@query("SELECT doc_id, count(*) AS chapters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1")
+def line_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function that cuts at a separator, from SQL with a lateral join."""
+    from leafmill.operators.infer import register_functions
+
+    register_functions(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("leafmill_lines")
+    return spark.sql("SELECT doc_id, count(*) AS chapters FROM leafmill_lines d, LATERAL text_pieces(d.text, char(10)) GROUP BY doc_id")
