@@ -128,18 +128,18 @@ def _meet(cells: dict[int, Cells], least: float):
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, least: float = 0.95, tables: Tables | None = None) -> DataFrame:
-    """(id, n_links, component_id, kept) per vector: how many others have a cosine of ``least`` or more with it, the
+    """(id, n_links, component_id, kept) per row: how many other rows have a cosine of ``least`` or more with it, the
     smallest id that links reach, and whether it is that one.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors of different lengths, do not
-    link. Of rows with one id the smallest vector counts; rows without an id are left out. Ids are integers. An empty
-    table gives none; other columns are not read.
+    link. Rows of one id are vectors of their own, which the id alone does not link. A row without an id links like any
+    other; it is kept if its links reach no id. Ids are integers. An empty table gives none; other columns are not read.
     """
     tables = tables or Tables(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null").groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     normal = tables.save(rows.mapInArrow(_normal, "id long, key binary, dim int, vec binary"), "normal")
-    found = normal.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
-    reps = tables.save(found, "reps")
+    found = normal.where("key is not null").groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    reps = tables.save(found.withColumn("rep", F.monotonically_increasing_id()), "reps")  # written, so numbers stay
     cells = {}
     for r in reps.groupBy("dim").count().collect():  # one row for each length of vectors
         k = int(min(CELLS, max(1, r["count"] // CELL_ROWS)))
@@ -157,6 +157,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     joined = components(links.select("a", "b"), tables)
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     each = reps.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    each = tables.save(each.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "each")
-    out = normal.select("id", "key").join(each, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+    each = tables.save(each.select("key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class")), "each")
+    ids = each.groupBy("class").agg(F.min("least_id").alias("component_id"))
+    found = tables.save(each.join(ids, "class").select("key", "n_links", "component_id"), "found")
+    out = normal.select("id", "key").join(found, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -232,12 +232,12 @@ def _grouped(items: list[Item], latent: Latent) -> list[tuple[int, list[Item], n
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Item]]:
-    """The distinct items, at most about ITEMS_AT_ONCE at a time. Items with a null id or under LEAST_WORDS words are no
+    """The distinct items, at most about ITEMS_AT_ONCE at a time; an id with several texts has an item of each. Items with a null id or under LEAST_WORDS words are no
     evidence of a leak and are left out."""
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").dropDuplicates(["id"])
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
     blocks = max(1, -(-rows.count() // ITEMS_AT_ONCE))
     for b in range(blocks):
-        got = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
+        got = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id", "text").collect()
         items = []
         for r in got:
             for _, _, _, hashes in _words(pa.array([r["text"]], pa.large_string())):

@@ -51,11 +51,11 @@ def table(spark: SparkSession, names: list[str], slots: int = SLOTS) -> DataFram
 
 
 def place(rows: DataFrame, shard_table: DataFrame, key_col: str, slots: int = SLOTS) -> DataFrame:
-    """The rows with ``slot`` and ``shard`` added (columns of those names are replaced). A null key is placed as the empty
+    """The rows with ``slot`` and ``shard`` added (columns of those names are replaced, the key among them). A null key is placed as the empty
     string; equal keys share a slot; an empty table stays empty. No row is shuffled."""
-    rows = rows.drop("slot", "shard")
+    others = [c for c in rows.columns if c not in ("slot", "shard")]
     slot = F.pmod(hashed(F.coalesce(F.col(key_col).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
-    return rows.withColumn("slot", slot).join(F.broadcast(shard_table), "slot").select(*rows.columns, "slot", "shard")
+    return rows.select(*others, slot.alias("slot")).join(F.broadcast(shard_table), "slot").select(*others, "slot", "shard")
 
 
 def shares(placed: DataFrame) -> DataFrame:
