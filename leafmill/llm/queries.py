@@ -1,4 +1,4 @@
-"""The ten numbered queries over whole tables, and the SQL of those that SQL can express."""
+"""The numbered queries over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, cells, dartminhash, decontaminate, langid, maxent, secret_ledger, shards, simple8b, toxicity
+from leafmill.llm import bpe, cells, dartminhash, decontaminate, langid, maxent, resampling, secret_ledger, shards, simple8b, toxicity
 from leafmill.scratch import Tables
 
 
@@ -84,5 +84,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op4_maxent, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language)}
-ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle()}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op4_maxent, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language, op11_resampling)}
+ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle(), "op11_resampling": resampling.oracle()}
