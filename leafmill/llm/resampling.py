@@ -125,7 +125,8 @@ def resampled(
     """
     tables = tables or Tables(docs.sparkSession)
     shape = {"shortest": shortest, "longest": longest, "buckets": buckets}
-    gain = tables.save(gains(bucket_counts(docs, text_col, **shape), bucket_counts(target, target_col, **shape), buckets), "gains")
+    counts = [tables.save(bucket_counts(df, c, **shape), "counts") for df, c in ((docs, text_col), (target, target_col))]
+    gain = tables.save(gains(*counts, buckets), "gains")
     rows = weighted(docs, gain, id_col, text_col, **shape)
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     gumbel = F.floor(-1000 * F.log(-F.log((noise + 0.5) / 4294967296.0)))
