@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, cells, dartminhash, decontaminate, langid, maxent, resampling, secret_ledger, shards, simple8b, spelling, toxicity
+from leafmill.llm import bpe, cells, dartminhash, decontaminate, extraction, langid, maxent, resampling, secret_ledger, shards, simple8b, spelling, toxicity
 from leafmill.scratch import Tables
 
 
@@ -88,9 +88,14 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extracted(pages, extraction.learn(pages))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op4_maxent, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language, op11_resampling, op13_spelling)}
-ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle(), "op11_resampling": resampling.oracle(), "op13_spelling": spelling.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lookup_sharding, op3_latent_retrieval, op4_maxent, op5_secret_ledger, op6_cells, op7_simple8b, op8_bpe, op9_minhash, op10_language, op11_resampling, op12_extraction, op13_spelling)}
+ORACLES: dict[str, str] = {"op2_lookup_sharding": shards.oracle(), "op11_resampling": resampling.oracle(), "op12_extraction": extraction.oracle(), "op13_spelling": spelling.oracle()}
