@@ -18,7 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm._words import LOWER, column_bytes
@@ -67,26 +67,55 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, least_letters: int,
     return narrow.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _cells(word: Column) -> Column:
-    """The cell of a word and those that it visits, as structs (size, cell, visits): the length of the cell's words and
-    their packed counts by group."""
-    beyond = ["".join(chr(c) for c in range(0xC0, 0x100) if c % len(GROUPS) == g) for g in range(len(GROUPS))]
-    count = [F.regexp_count(word, F.lit(f"[{g}{b}]")).cast("long") for g, b in zip(GROUPS, beyond, strict=True)]
-    unit = [1 << 10 * g for g in range(len(GROUPS))]
-    own = sum(((c % 1024) * u for c, u in zip(count, unit, strict=True)), F.lit(0).cast("long"))
-    more = [(F.lit(True), 1, u) for u in unit]  # a longer word with one letter more in that group
-    moved = [(count[i] > 0, 0, unit[j] - unit[i]) for i in range(len(unit)) for j in range(i + 1, len(unit))]
-    cell = lambda longer, step, visits: F.struct((F.length(word) + longer).alias("size"), (own + F.lit(step)).alias("cell"), F.lit(visits).alias("visits"))
-    return F.filter(F.array(cell(0, 0, False), *(F.when(able, cell(longer, step, True)) for able, longer, step in more + moved)), lambda x: x.isNotNull())
+def _cells(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(rows, size, cell, visits) of the words' own cells and, a step at a time, of those that they visit: the length of
+    the cell's words and their packed counts by group."""
+    group = np.arange(256) % len(GROUPS)
+    for g, letters in enumerate(GROUPS):
+        group[list(map(ord, letters))] = g
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    at = np.repeat(np.arange(len(words)) * len(GROUPS), size) + group[letters]
+    count = np.bincount(at, minlength=len(words) * len(GROUPS)).reshape(len(words), len(GROUPS))
+    unit = 1 << 10 * np.arange(len(GROUPS), dtype=np.int64)
+    own, rows = (count % 1024) @ unit, np.arange(len(words))
+    yield rows, size, own, False
+    for u in unit:  # a longer word with one letter more in that group
+        yield rows, size + 1, own + u, True
+    for i in range(len(GROUPS)):
+        for j in range(i + 1, len(GROUPS)):
+            able = np.flatnonzero(count[:, i])
+            yield able, size[able], own[able] + unit[j] - unit[i], True
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, own = [], []
+        for rows, size, cell, visits in _cells(batch.column(0).to_pylist()):
+            key.append(np.column_stack([size, cell]))
+            own.append(np.full(len(rows), not visits))
+        key, own = np.concatenate(key), np.concatenate(own)
+        order = np.lexsort(key.T)
+        key, own = key[order], own[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)][: len(key)])
+        if len(first):
+            yield pa.record_batch([pa.array(x) for x in (key[first, 0].astype(np.int32), key[first, 1], np.add.reduceat(own.astype(np.int64), first), np.diff(np.append(first, len(key))))], ["size", "cell", "own", "n"])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, size, cell, visits in _cells(batch.column(0).to_pylist()):
+            yield pa.record_batch([pa.array(size.astype(np.int32)), pa.array(cell), pa.array(np.full(len(rows), visits)), *(c.take(pa.array(rows)) for c in batch.columns)], ["size", "cell", "visits", "word", "n"])
 
 
 def _dealt(words: DataFrame, tables: Tables) -> DataFrame:
     """(size, cell, i, j, visits, word, n): the rows that block i of a cell's own words and block j of its visitors need."""
-    placed = words.withColumn("at", F.explode(_cells(F.col("word")))).select("at.*", "word", "n")
+    even = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     room = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.lit(40 * BLOCK) / F.col("size")))
-    sizes = placed.groupBy("size", "cell").agg(F.count_if(~F.col("visits")).alias("own"), F.count("*").alias("n"))
+    sizes = even.mapInArrow(_sizes, "size int, cell long, own long, n long").groupBy("size", "cell").agg(F.sum("own").alias("own"), F.sum("n").alias("n"))
     sizes = sizes.select("size", "cell", F.ceil(F.col("own") / room).cast("int").alias("p"), F.ceil((F.col("n") - F.col("own")) / room).cast("int").alias("q"))
     large = tables.save(sizes.where("p > 1 or q > 1"), "large_cells")  # at most one in BLOCK rows
+    placed = even.mapInArrow(_place, "size int, cell long, visits boolean, word string, n long")
     split = placed.join(large, ["size", "cell"], "left").withColumn("h", F.xxhash64("word"))
     # a cell's own word stands in block i against all visitors j, and visits the blocks behind its own
     p, q = F.greatest(F.col("p"), F.lit(1)), F.greatest(F.col("q"), F.lit(1))
