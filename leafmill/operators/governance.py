@@ -4,39 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.scratch import Tables
+
 #: What separates the terms of a changed value, a fixed value; white space as everywhere.
 SEPARATORS = r"""[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}，。；、：,.!?！？;:"“”'‘’（）()《》]+"""
 #: How an impact is told, fixed values.
 MENTIONS, CHILDREN, BETWEEN = "引用了变更内容：", " 个章节引用了变更内容", "、"
-#: Terms are looked for by so many of their first characters, then checked whole.
-PREFIX = 64
+#: Terms are looked for by one stretch of so many of their characters, then checked whole; stretches are cut into
+#: windows of so many characters first.
+GRAM, WINDOW = 4, 256
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first numbers of both are equal, looked at in steps that double."""
+    at, step, end = 0, 16, min(len(a), len(b))
+    while at < end:
+        apart = np.flatnonzero(a[at : at + step][: end - at] != b[at : at + step][: end - at])
+        if len(apart):
+            return at + int(apart[0])
+        at, step = at + step, 2 * step
+    return end
 
 
 def line_diff(before: list[str], after: list[str]) -> list[tuple[str, str]]:
-    """(kind, line): a greedy walk down both with one line of look-ahead; a replaced line is removed, then added."""
+    """(kind, line). Runs of equal lines stand for themselves. Where two lines differ, the old one is removed unless the
+    new side's next line is it, and the new one added unless the old side's next line is it, which counts first; lines
+    that one side has left at the end are removed or added."""
+    number = {line: n for n, line in enumerate(dict.fromkeys([*before, *after]))}
+    old, new = (np.array([number[x] for x in side] + [-1, -2][k : k + 1]) for k, side in enumerate((before, after)))
     out, i, j = [], 0, 0
-    while i < len(before) or j < len(after):
-        if i < len(before) and j < len(after) and before[i] == after[j]:
-            out.append(("same", before[i]))
-            i, j = i + 1, j + 1
-        elif i + 1 < len(before) and j < len(after) and before[i + 1] == after[j]:
-            out.append(("removed", before[i]))
-            i += 1
-        elif j + 1 < len(after) and i < len(before) and before[i] == after[j + 1]:
-            out.append(("added", after[j]))
-            j += 1
-        else:
-            if i < len(before):
-                out.append(("removed", before[i]))
-                i += 1
-            if j < len(after):
-                out.append(("added", after[j]))
-                j += 1
-    return out
+    while i < len(before) and j < len(after):
+        run = _agreeing(old[i:-1], new[j:-1])
+        out += [("same", line) for line in before[i : i + run]]
+        i, j = i + run, j + run
+        if i < len(before) and j < len(after):
+            gone = old[i + 1] == new[j]
+            come = not gone and new[j + 1] == old[i]
+            out += [("removed", before[i])] * (not come) + [("added", after[j])] * (not gone)
+            i, j = i + (not come), j + (not gone)
+    return out + [("removed", x) for x in before[i:]] + [("added", x) for x in after[j:]]
 
 
 def version_pairs(versions: DataFrame, doc: str, revision: str, content: str) -> DataFrame:
@@ -93,21 +104,40 @@ def changed_terms(changes: DataFrame, scope: str, order: str) -> DataFrame:
     return each.groupBy(scope, "term").agg(F.min(F.struct(order, "i")).alias("place"))
 
 
-def mentions(items: DataFrame, terms: DataFrame, scope: str, key: str, haystack: str, first: int = 3) -> DataFrame:
+def _grams(stretches: DataFrame, keep: list[str], stretch: str) -> DataFrame:
+    """(keep, gram): runs of 2 to GRAM characters of each stretch, a few for each position. Long stretches go through
+    windows, so that work grows with their length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(stretch) - 1), F.lit(WINDOW))
+    windows = stretches.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(stretch, i, F.lit(WINDOW + GRAM - 1)))).alias("_window"))
+    places = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("_window") - 1))
+    runs = F.flatten(F.transform(places, lambda i: F.array(*(F.substring("_window", i, F.lit(n)) for n in range(2, GRAM + 1)))))
+    return windows.where(F.length("_window") > 1).select(*keep, F.explode(F.array_distinct(runs)).alias("gram"))
+
+
+def mentions(items: DataFrame, terms: DataFrame, scope: str, key: str, haystack: str, first: int = 3, tables: Tables | None = None) -> DataFrame:
     """(scope, key, terms, n_terms, reason) of items whose haystack holds a term of their scope, anywhere and in any case:
     the ``first`` terms by their place, their number, and how that is told.
 
-    A term has no separators, so it stands inside one stretch between separators. Items are cut into distinct stretches;
-    each stretch of a scope is looked up once by its substrings, which meet the terms in an equi-join, and what it holds
-    goes back to the items. Nothing is compared with everything, and no scope is a group.
+    A term has no separators, so it stands inside one stretch between separators. The distinct stretches of a scope are
+    indexed by their grams; a term of up to GRAM characters is a gram itself, of a longer one the gram that the fewest
+    stretches have finds the candidates, which are then checked whole. A term with a gram that no stretch has is held
+    by none. Stretches of any length cost a few rows a character, nothing is compared with everything, and no scope is a
+    group.
     """
+    tables = tables or Tables(items.sparkSession)
     cut = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(haystack, F.lit(""))), SEPARATORS), lambda t: F.length(t) >= 2))
-    stretches = items.select(scope, key, F.explode(cut).alias("stretch"))
-    wanted = terms.select(scope, "term", "place", F.substring("term", 1, PREFIX).alias("_part"))
-    starts = F.sequence(F.lit(1), F.length("stretch") - 1)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(PREFIX), F.length("stretch") - i + 1)), lambda n: F.substring(F.col("stretch"), i, n))))
-    known = stretches.select(scope, "stretch").distinct().select(scope, "stretch", F.explode(F.array_distinct(parts)).alias("_part"))
-    held = known.join(wanted, [scope, "_part"]).where(F.contains("stretch", F.col("term"))).select(scope, "stretch", "term", "place")
+    stretches = items.join(terms.select(scope).distinct(), scope, "left_semi").select(scope, key, F.explode(cut).alias("stretch"))
+    known = tables.save(stretches.select(scope, "stretch").distinct().withColumn("_id", F.monotonically_increasing_id()), "stretches")
+    # any gram of a term would do; of very long terms the first ones are looked at
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term") - GRAM + 1, F.lit(WINDOW)))), lambda i: F.substring("term", i, F.lit(GRAM)))
+    parts = terms.select(scope, "term", "place", F.array_distinct(own).alias("_own"))
+    parts = parts.select(scope, "term", "place", F.size("_own").alias("_n"), F.explode("_own").alias("gram"))
+    seen = _grams(known, [scope, "_id"], "stretch").join(parts.select(scope, "gram").distinct(), [scope, "gram"], "left_semi")
+    seen = tables.save(seen, "grams")
+    counted = parts.join(seen.groupBy(scope, "gram").count(), [scope, "gram"]).groupBy(scope, "term", "place", "_n")
+    rarest = counted.agg(F.count("*").alias("_has"), F.min(F.struct("count", "gram"))["gram"].alias("gram")).where("_has = _n")
+    near = seen.join(rarest.select(scope, "gram", "term", "place"), [scope, "gram"]).drop(scope, "gram")
+    held = known.join(near, "_id").where(F.contains("stretch", F.col("term"))).select(scope, "stretch", "term", "place").distinct()
     found = stretches.join(held, [scope, "stretch"]).groupBy(scope, key).agg(F.array_sort(F.collect_set(F.struct("place", "term"))).alias("_found"))
     names = F.transform(F.slice("_found", 1, first), lambda x: x["term"])
     return found.select(scope, key, names.alias("terms"), F.size("_found").cast("long").alias("n_terms"), F.concat(F.lit(MENTIONS), F.array_join(names, BETWEEN)).alias("reason"))
@@ -120,17 +150,27 @@ def parent_impact(children: DataFrame, direct: DataFrame, parent: str) -> DataFr
     return both.select(parent, F.coalesce("own", F.concat(F.col("n").cast("string"), F.lit(CHILDREN))).alias("reason"))
 
 
-def impact_report(terms: DataFrame, scope: str, volumes: DataFrame, chapters: DataFrame, characters: DataFrame, drafts: DataFrame) -> DataFrame:
+def impact_report(terms: DataFrame, scope: str, volumes: DataFrame, chapters: DataFrame, characters: DataFrame, drafts: DataFrame, match_keys: dict[str, list[str]] | None = None) -> DataFrame:
     """(scope, kind, id, title, reason) of all that changed terms touch. Every table has (scope, id, title, text), text being
-    the values that are looked through, without key names; chapters and drafts have ``number``, chapters ``volume_id``."""
-    hit = lambda df: df.drop("text").join(mentions(df, terms, scope, "id", "text").select(scope, "id", "reason"), [scope, "id"])
+    the values that are looked through; chapters and drafts have ``number``, chapters ``volume_id``.
+
+    ``match_keys``: the names of a record's fields by kind ("volume", "chapter", "character"), which then count as
+    mentions too, as they do in a record's JSON; none by default. Drafts are plain text and have none.
+    """
+    tables = Tables(terms.sparkSession)
+
+    def hit(df: DataFrame, kind: str) -> DataFrame:
+        names = (match_keys or {}).get(kind, [])
+        seen = df.withColumn("text", F.concat_ws(" ", "text", *map(F.lit, names))) if names else df
+        return df.drop("text").join(mentions(seen, terms, scope, "id", "text", tables=tables).select(scope, "id", "reason"), [scope, "id"])
+
     numbered = F.concat(F.lit("第 "), F.coalesce(F.col("number").cast("string"), F.lit("?")), F.lit(" 章 · "), F.col("title"))
-    chaptered = hit(chapters)
-    reasons_ = parent_impact(chaptered.select(F.struct(scope, F.col("volume_id").alias("id")).alias("p")), hit(volumes).select(F.struct(scope, "id").alias("p"), "reason"), "p")
+    chaptered = hit(chapters, "chapter")
+    reasons_ = parent_impact(chaptered.select(F.struct(scope, F.col("volume_id").alias("id")).alias("p")), hit(volumes, "volume").select(F.struct(scope, "id").alias("p"), "reason"), "p")
     owners = volumes.select(F.struct(scope, "id").alias("p"), "title").join(reasons_, "p").select(F.col(f"p.{scope}").alias(scope), "p.id", "title", "reason")
     tag = lambda df, kind, title: df.select(scope, F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), title.alias("title"), "reason")
     out = tag(owners, "volume", F.col("title")).unionByName(tag(chaptered, "chapter", numbered))
-    return out.unionByName(tag(hit(characters), "character", F.col("title"))).unionByName(tag(hit(drafts), "draft", numbered))
+    return out.unionByName(tag(hit(characters, "character"), "character", F.col("title"))).unionByName(tag(hit(drafts, "draft"), "draft", numbered))
 
 
 def remapped_json(payload: Column, old: Column, new: Column) -> Column:

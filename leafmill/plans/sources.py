@@ -48,18 +48,20 @@ def preserved_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.preserved(rows, "source").select("source", "sha256", F.col("path").cast("long").cast("string").alias("path"), "copies")
 
 
-TEXT = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+TEXT = trim("text")
 
 
 @query(f"""
 SELECT source, md5(source || chr(10) || chr(10) || string_agg('第' || n || '章 ' || lang || chr(10) || chr(10) || {TEXT}, chr(10) || chr(10) ORDER BY n)) AS plain,
        md5('# ' || source || chr(10) || chr(10) || string_agg('## 第' || n || '章 ' || lang || chr(10) || chr(10) || {TEXT}, chr(10) || chr(10) ORDER BY n) || chr(10)) AS markdown
-FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) WHERE doc_id % 3 > 0 GROUP BY source
+FROM (SELECT source, lang, doc_id, CASE WHEN doc_id % 10 = 1 THEN chr(10) || chr(9) || '　' WHEN doc_id % 10 = 4 THEN '　　' || text || chr(160) ELSE text END AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) WHERE doc_id % 3 > 0 AND doc_id % 10 <> 1 GROUP BY source
 """)
 def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sinks over the chapters that have a draft."""
+    """Both sinks over the chapters that have a draft; a tenth of the drafts is blank, a tenth has wide spaces around it."""
     plan = books(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").drop("text")
-    drafts = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "text")
+    m = F.col("doc_id") % 10
+    text = F.when(m == 1, "\n\t　").when(m == 4, F.concat(F.lit("　　"), "text", F.lit("\u00a0"))).otherwise(F.col("text"))
+    drafts = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", text.alias("text"))
     rows = exports.selected(plan, drafts, ["doc_id"], "text")
     plain = exports.manuscript_digests(rows, "source", "ordinal", "lang", "text").withColumnRenamed("digest", "plain")
     marked = exports.manuscript_digests(rows, "source", "ordinal", "lang", "text", True).withColumnRenamed("digest", "markdown")

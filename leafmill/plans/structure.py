@@ -16,7 +16,8 @@ lines AS (
          (list_sum(list_transform(ls[:i], lambda x: length(x) + 1)))::BIGINT AS before
   FROM (SELECT doc_id, source, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents), range(len(ls)) r(i)
 )"""
-WS = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WIDE = r"\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS = rf"\s{WIDE}"
 HAN = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
@@ -69,12 +70,14 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH s AS (
   SELECT doc_id, i, {trim('p')} AS content
-  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '。([^\\S\\n]*\\n)', '。' || chr(10) || '\\1', 'g'), '\\n\\s*\\n') AS ps FROM documents), range(len(ps)) r(i), (SELECT ps[i + 1] AS p)
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(replace(replace(coalesce(text, ''), 'e. ', '。　' || chr(10)), 'n, ', chr(10) || '　' || chr(10) || chr(160)), '。((?:[^\\S\\n]|[{WIDE}])*\\n)', '。' || chr(10) || '\\1', 'g'), '\\n[{WS}]*\\n') AS ps FROM documents), range(len(ps)) r(i), (SELECT ps[i + 1] AS p)
 )
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS ordinal, length(content)::INT AS size, md5(content) AS digest FROM s WHERE content <> ''
 """)
 def paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.segments(table(spark, sf_dir, "documents"), "doc_id", mode="paragraph")
+    """Paragraphs behind full stops and between blank lines, both with wide spaces in them."""
+    wide = F.replace(F.replace("text", F.lit("e. "), F.lit("。　\n")), F.lit("n, "), F.lit("\n　\n\u00a0"))
+    rows = structure.segments(table(spark, sf_dir, "documents").withColumn("text", wide), "doc_id", mode="paragraph")
     return rows.select("doc_id", "ordinal", F.length("content").alias("size"), F.md5("content").alias("digest"))
 
 
@@ -104,16 +107,16 @@ def chapter_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", "title", F.md5("content").alias("digest"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
-HEADS = ["第一章 雨夜", "第12回", "章三", "卷二 - 北", "序章", "前言", "番外篇三", "番外2", "终章：完", "第3篇", "不是章", "第章", "  尾声  ", "后记", "第二集"]
+HEADS = ["第一章 雨夜", "第12回", "章三", "卷二 - 北", "序章", "前言", "番外篇三", "番外2", "终章：完", "第3篇", "不是章", "第章", "  尾声  ", "后记", "第二集", "　　第一章 雨夜", "\u00a0楔子\u3000旧事　", "第三回\u2003归", "　不是　第四章"]
 
 
 @query(r"""
-WITH texts AS (SELECT doc_id, string_split(array_to_string(list_transform(range(len(ls)), lambda i: CASE WHEN i % 4 = 0 THEN HEADS[(i // 4) % 15 + 1] || chr(10) || ls[i + 1] ELSE ls[i + 1] END), chr(10)), chr(10)) AS ls FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-SELECT doc_id, count(*) AS headings, md5(string_agg(trim(line), '|' ORDER BY i)) AS titles
+WITH texts AS (SELECT doc_id, string_split(array_to_string(list_transform(range(len(ls)), lambda i: CASE WHEN i % 4 = 0 THEN HEADS[(i // 4) % COUNT + 1] || chr(10) || ls[i + 1] ELSE ls[i + 1] END), chr(10)), chr(10)) AS ls FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+SELECT doc_id, count(*) AS headings, md5(string_agg(TRIMMED, '|' ORDER BY i)) AS titles
 FROM (SELECT doc_id, i, ls[i + 1] AS line FROM texts, range(len(ls)) r(i))
-WHERE regexp_matches(line, '^\s*(?:(第[〇零一二三四五六七八九十百千万两\d]+[卷部篇章节回])|(?:卷|章)[〇零一二三四五六七八九十百千万两\d]+|(?:序章|楔子|引子|前言|后记|尾声|终章|番外(?:篇)?(?:[一二三四五六七八九十\d]+)?))(?:[\s　:：、.-]+.*)?\s*$')
+WHERE regexp_matches(line, '^[WS]*(?:(第[〇零一二三四五六七八九十百千万两\d]+[卷部篇章节回])|(?:卷|章)[〇零一二三四五六七八九十百千万两\d]+|(?:序章|楔子|引子|前言|后记|尾声|终章|番外(?:篇)?(?:[一二三四五六七八九十\d]+)?))(?:[WS:：、.-]+.*)?[WS]*$')
 GROUP BY doc_id
-""".replace("HEADS", str(HEADS)))
+""".replace("HEADS", "['" + "', '".join(HEADS) + "']").replace("COUNT", str(len(HEADS))).replace("TRIMMED", trim("line")).replace("WS", WS))
 def default_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the usual kind, and lines that nearly are, put before every fourth line of the documents."""
     heads = F.array(*map(F.lit, HEADS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import trimmed
 from leafmill.operators.structure import joined_digests
 
 FORMAT, VERSION = "leafmill-bundle", 1
@@ -13,12 +14,12 @@ REQUIRED = ("projects", "chapters")
 
 def selected(plan: DataFrame, drafts: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Planned chapters that have a draft which is not blank."""
-    return plan.join(drafts, keys).where(F.trim(content) != "")
+    return plan.join(drafts, keys).where(trimmed(F.col(content)) != "")
 
 
 def _part(number: str, title: str, content: str, markdown: bool) -> Column:
     head = F.concat(F.lit("## " if markdown else ""), F.lit("第"), F.col(number).cast("string"), F.lit("章 "), F.col(title))
-    return F.concat(head, F.lit("\n\n"), F.regexp_replace(content, r"^\s+|\s+$", ""))
+    return F.concat(head, F.lit("\n\n"), trimmed(F.col(content)))
 
 
 def manuscripts(chapters: DataFrame, book: str, number: str, title: str, content: str, markdown: bool = False) -> DataFrame:
