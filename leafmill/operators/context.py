@@ -22,25 +22,85 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", estimated_tokens(F.coalesce("text", F.lit("")))).drop("text")
 
 
+def _reach(targets: DataFrame) -> DataFrame:
+    """(project, first target, steps): where a project's targets begin and how often their span can be halved."""
+    ends = targets.groupBy("project").agg(F.min("target").alias("_first"), F.max("target").alias("_last"))
+    steps = F.floor(F.log2((F.col("_last") - F.col("_first") + 1).cast("double"))) + 1
+    return ends.select("project", "_first", "_last", steps.cast("int").alias("_steps"))
+
+
+def _halved(x: Column, k: Column) -> Column:
+    return F.call_function("shiftright", x, k)
+
+
+def _blocks(rows: DataFrame, targets: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Each row once for every aligned block of 1, 2, 4, ... chapters that its interval [lo, hi] is made of: at most two
+    of a size. Null ends are open; rows of projects without targets, and intervals that hold none, go."""
+    clipped = rows.join(_reach(targets), "project")
+    start = F.greatest(F.coalesce(F.col(lo), F.col("_first")), F.col("_first")) - F.col("_first")
+    stop = F.least(F.coalesce(F.col(hi), F.col("_last")), F.col("_last")) - F.col("_first") + 1
+    clipped = clipped.withColumn("_start", start.cast("long")).withColumn("_stop", stop.cast("long")).where("_start < _stop")
+
+    def at(k: Column) -> Column:
+        a, b = _halved(F.col("_start") + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), _halved(F.col("_stop"), k)
+        block = lambda odd, x: F.when((a < b) & (odd % 2 == 1), F.struct(k.alias("size"), x.alias("at")))
+        return F.array(block(a, a), block(b, b - 1))
+
+    every = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_steps")), at)), lambda x: x.isNotNull())
+    return clipped.withColumn("_block", F.explode(every)).drop("_first", "_last", "_steps", "_start", "_stop")
+
+
+def _looked_up(targets: DataFrame) -> DataFrame:
+    """(project, target, block): the blocks of every size that hold a target."""
+    known = targets.select("project", "target").distinct()
+    place = (F.col("target") - F.col("_first")).cast("long")
+    found = F.transform(F.sequence(F.lit(0), F.col("_steps")), lambda k: F.struct(k.alias("size"), _halved(place, k).alias("at")))
+    return known.join(_reach(known), "project").select("project", "target", F.explode(found).alias("_block"))
+
+
+def covering(rows: DataFrame, targets: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The rows with each ``target`` of their project inside [lo, hi]; null ends are open.
+
+    An equi-join on aligned blocks: a row has a logarithm of blocks, a target lies in one of each size, and blocks of an
+    interval do not overlap. So each pair is made once, and none that lies outside.
+    """
+    return _blocks(rows, targets, lo, hi).join(_looked_up(targets), ["project", "_block"]).drop("_block")
+
+
+def fact_spans(facts: DataFrame) -> DataFrame:
+    """Candidates of facts with the chapters [lo, hi] in which they are valid and revealed. ``facts``: (project, id, text,
+    valid_from, valid_through, revealed_at, priority); without ``valid_through`` they hold from then on."""
+    known = _sized(facts).where("valid_from is not null and revealed_at is not null")
+    priority = F.lit(FACT) + F.coalesce("priority", F.lit(0))
+    return known.select("project", F.lit("fact").alias("kind"), "id", "tokens", priority.alias("priority"), F.greatest("valid_from", "revealed_at").alias("lo"), F.col("valid_through").alias("hi"))
+
+
+def summary_spans(summaries: DataFrame) -> DataFrame:
+    """Candidates of summaries. ``summaries``: (project, id, layer, text, valid_from, valid_through, priority)."""
+    base = F.create_map(*(F.lit(x) for kv in LAYERS.items() for x in kv))
+    priority = base[F.col("layer")] + F.coalesce("priority", F.lit(0))
+    return _sized(summaries).where("valid_from is not null").select("project", F.lit("summary").alias("kind"), "id", "tokens", priority.alias("priority"), F.col("valid_from").alias("lo"), F.col("valid_through").alias("hi"))
+
+
+def passage_spans(passages: DataFrame) -> DataFrame:
+    """Candidates of passages from their chapter on. ``passages``: (project, id, chapter, text, score)."""
+    priority = F.floor(F.col("score") * 100 + 0.5).cast("int")
+    return _sized(passages).where("chapter is not null").select("project", F.lit("passage").alias("kind"), "id", "tokens", priority.alias("priority"), F.col("chapter").alias("lo"), F.lit(None).cast("int").alias("hi"))
+
+
 def visible_facts(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Facts valid and revealed at a project's targets. ``facts``: (project, id, text, valid_from, valid_through,
-    revealed_at, priority); ``targets``: (project, target)."""
-    joined = _sized(facts).join(targets, "project").where((F.col("valid_from") <= F.col("target")) & (F.col("revealed_at") <= F.col("target")) & (F.col("valid_through").isNull() | (F.col("valid_through") >= F.col("target"))))
-    return joined.withColumn("kind", F.lit("fact")).withColumn("priority", F.lit(FACT) + F.coalesce("priority", F.lit(0))).select(CANDIDATE)
+    """Facts valid and revealed at a project's targets (project, target)."""
+    return covering(fact_spans(facts), targets, "lo", "hi").select(CANDIDATE)
 
 
 def visible_summaries(summaries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Summaries whose interval holds the target. ``summaries``: (project, id, layer, text, valid_from, valid_through,
-    priority); without ``valid_through`` they hold from then on."""
-    joined = _sized(summaries).join(targets, "project").where((F.col("valid_from") <= F.col("target")) & (F.coalesce("valid_through", "target") >= F.col("target")))
-    base = F.create_map(*(F.lit(x) for kv in LAYERS.items() for x in kv))
-    return joined.withColumn("kind", F.lit("summary")).withColumn("priority", base[F.col("layer")] + F.coalesce("priority", F.lit(0))).select(CANDIDATE)
+    """Summaries whose interval holds the target."""
+    return covering(summary_spans(summaries), targets, "lo", "hi").select(CANDIDATE)
 
 
 def visible_passages(passages: DataFrame, targets: DataFrame) -> DataFrame:
-    """Passages up to and including the target. ``passages``: (project, id, chapter, text, score)."""
-    joined = _sized(passages).join(targets, "project").where("chapter <= target")
-    return joined.withColumn("kind", F.lit("passage")).withColumn("priority", F.floor(F.col("score") * 100 + 0.5).cast("int")).select(CANDIDATE)
+    """Passages up to and including the target."""
+    return covering(passage_spans(passages), targets, "lo", "hi").select(CANDIDATE)
 
 
 def draft_passages(drafts: DataFrame, tail: int = 6000) -> DataFrame:
@@ -50,7 +110,7 @@ def draft_passages(drafts: DataFrame, tail: int = 6000) -> DataFrame:
 
 def prior_drafts(passages: DataFrame, targets: DataFrame) -> DataFrame:
     """Each target's earlier drafts (of ``draft_passages``) as candidates, scored by how near they are."""
-    joined = _sized(passages).join(targets, "project").where("number < target")
+    joined = covering(_sized(passages).withColumn("lo", F.col("number") + 1).where("lo is not null").withColumn("hi", F.lit(None).cast("int")), targets, "lo", "hi")
     score = F.col("number") / F.greatest(F.lit(1), F.col("target"))
     return joined.withColumn("kind", F.lit("passage")).withColumn("priority", F.floor(score * 100 + 0.5).cast("int")).select(CANDIDATE)
 
@@ -86,7 +146,8 @@ def summary_union(parts: dict[str, DataFrame]) -> DataFrame:
 
 def visible_memories(memories: DataFrame, targets: DataFrame) -> DataFrame:
     """Accepted memories strictly before the target; ``visible_through`` is their last chapter."""
-    return memories.join(targets, "project").where((F.col("status") == "accepted") & (F.coalesce("visible_through", "ordinal") < F.col("target")))
+    known = memories.where("status = 'accepted'").withColumn("_lo", F.coalesce("visible_through", "ordinal") + 1).withColumn("_hi", F.lit(None).cast("int"))
+    return covering(known.where("_lo is not null"), targets, "_lo", "_hi").drop("_lo", "_hi")
 
 
 #: A chapter's memory as JSON.
@@ -119,9 +180,17 @@ def chapter_memories(rows: DataFrame, answer: str) -> tuple[DataFrame, DataFrame
 
 
 def state_before(states: DataFrame, targets: DataFrame) -> DataFrame:
-    """(project, target, subject, state): each subject's latest state before the target; ties by the greater id."""
-    joined = states.join(targets, "project").where("ordinal < target")
-    return joined.groupBy("project", "target", "subject").agg(F.max_by("state", F.struct("ordinal", "id")).alias("state"))
+    """(project, target, subject, state): each subject's latest state before the target; ties by the greater id.
+
+    A subject's states and the targets behind its first one are sorted together, and the last state is carried forward.
+    """
+    known = states.where("ordinal is not null")
+    first = known.groupBy("project", "subject").agg((F.min("ordinal") + 1).alias("_lo")).withColumn("_hi", F.lit(None).cast("int"))
+    asked = covering(first, targets, "_lo", "_hi").select("project", "subject", "target", F.col("target").alias("_at"), F.lit(0).alias("_given"))
+    given = known.select("project", "subject", F.col("ordinal").alias("_at"), F.lit(1).alias("_given"), "id", F.struct("state").alias("_state"))
+    order = Window.partitionBy("project", "subject").orderBy("_at", "_given", "id").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("_last", F.last("_state", ignorenulls=True).over(order))
+    return both.where("_given = 0").select("project", "target", "subject", F.col("_last.state").alias("state"))
 
 
 def leaks(used: DataFrame, visible: str = "visible", ordinal: str = "ordinal") -> DataFrame:
@@ -136,11 +205,30 @@ def pooled(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _fitting(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """What can be taken at all. Of candidates of one size at most budget / size are; behind one that does not fit no
+    other of its size does, so these are the first ones. Shares of a group are cut first, so that no group is sorted
+    whole."""
+    for share in ([F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(16))], []):
+        order = Window.partitionBy(*keys, "tokens", *share).orderBy(F.desc("priority"), F.col("id").cast("string"), "kind")
+        rows = rows.where(F.col("tokens") <= budget).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth").cast("long") * F.col("tokens") <= budget).drop("_nth")
+    return rows
+
+
+def fitted(spans: DataFrame, targets: DataFrame, budget: int = 18_000) -> DataFrame:
+    """As ``assembled`` of all that ``spans`` (of ``fact_spans``, ``summary_spans`` and ``passage_spans``) shows each
+    target, without making those pairs: a block of chapters keeps only what can fit, and a target meets its blocks."""
+    short = _fitting(_blocks(spans, targets, "lo", "hi").drop("lo", "hi"), ["project", "_block"], budget)
+    return assembled(short.join(_looked_up(targets), ["project", "_block"]).drop("_block"), targets, budget)
+
+
 def assembled(pool: DataFrame, targets: DataFrame, budget: int = 18_000) -> DataFrame:
     """(project, target, used, sources, context_id) of every target, candidates or not: candidates by priority, then id;
     each is taken if it still fits, and smaller ones behind one that does not are tried. ``sources``: array<struct<kind,id,
-    tokens>> in that order; the id is that of project, target, budget and the sources' ids."""
-    rows = pool.groupBy("project", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id").cast("string").alias("id"), "kind", "tokens"))).alias("c"))
+    tokens>> in that order; the id is that of project, target, budget and the sources' ids. What is gathered for a target
+    are at most budget / 1 + budget / 2 + ... candidates."""
+    short = _fitting(pool, ["project", "target"], budget)
+    rows = short.groupBy("project", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id").cast("string").alias("id"), "kind", "tokens"))).alias("c"))
     one = "struct<kind:string,id:string,tokens:int>"
     start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<{one}>").alias("kept"))
 
@@ -175,16 +263,17 @@ def chapter_sources(chapter: DataFrame, plan: DataFrame, canon: DataFrame, draft
     """(project, target, kind, id, text) that a consistency check reads: the chapter, its plan, the canon, what comes
     before and after; blank texts and empty JSON left out. ``chapter``: (project, target, id, text); the others:
     (project, id, text), drafts also number."""
-    same = chapter.select("project", "target")
+    said = lambda df: df.where(~trimmed(F.coalesce("text", F.lit(""))).isin("", "{}", "[]"))
+    same, told = chapter.select("project", "target"), said(drafts).where("number is not null")
+    open_end = F.lit(None).cast("int")
     parts = [
-        chapter.withColumn("kind", F.lit("chapter")),
-        plan.join(same, ["project", "target"]).withColumn("kind", F.lit("plan")),
-        canon.join(same, "project").withColumn("kind", F.lit("canon")),
-        drafts.join(same, "project").where("number < target").withColumn("kind", F.lit("prior")),
-        drafts.join(same, "project").where("number > target").withColumn("kind", F.lit("future")),
+        said(chapter).withColumn("kind", F.lit("chapter")),
+        said(plan).join(same, ["project", "target"]).withColumn("kind", F.lit("plan")),
+        said(canon).join(same, "project").withColumn("kind", F.lit("canon")),
+        covering(told.withColumn("lo", F.col("number") + 1).withColumn("hi", open_end), same, "lo", "hi").withColumn("kind", F.lit("prior")),
+        covering(told.withColumn("lo", open_end).withColumn("hi", F.col("number") - 1), same, "lo", "hi").withColumn("kind", F.lit("future")),
     ]
-    out = pooled(*(p.select("project", "target", "kind", "id", "text") for p in parts))
-    return out.where(~trimmed(F.coalesce("text", F.lit(""))).isin("", "{}", "[]"))
+    return pooled(*(p.select("project", "target", "kind", "id", "text") for p in parts))
 
 
 def latest(rows: DataFrame, keys: list[str], order: str, tie: str, n: int = 1) -> DataFrame:

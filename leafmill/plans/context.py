@@ -48,7 +48,9 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.assembled(pool(spark, sf_dir), targets(chapters(spark, sf_dir)), 60)
+    facts, sums, passages = parts(spark, sf_dir)
+    spans = context.pooled(context.fact_spans(facts), context.summary_spans(sums), context.passage_spans(passages))
+    return context.fitted(spans, targets(chapters(spark, sf_dir)), 60)
 
 
 @query(f"WITH {CH} SELECT project, target, kind, count(*) AS n, sum(priority)::BIGINT AS priority FROM pool GROUP BY ALL")
