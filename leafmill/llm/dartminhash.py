@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -235,18 +236,18 @@ def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, width: int, thr
     return tables.save(both.mapInArrow(_compare(width, threshold), "a long, b long, jaccard double"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", tables: Tables | None = None) -> DataFrame:
-    """(id, class_id, kept) per document: the smallest id of the group that links of ``threshold`` or more reach.
+@dataclass
+class Classes:
+    """``signed``: (id, h, bands) of every row; ``placed``: (h, id, component) of every distinct text with shingles, id
+    being the smallest that has it."""
 
-    Words are runs of bytes other than ASCII white space, with A-Z in lower case; shingles are ``width`` words, or all
-    words of a shorter text. Equal texts always share a class. Null, empty and blank texts have no shingles and equal
-    nothing: each is its own class. Repeated ids give one row, and all texts of an id are in its class; rows with a null
-    id give one row with a null class, kept. An empty table gives none; other columns are not read.
-    ``weighting``: "set" counts a shingle once, "count" signs by how often it occurs; the exact check is on sets.
-    """
-    tables = tables or Tables(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed: DataFrame
+    placed: DataFrame
+
+
+def _classes(docs: DataFrame, tables: Tables, width: int, threshold: float, bands: int, rows: int, weighting: str, join_ids: bool) -> Classes:
+    """``docs``: (id, text). ``join_ids``: whether the texts of one id are held together."""
+    kind = dict(docs.dtypes)["id"]
     signed = tables.save(docs.mapInArrow(_sign(width, bands, rows, weighting), f"id {kind}, h binary, sig binary, bands array<bigint>"), "signed")
     some = signed.where("bands is not null and id is not null")
     # a distinct text is a node; its number is any that no other has and is fixed by writing it
@@ -260,11 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     addressed = docs.where("id is not null").withColumn("h", F.unhex(F.md5("text")))
     texts = tables.save(addressed.join(needed.hint("merge"), ["id", "h"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"]), "texts")
     links = verified(star, texts, tables, width, threshold)
-    # an id with several texts holds them together
-    several = some.select("id", "h").join(some.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("last")).where("one < last").select("id", "one"), "id").where("h <> one").select("h", "one").distinct()
-    node = reps.select("rep", "h")
-    same = tables.save(several.join(node.withColumnRenamed("rep", "a"), "h").join(node.select(F.col("rep").alias("b"), F.col("h").alias("one")), "one").select("a", "b"), "same_id")
-    joined = tables.save(links.select("a", "b").union(same), "joined")
+    joined = links.select("a", "b")
+    if join_ids:
+        joined = joined.union(_same_ids(some, reps, tables))
+    joined = tables.save(joined, "joined")
     found = components(joined, tables)
     groups = components(star, tables)  # all that share bands, whether they link or not
     members = groups.join(found.withColumnRenamed("component", "comp"), "node", "left")
@@ -273,8 +273,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         found = components(joined.union(more), tables)
     placed = tables.save(reps.select("rep", "h", "id").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "id", F.coalesce("component", "rep").alias("component")), "placed")
-    least = placed.groupBy("component").agg(F.min("id").alias("class_id"))
-    classes = tables.save(placed.join(least, "component").select("h", "class_id"), "classes")
-    each = signed.select("id", "h").join(classes, "h", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    return Classes(signed, placed)
+
+
+def _same_ids(some: DataFrame, reps: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) between the texts of an id that has several."""
+    ends = some.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("last")).where("one < last").select("id", "one")
+    several = some.select("id", "h").join(ends, "id").where("h <> one").select("h", "one").distinct()
+    node = reps.select("rep", "h")
+    return tables.save(several.join(node.withColumnRenamed("rep", "a"), "h").join(node.select(F.col("rep").alias("b"), F.col("h").alias("one")), "one").select("a", "b"), "same_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", tables: Tables | None = None) -> DataFrame:
+    """(id, class_id, kept) per document: the smallest id of the group that links of ``threshold`` or more reach.
+
+    Words are runs of bytes other than ASCII white space, with A-Z in lower case; shingles are ``width`` words, or all
+    words of a shorter text. Equal texts always share a class. Null, empty and blank texts have no shingles and equal
+    nothing: each is its own class. Repeated ids give one row, and all texts of an id are in its class; rows with a null
+    id give one row with a null class, kept. An empty table gives none; other columns are not read.
+    ``weighting``: "set" counts a shingle once, "count" signs by how often it occurs; the exact check is on sets.
+    """
+    tables = tables or Tables(docs.sparkSession)
+    found = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tables, width, threshold, bands, rows, weighting, True)
+    least = found.placed.groupBy("component").agg(F.min("id").alias("class_id"))
+    classes = tables.save(found.placed.join(least, "component").select("h", "class_id"), "classes")
+    each = found.signed.select("id", "h").join(classes, "h", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     out = each.groupBy("id").agg(F.min("class_id").alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", tables: Tables | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near copies keeps one, all their columns as they are.
+
+    Texts decide, not ids: of a group the text with the smallest id stays (of several texts of that id the one with the
+    smallest MD5), so an id with two texts that are no near copies keeps both. Rows with the same id and text are one;
+    which of their other columns stay is not defined. Texts without shingles equal nothing, but rows that repeat one with
+    its id go too. Rows with a null id belong to no group and all stay.
+    """
+    tables = tables or Tables(docs.sparkSession)
+    named = docs.where(F.col(id_col).isNotNull())
+    found = _classes(named.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tables, width, threshold, bands, rows, weighting, False)
+    first = found.placed.groupBy("component").agg(F.min(F.struct("id", "h")).alias("x")).select("x.id", "x.h")
+    bare = found.signed.where("bands is null").select("id", "h").distinct()
+    kept = tables.save(first.union(bare).select(F.col("id").alias("_lm_id"), F.col("h").alias("_lm_h")), "kept")
+    marked = named.withColumn("_lm_text", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    stay = marked.join(kept, (F.col(id_col) == F.col("_lm_id")) & (F.col("_lm_text") == F.col("_lm_h")), "left_semi")
+    # only ids that stand in several rows are looked at again
+    often = tables.save(named.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_lm_id")), "repeated")
+    again = F.col(id_col) == F.col("_lm_id")
+    once = stay.join(often, again, "left_anti")
+    one = stay.join(often, again, "left_semi").withColumn("_lm_null", F.col(text_col).isNull()).dropDuplicates([id_col, "_lm_text", "_lm_null"])
+    return once.unionByName(one.drop("_lm_null")).drop("_lm_text").unionByName(docs.where(F.col(id_col).isNull()))

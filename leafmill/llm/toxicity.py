@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 
 from leafmill.llm._words import Words, column_bytes, mix, shingles, slices
 
-#: Bounds of the labelled sample: rows of either label, the smallest by hash of id, and characters of all of either.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 20_000_000
-#: What the toxic dictionary has room for.
-TOXIC_WORDS = 400
+#: Bounds of the labelled sample: rows of either label, the smallest by hash of id, characters of one row and of all of
+#: either label.
+TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS, SAMPLE_CHARS = 3000, 6000, 200_000, 20_000_000
+#: What the toxic dictionary has room for, as the ordinary one.
+TOXIC_BYTES = 112 * 1024
 WINDOW, ORDINARY_BYTES = 80, 112 * 1024
 #: Matches from four bytes on, all candidates followed: what a dictionary knows is found whatever else it holds.
 SEARCH = {"strategy": zstandard.STRATEGY_LAZY2, "window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 6, "min_match": 4, "target_length": 16}
@@ -82,7 +83,11 @@ def toxic_content(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     words share save nothing."""
     roots = tuple(toxic_roots(toxic, ordinary))
     words = Counter(w for t in toxic for w in re.findall(r"\w{4,}", t.lower()) if f"{w} ".startswith(roots)) if roots else Counter()
-    often = sorted(words, key=lambda w: (words[w], w))[-TOXIC_WORDS:]
+    often, room = [], TOXIC_BYTES
+    for w in sorted(words, key=lambda w: (-words[w], w)):
+        if (room := room - len(w.encode()) - 2) < 0:
+            break
+        often.insert(0, w)
     ends = [f"{w} "[max(len(r) for r in roots if f"{w} ".startswith(r)) :] for w in often]
     return "".join(f" {w} " for w in often).encode(), " ".join(ends).encode()
 
@@ -144,9 +149,8 @@ class Model:
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
     pieces = [w for t in ordinary for w in windows(t)]
-    step = max(1, len(pieces) // 100_000)
     try:
-        content = zstandard.train_dictionary(ORDINARY_BYTES, pieces[::step]).as_bytes()
+        content = zstandard.train_dictionary(ORDINARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         content = b"".join(pieces)[-ORDINARY_BYTES:]
     added, control = toxic_content(toxic, ordinary)
@@ -181,8 +185,8 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of labelled rows: of either label those with the smallest hash of their id, at most
-    TOXIC_ROWS and ORDINARY_ROWS of them and SAMPLE_CHARS characters together, whole texts of every length. ``learn_from``:
+    """Fit on a bounded sample of labelled rows: of either label those with the smallest hash of their id among the texts
+    of up to ROW_CHARS characters, at most TOXIC_ROWS and ORDINARY_ROWS of them and SAMPLE_CHARS characters together. ``learn_from``:
     a condition on the id column ``id``. An id labelled twice counts as toxic if one label says so, an id with several
     texts has the least of them; null labels and ids and null and empty texts are left out."""
     known = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(toxic_col) > 0).alias("toxic"))
@@ -190,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "do
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(True, 0) / max(sum(counts.values()), 1)
     some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in (("toxic", TOXIC_ROWS), ("not toxic", ORDINARY_ROWS))]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(f"text <> '' and length(text) <= {ROW_CHARS}")
     rows = texts.join(F.broadcast(some[0].union(some[1])), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))  # over the sample's rows
     got = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("id", "toxic", "text").orderBy("id").collect()
@@ -198,8 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "do
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with ``score`` (0 to 1, higher: likelier toxic) of the whole text added. Null texts count as empty; an
-    existing column of that name is replaced; an empty table stays empty."""
+    """The rows with ``score`` (0 to 1, higher: likelier toxic) of the whole text added. Null texts count as empty; repeated
+    rows give equal scores; an existing column of that name is replaced; an empty table stays empty."""
     docs = docs.drop("score")
     place = docs.columns.index(text_col)
 
