@@ -20,14 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id. Of rows with the same doc_id
-    and text one stays; a null doc_id belongs to no group."""
-    classes = dartminhash.near_duplicates(docs, tables=Tables(spark))
-    kept = docs.join(classes.where("kept and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies stays: the one with the smallest doc_id. Two texts of one doc_id are two
+    documents, each with its own near copies; rows with the same doc_id and text are one; a null doc_id belongs to no
+    group."""
+    return dartminhash.survivors(docs, tables=Tables(spark))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
