@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from leafmill.functions import estimated_tokens, fnv1a, json_object, or_default, squeezed, stable_id, string_fields, trimmed, unfenced
-from leafmill.operators import canon, cleaning, context, governance, infer, outline, review, search, structure, usage
+from leafmill.operators import canon, cleaning, context, governance, infer, outline, review, structure, usage
 from leafmill.sources import exports, files
 from leafmill.sources.packing import archive
 from leafmill.streaming import jobs
@@ -251,15 +251,6 @@ def test_audited_generation_resumes(spark):
     assert sorted((r["input_hash"], r["status"]) for r in audit.collect()) == [("h1", "succeeded"), ("h2", "failed"), ("h3", "failed")]
 
 
-def test_search_needs_all_terms(spark):
-    segs = spark.createDataFrame([(1, "the rain falls"), (2, "rain"), (3, None)], "id int, text string")
-    posts = search.postings(segs, "id", "text")
-    sizes = segs.select("id", F.size(search.tokens(F.col("text"))).alias("size"))
-    queries = spark.createDataFrame([(9, "Rain falls")], "q int, text string")
-    assert [(r["id"], r["rank"]) for r in search.search(posts, sizes, queries, "id", "q").collect()] == [(1, 1)]
-    assert search.search(posts, sizes, queries.limit(0), "id", "q").count() == 0
-
-
 def test_plan_rules(spark):
     plan = '{"volumes":[{"number":1,"title":"v","target_words":10,"chapters":[{"number":1,"title":"c","scenes":[]},{"number":1,"title":" ","scenes":[{"title":"s","characters":[" a","a "],"target_words":0}]}]}]}'
     flat = outline.flattened(spark.createDataFrame([("p", plan)], "project string, payload string"), "project", "payload")
