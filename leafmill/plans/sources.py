@@ -11,6 +11,7 @@ from leafmill.plans._base import query, table
 from leafmill.plans.structure import books, trim
 from leafmill.scratch import Tables
 from leafmill.sources import exports, files
+from leafmill.streaming.library import Library
 
 
 @query("SELECT url AS path, octet_length(encode(html))::BIGINT AS size, sha256(html) AS sha256, CASE WHEN regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) IN ('txt', 'md') THEN 'text' END AS format FROM pages")
@@ -35,11 +36,38 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page packed into an archive of its own and read again by its spine."""
+    """Every page packed into an archive of its own and read again by its spine; tests hold the rules against cases."""
     from leafmill.sources.packing import packed
 
     archives = packed(table(spark, sf_dir, "pages"), "url", "html")
-    return files.epub_chapters(archives).select("path", "position", "href", "title", F.length("text").alias("size"), "issue")
+    return files.epub_chapters(archives).select("path", "position", "ordinal", "href", "title", F.length("text").alias("size"), "issue")
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN chr(65279) ELSE '' END || t) AS sha256, doc_id % 3 AS m, t FROM (SELECT doc_id, '　第1章 a' || chr(10) || coalesce(text, '') AS t FROM documents)),
+one AS (SELECT m = 1 AS wide, t, m, min(doc_id) AS doc_id FROM f GROUP BY ALL),
+bodies AS (SELECT doc_id, m, {trim("t[length('　第1章 a') + 2:]")} AS body FROM one),
+lines AS (SELECT doc_id, {trim('line')} AS line FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM bodies))
+SELECT 'd' || b.doc_id || CASE WHEN b.doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS name, CASE m WHEN 0 THEN 'utf-8-bom' WHEN 1 THEN 'utf-16le' ELSE 'utf-8' END AS encoding, 1 AS chapters, md5(body) AS digest,
+  (SELECT count(*) FROM lines l WHERE l.doc_id = b.doc_id AND line <> '') AS segments FROM bodies b
+""")
+def file_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in three encodings, with an indented heading, imported in two batches of which the second runs
+    twice and repeats every fifth file of the first."""
+    m, n = F.col("doc_id") % 3, F.col("doc_id") % 2
+    text = F.concat(F.lit("　第1章 a\n"), F.coalesce("text", F.lit("")))
+    content = F.when(m == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(m == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.encode(text, "UTF-8"))
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(n == 0, ".txt").otherwise(".md"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), content.alias("content"))
+    # of equal contents the smallest id keeps its name
+    rows = rows.join(rows.groupBy("content").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi").select("path", "content", "doc_id")
+    kept = Library(spark, Tables(spark).path("library"))
+    kept.add(rows.where("doc_id % 4 > 0").drop("doc_id"), "one")
+    for _ in range(2):
+        kept.add(rows.where("doc_id % 4 = 0 or doc_id % 5 = 0").drop("doc_id"), "two")
+    segments = kept.table("segments").groupBy("chapter_id").agg(F.count("*").alias("n"))
+    chapters = kept.table("chapters").join(segments, "chapter_id", "left").groupBy("document_id").agg(F.count("*").cast("int").alias("chapters"), F.max(F.md5("content")).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("segments"))
+    return kept.table("documents").join(chapters, "document_id").select(F.col("path").alias("name"), "encoding", "chapters", "digest", "segments")
 
 
 @query("SELECT source, sha256(text) AS sha256, min(doc_id)::VARCHAR AS path, count(*) AS copies FROM documents GROUP BY ALL")

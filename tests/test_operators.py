@@ -229,10 +229,10 @@ def test_scan_of_files(spark, tmp_path):
 def test_archive_limits(monkeypatch):
     book = archive([("a.xhtml", "<p>x</p>"), ("b.xhtml", "<p>y</p>")])
     monkeypatch.setattr(files, "MAX_ENTRIES", 3)
-    assert files.epub_items(book)[0][4] == "TOO_MANY_ENTRIES"
+    assert files.epub_items(book)[0][-1] == "TOO_MANY_ENTRIES"
     monkeypatch.setattr(files, "MAX_ENTRIES", 100)
     monkeypatch.setattr(files, "MAX_TOTAL", 10)
-    assert files.epub_items(book)[0][4] == "TOO_LARGE"
+    assert files.epub_items(book)[0][-1] == "TOO_LARGE"
 
 
 def test_audited_generation_resumes(spark):
@@ -267,7 +267,7 @@ def test_files(spark):
     assert rows.where("error is not null").count() == 1
     got = {r["path"]: (r["encoding"], r["text"]) for r in files.decoded(rows.where("error is null")).collect()}
     assert got == {"a.txt": ("utf-8-bom", "第一章\n雨"), "b.txt": ("utf-16le", "字"), "c.txt": ("gb18030", "中文")}
-    done = files.import_texts(spark.createDataFrame(raw, "path string, content binary"))
+    done = files.import_files(spark.createDataFrame(raw, "path string, content binary"))
     assert done["documents"].count() == 3 and done["chapters"].count() == 3
 
 
@@ -275,9 +275,9 @@ def test_html_and_epub():
     assert files.html_text("<h1> T <b>x</b></h1><nav>no</nav><p>a&amp;b</p><script>1</script>c") == ("T x", "T x\n\na&b\n\nc")
     assert files.html_text(None) == ("", "")
     items = files.epub_items(archive([("b%20c.xhtml", "<p>x</p>"), ("../up.xhtml", "y")]))
-    assert [i[4] for i in items][:1] == ["UNSAFE_ENTRY"]
-    assert [i[4] for i in files.epub_items(archive([("a.xhtml", "<p>x</p>")]))] == [""]
-    assert files.epub_items(b"not a zip")[0][4] == "CORRUPT_CONTAINER"
+    assert [i[-1] for i in items][:1] == ["UNSAFE_ENTRY"]
+    assert [i[-1] for i in files.epub_items(archive([("a.xhtml", "<p>x</p>")]))] == [""]
+    assert files.epub_items(b"not a zip")[0][-1] == "CORRUPT_CONTAINER"
 
 
 def test_exports_and_bundles(spark, tmp_path):
