@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from leafmill.functions import packed, reasons, short_id, squeezed, trimmed
 from leafmill.operators._fold import folded
+from leafmill.ranks import ranked
+from leafmill.scratch import Tables
 
 #: Moves of a task, fixed values; succeeded and cancelled ones move no more.
 TRANSITIONS = {
@@ -254,20 +256,38 @@ def consistency_issues(issues: DataFrame, sources: DataFrame) -> tuple[DataFrame
 
 #: Listings: what is shown in which order, fixed values: (column, whether the greatest comes first).
 LISTINGS = {
-    "sources": (("updated_at", True), ("id", False)),
+    "sources": (("imported_at", True), ("id", False)),
+    "projects": (("updated_at", True), ("id", False)),
     "trash": (("trashed_at", True), ("id", False)),
     "checkpoints": (("created_at", True), ("id", True)),
+    "candidates": (("created_at", True),),
+    "tasks": (("created_at", True), ("id", True)),
+    "analyses": (("created_at", False), ("id", False)),
+    "drafts": (("updated_at", True), ("chapter_plan_id", False)),
+    "reports": (("created_at", True), ("id", True)),
+    "snapshots": (("created_at", True), ("id", True)),
     "bible": (("kind", False),),
     "versions": (("revision", True),),
+    "chapters": (("ordinal", False),),
 }
 
 
-def listed(rows: DataFrame, project: str, listing: str, last: str = "id") -> DataFrame:
-    """The rows of each project with ``place``, from 1, in a listing's order; ``last`` settles ties."""
+def listed(rows: DataFrame, project: str, listing: str, last: str = "id", tables: Tables | None = None) -> DataFrame:
+    """The rows of each project with ``place``, from 1, in a listing's order; ``last`` settles ties. A project's rows need
+    not fit into one task."""
     order = [F.desc(c) if down else F.asc(c) for c, down in LISTINGS[listing]]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(project).orderBy(*order, F.asc(last))))
+    return ranked(rows, [*order, F.asc(last)], "place", tables or Tables(rows.sparkSession), [project])
 
 
-def by_name(rows: DataFrame, book: str, name: str, locale: str = "zh") -> DataFrame:
-    """The rows with ``place`` in their book by a language's collation, equal names by code point."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy(F.collate(F.col(name), locale), F.col(name))))
+def by_name(rows: DataFrame, book: str, name: str, locale: str = "zh", tables: Tables | None = None) -> DataFrame:
+    """The rows with ``place`` in their book by the collation of one language, equal names by code point. A book's names
+    are dealt by ranges of the collation, so they need not fit into one task."""
+    return ranked(rows, [F.collate(F.col(name), locale), F.col(name)], "place", tables or Tables(rows.sparkSession), [book])
+
+
+def latest_reports(reports: DataFrame, chapter: list[str] | None = None) -> DataFrame:
+    """The newest consistency report of each chapter: the latest created, of those the greatest id."""
+    chapter = chapter or ["project_id", "chapter_plan_id"]
+    columns = [c for c in reports.columns if c not in chapter]
+    newest = reports.groupBy(*chapter).agg(F.max(F.struct("created_at", "id", *(c for c in columns if c not in ("created_at", "id")))).alias("_r"))
+    return newest.select(*(F.col(c) if c in chapter else F.col(f"_r.{c}").alias(c) for c in reports.columns))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import json_object, or_default, reasons, squeezed
 from leafmill.operators import context, review
 from leafmill.plans._base import query, table
+from leafmill.scratch import Tables
 
 STATES = "CASE WHEN event_type = 'signup' THEN 'queued' WHEN event_type = 'view' THEN 'running' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'cancelled' WHEN event_type = 'click' THEN 'paused' WHEN event_type = 'purchase' THEN 'succeeded' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'cancelling' END"
 ERRORS = "CASE WHEN event_type = 'error' AND event_id % 2 = 0 AND event_id % 8 > 0 OR event_type = 'purchase' AND event_id % 11 = 0 THEN 'e' END"
@@ -241,22 +242,50 @@ def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS place FROM orders
+WITH t AS (
+  SELECT o_custkey AS project, o_orderkey AS id, o_orderdate AS made, o_orderstatus AS kind, o_orderkey % 7 AS plan FROM orders
+), p AS (SELECT unnest(['sources', 'trash', 'projects', 'checkpoints', 'tasks', 'reports', 'snapshots', 'candidates', 'analyses', 'drafts', 'bible', 'versions', 'chapters']) AS listing)
+SELECT project, id, listing, CASE
+  WHEN listing IN ('sources', 'trash', 'projects', 'candidates') THEN row_number() OVER (PARTITION BY listing, project ORDER BY made DESC, id)
+  WHEN listing IN ('checkpoints', 'tasks', 'reports', 'snapshots') THEN row_number() OVER (PARTITION BY listing, project ORDER BY made DESC, id DESC)
+  WHEN listing = 'analyses' THEN row_number() OVER (PARTITION BY listing, project ORDER BY made, id)
+  WHEN listing = 'drafts' THEN row_number() OVER (PARTITION BY listing, project ORDER BY made DESC, plan, id)
+  WHEN listing = 'bible' THEN row_number() OVER (PARTITION BY listing, project ORDER BY kind, id)
+  WHEN listing = 'versions' THEN row_number() OVER (PARTITION BY listing, project ORDER BY id % 100 DESC, id)
+  ELSE row_number() OVER (PARTITION BY listing, project ORDER BY id % 100, id) END AS place FROM t, p
 """)
 def project_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every project's sources, the latest first."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
-    return review.listed(rows, "o_custkey", "sources").select("o_custkey", F.col("id").alias("o_orderkey"), "place")
+    """Every listing of every project, in its order."""
+    at, n = F.col("o_orderdate"), F.col("o_orderkey") % 100
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), *(at.alias(c) for c in ("imported_at", "updated_at", "created_at", "trashed_at")), F.col("o_orderstatus").alias("kind"), (F.col("o_orderkey") % 7).alias("chapter_plan_id"), n.alias("revision"), n.alias("ordinal"))
+    tables, out = Tables(spark), None
+    for name in review.LISTINGS:
+        part = review.listed(rows, "o_custkey", name, tables=tables).select(F.col("o_custkey").alias("project"), "id", F.lit(name).alias("listing"), "place")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query()
+@query("""
+WITH names AS (SELECT DISTINCT lang, unnest(regexp_split_to_array(text, '\\s+')) AS name FROM documents WHERE lang IS NOT NULL)
+SELECT lang, name, row_number() OVER (PARTITION BY lang ORDER BY name COLLATE zh, name) AS place FROM names WHERE name <> ''
+""")
 def names_by_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct first words of the documents of each language in that language's order."""
-    word = F.element_at(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), 1)
-    rows = table(spark, sf_dir, "documents").select("lang", word.alias("name")).where("lang is not null and name <> ''").distinct()
+    """All words of the documents of each language, by the collation of Chinese names."""
+    words = F.explode(F.array_distinct(F.split("text", r"\s+", -1)))
+    rows = table(spark, sf_dir, "documents").where("lang is not null").select("lang", words.alias("name")).where("name <> ''").distinct()
     return review.by_name(rows, "lang", "name", "zh")
 
 
+@query("""
+SELECT project_id, chapter_plan_id, created_at, id, status FROM (
+  SELECT o_custkey AS project_id, o_orderkey % 5 AS chapter_plan_id, o_orderdate AS created_at, o_orderkey AS id, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 5 ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1
+""")
+def latest_consistency_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reports on five chapters of each project."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), (F.col("o_orderkey") % 5).alias("chapter_plan_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return review.latest_reports(rows)
+
+
 @query("""
 SELECT source, chapter, status FROM (
   SELECT d.source, d.doc_id AS chapter, CASE WHEN d.doc_id % 3 = 0 THEN 'draft' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM documents d JOIN labels l USING (doc_id)

@@ -1,4 +1,4 @@
-"""Places in one global order, without a task that sees all rows."""
+"""Places in an order, over a whole table or by group, without a task that sees all rows of either."""
 
 from __future__ import annotations
 
@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from leafmill.scratch import Tables
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str, tables: Tables) -> DataFrame:
-    """``df`` with ``rank``: 1 for the first row in ``order``, 2 for the next, and so on over the whole table.
+def ranked(df: DataFrame, order: list[Column], rank: str, tables: Tables, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``rank``: 1 for the first row in ``order``, 2 for the next, and so on; over the whole table, or anew
+    for each value of the columns ``by`` (nulls are one value).
 
-    Rows are dealt by ranges of the order and written, so that a second reading finds the same ranges; a row's rank is
-    its place in its range and the number of rows before that range. What is added up apart is one row a range. Rows
-    that the order holds for equal get ranks of their own.
+    Rows are dealt by ranges of group and order and written, so that a second reading finds the same ranges; a row's rank
+    is its place in its range and the number of its group's rows before that range. What is added up apart is a row for
+    each range that a group goes on in: no more than there are ranges. Rows that the order holds for equal get ranks of
+    their own.
     """
-    held = "leafmill_range"
-    dealt = tables.save(df.repartitionByRange(*order).withColumn(held, F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy(held).count()
-    before = sizes.select(held, (F.sum("count").over(Window.orderBy(held)) - F.col("count")).alias("leafmill_before"))
-    place = F.row_number().over(Window.partitionBy(held).orderBy(*order))
-    return dealt.withColumn(rank, place).join(F.broadcast(before), held).withColumn(rank, F.col(rank).cast("long") + F.col("leafmill_before")).drop(held, "leafmill_before")
+    by, held = by or [], "leafmill_range"
+    if by:
+        dealt = df.repartitionByRange(*by, *order)
+    else:
+        dealt = df.repartitionByRange(*order)
+    dealt = tables.save(dealt.withColumn(held, F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*by).orderBy(held).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, held).count().withColumn("leafmill_before", F.sum("count").over(earlier))
+    # a group that a range begins has none before it
+    going_on = tables.save(sizes.where("leafmill_before is not null").select(*(F.col(c).alias(f"leafmill_{c}") for c in by), F.col(held).alias("leafmill_in"), "leafmill_before"), "offsets")
+    same = F.col(held) == F.col("leafmill_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"leafmill_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, held).orderBy(*order))
+    out = dealt.withColumn(rank, place).join(F.broadcast(going_on), same, "left")
+    return out.withColumn(rank, F.col(rank).cast("long") + F.coalesce("leafmill_before", F.lit(0))).select(*df.columns, rank)
