@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import reasons
 from leafmill.operators.infer import audited
 from leafmill.plans._base import query, table
+from leafmill.operators.structure import joined_digests
 from leafmill.plans.structure import books, trim
 from leafmill.scratch import Tables
 from leafmill.sources import exports, files
@@ -96,6 +97,31 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.join(marked, "source")
 
 
+@query(f"""
+WITH c AS (SELECT source, lang, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents),
+plain AS (SELECT source, source || chr(10) || chr(10) || string_agg('第' || n || '章 ' || lang || chr(10) || chr(10) || {TEXT}, chr(10) || chr(10) ORDER BY n) || chr(10) AS book FROM c GROUP BY source),
+raw AS (SELECT source, string_agg(concat_ws(chr(10), lang, text), chr(10) || chr(10) ORDER BY n) || chr(10) AS book FROM c GROUP BY source),
+marked AS (SELECT source, '# ' || source || chr(10) || chr(10) || string_agg('## 第' || n || '章 ' || lang || chr(10) || chr(10) || {TEXT}, chr(10) || chr(10) ORDER BY n) || chr(10) AS book FROM c GROUP BY source)
+SELECT source, 'plain' AS kind, md5(book) AS digest, octet_length(encode(book))::BIGINT AS bytes FROM plain UNION ALL SELECT source, 'markdown', md5(book), octet_length(encode(book))::BIGINT FROM marked
+UNION ALL SELECT source, 'raw', md5(book), octet_length(encode(book))::BIGINT FROM raw
+""")
+def manuscript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written as text files by many tasks, plain, marked and as raw text, and read again file by file."""
+    tables, out = Tables(spark), None
+    rows = books(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    for kind in ("plain", "markdown", "raw"):
+        path = tables.path(kind)
+        if kind == "raw":
+            exports.write_books(rows.withColumn("both", F.concat_ws("\n", "lang", "text")), "source", "ordinal", "both", path, tables)
+        else:
+            exports.write_manuscripts(rows, "source", "ordinal", "lang", "text", path, tables, kind == "markdown")
+        files_ = exports.read_books(spark, path, "source")
+        size = files_.groupBy("source").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+        part = joined_digests(files_, "source", "file", "text", between="").join(size, "source").select("source", F.lit(kind).alias("kind"), "digest", "bytes")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("""
 SELECT c_custkey || '-r' AS project_id, status, count(*) AS n FROM (SELECT c_custkey, CASE o_orderstatus WHEN 'O' THEN 'paused' ELSE o_orderstatus END AS status FROM customer JOIN orders ON o_custkey = c_custkey) GROUP BY ALL
 """)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import trimmed
 from leafmill.operators.structure import joined_digests
+from leafmill.ranks import ranked, summed
+from leafmill.scratch import Tables
 
 FORMAT, VERSION = "leafmill-bundle", 1
 REQUIRED = ("projects", "chapters")
@@ -38,6 +40,39 @@ def manuscript_digests(chapters: DataFrame, book: str, number: str, title: str,
     return joined_digests(chapters.withColumn("_text", _part(number, title, content, markdown)), book, number, "_text", head=head, tail="\n" if markdown else "")
 
 
+def write_books(parts: DataFrame, book: str, order: str, part: str, path: str, tables: Tables, head: Column | None = None, between: str = "\n\n", tail: str = "\n") -> DataFrame:
+    """Write each book's parts in order as text files under ``path/<book>=...``; concatenated by name they are ``head``,
+    the parts with ``between`` between them, and ``tail``. Null parts are left out.
+
+    Books are dealt by ranges of book and order, so a long one is written by many tasks at once and none holds it whole.
+    Returns the parts' places, (book, order, at, bytes): where a part's own text begins in the concatenated files, from
+    sums within ranges and before them. Spark's text files end rows with a newline, so ``between`` and ``tail`` must.
+    """
+    if not (between.endswith("\n") and tail.endswith("\n")):
+        raise ValueError("rows of text files end with a newline")
+    rows = parts.where(F.col(part).isNotNull()).select(book, F.col(order).alias("_order"), F.col(part).alias("_part"))
+    rows = rows.withColumn("_head", F.lit("") if head is None else head)
+    placed = tables.save(ranked(rows, [F.col("_order").asc(), F.col("_part").asc()], "_nth", tables, [book]), "placed")
+    last = placed.groupBy(book).agg(F.max("_nth").alias("_last"))
+    own = F.concat(F.when(F.col("_nth") == 1, F.col("_head")).otherwise(F.lit("")), "_part", F.when(F.col("_nth") == F.col("_last"), F.lit(tail[:-1])).otherwise(F.lit(between[:-1])))
+    texts = placed.join(last, book).withColumn("value", own)
+    sized = summed(texts, [F.col("_nth").asc()], F.octet_length("value").cast("long") + 1, "_end", tables, [book])
+    sized.repartitionByRange(book, "_nth").sortWithinPartitions(book, "_nth").select(book, "value").write.partitionBy(book).text(path)
+    begin = F.col("_end") - F.octet_length("value") - 1 + F.when(F.col("_nth") == 1, F.octet_length("_head")).otherwise(0)
+    return sized.select(book, F.col("_order").alias(order), begin.cast("long").alias("at"), F.octet_length("_part").cast("long").alias("bytes"))
+
+
+def write_manuscripts(chapters: DataFrame, book: str, number: str, title: str, content: str, path: str, tables: Tables, markdown: bool = False) -> DataFrame:
+    """``manuscripts`` as text files, see ``write_books``; a plain one ends with a newline as files do."""
+    head = F.concat(F.lit("# " if markdown else ""), F.col(book).cast("string"), F.lit("\n\n"))
+    return write_books(chapters.withColumn("_text", _part(number, title, content, markdown)), book, number, "_text", path, tables, head)
+
+
+def read_books(spark: SparkSession, path: str, book: str) -> DataFrame:
+    """(book, file, text) of the files of ``write_books``, to be read in the order of their names."""
+    return spark.read.text(path, wholetext=True).select(book, F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """A folder with JSON lines of each table and a manifest of their schemas."""
     spark = next(iter(tables.values())).sparkSession
