@@ -6,7 +6,9 @@ a text longer than a slice is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,21 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over Arrow batches, whose memory goes back to the machine when a task ends: workers stay for later stages,
+    and what one has used is not there for the others."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def slices(offs: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes."""
     i, n = 0, len(offs) - 1

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm._graph import components
-from leafmill.llm._words import U64, Words, column_bytes, distinct_by_text, mix, shingles, slices
+from leafmill.llm._words import U64, Words, column_bytes, distinct_by_text, mix, released, shingles, slices
 from leafmill.scratch import Tables
 
 BANDS, ROWS, WIDTH, THRESHOLD = 20, 5, 5, 0.8
@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, width: int, thr
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more, computed on whole texts."""
     ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
-    return tables.save(both.mapInArrow(_compare(width, threshold), "a long, b long, jaccard double"), "links")
+    return tables.save(both.mapInArrow(released(_compare(width, threshold)), "a long, b long, jaccard double"), "links")
 
 
 @dataclass
@@ -248,7 +248,7 @@ class Classes:
 def _classes(docs: DataFrame, tables: Tables, width: int, threshold: float, bands: int, rows: int, weighting: str, join_ids: bool) -> Classes:
     """``docs``: (id, text). ``join_ids``: whether the texts of one id are held together."""
     kind = dict(docs.dtypes)["id"]
-    signed = tables.save(docs.mapInArrow(_sign(width, bands, rows, weighting), f"id {kind}, h binary, sig binary, bands array<bigint>"), "signed")
+    signed = tables.save(docs.mapInArrow(released(_sign(width, bands, rows, weighting)), f"id {kind}, h binary, sig binary, bands array<bigint>"), "signed")
     some = signed.where("bands is not null and id is not null")
     # a distinct text is a node; its number is any that no other has and is fixed by writing it
     found = some.groupBy("h").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))

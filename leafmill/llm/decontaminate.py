@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._words import PUNCTUATION, Words, column_bytes, slices
+from leafmill.llm._words import PUNCTUATION, Words, column_bytes, released, slices
 
 FEATURES, RANK, EXTRA, PASSAGE, STRIDE = 8192, 48, 16, 64, 16
 COSINE, SHARE, PARAPHRASE, ANSWER, LEAST_WORDS = 0.38, 0.75, 0.5, 5, 5
@@ -266,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows += [pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64()), pa.array([f[4] for f in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(rows, [id_col, "item_id", "cosine", "lcs_share", "answered"])
 
-        part = narrow.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, item_id long, cosine double, lcs_share double, answered boolean")
+        part = narrow.mapInArrow(released(run), f"{id_col} {dict(docs.dtypes)[id_col]}, item_id long, cosine double, lcs_share double, answered boolean")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -285,5 +285,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs

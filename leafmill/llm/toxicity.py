@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm._words import Words, column_bytes, mix, shingles, slices
+from leafmill.llm._words import Words, column_bytes, mix, released, shingles, slices
 
 #: Bounds of the labelled sample: rows of either label, the smallest by hash of id, characters of one row and of all of
 #: either label.
@@ -208,8 +208,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.scores(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = model.scores(batch.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
