@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import json_object, or_default, reasons, squeezed
 from leafmill.operators import context, review
+from leafmill.operators.trash import Graph
 from leafmill.plans._base import query, table
 from leafmill.scratch import Tables
 
@@ -297,3 +298,33 @@ def analysis_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status")), "chapter")
     incoming = docs.where("chapter % 3 = 0").withColumn("status", F.lit("accepted"))
     return review.analyses_upserted(current, incoming, ["chapter"], ["source"]).select("source", "chapter", "status")
+
+
+@query("""
+WITH gone AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3) OR n_nationkey = 0),
+back AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 3 OR n_nationkey = 0),
+c1 AS (SELECT c_custkey, c_nationkey IN (FROM gone) AS g, c_nationkey IN (FROM back) AS b FROM customer),
+o1 AS (SELECT o_orderkey, g, b FROM orders JOIN c1 ON c_custkey = o_custkey)
+SELECT 'region' AS name, count(*) AS n, count(*) FILTER (r_regionkey NOT IN (1, 3)) AS trashed, count(*) FILTER (r_regionkey <> 3) AS restored FROM region
+UNION ALL SELECT 'nation', count(*), count(*) FILTER (n_nationkey NOT IN (FROM gone)), count(*) FILTER (n_nationkey NOT IN (FROM back)) FROM nation
+UNION ALL SELECT 'supplier', count(*), count(*) FILTER (s_nationkey NOT IN (FROM gone)), count(*) FILTER (s_nationkey NOT IN (FROM back)) FROM supplier
+UNION ALL SELECT 'customer', count(*), count(*) FILTER (NOT g), count(*) FILTER (NOT b) FROM c1
+UNION ALL SELECT 'orders', count(*), count(*) FILTER (NOT g), count(*) FILTER (NOT b) FROM o1
+UNION ALL SELECT 'lineitem', count(*), count(*) FILTER (NOT g), count(*) FILTER (NOT b) FROM lineitem JOIN o1 ON o_orderkey = l_orderkey
+""")
+def trash_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions and a nation go into the trash with all that refers to them, however far; one region comes back."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    data = {n: table(spark, sf_dir, n) for n in ("region", "nation", "supplier", "customer", "orders")} | {"lineitem": table(spark, sf_dir, "lineitem").withColumn("line", line)}
+    graph = Graph({"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "line"}, {"nation": {"n_regionkey": "region"}, "supplier": {"s_nationkey": "nation"}, "customer": {"c_nationkey": "nation"}, "orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders"}})
+    tables, since = Tables(spark), F.lit("2024-01-01").cast("timestamp").alias("since")
+    pick = lambda name, column, where: data[name].where(where).select(F.col(column).alias("id"), since)
+    stones = graph.trashed(data, "region", pick("region", "r_regionkey", "r_regionkey in (1, 3)"), tables).unionByName(graph.trashed(data, "nation", pick("nation", "n_nationkey", "n_nationkey = 0"), tables))
+    first = graph.live(data, stones)
+    second = graph.live(data, graph.restored(stones, "region", pick("region", "r_regionkey", "r_regionkey = 1")))
+    out = None
+    for name, df in data.items():
+        n = lambda x, to: x.agg(F.count("*").alias(to)).withColumn("name", F.lit(name))  # noqa: B023, E731  used at once
+        part = n(df, "n").join(n(first[name], "trashed"), "name").join(n(second[name], "restored"), "name").select("name", "n", "trashed", "restored")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import estimated_tokens, fnv1a, stable_id, visible_length
 from leafmill.operators import cleaning, structure
+from leafmill.operators.revisions import Revisions
 from leafmill.plans._base import query, table
+from leafmill.scratch import Tables
 
 #: In DuckDB: the lines of every document with offsets, and a trim that knows the same white space.
 LINES = r"""
@@ -245,3 +247,31 @@ SELECT lang, count(*) AS n, sum({tokens('text')})::BIGINT AS tokens, sum({visibl
 """)
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(estimated_tokens(F.col("text"))).alias("tokens"), F.sum(visible_length(F.col("text"))).alias("visible"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
+third AS (SELECT conv_id, turn, text || '!' AS text, 3 AS revision FROM t WHERE conv_id % 3 = 0),
+second AS (SELECT conv_id, turn, text, 2 AS revision FROM t WHERE role = 'user'),
+first AS (SELECT conv_id, turn, text, 1 AS revision FROM t),
+docs AS (SELECT conv_id, 1 + bool_or(role = 'user')::INT AS two FROM t GROUP BY 1),
+num AS (SELECT conv_id, two, two + (conv_id % 3 = 0)::INT AS last FROM docs),
+every AS (SELECT * FROM first UNION ALL SELECT * FROM second UNION ALL SELECT conv_id, turn, text, two + 1 FROM third JOIN num USING (conv_id)),
+want AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 AND last > 1 THEN last - 1 ELSE last END AS revision, last + (conv_id % 5 = 0 AND last > 1)::INT AS shown FROM num)
+SELECT w.conv_id, w.shown AS revision, count(e.turn) AS turns, md5(coalesce(string_agg(e.text, '|' ORDER BY e.turn), '')) AS digest, (SELECT count(*) FROM every p WHERE p.conv_id = w.conv_id AND p.revision = CASE WHEN w.shown > w.revision THEN w.revision + 1 ELSE w.shown - 1 END) AS before
+FROM want w LEFT JOIN every e ON e.conv_id = w.conv_id AND e.revision = w.revision GROUP BY ALL
+""")
+def document_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations parsed up to three times under new ids, then every fifth one taken back a revision: the active turns,
+    and how many the revision before has."""
+    turns = table(spark, sf_dir, "conversations").withColumn("name", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    kept = Revisions(spark, Tables(spark).path("documents"), "conv_id", ["name"], ["turns"])
+    for shift, rows in enumerate((turns, turns.where("role = 'user'"), turns.where("conv_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))))):
+        named = rows.withColumn("conv_id", F.col("conv_id") + 1_000_000 * shift)  # another parse has ids of its own
+        kept.put(named.select("conv_id", "name").distinct(), {"turns": named.select("conv_id", "turn", "text")})
+    back = kept.latest().where("conv_id % 5 = 0 and revision > 1").select("conv_id", (F.col("revision") - 1).alias("revision"))
+    kept.restore(back)
+    parts = kept.active("turns").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "|").alias("all"))
+    before = kept.snapshot("turns", 1).groupBy("conv_id").agg(F.count("*").alias("before"))
+    rows = kept.active("documents").select("conv_id", "revision").join(parts, "conv_id", "left").join(before, "conv_id", "left")
+    return rows.select("conv_id", "revision", F.coalesce("turns", F.lit(0)).alias("turns"), F.md5(F.coalesce("all", F.lit(""))).alias("digest"), F.coalesce("before", F.lit(0)).alias("before"))
