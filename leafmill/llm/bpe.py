@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as pb2
 
 from leafmill.llm._pretokens import PretokenEncoder, byte_letters, lettered_list, spread
+from leafmill.llm._words import released
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,7 +64,8 @@ class Codec:
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return of[np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))], sizes
 
-        self.encode = PretokenEncoder(pattern, pieces).ids
+        encoder = PretokenEncoder(pattern, pieces)
+        self.encode, self.forget = encoder.ids, encoder.reset
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes[spread(self.starts[ids], self.sizes[ids])].tobytes()
@@ -83,12 +85,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
         for batch in batches:
-            ids, offs = codec(path, pattern).encode(batch.column(place))
+            ids, offs = own.encode(batch.column(place))
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out_col])
+        own.forget()  # the worker may serve other stages next
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
