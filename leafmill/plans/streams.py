@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.plans._base import query, table
 from leafmill.plans.review import ERRORS, MOVES, STATES
 from leafmill.scratch import Tables
-from leafmill.streaming import jobs
+from leafmill.streaming import jobs, ordered
 
 
 @query("SELECT conv_id AS task, md5(string_agg(text, '' ORDER BY turn)) AS digest, sum(length(text))::BIGINT AS tokens FROM conversations GROUP BY 1")
@@ -45,3 +45,19 @@ def stream_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.opened(spark, f"{sf_dir}/documents.parquet").select("source", F.sha2("text", 256).alias("sha256"))
     return jobs.intake(rows, Tables(spark), ["source", "sha256"])
+
+
+@query(f"""
+WITH RECURSIVE {MOVES.replace("ORDER BY event_id", "ORDER BY ts, event_id")}
+SELECT f.user_id AS task, f.event_id AS seq, f.status, before, legal FROM fold f JOIN events USING (event_id) WHERE rn > 0 AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 16 * 86400000::BIGINT
+""")
+def stream_ordered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task events in batches of a week, of which every third comes a batch late, judged in order of time as far as the
+    watermark has come."""
+    tables, rows = Tables(spark), table(spark, sf_dir, "events")
+    week = F.floor(F.dayofmonth("ts") / 8) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    events = rows.select(F.col("user_id").alias("task"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.expr(STATES).alias("status"), F.expr(ERRORS).alias("error"), week.alias("week"))
+    path = tables.path("late")
+    ordered.late_batches(events, "week", path)
+    stream = spark.readStream.schema(events.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return jobs.drained(ordered.task_states(stream, "16 days"), tables, "ordered")
