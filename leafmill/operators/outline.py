@@ -45,6 +45,15 @@ def plan_violations(volumes: DataFrame, chapters: DataFrame, scenes: DataFrame,
     return out.groupBy(project, "rule").agg(F.count("*").alias("n"))
 
 
+def repeated(rows: DataFrame, scope: list[str], value: str, fold: bool = False) -> DataFrame:
+    """(scope, value, n, reason) of values that a scope has more than once ("repeated") or that are blank ("blank").
+    ``fold``: values are compared trimmed and in lower case, as names of places are; ids of sources are not."""
+    own = F.col(value) if not fold else F.lower(trimmed(F.col(value)))
+    counted = rows.select(*scope, own.alias(value)).groupBy(*scope, value).agg(F.count("*").alias("n"))
+    reason = F.when(trimmed(F.coalesce(value, F.lit(""))) == "", "blank").when(F.col("n") > 1, "repeated")
+    return counted.withColumn("reason", reason).where("reason is not null")
+
+
 def number_gaps(chapters: DataFrame, project: str, number: str) -> DataFrame:
     """(project, number, expected): every chapter whose number is not its place; all after a gap are."""
     place = F.row_number().over(Window.partitionBy(project).orderBy(number))

@@ -57,6 +57,32 @@ def reviewed(decisions: DataFrame, candidate: str, group: list[str], order: str)
     return entries, rows.where("_nth > 1").drop("_nth")
 
 
+def bible_log(log: DataFrame, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """(revisions, refused) of a log (project, kind, candidate, action, value, seq) of what happens to story bible entries.
+
+    Actions are "accepted" and "rejected" for a candidate, of which only the first on each counts, and "saved" by hand,
+    without a candidate. What is accepted or saved is the next revision of its project's entry of that kind, in order of
+    ``seq``; both share one chain. ``revisions``: (entry_id, project, kind, revision, value, seq, source, current);
+    ``refused``: the rows that change nothing, with ``reason``: decided, unknown_action, no_entry (blank project or
+    kind). An entry's log need not fit into one task.
+    """
+    tables = tables or Tables(log.sparkSession)
+    decides = F.col("action").isin("accepted", "rejected")
+    first = log.where(decides & F.col("candidate").isNotNull()).groupBy("candidate").agg(F.min("seq").alias("_first"))
+    reason = (
+        F.when(_blank(F.col("project")) | _blank(F.col("kind")), "no_entry")
+        .when(~F.coalesce(decides | (F.col("action") == "saved"), F.lit(False)) | (decides & F.col("candidate").isNull()), "unknown_action")
+        .when(decides & (F.col("seq") > F.col("_first")), "decided")
+    )
+    marked = tables.save(log.join(first, "candidate", "left").withColumn("reason", reason).select(*log.columns, "reason"), "decisions")
+    made = marked.where("reason is null and action <> 'rejected'").drop("reason")
+    chain = ranked(made, [F.col("seq").asc()], "revision", tables, ["project", "kind"])
+    last = made.groupBy("project", "kind").agg(F.count("*").alias("_last"))
+    entry = F.concat_ws("_", F.lit("bible"), "project", "kind")
+    revisions = chain.join(last, ["project", "kind"]).select(entry.alias("entry_id"), "project", "kind", "revision", "value", "seq", F.when(F.col("action") == "saved", "manual").otherwise("candidate").alias("source"), (F.col("revision") == F.col("_last")).alias("current"))
+    return revisions, marked.where("reason is not null")
+
+
 def latest_status(decisions: DataFrame, keys: list[str], order: str, status: str) -> DataFrame:
     return decisions.groupBy(*keys).agg(F.max_by(status, order).alias(status))
 
@@ -279,6 +305,31 @@ def listed(rows: DataFrame, project: str, listing: str, last: str = "id", tables
     return ranked(rows, [*order, F.asc(last)], "place", tables or Tables(rows.sparkSession), [project])
 
 
+#: A character's fields and what stands for one that is missing, blank or no text, fixed values.
+CHARACTER = {"name": "未命名角色", "role": "次要角色", "age": "青年（25–35）", "build": "匀称", "speech": "自然", "accent": "普通话 · 无明显口音", "goal": "待补充", "secret": "待补充"}
+UNFINISHED = "待完善"
+
+
+def normalized_characters(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, id, CHARACTER's fields, personality) of every item of the JSON arrays in ``payload``, what is no object too:
+    fields that are no text or blank get their default, texts stay as they are; ``personality`` keeps its texts that are
+    not blank, or says that it is unfinished; an id that is no number is the item's place, from 1. What is no array has
+    no items."""
+    items = rows.select(key, F.posexplode(F.from_json(payload, "array<string>")).alias("_n", "_item"))
+    v = F.when(trimmed(F.col("_item")).startswith("{"), F.try_parse_json("_item"))
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit(""))
+    part = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    items = items.withColumn("_v", v)
+    text = lambda name: F.when(kind(part(name)) == "STRING", F.try_variant_get("_v", f"$.{name}", "string"))
+    own = [F.when(~_blank(text(name)), text(name)).otherwise(F.lit(default)).alias(name) for name, default in CHARACTER.items()]
+    number = F.when(kind(part("id")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("_v", "$.id", "double"))
+    listed_ = F.when(kind(part("personality")).startswith("ARRAY"), F.try_variant_get("_v", "$.personality", "array<variant>"))
+    texts = F.transform(F.filter(listed_, lambda x: kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    kept = F.filter(texts, lambda x: trimmed(x) != "")
+    personality = F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(F.array(F.lit(UNFINISHED)))
+    return items.select(key, F.coalesce(number, F.col("_n") + 1.0).alias("id"), *own, personality.alias("personality"))
+
+
 def by_name(rows: DataFrame, book: str, name: str, locale: str = "zh", tables: Tables | None = None) -> DataFrame:
     """The rows with ``place`` in their book by the collation of one language, equal names by code point. A book's names
     are dealt by ranges of the collation, so they need not fit into one task."""

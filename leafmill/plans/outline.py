@@ -89,3 +89,18 @@ def plan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("chapters"), F.sum("n").alias("scenes"))
     rows = table(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("volumes"), F.sum("chapters").alias("chapters"), F.sum("scenes").alias("scenes"))
+
+
+@query("""
+WITH p AS (SELECT p_brand AS project, CASE WHEN p_partkey % 13 = 0 THEN '　' WHEN p_partkey % 2 = 0 THEN ' ' || upper(p_type) || chr(160) ELSE p_type END AS name FROM part), n AS (SELECT project, lower(CASE WHEN name = '　' THEN '' ELSE trim(replace(name, chr(160), ' ')) END) AS name, count(*) AS n FROM p GROUP BY ALL)
+SELECT 'place' AS kind, project, name, n, CASE WHEN name = '' THEN 'blank' ELSE 'repeated' END AS reason FROM n WHERE name = '' OR n > 1
+UNION ALL SELECT 'source', l_orderkey::VARCHAR, l_suppkey::VARCHAR, count(*), 'repeated' FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1
+""")
+def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of one name in a project, in any case and with any space around it, and sources that a check lists twice."""
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.when(n % 13 == 0, "　").when(n % 2 == 0, F.concat(F.lit(" "), F.upper("p_type"), F.lit("\u00a0"))).otherwise(F.col("p_type"))
+    places = outline.repeated(part.select(F.col("p_brand").alias("project"), name.alias("name")), ["project"], "name", fold=True)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("project"), F.col("l_suppkey").cast("string").alias("name"))
+    tagged = lambda df, kind: df.select(F.lit(kind).alias("kind"), "project", "name", "n", "reason")
+    return tagged(places, "place").unionByName(tagged(outline.repeated(lines, ["project"], "name"), "source"))

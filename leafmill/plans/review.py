@@ -328,3 +328,37 @@ def trash_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = n(df, "n").join(n(first[name], "trashed"), "name").join(n(second[name], "restored"), "name").select("name", "n", "trashed", "restored")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("""
+WITH l AS (SELECT user_id AS project, event_type AS kind, event_id % 4000 AS candidate, CASE WHEN event_id % 7 = 0 THEN 'saved' WHEN value > 50 THEN 'accepted' ELSE 'rejected' END AS action, round(value, 6) AS value, event_id AS seq FROM events),
+first AS (SELECT candidate, min(seq) AS first FROM l WHERE action <> 'saved' GROUP BY 1),
+good AS (SELECT l.* FROM l LEFT JOIN first USING (candidate) WHERE action = 'saved' OR action = 'accepted' AND seq = first),
+chain AS (SELECT *, row_number() OVER (PARTITION BY project, kind ORDER BY seq) AS revision, count(*) OVER (PARTITION BY project, kind) AS last FROM good)
+SELECT 'bible_' || project || '_' || kind AS entry_id, revision, value, seq, CASE action WHEN 'saved' THEN 'manual' ELSE 'candidate' END AS source, revision = last AS current FROM chain
+""")
+def bible_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each user's bible through accepted candidates and saves by hand, in one chain."""
+    action = F.when(F.col("event_id") % 7 == 0, "saved").when(F.col("value") > 50, "accepted").otherwise("rejected")
+    candidate = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 4000)
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("project"), F.col("event_type").alias("kind"), candidate.alias("candidate"), action.alias("action"), F.round("value", 6).alias("value"), F.col("event_id").alias("seq"))
+    revisions, _ = review.bible_log(log, Tables(spark))
+    return revisions.drop("project", "kind")
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang, source FROM documents)
+SELECT doc_id, 7.0::DOUBLE AS id, CASE WHEN doc_id % 2 = 0 THEN '未命名角色' ELSE ' ' || source END AS name, CASE WHEN doc_id % 3 = 0 THEN '次要角色' ELSE lang END AS role, '青年（25–35）' AS age, CASE WHEN doc_id % 3 = 1 THEN '待完善' ELSE lang || '|' || source END AS personality, '待补充' AS goal FROM d
+UNION ALL SELECT doc_id, 2.0, '未命名角色', '次要角色', '青年（25–35）', '待完善', '待补充' FROM d
+""")
+def normalized_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two characters a document as a model may answer them: fields of the wrong kind, blank or missing, and no object."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    name = F.when(n % 2 == 0, F.lit('"　"')).otherwise(text(F.concat(F.lit(" "), "source")))
+    role = F.when(n % 3 == 0, F.lit("5")).otherwise(text(F.col("lang")))
+    traits = F.when(n % 3 == 1, F.lit('[1, " ", null]')).otherwise(F.concat(F.lit("["), text(F.col("lang")), F.lit(', 3, "", '), text(F.col("source")), F.lit("]")))
+    item = F.concat(F.lit('{"id": 7, "name": '), name, F.lit(', "role": '), role, F.lit(', "personality": '), traits, F.lit(', "goal": null}'))
+    rows = d.select("doc_id", F.concat(F.lit("["), item, F.lit(', "none"]')).alias("payload"))
+    found = review.normalized_characters(rows, "doc_id", "payload")
+    return found.select("doc_id", "id", "name", "role", "age", F.array_join("personality", "|").alias("personality"), "goal")
