@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.ranks import ranked
 from leafmill.scratch import Tables
 
 #: What separates the terms of a changed value, a fixed value; white space as everywhere.
@@ -126,21 +127,27 @@ def mentions(items: DataFrame, terms: DataFrame, scope: str, key: str, haystack:
     """
     tables = tables or Tables(items.sparkSession)
     cut = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(haystack, F.lit(""))), SEPARATORS), lambda t: F.length(t) >= 2))
-    stretches = items.join(terms.select(scope).distinct(), scope, "left_semi").select(scope, key, F.explode(cut).alias("stretch"))
+    pieces = tables.save(items.join(terms.select(scope).distinct(), scope, "left_semi").select(scope, key, cut.alias("_cut")), "pieces")
+    stretches = pieces.select(scope, key, F.explode("_cut").alias("stretch"))
     known = tables.save(stretches.select(scope, "stretch").distinct().withColumn("_id", F.monotonically_increasing_id()), "stretches")
+    # terms are numbers from here on, in order of their places
+    named = tables.save(ranked(terms.select(scope, "term", "place"), [F.col("place").asc(), F.col("term").asc()], "_no", tables, [scope]), "terms")
     # any gram of a term would do; of very long terms the first ones are looked at
     own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term") - GRAM + 1, F.lit(WINDOW)))), lambda i: F.substring("term", i, F.lit(GRAM)))
-    parts = terms.select(scope, "term", "place", F.array_distinct(own).alias("_own"))
-    parts = parts.select(scope, "term", "place", F.size("_own").alias("_n"), F.explode("_own").alias("gram"))
+    parts = named.select(scope, "term", "_no", F.array_distinct(own).alias("_own"))
+    parts = parts.select(scope, "term", "_no", F.size("_own").alias("_n"), F.explode("_own").alias("gram"))
     seen = _grams(known, [scope, "_id"], "stretch").join(parts.select(scope, "gram").distinct(), [scope, "gram"], "left_semi")
     seen = tables.save(seen, "grams")
-    counted = parts.join(seen.groupBy(scope, "gram").count(), [scope, "gram"]).groupBy(scope, "term", "place", "_n")
+    counted = parts.join(seen.groupBy(scope, "gram").count(), [scope, "gram"]).groupBy(scope, "term", "_no", "_n")
     rarest = counted.agg(F.count("*").alias("_has"), F.min(F.struct("count", "gram"))["gram"].alias("gram")).where("_has = _n")
-    near = seen.join(rarest.select(scope, "gram", "term", "place"), [scope, "gram"]).drop(scope, "gram")
-    held = known.join(near, "_id").where(F.contains("stretch", F.col("term"))).select(scope, "stretch", "term", "place").distinct()
-    found = stretches.join(held, [scope, "stretch"]).groupBy(scope, key).agg(F.array_sort(F.collect_set(F.struct("place", "term"))).alias("_found"))
-    names = F.transform(F.slice("_found", 1, first), lambda x: x["term"])
-    return found.select(scope, key, names.alias("terms"), F.size("_found").cast("long").alias("n_terms"), F.concat(F.lit(MENTIONS), F.array_join(names, BETWEEN)).alias("reason"))
+    near = seen.join(rarest.select(scope, "gram", "_no", F.when(F.length("term") > GRAM, F.col("term")).alias("_whole")), [scope, "gram"]).drop(scope, "gram")
+    sure = known.join(near, "_id").where("_whole is null or contains(stretch, _whole)")
+    held = sure.groupBy(scope, "stretch").agg(F.collect_set("_no").alias("_nos"))
+    each = stretches.join(held, [scope, "stretch"]).groupBy(scope, key).agg(F.collect_list("_nos").alias("_nos"))
+    found = tables.save(each.select(scope, key, F.sort_array(F.array_distinct(F.flatten("_nos"))).alias("_nos")).select(scope, key, F.size("_nos").cast("long").alias("n_terms"), F.slice("_nos", 1, first).alias("_first")), "found")
+    told = found.select(scope, key, F.explode("_first").alias("_no")).join(named.select(scope, "_no", "term"), [scope, "_no"])
+    names = told.groupBy(scope, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "term"))), lambda x: x["term"]).alias("terms"))  # a few an item
+    return found.join(names, [scope, key]).select(scope, key, "terms", "n_terms", F.concat(F.lit(MENTIONS), F.array_join("terms", BETWEEN)).alias("reason"))
 
 
 def parent_impact(children: DataFrame, direct: DataFrame, parent: str) -> DataFrame:
