@@ -35,6 +35,7 @@ def subwords(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
     size = np.diff(offs)
+    keep[(offs[:-1] - offs[0])[size > 0]] = True  # a text's first mark stays, whatever the text before it ends with
     text = np.repeat(np.arange(len(size)), size)[keep]
     b = raw[keep].astype(np.uint32)
     if len(b) < 3:
@@ -166,7 +167,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     """The rows with lang_pred, score (its calibrated probability) and rejected added, from the whole text.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is every text without a model. A
-    rejected prediction keeps its language. Existing columns of those names are replaced; an empty table stays empty.
+    rejected prediction keeps its language; of equally likely languages the first in order of names counts. Repeated rows
+    come out equal. Existing columns of those names are replaced; an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     place = docs.columns.index(text_col)
