@@ -124,17 +124,22 @@ def manuscript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey || '-r' AS project_id, status, count(*) AS n FROM (SELECT c_custkey, CASE o_orderstatus WHEN 'O' THEN 'paused' ELSE o_orderstatus END AS status FROM customer JOIN orders ON o_custkey = c_custkey) GROUP BY ALL
+UNION ALL SELECT o_custkey || '-r', 'revision ' || rn, sum(l_linenumber)::BIGINT FROM (SELECT o_custkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS rn FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey) GROUP BY 1, 2
 """)
 def bundle_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects written as a bundle, read again and restored under new ids."""
+    """Projects written as a bundle, read again and restored under new ids: running tasks pause, versions are replayed."""
     projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
     orders = table(spark, sf_dir, "orders").join(projects, F.col("o_custkey") == F.col("project_id"), "left_semi")
     tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise(F.col("o_orderstatus")).alias("status"))
     chapters = orders.select(F.col("o_orderkey").alias("chapter_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("title"))
+    # versions with gaps in their revisions, the last line first
+    versions = table(spark, sf_dir, "lineitem").join(chapters, F.col("l_orderkey") == F.col("chapter_id"), "left_semi").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("version_id"), F.col("l_orderkey").alias("chapter_id"), (100 - 3 * F.col("l_linenumber")).alias("revision"), F.col("l_linenumber").alias("line"))
     path = Tables(spark).path("bundle")
-    exports.write_bundle({"projects": projects, "chapters": chapters, "task_runs": tasks}, path)
+    exports.write_bundle({"projects": projects, "chapters": chapters, "versions": versions, "task_runs": tasks}, path)
     back = exports.restored(exports.read_bundle(spark, path), "-r")
-    return back["task_runs"].groupBy("project_id", "status").agg(F.count("*").alias("n"))
+    replayed = back["versions"].join(back["chapters"].select("chapter_id", "project_id"), "chapter_id")
+    replayed = replayed.groupBy("project_id", F.concat(F.lit("revision "), "revision").alias("status")).agg(F.sum("line").cast("long").alias("n"))
+    return back["task_runs"].groupBy("project_id", "status").agg(F.count("*").alias("n")).unionByName(replayed)
 
 
 @query("""
