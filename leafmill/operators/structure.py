@@ -172,10 +172,11 @@ def rebuilt(edited: DataFrame, book: str = "book") -> dict[str, DataFrame]:
     return {"chapters": edited, "segments": named, "issues": snapshot_issues(edited, book, "chapter_id")}
 
 
-def snapshot_violations(chapters_: DataFrame, segments_: DataFrame, doc: str, chapter: str, hashes: DataFrame | None = None) -> DataFrame:
+def snapshot_violations(chapters_: DataFrame, segments_: DataFrame, doc: str, chapter: str, hashes: DataFrame | None = None, limits: tuple[int, int, int] | None = (MAX_CHAPTERS, MAX_SEGMENTS, MAX_CHARACTERS)) -> DataFrame:
     """(doc, rule, n): what keeps a parse snapshot from being accepted. ``chapters_``: (doc, chapter, ordinal, title,
     content); ``segments_``: (chapter, ordinal), also segment_id and content if they are to be checked; ``hashes``: (doc,
-    sha256, stored), the hash of a snapshot's document and the one that is stored."""
+    sha256, stored), the hash of a snapshot's document and the one that is stored; ``limits``: chapters, segments and
+    characters beyond which a snapshot is too large, None for snapshots of any size."""
     numbered = chapters_.select(doc, chapter, "ordinal", "title").withColumn("rn", F.row_number().over(Window.partitionBy(doc).orderBy("ordinal")) - 1).withColumn("same", F.count("*").over(Window.partitionBy(chapter)))
     rules = reasons((F.col("rn") != F.col("ordinal"), "chapter_ordinal"), (F.col("same") > 1, "chapter_id"), (trimmed(F.coalesce("title", F.lit(""))) == "", "blank_title"))
     broken = numbered.select(doc, F.explode(rules).alias("rule"))
@@ -188,9 +189,10 @@ def snapshot_violations(chapters_: DataFrame, segments_: DataFrame, doc: str, ch
         found.append(own.where(trimmed(F.coalesce("content", F.lit(""))) == "").select(doc, F.lit("blank_segment").alias("rule")))
     if "segment_id" in segments_.columns:
         found.append(own.groupBy(doc, "segment_id").agg(F.count("*").alias("n")).where("n > 1").select(doc, F.lit("segment_id").alias("rule")))
-    sizes = chapters_.groupBy(doc).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("c")).where((F.col("n") > MAX_CHAPTERS) | (F.col("c") > MAX_CHARACTERS)).select(doc)
-    many = own.groupBy(doc).agg(F.count("*").alias("n")).where(F.col("n") > MAX_SEGMENTS).select(doc)
-    found.append(sizes.union(many).distinct().select(doc, F.lit("too_large").alias("rule")))
+    if limits is not None:
+        sizes = chapters_.groupBy(doc).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("c")).where((F.col("n") > limits[0]) | (F.col("c") > limits[2])).select(doc)
+        many = own.groupBy(doc).agg(F.count("*").alias("n")).where(F.col("n") > limits[1]).select(doc)
+        found.append(sizes.union(many).distinct().select(doc, F.lit("too_large").alias("rule")))
     if hashes is not None:
         found.append(hashes.where(~F.col("sha256").eqNullSafe(F.col("stored"))).select(doc, F.lit("hash").alias("rule")))
     return reduce(DataFrame.unionByName, found).groupBy(doc, "rule").agg(F.count("*").alias("n"))

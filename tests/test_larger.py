@@ -2,6 +2,7 @@
 
 import duckdb
 
+from leafmill.operators import structure
 from leafmill.plans import registry
 
 
@@ -24,3 +25,17 @@ def test_upper_case_of_letters_without_one_for_one(spark, tmp_path):
     rows = [(n * 3 + 1, t, "de", "src0", 1) for n, t in enumerate(texts)]
     got, wanted = both(spark, tmp_path, "batch_generation", documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert got == wanted and len(got) == len(texts)
+
+
+def test_gate_of_a_source_with_more_chapters_than_a_snapshot_may_have(spark, tmp_path):
+    rows = [(n, "x" if n % 2 else None, "de", "src3" if n < 40 else "src0", 1) for n in range(structure.MAX_CHAPTERS + 100)]
+    got, wanted = both(spark, tmp_path, "snapshot_gate", documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert got == wanted and got
+
+
+def test_limits_of_a_snapshot(spark):
+    chapters = spark.createDataFrame([("a", 1, 0, "t", "xx"), ("a", 2, 1, "t", "x"), ("b", 3, 0, "t", "x")], "doc string, chapter long, ordinal int, title string, content string")
+    segments = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "chapter long, ordinal int")
+    too_large = lambda **how: {r["doc"] for r in structure.snapshot_violations(chapters, segments, "doc", "chapter", **how).where("rule = 'too_large'").collect()}
+    assert too_large() == set() == too_large(limits=None)
+    assert {"a"} == too_large(limits=(1, 9, 9)) == too_large(limits=(9, 1, 9)) == too_large(limits=(9, 9, 2))
