@@ -1,8 +1,12 @@
 """Queries against their SQL on tables of rows that the smallest tables do not have."""
 
+import random
+
 import duckdb
+import pytest
+from test_search import best, new
 
-from leafmill.operators import structure
+from leafmill.operators import search, structure
 from leafmill.plans import registry
 
 
@@ -39,3 +43,31 @@ def test_limits_of_a_snapshot(spark):
     too_large = lambda **how: {r["doc"] for r in structure.snapshot_violations(chapters, segments, "doc", "chapter", **how).where("rule = 'too_large'").collect()}
     assert too_large() == set() == too_large(limits=None)
     assert {"a"} == too_large(limits=(1, 9, 9)) == too_large(limits=(9, 1, 9)) == too_large(limits=(9, 9, 2))
+
+
+@pytest.mark.parametrize("rare", [0, 3, 1000])
+def test_rare_tokens_and_blocks_find_the_same(spark, monkeypatch, rare):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "RARE", rare)
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"w{int(rng.random() ** 2 * 30)}" for _ in range(n))
+    docs = {n: (text(rng.randint(0, 12)), rng.choice("ab")) for n in range(120)}
+    asked = [(n, text(rng.randint(1, 3)), rng.choice(["a", None])) for n in range(40)] + [(50, "w1 unknown", None)]
+    index = new(spark)
+    index.put(spark.createDataFrame([(k, *v) for k, v in docs.items()], "id int, text string, owner string"), "text", "owner")
+    index.put(spark.createDataFrame([(3, "w1 w2 w2 w29", "a"), (200, "w1 w0", "b")], "id int, text string, owner string"), "text", "owner")
+    docs |= {3: ("w1 w2 w2 w29", "a"), 200: ("w1 w0", "b")}
+    got = index.search(spark.createDataFrame(asked, "q int, text string, whose string"), "q", 4, owner="whose").collect()
+    assert {(r["q"], r["id"], r["rank"]) for r in got} == best(docs, asked, 4) and len(got) > 20
+
+
+def test_postings_are_not_dealt_out_one_by_one(spark):
+    """Writing blocks deals out documents, once."""
+    index = new(spark)
+    made = spark.createDataFrame([(1, "a", 2, [("x", 1), ("y", 1)])], f"id int, owner string, size int, terms {search._TERMS}")
+    plans = []
+    monkey = index.store.write
+    index.store.write = lambda name, df, note=None: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), monkey(name, df, note))[1]
+    index._written(made, 1)
+    plan = dict(plans)["blocks"]
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
