@@ -13,8 +13,8 @@ CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
 def trimmed(x: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+$", "")
+    """Without white space at either end; nothing between them is looked at for blanks."""
+    return F.trim(x, F.lit(SPACES))
 
 
 def squeezed(x: Column) -> Column:

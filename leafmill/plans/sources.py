@@ -108,7 +108,8 @@ UNION ALL SELECT source, 'raw', md5(book), octet_length(encode(book))::BIGINT FR
 def manuscript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written as text files by many tasks, plain, marked and as raw text, and read again file by file."""
     tables, out = Tables(spark), None
-    rows = books(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    rows = exports.numbered(exports.shelved(docs, "source", ["doc_id"], tables), "source", "ordinal", tables)  # dealt once for all
     for kind in ("plain", "markdown", "raw"):
         path = tables.path(kind)
         if kind == "raw":

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import trimmed
 from leafmill.operators.structure import joined_digests
-from leafmill.ranks import ranked, summed
 from leafmill.scratch import Tables
 
 FORMAT, VERSION = "leafmill-bundle", 1
 REQUIRED = ("projects", "chapters")
+#: The folders of a book's files, named in their order.
+PIECE = "leafmill_piece"
 
 
 def selected(plan: DataFrame, drafts: DataFrame, keys: list[str], content: str) -> DataFrame:
@@ -40,26 +41,55 @@ def manuscript_digests(chapters: DataFrame, book: str, number: str, title: str,
     return joined_digests(chapters.withColumn("_text", _part(number, title, content, markdown)), book, number, "_text", head=head, tail="\n" if markdown else "")
 
 
+def shelved(rows: DataFrame, book: str, order: list[str], tables: Tables) -> DataFrame:
+    """The rows with ``leafmill_at``, which grows with book and order, and the block of their file. They are dealt by
+    ranges of book and order and written in that order, so a long book lies in many ranges; ``write_books`` takes such
+    rows as they lie, any number of times."""
+    dealt = rows.repartitionByRange(book, *order).sortWithinPartitions(book, *order).withColumn("leafmill_at", F.monotonically_increasing_id())
+    return tables.save(dealt, "shelf").select("*", F.col("_metadata.file_block_start").alias("leafmill_block"))
+
+
+def numbered(shelf: DataFrame, book: str, out: str, tables: Tables) -> DataFrame:
+    """The rows of ``shelved`` with ``out``, their number in the book from 0 on. A row's place in its range is known, so
+    only the counts of a range's books are joined, one row for each book and range."""
+    held = F.call_function("shiftright", F.col("leafmill_at"), F.lit(33))
+    sizes = shelf.groupBy(F.col(book).alias("_book"), held.alias("_range")).agg(F.min("leafmill_at").alias("_begin"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_book").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = tables.save(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "begins")
+    here = shelf.join(F.broadcast(begins), F.col(book).eqNullSafe(F.col("_book")) & (held == F.col("_range")))
+    return here.withColumn(out, (F.col("leafmill_at") - F.col("_begin") + F.col("_before")).cast("long")).drop("_book", "_range", "_begin", "_before")
+
+
 def write_books(parts: DataFrame, book: str, order: str, part: str, path: str, tables: Tables, head: Column | None = None, between: str = "\n\n", tail: str = "\n") -> DataFrame:
-    """Write each book's parts in order as text files under ``path/<book>=...``; concatenated by name they are ``head``,
+    """Write each book's parts in order as text files under ``path/<book>=...``; concatenated by path they are ``head``,
     the parts with ``between`` between them, and ``tail``. Null parts are left out.
 
     Books are dealt by ranges of book and order, so a long one is written by many tasks at once and none holds it whole.
+    Rows of ``shelved`` are not dealt again: each task writes the stretches that it reads, into folders that are named in
+    their order. What is joined to the texts is a row for each book.
     Returns the parts' places, (book, order, at, bytes): where a part's own text begins in the concatenated files, from
     sums within ranges and before them. Spark's text files end rows with a newline, so ``between`` and ``tail`` must.
     """
     if not (between.endswith("\n") and tail.endswith("\n")):
         raise ValueError("rows of text files end with a newline")
-    rows = parts.where(F.col(part).isNotNull()).select(book, F.col(order).alias("_order"), F.col(part).alias("_part"))
-    rows = rows.withColumn("_head", F.lit("") if head is None else head)
-    placed = tables.save(ranked(rows, [F.col("_order").asc(), F.col("_part").asc()], "_nth", tables, [book]), "placed")
-    last = placed.groupBy(book).agg(F.max("_nth").alias("_last"))
-    own = F.concat(F.when(F.col("_nth") == 1, F.col("_head")).otherwise(F.lit("")), "_part", F.when(F.col("_nth") == F.col("_last"), F.lit(tail[:-1])).otherwise(F.lit(between[:-1])))
-    texts = placed.join(last, book).withColumn("value", own)
-    sized = summed(texts, [F.col("_nth").asc()], F.octet_length("value").cast("long") + 1, "_end", tables, [book])
-    sized.repartitionByRange(book, "_nth").sortWithinPartitions(book, "_nth").select(book, "value").write.partitionBy(book).text(path)
-    begin = F.col("_end") - F.octet_length("value") - 1 + F.when(F.col("_nth") == 1, F.octet_length("_head")).otherwise(0)
-    return sized.select(book, F.col("_order").alias(order), begin.cast("long").alias("at"), F.octet_length("_part").cast("long").alias("bytes"))
+    lies = [c for c in ("leafmill_at", "leafmill_block") if c in parts.columns]
+    shelf = parts.where(F.col(part).isNotNull()).select(book, F.col(order).alias("_order"), F.col(part).alias("_part"), (F.lit("") if head is None else head).alias("_head"), *lies)
+    if not lies:
+        shelf = shelved(shelf, book, ["_order", "_part"], tables)
+    ends = tables.save(shelf.groupBy(F.col(book).alias("_book")).agg(F.min("leafmill_at").alias("_first"), F.max("leafmill_at").alias("_last")), "ends")
+    texts = shelf.join(F.broadcast(ends), F.col(book).eqNullSafe(F.col("_book"))).drop("_book")
+    own = F.concat(F.when(F.col("leafmill_at") == F.col("_first"), F.col("_head")).otherwise(F.lit("")), "_part", F.when(F.col("leafmill_at") == F.col("_last"), F.lit(tail[:-1])).otherwise(F.lit(between[:-1])))
+    # a long range may be read by several tasks, each from another block on
+    held = F.call_function("shiftright", F.col("leafmill_at"), F.lit(33))
+    piece = F.concat_ws("-", F.lpad(held.cast("string"), 10, "0"), F.lpad(F.col("leafmill_block").cast("string"), 14, "0"))
+    texts.select(book, piece.alias(PIECE), "leafmill_at", own.alias("value")).sortWithinPartitions(book, PIECE, "leafmill_at").drop("leafmill_at").write.partitionBy(book, PIECE).text(path)
+    sized = texts.select(book, "_order", "leafmill_at", held.alias("_range"), F.when(F.col("leafmill_at") == F.col("_first"), F.octet_length("_head")).otherwise(0).alias("_lead"), F.octet_length("_part").cast("long").alias("_bytes"), (F.octet_length(own).cast("long") + 1).alias("_size"))
+    # nothing of this is made unless the places are read
+    earlier = Window.partitionBy("_book").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    before = sized.groupBy(F.col(book).alias("_book"), F.col("_range").alias("_in")).agg(F.sum("_size").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    upto = Window.partitionBy(book, "_range").orderBy("leafmill_at").rowsBetween(Window.unboundedPreceding, 0)
+    sized = sized.withColumn("_end", F.sum("_size").over(upto)).join(before, F.col(book).eqNullSafe(F.col("_book")) & (F.col("_range") == F.col("_in")))
+    return sized.select(book, F.col("_order").alias(order), (F.col("_before") + F.col("_end") - F.col("_size") + F.col("_lead")).cast("long").alias("at"), F.col("_bytes").alias("bytes"))
 
 
 def write_manuscripts(chapters: DataFrame, book: str, number: str, title: str, content: str, path: str, tables: Tables, markdown: bool = False) -> DataFrame:
@@ -70,7 +100,7 @@ def write_manuscripts(chapters: DataFrame, book: str, number: str, title: str, c
 
 def read_books(spark: SparkSession, path: str, book: str) -> DataFrame:
     """(book, file, text) of the files of ``write_books``, to be read in the order of their names."""
-    return spark.read.text(path, wholetext=True).select(book, F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(book, F.concat_ws("/", PIECE, F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text"))
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
@@ -98,8 +128,6 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def restored(tables: dict[str, DataFrame], suffix: str) -> dict[str, DataFrame]:
     """A bundle's tables as a new project: new ids throughout, revisions replayed in order, running tasks paused."""
-    from pyspark.sql import Window
-
     from leafmill.operators.review import copied
 
     ids = {"projects": "project_id", "chapters": "chapter_id", "versions": "version_id", "task_runs": "task_id"}

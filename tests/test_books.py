@@ -52,3 +52,21 @@ def test_no_books_and_null_parts(spark):
     with pytest.raises(ValueError):
         exports.write_books(df, "book", "n", "part", path, tables, between=" ")
     assert exports.write_books(df.where(F.lit(False)), "book", "n", "part", tables.path("none"), tables).count() == 0
+
+
+def test_a_shelf_is_dealt_once_for_all_its_editions(spark):
+    rows = [(b, n, f"{b}{n} " + "z" * (n * 37 % 500)) for b in ("long", "b", None) for n in range(300 if b == "long" else 3)]
+    df, tables, conf = spark.createDataFrame(rows, "book string, id int, text string").repartition(3), Tables(spark), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # a file is read by several tasks
+    try:
+        shelf = exports.numbered(exports.shelved(df, "book", ["id"], tables), "book", "n", tables)
+        assert all(r["n"] == r["id"] for r in shelf.collect())
+        for between in ("\n\n", "-\n"):
+            path = tables.path("edition")
+            exports.write_books(shelf, "book", "n", "text", path, tables, between=between)
+            wanted = {b: between.join(t for own, _, t in rows if own == b) + "\n" for b in ("long", "b", None)}
+            assert {b: t for b, (t, _) in read(spark, path).items()} == wanted
+    finally:
+        spark.conf.unset(conf)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
