@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.scratch import Tables
 from leafmill.snapshots import Store
-from leafmill.sources.files import import_files
+from leafmill.sources.files import distinct_files, import_files
 
 TABLES = ("documents", "chapters", "segments", "issues")
 
@@ -33,20 +34,12 @@ class Library:
         entries, before = self.store.entries(), self.store.latest()
         if any(json.loads(e.note)["batch"] == batch for e in entries):
             return before
-        made = import_files(files)
-        known = self.table("documents")
-        written = {}
-        for name in TABLES:  # in this order: what is new is decided once
-            new = made[name]
-            if name == "documents" and known is not None:
-                new = new.join(known.select("document_id"), "document_id", "left_anti")
-            elif name == "chapters":
-                new = new.join(written["documents"].read(self.spark).select("document_id"), "document_id", "left_semi")
-            elif name == "segments":
-                new = new.join(written["chapters"].read(self.spark).select("chapter_id"), "chapter_id", "left_semi")
-            elif name == "issues" and known is not None:
-                new = new.join(known.select("document_id"), "document_id", "left_anti")
-            written[name] = self.store.write(name, new, {"batch": batch})
+        # each content is moved once, and cut once: segments and issues come from the chapters that are written
+        new = Tables(self.spark).save(distinct_files(files, self.table("documents")), "files")
+        made = import_files(new)
+        written = {name: self.store.write(name, made[name], {"batch": batch}) for name in ("documents", "chapters")}
+        made = import_files(new, written["chapters"].read(self.spark))
+        written |= {name: self.store.write(name, made[name], {"batch": batch}) for name in ("segments", "issues")}
         return self.store.commit([*entries, *written.values()], before)
 
     def follow(self, folder: str, checkpoint: str, files_per_batch: int = 1000) -> None:

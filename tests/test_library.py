@@ -143,3 +143,23 @@ def test_a_stream_that_breaks_off_goes_on(spark, tmp_path, monkeypatch):
 
 def test_packed_pages_are_read_again():
     assert [x[4] for x in files.epub_items(archive([("p.xhtml", "<p>a</p><div>b</div>")]))] == ["a\n\nb"]
+
+
+def test_a_batch_cuts_its_files_once(spark, tmp_path, monkeypatch):
+    from leafmill.operators import structure
+    from leafmill.streaming import library
+
+    seen, cut, given = spark.sparkContext.accumulator(0), structure._cut, []
+    made = library.import_files
+    monkeypatch.setattr(library, "import_files", lambda *a: given.append(a) or made(*a))
+
+    def counted(docs, key, text, how, columns):
+        return cut(docs, key, text, lambda t: (seen.add(1), how(t))[1], columns)
+
+    monkeypatch.setattr(structure, "_cut", counted)
+    kept = library.Library(spark, str(tmp_path / "kept"))
+    kept.add(spark.createDataFrame([(f"{n}.txt", f"第1章 a\n{n}".encode()) for n in range(10)], "path string, content binary"), "one")
+    assert seen.value == 20  # lines once, segments once
+    kept.add(spark.createDataFrame([(f"{n}.txt", f"第1章 a\n{n}".encode()) for n in range(12)], "path string, content binary"), "two")
+    assert seen.value == 24 and given[-1][0].count() == 2  # known files are not cut again
+    assert [kept.table(n).count() for n in ("documents", "chapters", "segments")] == [12, 12, 12]
