@@ -159,7 +159,9 @@ def chapter_memories(rows: DataFrame, answer: str) -> tuple[DataFrame, DataFrame
     changes, new facts and unresolved threads are needed, entity states may be missing; facts and states need all their
     fields. Texts are trimmed and blank ones left out."""
     blank = lambda x: trimmed(F.coalesce(x, F.lit(""))) == ""
-    m = F.from_json(json_object(F.col(answer)), MEMORY)
+    # behind a generator an answer is parsed once, however often its memory is looked at
+    rows = rows.withColumn("_memory", F.explode(F.array(F.from_json(json_object(F.col(answer)), MEMORY))))
+    m = F.col("_memory")
     lacks = lambda field, *names: F.coalesce(F.exists(m[field], lambda e: reduce(lambda a, n: a | blank(e[n]), names, e.isNull())), F.lit(False))
     nulls = lambda field: m[field].isNull() | F.coalesce(F.exists(m[field], lambda x: x.isNull()), F.lit(False))
     why = reasons(
@@ -176,7 +178,7 @@ def chapter_memories(rows: DataFrame, answer: str) -> tuple[DataFrame, DataFrame
     states = F.coalesce(record("entityStates", "category", "subject", "state"), F.array().cast("array<struct<category:string,subject:string,state:string>>"))
     memory = F.struct(trimmed(m["summary"]).alias("summary"), kept("stateChanges").alias("stateChanges"), states.alias("entityStates"), record("newFacts", "category", "subject", "fact").alias("newFacts"), kept("unresolvedThreads").alias("unresolvedThreads"))
     tagged = rows.withColumn("reasons", why)
-    return tagged.where(F.size("reasons") == 0).drop("reasons").withColumn("memory", memory), tagged.where(F.size("reasons") > 0)
+    return tagged.where(F.size("reasons") == 0).withColumn("memory", memory).drop("reasons", "_memory"), tagged.where(F.size("reasons") > 0).drop("_memory")
 
 
 def state_before(states: DataFrame, targets: DataFrame) -> DataFrame:

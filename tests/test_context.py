@@ -113,3 +113,12 @@ def test_nothing(spark):
     assert (made["used"], made["sources"]) == (0, [])
     assert context.fitted(context.fact_spans(none), targets.limit(0), 10).count() == 0
     assert spark.range(1).select(estimated_tokens(F.lit("abcde"))).first()[0] == tokens("abcde")
+
+
+def test_an_answer_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"summary": " s ", "stateChanges": [], "newFacts": [], "unresolvedThreads": []}',), ("x",), (None,)], "answer string")
+    good, bad = context.chapter_memories(rows, "answer")
+    for df in (good, bad):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r["memory"]["summary"] for r in good.collect()] == ["s"]
+    assert [r["answer"] for r in bad.collect()] == ["x", None] and bad.columns == ["answer", "reasons"]
