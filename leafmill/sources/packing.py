@@ -6,8 +6,11 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafmill.sources.files import sliced
 
 
 def archive(items: list[tuple[str, str]]) -> bytes:
@@ -26,8 +29,9 @@ def archive(items: list[tuple[str, str]]) -> bytes:
 def packed(pages: DataFrame, path: str, html: str) -> DataFrame:
     """(path, content): one archive a page."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"path": pdf[path], "content": [archive([("page.xhtml", h or "")]) for h in pdf[html]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            names, pages_ = (batch.column(c).to_pylist() for c in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([archive([("page.xhtml", h or "")]) for h in pages_], pa.binary())], ["path", "content"])
 
-    return pages.select(path, html).mapInPandas(run, "path string, content binary")
+    return pages.select(F.col(path).cast("string"), html).mapInArrow(run, "path string, content binary")

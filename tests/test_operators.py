@@ -366,3 +366,16 @@ def test_registered_texts_are_never_one_value(spark):
 
     for name in ("manuscripts", "raw_text_backfill"):
         assert "collect_list" not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_archives_are_packed_and_read_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from leafmill.sources.packing import packed
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(100))})
+    assert [b.num_rows for b in files.sliced([batch])] == [32, 32, 32, 4]
+    assert [v for b in files.sliced([batch]) for v in b.column(0).to_pylist()] == list(range(100))
+    pages = spark.createDataFrame([(str(n), f"<h1>t{n}</h1><p>x</p>" if n % 7 else None) for n in range(100)], "url string, html string")
+    got = {r["path"]: (r["title"], r["text"], r["issue"]) for r in files.epub_chapters(packed(pages, "url", "html")).collect()}
+    assert got == {str(n): (f"t{n}", f"t{n}\n\nx", "") if n % 7 else (None, None, "NO_CONTENT") for n in range(100)}
