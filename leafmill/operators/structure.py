@@ -218,7 +218,8 @@ def joined_digests(parts: DataFrame, key: str, order: str, part: str, between: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total, joined, kind = None, None, False, None
-        for batch in batches:
+        # a few rows at a time as Python's values: a batch may hold thousands of long texts
+        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             kind, done = batch.schema.types[0], []
             for own, start, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if total is None or own != last:
