@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from leafmill.functions import SPACES
+from leafmill.functions import SPACES, trimmed
 from leafmill.operators import structure
 from leafmill.operators.infer import register_functions
 from leafmill.sources import exports
@@ -56,3 +56,10 @@ def test_blank_drafts_are_not_exported(spark):
     assert [r["k"] for r in rows.collect()] == [2]
     assert exports.manuscripts(rows, "book", "k", "title", "content").first()["manuscript"] == "1\n\n第2章 t\n\nx"
     assert exports.selected(plan, drafts.where(F.lit(False)), ["k"], "content").count() == 0
+
+
+def test_a_trim_ends_where_the_text_does(spark):
+    # a next-line mark is no white space here, so what stands before it stays, as in SQL
+    texts = ["x \u0085", "\u0085 x", None, "", SPACES, *(f"{c}a{c}b{c}" for c in SPACES + "​᠎\x1c")]
+    got = [r["t"] for r in spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").orderBy("n").select(trimmed(F.col("t")).alias("t")).collect()]
+    assert got == [None if t is None else t.strip(SPACES) for t in texts]
