@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import context
 from leafmill.plans._base import query, table
+from leafmill.scratch import Tables
 
 CH = """
 ch AS (SELECT o_custkey AS project, o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS number, o_orderpriority, o_orderstatus, o_totalprice FROM orders),
@@ -79,7 +80,7 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {FOLD} SELECT context_id, md5(prompt) AS digest FROM done WHERE target % 2 = 1")
 def context_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of contexts that are not stored yet; those of every second chapter are."""
-    made = contexts(spark, sf_dir)
+    made = Tables(spark).save(contexts(spark, sf_dir), "contexts")  # read twice, made once
     fresh = context.new_snapshots(made, made.where("target % 2 = 0").select("context_id"))
     facts, sums, passages = parts(spark, sf_dir)
     tag = lambda df, kind: df.select("project", F.lit(kind).alias("kind"), "id", "text")

@@ -122,3 +122,18 @@ def test_an_answer_is_parsed_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert [r["memory"]["summary"] for r in good.collect()] == ["s"]
     assert [r["answer"] for r in bad.collect()] == ["x", None] and bad.columns == ["answer", "reasons"]
+
+
+def test_prompts_make_their_contexts_once(spark, monkeypatch):
+    from leafmill.plans import context as plans
+
+    data, seen, made = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), plans.contexts
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(plans, "contexts", lambda *a: (df := made(*a)).mapInArrow(counted, df.schema))
+    assert plans.context_prompts(spark, data).count()
+    assert seen.value == spark.read.parquet(f"{data}/orders.parquet").count()
