@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from leafmill.ranks import ranked
 from leafmill.scratch import Tables
 
 #: What separates the terms of a changed value, a fixed value; white space as everywhere.
 SEPARATORS = r"""[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}，。；、：,.!?！？;:"“”'‘’（）()《》]+"""
 #: How an impact is told, fixed values.
 MENTIONS, CHILDREN, BETWEEN = "引用了变更内容：", " 个章节引用了变更内容", "、"
-#: Terms are looked for by one stretch of so many of their characters, then checked whole; stretches are cut into
-#: windows of so many characters first.
-GRAM, WINDOW = 4, 256
+#: The same as Python has it, where \s is more.
+_SEPARATORS = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", SEPARATORS[:-1]).replace(r"\s", r" \t\n\x0B\f\r")
+_PIECES, _STRETCHES = re.compile(_SEPARATORS.replace("[", "[^", 1) + "+"), re.compile(_SEPARATORS.replace("[", "[^", 1) + "{2,}")
+#: Terms of up to so many characters are looked up as runs of stretches. Longer ones are found by one run of so many of
+#: their characters, then checked whole; stretches are cut into windows of so many characters for that.
+GRAM, WINDOW = 24, 256
+#: The sieve that keeps runs which are no term out of a shuffle has a power of two of bits, from these on up to those.
+LEAST_BITS, MOST_BITS = 20, 29
+_BASE, _MIX, _AGAIN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -92,62 +101,208 @@ def locks(fields: DataFrame, key: str) -> DataFrame:
     return fields.select(key, "field", F.sha2(F.coalesce("value", F.lit("")), 256).alias("sha256"))
 
 
-def terms_of(*values: Column) -> Column:
-    """Distinct lower-case terms of two characters or more, in order."""
-    parts = F.flatten(F.array(*(F.split(v, SEPARATORS) for v in values)))
-    return F.array_distinct(F.filter(F.transform(parts, lambda t: F.lower(t)), lambda t: F.length(t) >= 2))
-
-
 def changed_terms(changes: DataFrame, scope: str, order: str) -> DataFrame:
-    """(scope, term, place) of all changes, before and after: ``place`` is where a term comes first, by the changes'
-    order and then within the change. A scope keeps projects apart."""
-    each = changes.select(scope, order, F.posexplode(terms_of(F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))).alias("i", "term"))
+    """(scope, term, place) of the lower-case terms of two characters or more of all changes, before and after: ``place``
+    is where a term comes first, by the changes' order and then within the change. A scope keeps projects apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            rows, places, pieces = [], [], []
+            for row, (before, after) in enumerate(zip(batch["before"].to_pylist(), batch["after"].to_pylist(), strict=True)):
+                own = list(dict.fromkeys(_PIECES.findall(before) + _PIECES.findall(after)))
+                rows += [row] * len(own)
+                places += range(len(own))
+                pieces += own
+            given = batch.select([scope, order]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(places, pa.int32()), pa.array(pieces, pa.string())], [scope, order, "i", "piece"])
+
+    kinds = dict(changes.dtypes)
+    texts = changes.select(scope, order, *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")))
+    each = texts.mapInArrow(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, i int, piece string")
+    each = each.select(scope, order, "i", F.lower("piece").alias("term")).where(F.length("term") >= 2)
     return each.groupBy(scope, "term").agg(F.min(F.struct(order, "i")).alias("place"))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _runs(words: list[str], seeds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 to GRAM: the length, where runs of it begin in the words laid end to end, how many
+    characters their words have left there, and a number for each run and its word's seed."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = _codes("".join(words))
+    at = np.arange(len(codes))
+    left, seeds, total = np.repeat(np.cumsum(sizes), sizes) - at, np.repeat(seeds, sizes), np.zeros(len(codes), np.uint64)
+    for n in range(1, GRAM + 1):
+        long = left[at] >= n
+        at, total = at[long], total[long]
+        if not len(at):
+            return
+        total = total * _BASE + codes[at + n - 1]
+        if n > 1:
+            yield n, at, left[at], (total ^ seeds[at]) * _MIX
+
+
+def _bits(numbers: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a number in a sieve of 2 ** power."""
+    shift = np.uint64(64 - power)
+    return (numbers >> shift).astype(np.int64), (((numbers ^ (numbers >> np.uint64(29))) * _AGAIN) >> shift).astype(np.int64)
+
+
+def _once(codes: np.ndarray, at: np.ndarray, n: int, rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Where the different runs of each row begin: the first of equal numbers, and whatever has its number but other
+    characters or another row."""
+    _, first, same = np.unique(numbers + rows.astype(np.uint64) * _AGAIN, return_index=True, return_inverse=True)
+    other = rows != rows[first][same]
+    for k in range(n):
+        other |= codes[at + k] != codes[at[first][same] + k]
+    return at[np.union1d(first, np.flatnonzero(other))]
+
+
+def _sieve(terms: DataFrame, scope: str) -> tuple[int, np.ndarray]:
+    """(power, bytes): two bits for each (scope, term) of up to GRAM characters. It grows with the terms up to 64 MB, in
+    which a run in twenty that is no term comes through at 60 million terms; what comes through is joined exactly."""
+    power = min(MOST_BITS, max(LEAST_BITS, int(terms.count()).bit_length() + 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["term"].to_pylist()
+            first = np.cumsum([0, *map(len, words)])[:-1]
+            for n, at, left, numbers in _runs(words, batch["_seed"].to_numpy().view(np.uint64)):
+                whole = (left == n) & np.isin(at, first, assume_unique=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(numbers[whole], power)))], ["bit"])
+
+    bits = terms.select(F.xxhash64(scope).alias("_seed"), "term").mapInArrow(run, "bit long")
+    parts = bits.groupBy(F.call_function("shiftright", F.col("bit"), F.lit(15)).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    sieve = np.zeros((1 << (power - 15), 4096), np.uint8)
+    for row in parts.toLocalIterator():  # up to 16,384 rows of 4 KB
+        sieve[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return power, sieve.reshape(-1)
+
+
+def _looked_up(items: DataFrame, terms: DataFrame, scope: str, key: str) -> DataFrame:
+    """(scope, key, term, place) of terms of up to GRAM characters that are a run of an item's ``_text``."""
+    power, sieve = _sieve(terms, scope)
+    sent = items.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = sent.value
+        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
+            words, owners, rows, found = [], [], [], []
+            for row, text in enumerate(batch["_text"].to_pylist()):
+                own = set(_STRETCHES.findall(text))
+                words += own
+                owners += [row] * len(own)
+            joined, owners = "".join(words), np.array(owners, np.int64)
+            codes, owner = _codes(joined), np.repeat(owners, [len(w) for w in words]) if words else owners
+            for n, at, _, numbers in _runs(words, batch["_seed"].to_numpy().view(np.uint64)[owners]):
+                one, two = _bits(numbers, power)
+                there = np.flatnonzero((sieve[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
+                two = two[there]
+                there = there[((sieve[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)]
+                at = _once(codes, at[there], n, owner[at[there]], numbers[there])
+                rows.append(owner[at])
+                found += [joined[i : i + n] for i in at.tolist()]
+            given = batch.select([scope, key]).take(pa.array(np.concatenate(rows) if rows else owners))
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(found, pa.string())], [scope, key, "term"])
+
+    kinds = dict(items.dtypes)
+    runs = items.select(scope, key, F.xxhash64(scope).alias("_seed"), "_text").mapInArrow(run, f"{scope} {kinds[scope]}, {key} {kinds[key]}, term string")
+    return runs.join(terms, [scope, "term"]).select(scope, key, "term", "place")
+
+
 def _grams(stretches: DataFrame, keep: list[str], stretch: str) -> DataFrame:
-    """(keep, gram): runs of 2 to GRAM characters of each stretch, a few for each position. Long stretches go through
-    windows, so that work grows with their length."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(stretch) - 1), F.lit(WINDOW))
+    """(keep, gram): runs of GRAM characters of each stretch. Long stretches go through windows, so that work grows with
+    their length."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(stretch) - GRAM + 1), F.lit(WINDOW))
     windows = stretches.select(*keep, F.explode(F.transform(starts, lambda i: F.substring(stretch, i, F.lit(WINDOW + GRAM - 1)))).alias("_window"))
-    places = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("_window") - 1))
-    runs = F.flatten(F.transform(places, lambda i: F.array(*(F.substring("_window", i, F.lit(n)) for n in range(2, GRAM + 1)))))
-    return windows.where(F.length("_window") > 1).select(*keep, F.explode(F.array_distinct(runs)).alias("gram"))
+    places = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("_window") - GRAM + 1))
+    runs = F.transform(places, lambda i: F.substring("_window", i, F.lit(GRAM)))
+    return windows.where(F.length("_window") >= GRAM).select(*keep, F.explode(F.array_distinct(runs)).alias("gram"))
+
+
+def _long_ones(items: DataFrame, terms: DataFrame, scope: str, key: str, tables: Tables) -> DataFrame:
+    """(scope, key, term, place) of terms of more than GRAM characters that an item's ``_text`` holds. The distinct longer
+    stretches of a scope are indexed by their runs of GRAM characters; the run of a term that the fewest stretches have
+    finds the candidates, which are then checked whole. A term with a run that no stretch has is held by none."""
+    cut = F.array_distinct(F.filter(F.split("_text", SEPARATORS), lambda t: F.length(t) > GRAM))
+    stretches = tables.save(items.join(terms.select(scope).distinct(), scope, "left_semi").select(scope, key, F.explode(cut).alias("stretch")), "pieces")
+    known = tables.save(stretches.select(scope, "stretch").distinct().withColumn("_id", F.monotonically_increasing_id()), "stretches")
+    # any run of a term would do; of very long terms the first ones are looked at
+    own = F.transform(F.sequence(F.lit(1), F.least(F.length("term") - GRAM + 1, F.lit(WINDOW))), lambda i: F.substring("term", i, F.lit(GRAM)))
+    parts = terms.select(scope, "term", "place", F.array_distinct(own).alias("_own"))
+    parts = parts.select(scope, "term", "place", F.size("_own").alias("_n"), F.explode("_own").alias("gram"))
+    seen = _grams(known, [scope, "_id"], "stretch").join(parts.select(scope, "gram").distinct(), [scope, "gram"], "left_semi")
+    seen = tables.save(seen, "grams")
+    counted = parts.join(seen.groupBy(scope, "gram").count(), [scope, "gram"]).groupBy(scope, "term", "place", "_n")
+    rarest = counted.agg(F.count("*").alias("_has"), F.min(F.struct("count", "gram"))["gram"].alias("gram")).where("_has = _n")
+    near = seen.join(rarest.select(scope, "gram", "term", "place"), [scope, "gram"]).drop(scope, "gram")
+    sure = known.join(near, "_id").where("contains(stretch, term)").drop("_id")
+    return stretches.join(sure, [scope, "stretch"]).select(scope, key, "term", "place")
+
+
+def _first_of(held: DataFrame, scope: str, key: str, first: int) -> DataFrame:
+    """(scope, key, terms, n_terms) of ``held``, (scope, key, term, place): the ``first`` terms of each key by their place,
+    and how many there are; rows that are there again count once. Rows are sorted by a number of their key alone, so a
+    batch holds whole keys and their terms are put in order there."""
+    kind = held.schema["place"].dataType
+    places = [f"place.{c}" for c in kind.names] if isinstance(kind, StructType) else ["place"]
+    own = [f"_p{i}" for i in range(len(places))]
+    rows = held.select(F.xxhash64(scope, key).alias("_key"), scope, key, *(F.col(c).alias(n) for c, n in zip(places, own, strict=True)), "term")
+
+    def told(ready: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(ready)
+        order = [(c, "ascending") for c in ("_key", scope, key, *own, "term")]
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start")).combine_chunks()
+        moved = {c: np.diff(rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(), prepend=-1) != 0 for c in [scope, key, *own, "term"]}
+        new = moved[scope] | moved[key]
+        kept = new | np.logical_or.reduce([moved[c] for c in [*own, "term"]])
+        group = (np.cumsum(new) - 1)[kept]
+        counts, at = np.bincount(group), np.flatnonzero(kept)
+        begins = np.cumsum(counts) - counts
+        near = np.arange(len(at)) - begins[group] < first
+        ends = np.concatenate([[0], np.cumsum(np.minimum(counts, first))]).astype(np.int32)
+        terms = pa.ListArray.from_arrays(ends, rows["term"].combine_chunks().take(pa.array(at[near])))
+        given = rows.select([scope, key]).take(pa.array(np.flatnonzero(new))).combine_chunks()
+        yield from pa.table([*given.columns, terms, pa.array(counts.astype(np.int64))], names=[scope, key, "terms", "n_terms"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, last = [], None  # the rows of the last key, which may go on
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch["_key"].to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut or keys[0] != last:
+                    ready = [*waiting, batch.slice(0, cut)] if cut else waiting
+                    waiting, last = [], keys[-1]
+                    if ready:
+                        yield from told(ready)
+                waiting.append(batch.slice(cut))
+        if waiting:
+            yield from told(waiting)
+
+    kinds = dict(held.dtypes)
+    return rows.repartition("_key").sortWithinPartitions("_key").mapInArrow(run, f"{scope} {kinds[scope]}, {key} {kinds[key]}, terms array<string>, n_terms long")
 
 
 def mentions(items: DataFrame, terms: DataFrame, scope: str, key: str, haystack: str, first: int = 3, tables: Tables | None = None) -> DataFrame:
     """(scope, key, terms, n_terms, reason) of items whose haystack holds a term of their scope, anywhere and in any case:
     the ``first`` terms by their place, their number, and how that is told.
 
-    A term has no separators, so it stands inside one stretch between separators. The distinct stretches of a scope are
-    indexed by their grams; a term of up to GRAM characters is a gram itself, of a longer one the gram that the fewest
-    stretches have finds the candidates, which are then checked whole. A term with a gram that no stretch has is held
-    by none. Stretches of any length cost a few rows a character, nothing is compared with everything, and no scope is a
-    group.
+    A term has no separators, so it stands inside one stretch between separators. Every run of up to GRAM characters of
+    an item's stretches is a term or not: those that a sieve of all terms lets through are joined with the terms, so what
+    is shuffled grows with the mentions, not with the product of terms and stretches. Longer terms are found by their
+    rarest run. No scope is a group.
     """
     tables = tables or Tables(items.sparkSession)
-    cut = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(haystack, F.lit(""))), SEPARATORS), lambda t: F.length(t) >= 2))
-    pieces = tables.save(items.join(terms.select(scope).distinct(), scope, "left_semi").select(scope, key, cut.alias("_cut")), "pieces")
-    stretches = pieces.select(scope, key, F.explode("_cut").alias("stretch"))
-    known = tables.save(stretches.select(scope, "stretch").distinct().withColumn("_id", F.monotonically_increasing_id()), "stretches")
-    # terms are numbers from here on, in order of their places
-    named = tables.save(ranked(terms.select(scope, "term", "place"), [F.col("place").asc(), F.col("term").asc()], "_no", tables, [scope]), "terms")
-    # any gram of a term would do; of very long terms the first ones are looked at
-    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("term") - GRAM + 1, F.lit(WINDOW)))), lambda i: F.substring("term", i, F.lit(GRAM)))
-    parts = named.select(scope, "term", "_no", F.array_distinct(own).alias("_own"))
-    parts = parts.select(scope, "term", "_no", F.size("_own").alias("_n"), F.explode("_own").alias("gram"))
-    seen = _grams(known, [scope, "_id"], "stretch").join(parts.select(scope, "gram").distinct(), [scope, "gram"], "left_semi")
-    seen = tables.save(seen, "grams")
-    counted = parts.join(seen.groupBy(scope, "gram").count(), [scope, "gram"]).groupBy(scope, "term", "_no", "_n")
-    rarest = counted.agg(F.count("*").alias("_has"), F.min(F.struct("count", "gram"))["gram"].alias("gram")).where("_has = _n")
-    near = seen.join(rarest.select(scope, "gram", "_no", F.when(F.length("term") > GRAM, F.col("term")).alias("_whole")), [scope, "gram"]).drop(scope, "gram")
-    sure = known.join(near, "_id").where("_whole is null or contains(stretch, _whole)")
-    held = sure.groupBy(scope, "stretch").agg(F.collect_set("_no").alias("_nos"))
-    each = stretches.join(held, [scope, "stretch"]).groupBy(scope, key).agg(F.collect_list("_nos").alias("_nos"))
-    found = tables.save(each.select(scope, key, F.sort_array(F.array_distinct(F.flatten("_nos"))).alias("_nos")).select(scope, key, F.size("_nos").cast("long").alias("n_terms"), F.slice("_nos", 1, first).alias("_first")), "found")
-    told = found.select(scope, key, F.explode("_first").alias("_no")).join(named.select(scope, "_no", "term"), [scope, "_no"])
-    names = told.groupBy(scope, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", "term"))), lambda x: x["term"]).alias("terms"))  # a few an item
-    return found.join(names, [scope, key]).select(scope, key, "terms", "n_terms", F.concat(F.lit(MENTIONS), F.array_join("terms", BETWEEN)).alias("reason"))
+    texts = items.select(scope, key, F.lower(F.coalesce(haystack, F.lit(""))).alias("_text"))
+    terms = tables.save(terms.select(scope, "term", "place"), "terms")
+    held, long = _looked_up(texts, terms.where(F.length("term") <= GRAM), scope, key), terms.where(F.length("term") > GRAM)
+    if not long.isEmpty():
+        held = held.unionByName(_long_ones(texts, long, scope, key, tables))
+    found = _first_of(held, scope, key, first)
+    return tables.save(found.withColumn("reason", F.concat(F.lit(MENTIONS), F.array_join("terms", BETWEEN))), "found")
 
 
 def parent_impact(children: DataFrame, direct: DataFrame, parent: str) -> DataFrame:

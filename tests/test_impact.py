@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,25 @@ def test_a_stretch_without_separators(spark):
     assert time.time() - began < 60
 
 
+def test_terms_that_share_their_runs(spark):
+    """Every run of four characters is in every second word, so it tells nothing; the terms still find their words."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("ab") for _ in range(20)) for _ in range(20_000)})
+    began = time.time()
+    got = run(spark, [("p", k, w) for k, w in enumerate(words)], [("p", w, k) for k, w in enumerate(words)])
+    assert got == {("p", k, (w,), 1) for k, w in enumerate(words)}
+    assert time.time() - began < 60
+
+
+def test_rows_of_one_key_and_equal_numbers(spark):
+    items, terms = [("p", 1, "abab cd"), ("p", 1, "ab"), ("p", 2, "cd ab"), ("q", 1, "ab")], [("p", "ab", 2), ("p", "cd", 1)]
+    assert run(spark, items, terms) == {("p", 1, ("cd", "ab"), 2), ("p", 2, ("cd", "ab"), 2)}
+    # two runs of one number, and one run in two rows, all stay
+    codes, zeros = governance._codes("abcdab"), np.zeros(3, np.uint64)
+    assert governance._once(codes, np.array([0, 2, 4]), 2, np.array([0, 0, 0]), zeros).tolist() == [0, 2]
+    assert governance._once(codes, np.array([0, 2, 4]), 2, np.array([0, 0, 1]), zeros).tolist() == [0, 2, 4]
+
+
 def test_no_items_and_no_terms(spark):
     assert run(spark, [], [("p", "ab", 1)]) == run(spark, [("p", 1, "ab")], []) == set()
 
