@@ -27,6 +27,8 @@ _PIECES, _STRETCHES = re.compile(_SEPARATORS.replace("[", "[^", 1) + "+"), re.co
 GRAM, WINDOW = 24, 256
 #: The sieve that keeps runs which are no term out of a shuffle has a power of two of bits, from these on up to those.
 LEAST_BITS, MOST_BITS = 20, 29
+#: So many bytes of text are looked through at a time.
+PIECE = 300_000
 _BASE, _MIX, _AGAIN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -181,6 +183,13 @@ def _sieve(terms: DataFrame, scope: str) -> tuple[int, np.ndarray]:
     return power, sieve.reshape(-1)
 
 
+def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about PIECE bytes of text: many short texts or a few long ones."""
+    ends = np.cumsum(pc.binary_length(batch[text]).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(ends // PIECE)) + 1, [batch.num_rows]]))
+    return (batch.slice(a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def _looked_up(items: DataFrame, terms: DataFrame, scope: str, key: str) -> DataFrame:
     """(scope, key, term, place) of terms of up to GRAM characters that are a run of an item's ``_text``."""
     power, sieve = _sieve(terms, scope)
@@ -188,7 +197,7 @@ def _looked_up(items: DataFrame, terms: DataFrame, scope: str, key: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = sent.value
-        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
+        for batch in (part for whole in batches for part in _pieces(whole, "_text")):
             words, owners, rows, found = [], [], [], []
             for row, text in enumerate(batch["_text"].to_pylist()):
                 own = set(_STRETCHES.findall(text))

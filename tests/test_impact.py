@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,14 @@ def test_rows_of_one_key_and_equal_numbers(spark):
     assert governance._once(codes, np.array([0, 2, 4]), 2, np.array([0, 0, 1]), zeros).tolist() == [0, 2, 4]
 
 
+def test_pieces_of_a_batch(monkeypatch):
+    monkeypatch.setattr(governance, "PIECE", 10)
+    texts = ["abc", "abcdefgh", "", "a" * 35, *["ab"] * 12]
+    sizes = [p.num_rows for p in governance._pieces(pa.RecordBatch.from_pydict({"t": texts}), "t")]
+    assert sum(sizes) == len(texts) and 4 < len(sizes) < 8 and max(sizes) >= 5
+    assert sum(p.num_rows for p in governance._pieces(pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())}), "t")) == 0
+
+
 def test_no_items_and_no_terms(spark):
     assert run(spark, [], [("p", "ab", 1)]) == run(spark, [("p", 1, "ab")], []) == set()
 
