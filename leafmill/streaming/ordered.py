@@ -18,13 +18,14 @@ from leafmill.operators.review import moved
 _TIME = GroupStateTimeout.EventTimeTimeout
 
 
-def _millis(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64") // 1000
-
-
 def _waiting(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    """(milliseconds, columns) of the rows that have come."""
-    return [row for pdf in frames for row in zip(_millis(pdf["ts"]).tolist(), *(pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in columns), strict=True)]
+    """(milliseconds, columns) of the rows that have come, as Python's values: a task has few at a time, and pandas'
+    operations on them would cost more than all else."""
+    out = []
+    for pdf in frames:
+        at = (pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()
+        out += zip(at, *([None if v is None or v != v else v for v in pdf[c].tolist()] for c in columns), strict=True)
+    return out
 
 
 def task_states(events: DataFrame, delay: str) -> DataFrame:
@@ -47,7 +48,7 @@ def task_states(events: DataFrame, delay: str) -> DataFrame:
         if rest:
             state.setTimeoutTimestamp(max(rest[0][0], passed + 1))
         if out:
-            yield pd.DataFrame(out, columns=["task", "seq", "status", "before", "legal"])
+            yield pd.DataFrame(dict(zip(["task", "seq", "status", "before", "legal"], map(list, zip(*out, strict=True)), strict=True)))
 
     marked = events.select("task", "ts", "seq", "status", "error").withWatermark("ts", delay)
     return marked.groupBy("task").applyInPandasWithState(step, "task long, seq long, status string, before string, legal boolean", "status string, at array<long>, seqs array<long>, states array<string>, errors array<string>", "append", _TIME)
@@ -87,9 +88,9 @@ def answers(events: DataFrame, delay: str, idle: str) -> DataFrame:
 
 def late_batches(rows: DataFrame, batch: str, path: str) -> list[str]:
     """Write rows as one folder of files for each value of ``batch``, oldest files first: a source for streams in which
-    rows come in the batches named."""
+    rows come in the batches named. Many tasks read and choose the rows, one writes each file."""
     out = []
     for value in sorted(r[0] for r in rows.select(batch).distinct().collect()):  # a row a batch
-        rows.where(F.col(batch) == value).drop(batch).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.col(batch) == value).drop(batch).repartition(1).write.mode("append").parquet(path)
         out.append(str(value))
     return out

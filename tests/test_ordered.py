@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,13 @@ def test_no_events(spark):
     rows = [(0, 1000, START, 1, "queued", None)]
     assert streamed(spark, rows, "task long, ts timestamp, seq long, status string, error string", lambda s: ordered.task_states(s, "1 day")) == []
     assert spark.range(1).where(F.lit(False)).count() == 0
+
+
+def test_few_rows_cost_little():
+    """A task's few rows are read as Python's values; by pandas' operations a frame took over a millisecond."""
+    frame = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:00:00.001999", "2024-01-02 00:00:00.000000"]), "seq": [1, 2], "error": [None, "x"], "n": [float("nan"), 2.0]})
+    day = 1_704_067_200_000
+    assert ordered._waiting(iter([frame, frame.iloc[:0], frame.iloc[1:]]), ["seq", "error", "n"]) == [(day + 1, 1, None, None), (day + 86_400_000, 2, "x", 2.0), (day + 86_400_000, 2, "x", 2.0)]
+    began = time.time()
+    assert len(ordered._waiting((frame for _ in range(1000)), ["seq", "error", "n"])) == 2000
+    assert time.time() - began < 0.5
