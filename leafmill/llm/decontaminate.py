@@ -51,6 +51,31 @@ def _entries(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key // FEATURES, key % FEATURES, count
 
 
+def _sums(table: np.ndarray, rows: np.ndarray, begin: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """The sums of ``table[rows]``, times ``weight``, over the stretches of rows that begin at ``begin``; none is empty.
+
+    Stretches are cut into pieces of up to STRIDE rows and ordered by size: the first rows of all pieces are added at
+    once, then their second rows, and so on. numpy's reduceat, which goes row by row, adds up only the pieces.
+    """
+    length = np.diff(begin, append=len(rows))
+    pieces = -(-length // STRIDE)
+    end = np.cumsum(pieces)
+    start = np.repeat(begin - STRIDE * (end - pieces), pieces) + STRIDE * np.arange(end[-1])
+    size = np.minimum(np.repeat(begin + length, pieces) - start, STRIDE)
+    order = np.argsort(-size, kind="stable")
+    start = start[order]
+    total = np.zeros((len(start), table.shape[1]), table.dtype)
+    for k in range(STRIDE):
+        at = start[: np.count_nonzero(size > k)] + k
+        part = table[rows[at]]
+        if weight is not None:
+            part *= weight[at, None]
+        total[: len(at)] += part
+    out = np.empty_like(total)
+    out[order] = total
+    return out if len(out) == len(begin) else np.add.reduceat(out, end - pieces, axis=0)
+
+
 def _rows(vector: np.ndarray) -> pa.RecordBatch:
     """A task's sums, cut by feature so that many tasks add them up."""
     parts = np.array_split(np.ascontiguousarray(vector), _CHUNKS)
@@ -114,11 +139,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> Latent:
                 begin = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
                 norm = np.sqrt(np.add.reduceat(weight**2, begin))
                 weight /= np.maximum(norm, 1e-12)[passage]
-                y = np.add.reduceat(omega[feature] * weight[:, None], begin, axis=0)
+                y = _sums(omega, feature, begin, weight)
                 order = np.argsort(feature.astype(np.uint16), kind="stable")
                 f = feature[order]
                 first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                out[f[first]] += np.add.reduceat(y[passage[order]] * weight[order, None], first, axis=0)
+                out[f[first]] += _sums(y, passage[order], first, weight[order])
         yield _rows(out)
 
     raw = _summed(texts.mapInArrow(gram, kind), "<f4")
@@ -131,7 +156,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Latent:
     u, s, _ = np.linalg.svd(shifted @ (vectors / np.sqrt(values)), full_matrices=False)
     sigma = np.sqrt(np.maximum(s**2 - shift, 1e-12))[:RANK]
     keep = sigma > 1e-3 * sigma[0]
-    return Latent((idf[:, None] * u[:, :RANK][:, keep] / sigma[keep]).astype(np.float32))
+    return Latent(np.ascontiguousarray(idf[:, None] * u[:, :RANK][:, keep] / sigma[keep], np.float32))  # rows are read one by one
 
 
 @dataclass
@@ -144,8 +169,10 @@ class Item:
     def __post_init__(self):
         features = _feature(self.words)
         own, self.times = np.unique(features, return_counts=True)
-        self.place = np.full(FEATURES + 1, len(own), np.int32)  # of a feature among the item's own; the last for others
-        self.place[own] = np.arange(len(own))
+        self.place = np.full(FEATURES + 1, len(own), np.int16)  # of a feature among the item's own; the last for others
+        self.own = np.zeros(FEATURES + 1, np.uint8)  # 1 for the item's features
+        self.own[own] = 1
+        self.place[own] = np.arange(len(own), dtype=np.int16)
         self.last = features[-ANSWER:]
         self.masks: dict[int, int] = {}
         for k, w in enumerate(self.words.tolist()):
@@ -168,9 +195,11 @@ class Item:
     def possible(self, windows: np.ndarray) -> np.ndarray:
         """The rows of window features that may hold the item: equal words have equal features, so none is lost."""
         n, k = len(self.words), len(self.times)
-        place = self.place[windows]
-        rows = np.flatnonzero((place < k).sum(1) >= PARAPHRASE * n - 1e-9)
-        count = np.bincount((place[rows] + (k + 1) * np.arange(len(rows))[:, None]).ravel(), minlength=(k + 1) * len(rows))
+        shared = self.own.take(windows) @ np.ones(windows.shape[1], np.float32)
+        rows = np.flatnonzero(shared >= PARAPHRASE * n - 1e-9)
+        if not len(rows):
+            return rows
+        count = np.bincount((self.place[windows[rows]] + (k + 1) * np.arange(len(rows))[:, None]).ravel(), minlength=(k + 1) * len(rows))
         common = np.minimum(count.reshape(-1, k + 1)[:, :k], self.times).sum(1)
         rows, common = rows[common >= PARAPHRASE * n - 1e-9], common[common >= PARAPHRASE * n - 1e-9]
         fits = common >= SHARE * n - 1e-9
@@ -196,7 +225,7 @@ def _found(column: pa.Array, latent: Latent, groups: list[tuple[int, list[Item],
         nth = np.arange(end[-1]) - np.repeat(end - per, per)
         begin = words.first[text] + nth * STRIDE
         features = _feature(hashes)
-        blocks = np.add.reduceat(latent.fold[features], begin, axis=0)
+        blocks = _sums(latent.fold, features, begin)
         padded = np.concatenate([features.astype(np.uint16), np.full(STRIDE * max((g[0] for g in groups), default=1), FEATURES, np.uint16)])
         running = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
         best: dict[tuple[int, int], tuple] = {}

@@ -224,6 +224,20 @@ def test_longest_common_subsequence():
         assert abs(decontaminate.Item(0, np.array(a, np.uint64)).common(b) - d[12][20] / 12) < 1e-12
 
 
+def test_sums_of_stretches():
+    """Rows of many stretches are added at once; whole numbers add up to the same in any order."""
+    rng = np.random.default_rng(5)
+    table, rows, weight = rng.integers(-9, 9, (50, 6)).astype(np.float32), rng.integers(0, 50, 400), rng.integers(1, 4, 400).astype(np.float32)
+    for begin in map(np.array, ([0], [0, 1, 17, 33, 34, 200, 399], range(400), range(0, 400, 16))):
+        assert np.array_equal(decontaminate._sums(table, rows, begin), np.add.reduceat(table[rows], begin, axis=0))
+        assert np.array_equal(decontaminate._sums(table, rows, begin, weight), np.add.reduceat(table[rows] * weight[:, None], begin, axis=0))
+
+
+def test_latent_rows_lie_one_after_another(spark):
+    fold = decontaminate.fit(docs(spark, [(i, prose(i, 40)) for i in range(60)])).fold
+    assert fold.flags.c_contiguous and fold.dtype == np.float32
+
+
 def test_maxent_is_a_probability_and_counts_are_exact(spark):
     rows = [(i, prose(i, 40)) for i in range(60)] + AWKWARD
     table = docs(spark, rows).withColumn("held_out", queries.part("doc_id", 7) == 2)
