@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import BLANKS, SPACES, estimated_tokens, reasons, stable_id, trimmed, visible_length
+from leafmill.scratch import Tables
 
 #: Headings, fixed values: numbered chapters and volumes, prologues and the like, with an optional subtitle.
 _S = f"[{SPACES}]"
@@ -129,38 +130,47 @@ def edit_errors(chapters_: DataFrame, edits: DataFrame, book: str = "book") -> D
     return rows.select("chapter_id", "op", reason.alias("reason")).where("reason is not null")
 
 
-def edit_batch(chapters_: DataFrame, edits: DataFrame, book: str = "book") -> DataFrame:
+def edit_batch(chapters_: DataFrame, edits: DataFrame, book: str = "book", tables: Tables | None = None) -> DataFrame:
     """(book, ordinal, title, content, start, end, chapter_id) after renames, splits, merges and moves together; ordinals,
     offsets (two characters between chapters) and ids follow.
 
     ``chapters_``: (book, chapter_id, ordinal, title, content); ``edits``: (chapter_id, op, offset, title), at most one
     an op and chapter, those of ``edit_errors`` are not made. Order: rename, split at an offset inside the content, merge
-    with the next, move by -1 or 1, which changes places with the neighbour. Only places, not texts, go through windows.
+    with the next, move by -1 or 1, which changes places with the neighbour. Only places, not texts, go through windows:
+    edits and cut chapters are written once, and the sizes of what is merged follow from those of its parts.
     """
+    tables = tables or Tables(chapters_.sparkSession)
+    edits = tables.save(edits.select("chapter_id", "op", "offset", "title"), "edits")
     good = edits.join(edit_errors(chapters_, edits, book).select("chapter_id", "op"), ["chapter_id", "op"], "left_anti")
-    by = lambda op, *cols: good.where(F.col("op") == op).select("chapter_id", *cols)
-    named = chapters_.join(by("rename", trimmed(F.col("title")).alias("new_title")), "chapter_id", "left").withColumn("title", F.coalesce("new_title", "title")).drop("new_title")
-    cut = named.join(by("split", F.col("offset").alias("cut"), F.nullif(trimmed(F.col("title")), F.lit("")).alias("second")), "chapter_id", "left")
-    cut = cut.join(by("merge", F.lit(True).alias("merge")), "chapter_id", "left").join(by("move", F.col("offset").alias("move")), "chapter_id", "left")
-    text = F.regexp_replace(F.coalesce("content", F.lit("")), r"\r\n?", "\n")
+    of = lambda op, value, name: F.max(F.when(F.col("op") == op, value)).alias(name)
+    changes = good.groupBy("chapter_id").agg(
+        of("rename", trimmed(F.col("title")), "new_title"), of("split", F.col("offset"), "cut"), of("split", F.nullif(trimmed(F.col("title")), F.lit("")), "second"), of("merge", F.lit(True), "merge"), of("move", F.col("offset"), "move")
+    )
+    cut = chapters_.join(tables.save(changes, "changes"), "chapter_id", "left").withColumn("title", F.coalesce("new_title", "title"))
+    text = F.replace(F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     half = lambda n, title, content, merge: F.struct(F.lit(n).alias("half"), title.alias("title"), trimmed(content).alias("content"), F.coalesce(merge, F.lit(False)).alias("merge"))
     whole = half(0, F.col("title"), text, F.col("merge"))
     first = half(0, F.col("title"), F.substring(text, F.lit(1), F.col("cut")), F.lit(False))
     second = half(1, F.coalesce("second", F.concat("title", F.lit(SECOND))), F.substring(text, F.col("cut") + 1, F.length("content")), F.col("merge"))
     halves = cut.select(book, "chapter_id", "ordinal", "move", F.explode(F.when(F.col("cut").isNotNull(), F.array(first, second)).otherwise(F.array(whole))).alias("p")).select(book, "chapter_id", "ordinal", "move", "p.*")
+    halves = tables.save(halves.withColumn("size", F.length("content")), "halves")
     w = Window.partitionBy(book)
     order = w.orderBy("ordinal", "half")
     starts = F.sum(F.when(F.coalesce(F.lag("merge").over(order), F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    groups = halves.select(book, "chapter_id", "ordinal", "half", "move", "merge").withColumn("group", starts)
-    places = groups.groupBy(book, "group").agg(F.max("move").alias("move")).withColumn("place", F.col("group") + F.coalesce("move", F.lit(0)) * 1.5)
-    places = places.select(book, "group", (F.row_number().over(w.orderBy("place", "group")) - 1).alias("new_ordinal"))
-    placed = halves.drop("move", "merge").join(groups.select("chapter_id", "half", "group"), ["chapter_id", "half"]).join(places, [book, "group"])
+    groups = halves.select(book, "chapter_id", "half", "move", "size", starts.alias("group"), F.row_number().over(order).alias("nth"))
+    # parts are trimmed, so of what is joined only blank parts at either end go, with the lines between
+    filled = F.when(F.col("size") > 0, F.col("nth"))
+    size = F.sum("size") + 2 * F.coalesce(F.max(filled) - F.min(filled), F.lit(0))
+    places = groups.groupBy(book, "group").agg(F.max("move").alias("move"), size.alias("size")).withColumn("place", F.col("group") + F.coalesce("move", F.lit(0)) * 1.5)
+    places = places.select(book, "group", "size", (F.row_number().over(w.orderBy("place", "group")) - 1).alias("new_ordinal"))
+    places = cumulative_offsets(places, book, "new_ordinal", "size", 2, is_size=True).select(book, "group", "new_ordinal", "start_at", "end_at")
+    plan = groups.select(book, "chapter_id", "half", "group").join(places, [book, "group"]).select("chapter_id", "half", "new_ordinal", "start_at", "end_at")
+    placed = halves.drop("move", "merge", "size").join(plan, ["chapter_id", "half"])
     parts = F.array_sort(F.collect_list(F.struct("ordinal", "half", "title", "content")))
-    merged = placed.groupBy(book, F.col("new_ordinal").alias("ordinal")).agg(parts.alias("parts"))
+    merged = placed.groupBy(book, F.col("new_ordinal").alias("ordinal")).agg(parts.alias("parts"), F.max("start_at").alias("start"), F.max("end_at").alias("end"))
     title = F.coalesce(F.nullif(trimmed(F.element_at("parts", 1)["title"]), F.lit("")), F.concat(F.lit(UNNAMED), (F.col("ordinal") + 1).cast("string")))
-    out = merged.select(book, "ordinal", title.alias("title"), trimmed(F.array_join(F.transform("parts", lambda s: s["content"]), "\n\n")).alias("content"))
-    ends = cumulative_offsets(out.select(book, "ordinal", F.length("content").alias("size")), book, "ordinal", "size", 2, is_size=True).select(book, "ordinal", F.col("start_at").alias("start"), F.col("end_at").alias("end"))
-    return out.join(ends, [book, "ordinal"]).withColumn("chapter_id", stable_id("chapter", F.concat_ws(":", book, F.lit("edited"), "ordinal", "title", "content")))
+    out = merged.select(book, "ordinal", title.alias("title"), trimmed(F.array_join(F.transform("parts", lambda s: s["content"]), "\n\n")).alias("content"), "start", "end")
+    return out.withColumn("chapter_id", stable_id("chapter", F.concat_ws(":", book, F.lit("edited"), "ordinal", "title", "content")))
 
 
 def rebuilt(edited: DataFrame, book: str = "book") -> dict[str, DataFrame]:
