@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from leafmill.functions import packed, reasons, short_id, squeezed, trimmed
 from leafmill.operators._fold import folded
 from leafmill.ranks import ranked
-from leafmill.scratch import Tables
+from leafmill.scratch import Tables, dealt
 
 #: Moves of a task, fixed values; succeeded and cancelled ones move no more.
 TRANSITIONS = {
@@ -305,6 +305,34 @@ def listed(rows: DataFrame, project: str, listing: str, last: str = "id", tables
     return ranked(rows, [*order, F.asc(last)], "place", tables or Tables(rows.sparkSession), [project])
 
 
+#: A project with more rows than this is listed by ranges, which many tasks share.
+PROJECT_ROWS = 1_000_000
+
+
+def all_listed(rows: DataFrame, project: str, columns: dict[str, Column], last: str = "id", tables: Tables | None = None) -> DataFrame:
+    """(project, last, listing, place): the rows of each project in every one of LISTINGS, see ``listed``. ``columns``: the
+    columns that the listings name, as expressions over the rows; listings whose order is the same are numbered once.
+
+    Rows are dealt by project once for all listings. Projects of more than PROJECT_ROWS rows go through ``listed``.
+    """
+    tables = tables or Tables(rows.sparkSession)
+    many = tables.save(rows.groupBy(F.col(project).alias("_many")).agg(F.count("*").alias("_n")).where(F.col("_n") > PROJECT_ROWS).select("_many"), "many")
+    large = not many.isEmpty()
+    same = F.col(project).eqNullSafe(F.col("_many"))
+    usual = rows.join(F.broadcast(many), same, "left_anti") if large else rows
+    orders = {name: tuple((columns[c], down) for c, down in order) for name, order in LISTINGS.items()}
+    key = lambda order: tuple((str(c), down) for c, down in order)
+    place = {key(o): f"_place{i}" for i, o in enumerate({key(o): o for o in orders.values()}.values())}
+    numbers = {key(o): F.row_number().over(Window.partitionBy(project).orderBy(*(F.desc(c) if down else F.asc(c) for c, down in o), F.asc(last))).cast("long").alias(place[key(o)]) for o in orders.values()}
+    listings = F.explode(F.array(*(F.struct(F.lit(name).alias("listing"), F.col(place[key(o)]).alias("place")) for name, o in orders.items())))
+    out = dealt(usual, project).select(project, last, *numbers.values()).select(project, last, listings.alias("_l")).select(project, last, "_l.*")
+    if large:
+        apart = rows.join(F.broadcast(many), same, "left_semi").select(project, last, *(c.alias(name) for name, c in columns.items() if name != last))
+        for name in LISTINGS:
+            out = out.unionByName(listed(apart, project, name, last, tables).select(project, last, F.lit(name).alias("listing"), "place"))
+    return out
+
+
 #: A character's fields and what stands for one that is missing, blank or no text, fixed values.
 CHARACTER = {"name": "未命名角色", "role": "次要角色", "age": "青年（25–35）", "build": "匀称", "speech": "自然", "accent": "普通话 · 无明显口音", "goal": "待补充", "secret": "待补充"}
 UNFINISHED = "待完善"

@@ -257,13 +257,10 @@ SELECT project, id, listing, CASE
 """)
 def project_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing of every project, in its order."""
-    at, n = F.col("o_orderdate"), F.col("o_orderkey") % 100
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), *(at.alias(c) for c in ("imported_at", "updated_at", "created_at", "trashed_at")), F.col("o_orderstatus").alias("kind"), (F.col("o_orderkey") % 7).alias("chapter_plan_id"), n.alias("revision"), n.alias("ordinal"))
-    tables, out = Tables(spark), None
-    for name in review.LISTINGS:
-        part = review.listed(rows, "o_custkey", name, tables=tables).select(F.col("o_custkey").alias("project"), "id", F.lit(name).alias("listing"), "place")
-        out = part if out is None else out.unionByName(part)
-    return out
+    orders, at, n = table(spark, sf_dir, "orders"), F.col("o_orderdate"), F.col("o_orderkey") % 100
+    columns = {"imported_at": at, "updated_at": at, "created_at": at, "trashed_at": at, "kind": F.col("o_orderstatus"), "chapter_plan_id": F.col("o_orderkey") % 7, "revision": n, "ordinal": n, "id": F.col("o_orderkey")}
+    listed = review.all_listed(orders, "o_custkey", columns, "o_orderkey")
+    return listed.select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id"), "listing", "place")
 
 
 @query("""
