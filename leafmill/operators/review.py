@@ -144,16 +144,20 @@ def analyses_upserted(current: DataFrame, incoming: DataFrame, keys: list[str],
     return upserted(current, incoming.withColumn("status", F.lit("draft")), keys, order)
 
 
-def copied(tables: dict[str, DataFrame], ids: dict[str, str], foreign: dict[str, dict[str, str]], suffix: str) -> dict[str, DataFrame]:
+def copied(tables: dict[str, DataFrame], ids: dict[str, str], foreign: dict[str, dict[str, str]], suffix: str, scans: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """A deep copy: every table's id and its foreign keys get ``suffix``; rows whose parent is not copied go.
-    ``ids``: table to id column; ``foreign``: table to {column: parent table}."""
-    new = lambda c: F.concat(F.col(c).cast("string"), F.lit(suffix))
+    ``ids``: table to id column; ``foreign``: table to {column: parent table}. A parent's ids are all that is looked up,
+    as new ids follow from the old ones. ``scans``: tables with as many rows that are cheap to count, by which the look-ups
+    are dealt to more tasks the more rows there are."""
+    new = lambda c: F.concat(F.col(c).cast("string"), F.lit(suffix)).alias(c)
     out = {}
     for name, df in tables.items():
-        for column, parent in foreign.get(name, {}).items():
-            mapping = tables[parent].select(F.col(ids[parent]).alias(column), new(ids[parent]).alias("_new")).distinct()
-            df = df.join(mapping, column).withColumn(column, F.col("_new")).drop("_new")
-        out[name] = df.withColumn(ids[name], new(ids[name]))
+        columns = foreign.get(name, {})
+        for column, parent in columns.items():
+            known = tables[parent].select(F.col(ids[parent]).alias(column))
+            # the parents are dealt, as a semi join goes below what deals the rows
+            df = df.join(dealt(known, column, like=scans[name]) if scans else known, column, "left_semi")
+        out[name] = df.select(*(new(c) if c == ids[name] or c in columns else F.col(c) for c in df.columns))
     return out
 
 

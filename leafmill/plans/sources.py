@@ -10,7 +10,7 @@ from leafmill.operators.infer import audited
 from leafmill.plans._base import query, table
 from leafmill.operators.structure import joined_digests
 from leafmill.plans.structure import books, trim
-from leafmill.scratch import Tables
+from leafmill.scratch import Tables, dealt
 from leafmill.sources import exports, files
 from leafmill.streaming.library import Library
 
@@ -132,17 +132,18 @@ UNION ALL SELECT o_custkey || '-r', 'revision ' || rn, sum(l_linenumber)::BIGINT
 def bundle_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects written as a bundle, read again and restored under new ids: running tasks pause, versions are replayed."""
     projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
-    orders = table(spark, sf_dir, "orders").join(projects, F.col("o_custkey") == F.col("project_id"), "left_semi")
+    made, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    orders = made.join(dealt(projects, "project_id", like=made), F.col("o_custkey") == F.col("project_id"), "left_semi")
     tasks = orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise(F.col("o_orderstatus")).alias("status"))
     chapters = orders.select(F.col("o_orderkey").alias("chapter_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("title"))
     # versions with gaps in their revisions, the last line first
-    versions = table(spark, sf_dir, "lineitem").join(chapters, F.col("l_orderkey") == F.col("chapter_id"), "left_semi").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("version_id"), F.col("l_orderkey").alias("chapter_id"), (100 - 3 * F.col("l_linenumber")).alias("revision"), F.col("l_linenumber").alias("line"))
+    versions = lines.join(dealt(chapters, "chapter_id", like=lines), F.col("l_orderkey") == F.col("chapter_id"), "left_semi").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("version_id"), F.col("l_orderkey").alias("chapter_id"), (100 - 3 * F.col("l_linenumber")).alias("revision"), F.col("l_linenumber").alias("line"))
     path = Tables(spark).path("bundle")
     exports.write_bundle({"projects": projects, "chapters": chapters, "versions": versions, "task_runs": tasks}, path)
     back = exports.restored(exports.read_bundle(spark, path), "-r")
-    replayed = back["versions"].join(back["chapters"].select("chapter_id", "project_id"), "chapter_id")
-    replayed = replayed.groupBy("project_id", F.concat(F.lit("revision "), "revision").alias("status")).agg(F.sum("line").cast("long").alias("n"))
-    return back["task_runs"].groupBy("project_id", "status").agg(F.count("*").alias("n")).unionByName(replayed)
+    replayed = dealt(back["versions"], "chapter_id", like=lines).join(back["chapters"].select("chapter_id", "project_id"), "chapter_id")
+    replayed = dealt(replayed, "project_id", like=lines).groupBy("project_id", F.concat(F.lit("revision "), "revision").alias("status")).agg(F.sum("line").cast("long").alias("n"))
+    return dealt(back["task_runs"], "project_id", like=made).groupBy("project_id", "status").agg(F.count("*").alias("n")).unionByName(replayed)
 
 
 def upper(text: str) -> str:

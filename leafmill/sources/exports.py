@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import trimmed
 from leafmill.operators.structure import joined_digests
-from leafmill.scratch import Tables
+from leafmill.scratch import Tables, dealt
 
 FORMAT, VERSION = "leafmill-bundle", 1
 REQUIRED = ("projects", "chapters")
@@ -127,14 +127,17 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def restored(tables: dict[str, DataFrame], suffix: str) -> dict[str, DataFrame]:
-    """A bundle's tables as a new project: new ids throughout, revisions replayed in order, running tasks paused."""
+    """A bundle's tables as a new project: new ids throughout, revisions replayed in order, running tasks paused. Tables
+    meet their parents in more tasks the more rows they have."""
     from leafmill.operators.review import copied
 
     ids = {"projects": "project_id", "chapters": "chapter_id", "versions": "version_id", "task_runs": "task_id"}
     foreign = {"chapters": {"project_id": "projects"}, "versions": {"chapter_id": "chapters"}, "task_runs": {"project_id": "projects"}}
-    out = copied({k: v for k, v in tables.items() if k in ids}, ids, {k: v for k, v in foreign.items() if k in tables}, suffix)
-    if "versions" in out:
-        out["versions"] = out["versions"].withColumn("revision", F.row_number().over(Window.partitionBy("chapter_id").orderBy("revision", "version_id")))
+    rows = {k: v for k, v in tables.items() if k in ids}
+    if "versions" in rows:  # before the look-up, as it deals them; a chapter's versions stay or go together
+        order = Window.partitionBy("chapter_id").orderBy("revision", F.concat(F.col("version_id").cast("string"), F.lit(suffix)))
+        rows["versions"] = dealt(rows["versions"], "chapter_id").withColumn("revision", F.row_number().over(order))
+    out = copied(rows, ids, {k: v for k, v in foreign.items() if k in tables}, suffix, tables)
     if "task_runs" in out:
         out["task_runs"] = out["task_runs"].withColumn("status", F.when(F.col("status") == "running", "paused").otherwise(F.col("status")))
     return out

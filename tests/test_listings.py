@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import review
 from leafmill.scratch import dealt
+from leafmill.sources import exports
 
 
 @pytest.mark.parametrize("most", [10**6, 12])
@@ -35,3 +36,23 @@ def test_rows_are_dealt_to_more_partitions_as_they_grow(spark, monkeypatch):
     monkeypatch.setattr("leafmill.scratch.ROWS", 10)
     assert dealt(spark.range(95), "id").rdd.getNumPartitions() == 10
     assert dealt(spark.range(0), "id").count() == 0
+
+
+def test_a_bundle_is_restored_in_more_tasks_as_it_grows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("leafmill.scratch.ROWS", 10)
+    chapters = [(i, i % 3) for i in range(8)]  # project 2 is not in the bundle, chapter 9 neither
+    versions = [(f"v{i}", rng, 100 - i) for i, rng in enumerate([*range(8), 9] * 11)]
+    bundle = {"projects": spark.createDataFrame([(0,), (1,)], "project_id long"), "chapters": spark.createDataFrame(chapters, "chapter_id long, project_id long"), "versions": spark.createDataFrame(versions, "version_id string, chapter_id long, revision int")}
+    exports.write_bundle(bundle, str(tmp_path / "b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        back = exports.restored(exports.read_bundle(spark, str(tmp_path / "b")), "-x")
+        assert back["versions"].rdd.getNumPartitions() == 10
+        got = {tuple(r) for r in back["versions"].select("version_id", "chapter_id", "revision").collect()}
+        assert {tuple(r) for r in back["chapters"].select("chapter_id", "project_id").collect()} == {(f"{c}-x", f"{p}-x") for c, p in chapters if p < 2}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wanted = set()
+    for c in range(8):
+        wanted |= {(f"{v}-x", f"{c}-x", n) for n, (_, v) in enumerate(sorted((r, v) for v, own, r in versions if own == c), 1)}
+    assert got == wanted
