@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import estimated_tokens, json_object, reasons, stable_id, trimmed
+from leafmill.scratch import Tables
 
 #: Priorities of the pool, fixed values: facts, then summaries by layer, then passages by score.
 FACT, LAYERS = 1000, {"project": 500, "volume": 400, "chapter": 300, "scene": 200, "recent": 100}
@@ -16,6 +17,8 @@ FACT_PARTS = {"character": 100, "relation": 80, "timeline": 75, "location": 70,
 SUMMARY_PARTS = {"synopsis": ("project", 100), "volume": ("volume", 80), "plan": ("chapter", 100), "memory": ("chapter", 90)}
 #: A candidate carries its size, not its text, which joins those that are kept.
 CANDIDATE = ["project", "target", "kind", "id", "tokens", "priority"]
+#: Projects of up to so many candidates, and up to so many targets, meet them within a row; larger ones go by blocks.
+SMALL = 512
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -212,14 +215,49 @@ def _fitting(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
     other of its size does, so these are the first ones. Shares of a group are cut first, so that no group is sorted
     whole."""
     for share in ([F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(16))], []):
-        order = Window.partitionBy(*keys, "tokens", *share).orderBy(F.desc("priority"), F.col("id").cast("string"), "kind")
+        order = Window.partitionBy(*keys, "tokens", *share).orderBy(F.desc_nulls_first("priority"), F.col("id").cast("string"), "kind")
         rows = rows.where(F.col("tokens") <= budget).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth").cast("long") * F.col("tokens") <= budget).drop("_nth")
     return rows
 
 
-def fitted(spans: DataFrame, targets: DataFrame, budget: int = 18_000) -> DataFrame:
+def _larger(rows: DataFrame, most: int) -> DataFrame:
+    """The projects of more rows than ``most``."""
+    return rows.groupBy("project").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("project").alias("_project"))
+
+
+def _split(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of projects that are not among ``large``, and those of projects that are; null is a project here."""
+    same = F.col("project").eqNullSafe(F.col("_project"))
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def fitted(spans: DataFrame, targets: DataFrame, budget: int = 18_000, tables: Tables | None = None) -> DataFrame:
     """As ``assembled`` of all that ``spans`` (of ``fact_spans``, ``summary_spans`` and ``passage_spans``) shows each
-    target, without making those pairs: a block of chapters keeps only what can fit, and a target meets its blocks."""
+    target, without making those pairs: a small project is one row, whose targets look through its candidates where they
+    are; in a larger one a block of chapters keeps only what can fit, and a target meets its blocks."""
+    tables, targets = tables or Tables(targets.sparkSession), targets.select("project", "target")
+    large = tables.save(_larger(spans, SMALL).unionByName(_larger(targets, SMALL)).distinct(), "large")
+    if large.isEmpty():
+        return _fitted_in_rows(spans, targets, budget)
+    (few_spans, spans), (few_targets, targets) = _split(spans, large), _split(targets, large)
+    return _fitted_in_rows(few_spans, few_targets, budget).unionByName(_fitted_by_blocks(spans, targets, budget))
+
+
+def _fitted_in_rows(spans: DataFrame, targets: DataFrame, budget: int) -> DataFrame:
+    """``fitted`` of small projects: their candidates and targets are gathered once, in order, and nothing that is made
+    for a target is dealt again."""
+    one = F.struct((-F.col("priority")).alias("p"), F.col("id").cast("string").alias("id"), "kind", "tokens", "lo", "hi")
+    pool = spans.where(F.col("tokens") <= budget).groupBy("project").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    asked = targets.groupBy("project").agg(F.collect_set(F.struct("target")).alias("t")).join(pool, "project", "left")
+
+    def made(t: Column) -> Column:
+        seen = F.filter("c", lambda x: (x["lo"].isNull() | (x["lo"] <= t["target"])) & (x["hi"].isNull() | (x["hi"] >= t["target"])) & t["target"].isNotNull())
+        return F.struct(t["target"].alias("target"), _taken(seen, budget).alias("s"))
+
+    return _told(asked.select("project", F.explode(F.transform("t", made)).alias("m")).select("project", "m.target", "m.s"), budget)
+
+
+def _fitted_by_blocks(spans: DataFrame, targets: DataFrame, budget: int) -> DataFrame:
     short = _fitting(_blocks(spans, targets, "lo", "hi").drop("lo", "hi"), ["project", "_block"], budget)
     return assembled(short.join(_looked_up(targets), ["project", "_block"]).drop("_block"), targets, budget)
 
@@ -231,15 +269,31 @@ def assembled(pool: DataFrame, targets: DataFrame, budget: int = 18_000) -> Data
     are at most budget / 1 + budget / 2 + ... candidates."""
     short = _fitting(pool, ["project", "target"], budget)
     rows = short.groupBy("project", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), F.col("id").cast("string").alias("id"), "kind", "tokens"))).alias("c"))
-    one = "struct<kind:string,id:string,tokens:int>"
-    start = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<{one}>").alias("kept"))
+    done = rows.select("project", "target", _taken(F.col("c"), budget).alias("s"))
+    return _told(targets.select("project", "target").distinct().join(done, ["project", "target"], "left"), budget)
+
+
+#: What a target has taken so far.
+_TAKEN = "struct<used:int,kept:array<struct<kind:string,id:string,tokens:int>>>"
+
+
+def _none_taken() -> Column:
+    return F.struct(F.lit(0).alias("used"), F.array().alias("kept")).cast(_TAKEN)
+
+
+def _taken(candidates: Column, budget: int) -> Column:
+    """(used, kept) of candidates in their order: each is taken if it still fits."""
 
     def step(s: Column, x: Column) -> Column:
         own = F.array(F.struct(x["kind"].alias("kind"), x["id"].alias("id"), x["tokens"].cast("int").alias("tokens")))
         return F.when(x["tokens"] <= budget - s["used"], F.struct((s["used"] + x["tokens"]).cast("int").alias("used"), F.concat(s["kept"], own).alias("kept"))).otherwise(s)
 
-    done = rows.select("project", "target", F.aggregate("c", start, step).alias("s"))
-    every = targets.select("project", "target").distinct().join(done, ["project", "target"], "left").withColumn("s", F.coalesce("s", start))
+    return F.aggregate(candidates, _none_taken(), step)
+
+
+def _told(rows: DataFrame, budget: int) -> DataFrame:
+    """The rows (project, target, s) as contexts; where ``s`` is null nothing was taken."""
+    every = rows.withColumn("s", F.coalesce("s", _none_taken()))
     ids = F.array_join(F.transform("s.kept", lambda x: x["id"]), ",")
     fingerprint = F.concat_ws(":", F.col("project").cast("string"), F.col("target").cast("string"), F.lit(str(budget)), ids)
     return every.select("project", "target", F.col("s.used").alias("used"), F.col("s.kept").alias("sources"), stable_id("ctx", fingerprint).alias("context_id"))
