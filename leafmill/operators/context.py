@@ -19,6 +19,8 @@ SUMMARY_PARTS = {"synopsis": ("project", 100), "volume": ("volume", 80), "plan":
 CANDIDATE = ["project", "target", "kind", "id", "tokens", "priority"]
 #: Projects of up to so many candidates, and up to so many targets, meet them within a row; larger ones go by blocks.
 SMALL = 512
+#: A project's texts of up to so many characters in all lie in a row.
+SMALL_TEXTS = 1_000_000
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -299,20 +301,45 @@ def _told(rows: DataFrame, budget: int) -> DataFrame:
     return every.select("project", "target", F.col("s.used").alias("used"), F.col("s.kept").alias("sources"), stable_id("ctx", fingerprint).alias("context_id"))
 
 
-def prompts(contexts: DataFrame, texts: DataFrame) -> DataFrame:
+def _prompt_part(kind: Column, id: Column, text: Column) -> Column:
+    return F.concat(F.lit("["), kind, F.lit(":"), id, F.lit("]\n"), F.coalesce(text, F.lit("")))
+
+
+def prompts(contexts: DataFrame, texts: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(project, target, context_id, prompt): the sources' texts with their kind and id, blank lines between.
-    ``texts``: (project, kind, id, text)."""
+    ``texts``: (project, kind, id, text). A small project's texts are one row, in which its contexts look theirs up; those
+    of a larger one meet source by source."""
+    tables, contexts = tables or Tables(contexts.sparkSession), contexts.select("project", "target", "context_id", "sources")
+    texts = texts.select("project", "kind", F.col("id").cast("string").alias("id"), "text")
+    long = texts.groupBy("project").agg(F.sum(F.length("text")).alias("_n")).where(F.col("_n") > SMALL_TEXTS).select(F.col("project").alias("_project"))
+    large = tables.save(_larger(texts, SMALL).unionByName(long).distinct(), "large")
+    if large.isEmpty():
+        return _prompts_in_rows(contexts, texts)
+    (few_contexts, contexts), (few_texts, texts) = _split(contexts, large), _split(texts, large)
+    return _prompts_in_rows(few_contexts, few_texts).unionByName(_prompts_by_sources(contexts, texts))
+
+
+def _prompts_in_rows(contexts: DataFrame, texts: DataFrame) -> DataFrame:
+    known = texts.where("project is not null and kind is not null and id is not null").repartition("project").dropDuplicates(["project", "kind", "id"])
+    held = known.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "id"), "text"))).alias("held"))
+    part = lambda s: _prompt_part(s["kind"], s["id"], F.try_element_at("held", F.struct(s["kind"], s["id"])))
+    return contexts.join(held, "project", "left").select("project", "target", "context_id", F.coalesce(F.array_join(F.transform("sources", part), "\n\n"), F.lit("")).alias("prompt"))
+
+
+def _prompts_by_sources(contexts: DataFrame, texts: DataFrame) -> DataFrame:
     kept = contexts.select("project", "target", F.posexplode("sources").alias("n", "s")).select("project", "target", "n", "s.kind", "s.id")
-    named = texts.select("project", "kind", F.col("id").cast("string").alias("id"), "text").dropDuplicates(["project", "kind", "id"])
-    part = F.concat(F.lit("["), F.col("kind"), F.lit(":"), F.col("id"), F.lit("]\n"), F.coalesce("text", F.lit("")))
-    each = kept.join(named, ["project", "kind", "id"], "left").select("project", "target", F.struct("n", part.alias("part")).alias("p"))
+    named = texts.dropDuplicates(["project", "kind", "id"])
+    each = kept.join(named, ["project", "kind", "id"], "left").select("project", "target", F.struct("n", _prompt_part(F.col("kind"), F.col("id"), F.col("text")).alias("part")).alias("p"))
     joined = each.groupBy("project", "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "\n\n").alias("prompt"))
-    return contexts.select("project", "target", "context_id").join(joined, ["project", "target"], "left").na.fill("", ["prompt"])
+    joined = joined.select(F.col("project").alias("_project"), F.col("target").alias("_target"), "prompt")
+    same = F.col("project").eqNullSafe(F.col("_project")) & F.col("target").eqNullSafe(F.col("_target"))
+    return contexts.select("project", "target", "context_id").join(joined, same, "left").drop("_project", "_target").na.fill("", ["prompt"])
 
 
 def new_snapshots(contexts: DataFrame, existing: DataFrame, key: str = "context_id") -> DataFrame:
-    """Contexts whose content is not stored yet, one of each."""
-    return contexts.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    """Contexts whose content is not stored yet, one of each. Those that are stored go first, so whole contexts are dealt
+    and sorted once."""
+    return contexts.join(existing.select(key), key, "left_anti").dropDuplicates([key])
 
 
 def chapter_sources(chapter: DataFrame, plan: DataFrame, canon: DataFrame, drafts: DataFrame) -> DataFrame:

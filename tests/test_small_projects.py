@@ -58,3 +58,34 @@ def test_each_project_goes_one_way(spark, monkeypatch):
     monkeypatch.setattr(context, "_fitted_by_blocks", lambda s, t, b: (seen.extend({r["project"] for r in s.select("project").collect()}), blocks(s, t, b))[1])
     assert context.fitted(df, dt, 25).count() == dt.distinct().count()
     assert seen == [0] and sum(x[0] == 0 for x in spans) > 40
+
+
+@pytest.mark.parametrize(("small", "chars"), [(0, 10**6), (6, 10**6), (10**6, 10**6), (10**6, 20)])
+def test_prompts_of_any_size_of_project(spark, monkeypatch, small, chars):
+    monkeypatch.setattr(context, "SMALL", small)
+    monkeypatch.setattr(context, "SMALL_TEXTS", chars)
+    rng = random.Random(small)
+    texts = {(p, kind, k): rng.choice([None, "", "x\ny", "林" * (k or 1)]) for p in (None, 0, 1, 2) for kind in ("fact", "passage", None) for k in (None, *range(rng.choice([2, 9])))}
+    rows = [(*k, t) for k, t in texts.items()] * 2
+    ids = [(kind, str(k), 1) for kind in ("fact", "passage", "none") for k in range(9)]
+    made = [(rng.choice([None, 0, 1, 2, 5]), n, f"c{n}", rng.sample(ids, rng.choice([0, 1, 5]))) for n in range(40)]
+    df = spark.createDataFrame(made, "project int, target int, context_id string, sources array<struct<kind:string,id:string,tokens:int>>")
+    got = {(r["target"], r["context_id"]): r["prompt"] for r in context.prompts(df, spark.createDataFrame(rows, "project int, kind string, id int, text string")).collect()}
+    text = lambda p, kind, k: (texts.get((p, kind, int(k))) or "") if p is not None else ""
+    assert got == {(n, c): "\n\n".join(f"[{kind}:{k}]\n{text(p, kind, k)}" for kind, k, _ in sources) for p, n, c, sources in made}
+    assert len(got) == 40
+
+
+def test_prompts_of_small_projects_are_dealt_by_project(spark):
+    df = spark.createDataFrame([(1, 2, "c", [("fact", "3", 1)])], "project int, target int, context_id string, sources array<struct<kind:string,id:string,tokens:int>>")
+    prompts = context.prompts(df, spark.createDataFrame([(1, "fact", 3, "t")], "project int, kind string, id int, text string"))
+    keys = dealt_by(prompts)
+    assert all(k == ["project"] for k in keys) and prompts.first()["prompt"] == "[fact:3]\nt"
+
+
+def test_stored_contexts_go_before_the_others_are_dealt(spark):
+    ids = lambda *x: spark.createDataFrame([(i, i * 2) for i in x], "context_id int, n int")
+    fresh = context.new_snapshots(ids(1, 2, 2, 3), ids(3, 4))
+    assert sorted((r["context_id"], r["n"]) for r in fresh.collect()) == [(1, 2), (2, 4)]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftAnti")
