@@ -222,23 +222,25 @@ def backfilled(chapters_: DataFrame, doc: str, order: str, title: str, content:
 
 def joined_digests(parts: DataFrame, key: str, order: str, part: str, between: str = "\n\n", head: Column | None = None, tail: str = "") -> DataFrame:
     """(key, digest): the MD5 of ``head``, a key's parts in order and ``tail``. The sorted parts are read in batches and a
-    text is never held whole; null parts are left out."""
+    digest's text is never held whole; null parts are left out."""
     rows = parts.select(key, (F.lit("") if head is None else head).alias("_head"), F.col(order).alias("_order"), F.col(part).alias("_part"))
     ordered = rows.repartition(key).sortWithinPartitions(key, "_order", "_part").select(key, "_head", "_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total, joined, kind = None, None, False, None
-        # a few rows at a time as Python's values: a batch may hold thousands of long texts
-        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
-            kind, done = batch.schema.types[0], []
-            for own, start, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        for batch in batches:
+            kind, done, (keys, heads, texts) = batch.schema.types[0], [], batch.columns
+            # texts are digested where they lie; a batch may hold many long ones
+            for own, start, text in zip(keys.to_pylist(), heads.to_pylist(), texts, strict=True):
                 if total is None or own != last:
                     if total is not None:
                         total.update(tail.encode())
                         done.append((last, total.hexdigest()))
                     last, total, joined = own, hashlib.md5((start or "").encode()), False
-                if text is not None:
-                    total.update(((between if joined else "") + text).encode())
+                if text.is_valid:
+                    if joined and between:
+                        total.update(between.encode())
+                    total.update(text.as_buffer())
                     joined = True
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string())], [key, "digest"])
         if total is not None:

@@ -13,6 +13,8 @@ FORMAT, VERSION = "leafmill-bundle", 1
 REQUIRED = ("projects", "chapters")
 #: The folders of a book's files, named in their order.
 PIECE = "leafmill_piece"
+#: Bytes of text for each range of ``shelved``, and so about the most for a file of a book, which is read as one value.
+RANGE = 16_000_000
 
 
 def selected(plan: DataFrame, drafts: DataFrame, keys: list[str], content: str) -> DataFrame:
@@ -43,10 +45,13 @@ def manuscript_digests(chapters: DataFrame, book: str, number: str, title: str,
 
 def shelved(rows: DataFrame, book: str, order: list[str], tables: Tables) -> DataFrame:
     """The rows with ``leafmill_at``, which grows with book and order, and the block of their file. They are dealt by
-    ranges of book and order and written in that order, so a long book lies in many ranges; ``write_books`` takes such
-    rows as they lie, any number of times."""
-    dealt = rows.repartitionByRange(book, *order).sortWithinPartitions(book, *order).withColumn("leafmill_at", F.monotonically_increasing_id())
-    return tables.save(dealt, "shelf").select("*", F.col("_metadata.file_block_start").alias("leafmill_block"))
+    ranges of book and order and written in that order, so a long book lies in many ranges, one for every RANGE bytes of
+    text at any size; ``write_books`` takes such rows as they lie, any number of times."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in rows.dtypes if kind in ("string", "binary")]
+    n = -(-(rows.agg(F.sum(sum(sizes, F.lit(0)))).first()[0] or 0) // RANGE)
+    ranges = rows.repartitionByRange(n, book, *order) if n > 1 else rows.repartitionByRange(book, *order)
+    shelf = ranges.sortWithinPartitions(book, *order).withColumn("leafmill_at", F.monotonically_increasing_id())
+    return tables.save(shelf, "shelf").select("*", F.col("_metadata.file_block_start").alias("leafmill_block"))
 
 
 def numbered(shelf: DataFrame, book: str, out: str, tables: Tables) -> DataFrame:
