@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,9 @@ GRAM, WINDOW = 24, 256
 LEAST_BITS, MOST_BITS = 20, 29
 #: So many bytes of text are looked through at a time.
 PIECE = 300_000
+#: So many bytes of text meet their terms at once, so many characters of their words are looked through at a time, and so
+#: many pairs of keys and terms are counted at a time.
+CHUNK, LAID, PAIRS = 8_000_000, 300_000, 1_000_000
 _BASE, _MIX, _AGAIN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -190,35 +194,166 @@ def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     return (batch.slice(a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def _looked_up(items: DataFrame, terms: DataFrame, scope: str, key: str) -> DataFrame:
-    """(scope, key, term, place) of terms of up to GRAM characters that are a run of an item's ``_text``."""
-    power, sieve = _sieve(terms, scope)
-    sent = items.sparkSession.sparkContext.broadcast(sieve)
+def _texts(table: pa.Table) -> Iterator[str]:
+    """The texts of a group, as Python's a few at a time."""
+    return (text for batch in table.select(["_text"]).to_batches() for part in _pieces(batch, "_text") for text in part["_text"].to_pylist())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = sent.value
-        for batch in (part for whole in batches for part in _pieces(whole, "_text")):
-            words, owners, rows, found = [], [], [], []
-            for row, text in enumerate(batch["_text"].to_pylist()):
-                own = set(_STRETCHES.findall(text))
-                words += own
-                owners += [row] * len(own)
-            joined, owners = "".join(words), np.array(owners, np.int64)
-            codes, owner = _codes(joined), np.repeat(owners, [len(w) for w in words]) if words else owners
-            for n, at, _, numbers in _runs(words, batch["_seed"].to_numpy().view(np.uint64)[owners]):
+
+def _laid(words: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The words in lists of about LAID characters, each with its first one's number."""
+    ends = np.cumsum([len(w) for w in words])
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(ends // LAID)) + 1, [len(words)]])).tolist()
+    return ((a, words[a:b]) for a, b in pairwise(cuts))
+
+
+def _buckets(items: DataFrame, scope: str, key: str, tables: Tables) -> Callable[[DataFrame], DataFrame]:
+    """What adds ``_bucket`` to rows with scope and key: about CHUNK bytes of the items share one, all rows of a key do. A
+    large scope has buckets of its own; smaller ones share theirs. Joined are large scopes alone, one for CHUNK bytes at
+    most."""
+    sizes = tables.save(items.groupBy(F.col(scope).alias("_scope")).agg(F.sum(F.octet_length("_text").cast("long") + 64).alias("_bytes")), "sizes")
+    count = max(1, -(-(sizes.agg(F.sum("_bytes")).first()[0] or 0) // CHUNK))
+    large = sizes.where(F.col("_bytes") > CHUNK).select("_scope", F.ceil(F.col("_bytes") / CHUNK).alias("_n"))
+    own = F.xxhash64(scope, F.pmod(F.xxhash64(key), F.col("_n")))
+    bucket = F.when(F.col("_n").isNull(), F.pmod(F.xxhash64(scope), F.lit(count))).otherwise(own)
+    return lambda rows: rows.join(F.broadcast(large), F.col(scope) == F.col("_scope"), "left").withColumn("_bucket", bucket).drop("_scope", "_n")
+
+
+def _known(items: DataFrame, terms: DataFrame, scope: str) -> DataFrame:
+    """(_bucket, scope, term, place) of terms of up to GRAM characters that are a run of a bucket's texts."""
+    power, sieve = _sieve(terms, scope)
+    sent, kind = items.sparkSession.sparkContext.broadcast(sieve), dict(items.dtypes)[scope]
+
+    def run(group: pa.Table) -> pa.Table:
+        sieve, (number, names) = sent.value, _numbered(group[scope])
+        seeds = np.zeros(len(names), np.uint64)
+        seeds[number] = group["_seed"].to_numpy().view(np.uint64)
+        own = [set() for _ in range(len(names))]
+        for n, text in zip(number.tolist(), _texts(group), strict=True):
+            own[n].update(_STRETCHES.findall(text))
+        words, owners = [w for seen in own for w in seen], np.repeat(np.arange(len(own)), [len(seen) for seen in own])
+        found = [set() for _ in own]
+        for first, laid in _laid(words):
+            owner, joined = owners[first : first + len(laid)], "".join(laid)
+            codes, each = _codes(joined), np.repeat(owner, [len(w) for w in laid])
+            for n, at, _, numbers in _runs(laid, seeds[owner]):
                 one, two = _bits(numbers, power)
                 there = np.flatnonzero((sieve[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
                 two = two[there]
                 there = there[((sieve[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)]
-                at = _once(codes, at[there], n, owner[at[there]], numbers[there])
-                rows.append(owner[at])
-                found += [joined[i : i + n] for i in at.tolist()]
-            given = batch.select([scope, key]).take(pa.array(np.concatenate(rows) if rows else owners))
-            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(found, pa.string())], [scope, key, "term"])
+                at = _once(codes, at[there], n, each[at[there]], numbers[there])
+                for i, k in zip(at.tolist(), each[at].tolist(), strict=True):
+                    found[k].add(joined[i : i + n])
+        scopes = names.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+        runs = pa.array([run for f in found for run in f], pa.string())
+        return pa.table([pa.repeat(group["_bucket"][0], len(runs)), scopes, runs], names=["_bucket", scope, "term"])
+
+    runs = items.groupBy("_bucket").applyInArrow(run, f"_bucket long, {scope} {kind}, term string")
+    return runs.join(terms, [scope, "term"]).select("_bucket", scope, "term", "place")
+
+
+def _numbered(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A column as numbers of its different values, and those; null is a value."""
+    coded = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode("encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _held(words: list[str], owners: np.ndarray, terms: list[str], scopes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, term): pairs of numbers of words and of the terms of up to GRAM characters which stand in them, of the same
+    scope. Runs are looked up by their number, then compared; a pair may come more than once."""
+    sizes = np.array([len(t) for t in terms], np.int64)
+    first, spelt, table = np.cumsum(sizes) - sizes, _codes("".join(terms)), {}
+    for n, at, left, numbers in _runs(terms, seeds[scopes]):
+        whole = np.flatnonzero(left == n)
+        whole = whole[np.isin(at[whole], first, assume_unique=True)]
+        whole = whole[np.argsort(numbers[whole], kind="stable")]
+        table[n] = numbers[whole], np.searchsorted(first, at[whole])
+    pairs = [np.zeros((2, 0), np.int64)]
+    for begin, laid in _laid(words):
+        owner, codes = np.repeat(np.arange(begin, begin + len(laid)), [len(w) for w in laid]), _codes("".join(laid))
+        for n, at, _, numbers in _runs(laid, seeds[owners[begin : begin + len(laid)]]):
+            known, term = table.get(n, (numbers[:0], at[:0]))
+            if not len(known):
+                continue
+            low = np.searchsorted(known, numbers)
+            hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == numbers)
+            low, here = low[hit], at[hit]
+            high = np.searchsorted(known, numbers[hit], "right")
+            while len(low):  # more than once if terms share a number, as those with two places do
+                found = term[low]
+                same = scopes[found] == owners[owner[here]]
+                for k in range(n):
+                    same &= codes[here + k] == spelt[first[found] + k]
+                pairs.append(np.stack([owner[here[same]], found[same]]))
+                more = low + 1 < high
+                low, here, high = low[more] + 1, here[more], high[more]
+    return tuple(np.concatenate(pairs, axis=1))
+
+
+def _first_of(items: DataFrame, known: DataFrame, scope: str, key: str, first: int) -> DataFrame:
+    """(scope, key, terms, n_terms) of items that hold one of their bucket's terms: the ``first`` terms of each key by
+    their place, and how many there are; rows that are there again count once. ``known``: (_bucket, scope, term, place), and
+    ``_of``, the key if a term is known to be held by that one alone, else null, which ``_own`` tells. A bucket's texts
+    look its terms up where they are; no row is made for a mention."""
+    place = known.schema["place"].dataType
+    places = [f"place.{c}" for c in place.names] if isinstance(place, StructType) else ["place"]
+    ranks = [f"_p{i}" for i in range(len(places))]
+    known = known.select("_bucket", F.xxhash64(scope).alias("_seed"), scope, "_of", "_own", *(F.col(c).alias(n) for c, n in zip(places, ranks, strict=True)), "term")
+
+    def run(items: pa.Table, known: pa.Table) -> pa.Table:
+        order = [(c, "ascending") for c in (*ranks, "term", scope)]
+        known = known.take(pc.sort_indices(known, order, null_placement="at_start")) if known.num_rows else known
+        both = lambda a, b: _numbered(pa.chunked_array([*items[a].chunks, *known[b].chunks], items.schema.field(a).type))
+        (number, names), (keyed, _), n = both(scope, scope), both(key, "_of"), items.num_rows
+        seeds = np.zeros(len(names), np.uint64)
+        seeds[number] = np.concatenate([t["_seed"].to_numpy() for t in (items, known)]).view(np.uint64)
+        moved = [np.diff(_numbered(known[c])[0], prepend=-1) != 0 for c in (*ranks, "term", scope)]
+        term = np.cumsum(np.logical_or.reduce(moved)) - 1  # the number of a row's term, in the order of places
+        _, row, owner = np.unique(number * (keyed.max(initial=0) + 1) + keyed, return_index=True, return_inverse=True)
+        own = [{} for _ in range(len(names))]
+        words, owners, held = [], [], []
+        for k, text in zip(number[:n].tolist(), _texts(items), strict=True):
+            seen, mine = own[k], []
+            for w in set(_STRETCHES.findall(text)):
+                at = seen.get(w)
+                if at is None:
+                    at = seen[w] = len(words)
+                    words.append(w)
+                    owners.append(k)
+                mine.append(at)
+            held.append(np.array(mine, np.int64))
+        alone = known["_own"].to_numpy(zero_copy_only=False).astype(bool)
+        free = np.flatnonzero(~alone)
+        word, found = _held(words, np.array(owners, np.int64), known["term"].take(pa.array(free)).to_pylist(), number[n:][free], seeds)
+        # a term that one key alone holds is a word of its own
+        alone = np.flatnonzero(alone)
+        word, found = np.concatenate([word, len(words) + np.arange(len(alone))]), np.concatenate([term[free][found], term[alone]])
+        by = np.argsort(word, kind="stable")
+        found, begins = found[by], np.searchsorted(word[by], np.arange(len(words) + len(alone) + 1))
+        keys = np.concatenate([np.repeat(owner[:n], [len(h) for h in held]), owner[n:][alone]])
+        holds = np.concatenate([*held, len(words) + np.arange(len(alone))])
+        by = np.argsort(keys, kind="stable")
+        keys, holds = keys[by], holds[by]
+        many = np.diff(begins)[holds]
+        cuts = np.flatnonzero(np.diff(keys, prepend=-1))  # where a key begins
+        cuts = cuts[np.diff(np.concatenate([[0], np.cumsum(many)])[cuts] // PAIRS, prepend=-1) != 0] if len(cuts) else cuts
+        parts = []
+        for a, b in pairwise([*cuts.tolist(), len(keys)]):
+            size = many[a:b]
+            at = np.repeat(begins[holds[a:b]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            pairs = np.unique(np.repeat(keys[a:b], size) * (len(term) + 1) + found[at])
+            whose, what = np.divmod(pairs, len(term) + 1)
+            mine, begin, count = np.unique(whose, return_index=True, return_counts=True)
+            near = np.arange(len(pairs)) - np.repeat(begin, count) < first
+            parts.append((mine, count, what[near]))
+        mine, count, what = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
+        example = np.flatnonzero(np.diff(term, prepend=-1))  # a row of each term
+        ends = np.concatenate([[0], np.cumsum(np.minimum(count, first))]).astype(np.int32)
+        told = pa.ListArray.from_arrays(pa.array(ends), known["term"].take(pa.array(example[what])).combine_chunks())
+        given = items.select([scope, key]).take(pa.array(row[mine]))
+        return pa.table([*given.columns, told, pa.array(count)], names=[scope, key, "terms", "n_terms"])
 
     kinds = dict(items.dtypes)
-    runs = items.select(scope, key, F.xxhash64(scope).alias("_seed"), "_text").mapInArrow(run, f"{scope} {kinds[scope]}, {key} {kinds[key]}, term string")
-    return runs.join(terms, [scope, "term"]).select(scope, key, "term", "place")
+    return items.groupBy("_bucket").cogroup(known.groupBy("_bucket")).applyInArrow(run, f"{scope} {kinds[scope]}, {key} {kinds[key]}, terms array<string>, n_terms long")
 
 
 def _grams(stretches: DataFrame, keep: list[str], stretch: str) -> DataFrame:
@@ -251,66 +386,27 @@ def _long_ones(items: DataFrame, terms: DataFrame, scope: str, key: str, tables:
     return stretches.join(sure, [scope, "stretch"]).select(scope, key, "term", "place")
 
 
-def _first_of(held: DataFrame, scope: str, key: str, first: int) -> DataFrame:
-    """(scope, key, terms, n_terms) of ``held``, (scope, key, term, place): the ``first`` terms of each key by their place,
-    and how many there are; rows that are there again count once. Rows are sorted by a number of their key alone, so a
-    batch holds whole keys and their terms are put in order there."""
-    kind = held.schema["place"].dataType
-    places = [f"place.{c}" for c in kind.names] if isinstance(kind, StructType) else ["place"]
-    own = [f"_p{i}" for i in range(len(places))]
-    rows = held.select(F.xxhash64(scope, key).alias("_key"), scope, key, *(F.col(c).alias(n) for c, n in zip(places, own, strict=True)), "term")
-
-    def told(ready: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(ready)
-        order = [(c, "ascending") for c in ("_key", scope, key, *own, "term")]
-        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start")).combine_chunks()
-        moved = {c: np.diff(rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(), prepend=-1) != 0 for c in [scope, key, *own, "term"]}
-        new = moved[scope] | moved[key]
-        kept = new | np.logical_or.reduce([moved[c] for c in [*own, "term"]])
-        group = (np.cumsum(new) - 1)[kept]
-        counts, at = np.bincount(group), np.flatnonzero(kept)
-        begins = np.cumsum(counts) - counts
-        near = np.arange(len(at)) - begins[group] < first
-        ends = np.concatenate([[0], np.cumsum(np.minimum(counts, first))]).astype(np.int32)
-        terms = pa.ListArray.from_arrays(ends, rows["term"].combine_chunks().take(pa.array(at[near])))
-        given = rows.select([scope, key]).take(pa.array(np.flatnonzero(new))).combine_chunks()
-        yield from pa.table([*given.columns, terms, pa.array(counts.astype(np.int64))], names=[scope, key, "terms", "n_terms"]).to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, last = [], None  # the rows of the last key, which may go on
-        for batch in batches:
-            if batch.num_rows:
-                keys = batch["_key"].to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))
-                if cut or keys[0] != last:
-                    ready = [*waiting, batch.slice(0, cut)] if cut else waiting
-                    waiting, last = [], keys[-1]
-                    if ready:
-                        yield from told(ready)
-                waiting.append(batch.slice(cut))
-        if waiting:
-            yield from told(waiting)
-
-    kinds = dict(held.dtypes)
-    return rows.repartition("_key").sortWithinPartitions("_key").mapInArrow(run, f"{scope} {kinds[scope]}, {key} {kinds[key]}, terms array<string>, n_terms long")
-
-
 def mentions(items: DataFrame, terms: DataFrame, scope: str, key: str, haystack: str, first: int = 3, tables: Tables | None = None) -> DataFrame:
     """(scope, key, terms, n_terms, reason) of items whose haystack holds a term of their scope, anywhere and in any case:
     the ``first`` terms by their place, their number, and how that is told.
 
-    A term has no separators, so it stands inside one stretch between separators. Every run of up to GRAM characters of
-    an item's stretches is a term or not: those that a sieve of all terms lets through are joined with the terms, so what
-    is shuffled grows with the mentions, not with the product of terms and stretches. Longer terms are found by their
-    rarest run. No scope is a group.
+    A term has no separators, so it stands inside one stretch between separators. Texts are dealt once, in buckets of about
+    CHUNK bytes. Every run of up to GRAM characters of a bucket's stretches is a term or not: those that a sieve of all
+    terms lets through are joined with the terms once for the bucket, whose texts then look them up. So what is shuffled
+    are the texts and the terms of each bucket, not the mentions. Longer terms are found by their rarest run. No scope is a
+    group.
     """
     tables = tables or Tables(items.sparkSession)
-    texts = items.select(scope, key, F.lower(F.coalesce(haystack, F.lit(""))).alias("_text"))
+    texts = items.where(F.col(scope).isNotNull()).select(scope, key, F.lower(F.coalesce(haystack, F.lit(""))).alias("_text"))
     terms = tables.save(terms.select(scope, "term", "place"), "terms")
-    held, long = _looked_up(texts, terms.where(F.length("term") <= GRAM), scope, key), terms.where(F.length("term") > GRAM)
+    bucketed = _buckets(texts, scope, key, tables)
+    dealt = bucketed(texts).select("_bucket", F.xxhash64(scope).alias("_seed"), scope, key, "_text")
+    known = _known(dealt, terms.where(F.length("term") <= GRAM), scope).withColumn("_of", F.lit(None).cast(texts.schema[key].dataType)).withColumn("_own", F.lit(False))
+    long = terms.where(F.length("term") > GRAM)
     if not long.isEmpty():
-        held = held.unionByName(_long_ones(texts, long, scope, key, tables))
-    found = _first_of(held, scope, key, first)
+        alone = bucketed(_long_ones(texts, long, scope, key, tables)).select("_bucket", scope, "term", "place", F.col(key).alias("_of"), F.lit(True).alias("_own"))
+        known = known.unionByName(alone)
+    found = _first_of(dealt, known, scope, key, first)
     return tables.save(found.withColumn("reason", F.concat(F.lit(MENTIONS), F.array_join("terms", BETWEEN))), "found")
 
 
@@ -329,6 +425,7 @@ def impact_report(terms: DataFrame, scope: str, volumes: DataFrame, chapters: Da
     mentions too, as they do in a record's JSON; none by default. Drafts are plain text and have none.
     """
     tables = Tables(terms.sparkSession)
+    terms = tables.save(terms, "changed")  # read for each kind, made once
 
     def hit(df: DataFrame, kind: str) -> DataFrame:
         names = (match_keys or {}).get(kind, [])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import governance
 from leafmill.plans._base import query, table
+from leafmill.scratch import Tables
 
 CHANGES = """
 changes AS (
@@ -89,10 +90,11 @@ SELECT book, coalesce(own, n || ' 个章节引用了变更内容') AS reason FRO
 """)
 def volume_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books whose name is mentioned, or that have chapters which mention a change."""
-    docs, terms = table(spark, sf_dir, "documents").select("source", "doc_id", "text"), change_terms(spark, sf_dir)
-    found = governance.mentions(docs, terms, "source", "doc_id", "text")
+    docs, tables = table(spark, sf_dir, "documents").select("source", "doc_id", "text"), Tables(spark)
+    terms = tables.save(change_terms(spark, sf_dir), "changed")  # read twice, made once
+    found = governance.mentions(docs, terms, "source", "doc_id", "text", tables=tables)
     names = docs.select("source", F.col("source").alias("name"), F.lit("book").alias("id")).distinct()
-    direct = governance.mentions(names, terms, "source", "id", "name").select(F.col("source").alias("book"), "reason")
+    direct = governance.mentions(names, terms, "source", "id", "name", tables=tables).select(F.col("source").alias("book"), "reason")
     return governance.parent_impact(found.withColumnRenamed("source", "book"), direct, "book")
 
 
