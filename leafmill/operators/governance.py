@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -112,15 +113,19 @@ def changed_terms(changes: DataFrame, scope: str, order: str) -> DataFrame:
     is where a term comes first, by the changes' order and then within the change. A scope keeps projects apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            rows, places, pieces = [], [], []
-            for row, (before, after) in enumerate(zip(batch["before"].to_pylist(), batch["after"].to_pylist(), strict=True)):
-                own = list(dict.fromkeys(_PIECES.findall(before) + _PIECES.findall(after)))
-                rows += [row] * len(own)
-                places += range(len(own))
-                pieces += own
-            given = batch.select([scope, order]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(places, pa.int32()), pa.array(pieces, pa.string())], [scope, order, "i", "piece"])
+        for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+            number, rank, texts = _numbers(batch[scope]), _numbers(batch[order]), list(zip(batch["before"].to_pylist(), batch["after"].to_pylist(), strict=True))
+            first = defaultdict(dict)  # by scope: where a piece of the batch comes first, as (row, place in it)
+            for row in pc.sort_indices(batch[order], null_placement="at_start").to_pylist():
+                seen, before, after = first[number[row]], *texts[row]
+                for i, piece in enumerate(dict.fromkeys(_PIECES.findall(before) + _PIECES.findall(after))):
+                    at = seen.setdefault(piece, (row, i))
+                    if at[1] > i and rank[at[0]] == rank[row]:
+                        seen[piece] = row, i
+            places = np.array([at for seen in first.values() for at in seen.values()], np.int64).reshape(-1, 2)
+            given = batch.select([scope, order]).take(pa.array(places[:, 0]))
+            pieces = pa.array([piece for seen in first.values() for piece in seen], pa.string())
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(places[:, 1].astype(np.int32)), pieces], [scope, order, "i", "piece"])
 
     kinds = dict(changes.dtypes)
     texts = changes.select(scope, order, *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")))
@@ -257,6 +262,10 @@ def _numbered(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def _numbers(column: pa.Array) -> list[int]:
+    return _numbered(column)[0].tolist()
+
+
 def _held(words: list[str], owners: np.ndarray, terms: list[str], scopes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, term): pairs of numbers of words and of the terms of up to GRAM characters which stand in them, of the same
     scope. Runs are looked up by their number, then compared; a pair may come more than once."""

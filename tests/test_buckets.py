@@ -60,3 +60,20 @@ def test_terms_are_made_once_for_both_kinds_of_mentions(spark, monkeypatch):
     wanted = made(spark, data).count()
     monkeypatch.setattr(plans, "change_terms", lambda *a: (df := made(*a)).mapInArrow(counted, df.schema))
     assert plans.volume_impact(spark, data).count() and seen.value == wanted
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_where_a_term_comes_first(spark, kind):
+    rng = random.Random(2)
+    text = lambda: rng.choice([None, "，".join(rng.choice(["Ab", "ab", "aB", "cd", "e", "林林", "ÀÉ"]) for _ in range(6))])
+    at = lambda: None if not (n := rng.randint(0, 9)) else n if kind == "int" else str(n)
+    rows = [(rng.choice(["p", "q", None]), at(), text(), text()) for _ in range(60)]
+    wanted = {}
+    for s, order, before, after in rows:
+        for i, piece in enumerate(dict.fromkeys(x for side in (before, after) for x in (side or "").split("，") if x)):
+            if len(piece) > 1:
+                mine = (order is not None, order, i) if order is not None else (False, None, i)
+                wanted[s, piece.lower()] = min(wanted.get((s, piece.lower()), mine), mine, key=lambda m: (m[0], m[1] or (0 if kind == "int" else ""), m[2]))
+    made = governance.changed_terms(spark.createDataFrame(rows, f"s string, o {kind}, before string, after string").repartition(2), "s", "o").collect()
+    got = {(r["s"], r["term"]): (r["place"]["o"] is not None, r["place"]["o"], r["place"]["i"]) for r in made}
+    assert len(made) == len(got) and got == wanted
