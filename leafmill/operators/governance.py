@@ -213,11 +213,11 @@ def _laid(words: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def _buckets(items: DataFrame, scope: str, key: str, tables: Tables) -> Callable[[DataFrame], DataFrame]:
     """What adds ``_bucket`` to rows with scope and key: about CHUNK bytes of the items share one, all rows of a key do. A
-    large scope has buckets of its own; smaller ones share theirs. Joined are large scopes alone, one for CHUNK bytes at
-    most."""
+    scope of more than a quarter of that has buckets of its own; smaller ones share theirs. Joined are the former alone, four
+    for CHUNK bytes at most."""
     sizes = tables.save(items.groupBy(F.col(scope).alias("_scope")).agg(F.sum(F.octet_length("_text").cast("long") + 64).alias("_bytes")), "sizes")
     count = max(1, -(-(sizes.agg(F.sum("_bytes")).first()[0] or 0) // CHUNK))
-    large = sizes.where(F.col("_bytes") > CHUNK).select("_scope", F.ceil(F.col("_bytes") / CHUNK).alias("_n"))
+    large = sizes.where(F.col("_bytes") > CHUNK // 4).select("_scope", F.ceil(F.col("_bytes") / CHUNK).alias("_n"))
     own = F.xxhash64(scope, F.pmod(F.xxhash64(key), F.col("_n")))
     bucket = F.when(F.col("_n").isNull(), F.pmod(F.xxhash64(scope), F.lit(count))).otherwise(own)
     return lambda rows: rows.join(F.broadcast(large), F.col(scope) == F.col("_scope"), "left").withColumn("_bucket", bucket).drop("_scope", "_n")
